@@ -7,72 +7,79 @@ serve as instruments.
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newstide.functions.sentiment import with_sentiment
+from newstide.functions.sentiment import (DEFAULT_LEXICON, TOKEN_END, sentence_classifier,
+                                          with_sentiment)
 from newstide.functions.signals import bucket_of
 from newstide.sources.layout import spread
 
-FIRST_DAY = "2024-01-01"
+# Schemas of the driver's tables in use; given, so that a scan reads no footers to find out.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+}
+
+FIRST_DAY_SQL = "DATE '2024-01-01'"
 N_INDUSTRIES = 4
 DAYS = 30
 RESPONSE_SIZE = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = (table(spark, sf_dir, "events").where(F.weekday("ts") < 5)
-             .select("user_id", F.to_date("ts").alias("date"), "ts", "value"))
-    return (ticks.groupBy("user_id", "date")
-            .agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"),
-                 F.min("value").alias("low"), F.max_by("value", "ts").alias("close"),
-                 F.count("*").alias("volume"))
-            .withColumn("symbol", F.col("user_id").cast("string"))
-            .select("symbol", "date", "open", "high", "low", "close", "volume"))
+    measures = ["min_by(value, ts) AS open", "max(value) AS high", "min(value) AS low",
+                "max_by(value, ts) AS close", "count(*) AS volume"]
+    return (table(spark, sf_dir, "events").where("weekday(ts) < 5")
+            .selectExpr("user_id", "to_date(ts) AS date", "ts", "value")
+            .groupBy("user_id", "date").agg(*[F.expr(m) for m in measures])
+            .selectExpr("CAST(user_id AS STRING) AS symbol", "date", "open", "high", "low",
+                        "close", "volume"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
-    return users.select((F.col("user_id") % N_INDUSTRIES).cast("string").alias("industry"),
-                        F.col("user_id").cast("string").alias("symbol"))
+    return (table(spark, sf_dir, "events").select("user_id").distinct()
+            .selectExpr(f"CAST(user_id % {N_INDUSTRIES} AS STRING) AS industry",
+                        "CAST(user_id AS STRING) AS symbol"))
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string").alias("symbol"), F.col("c_mktsegment").alias("tag"),
-        F.col("c_name").alias("shortname"),
-        F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("info"))
+    return table(spark, sf_dir, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS symbol", "c_mktsegment AS tag", "c_name AS shortname",
+        "map('nation', CAST(c_nationkey AS STRING)) AS info")
 
 
-def _n_symbols(spark: SparkSession, sf_dir: str) -> Column:
-    return table(spark, sf_dir, "events").agg(F.count_distinct("user_id")).scalar()
-
-
-def _as_articles(documents: DataFrame, n: Column) -> DataFrame:
-    turn = F.call_function("div", F.col("doc_id"), n)
-    shift = ((turn * 7 + F.col("doc_id") % n) % DAYS).cast("int")
-    date = F.date_add(F.lit(FIRST_DAY).cast("date"), shift)
-    return documents.select(
-        (F.col("doc_id") % n).cast("string").alias("symbol"),
-        date.cast("timestamp_ntz").alias("published"), date.alias("date"),
-        F.substring_index("text", "\n", 1).alias("title"),
-        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("link"),
-        F.struct(F.col("source").alias("href"), F.col("source").alias("title")).alias("source"),
-        F.col("doc_id").cast("string").alias("id"), "text", turn.alias("turn"))
+def _with_turns(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles. The number of symbols is a parameter of the mapping and is read up
+    front: as a subquery it would be copied into every filter derived from the join keys."""
+    n = table(spark, sf_dir, "events").agg(F.count_distinct("user_id")).first()[0]
+    shift = f"CAST((doc_id div {n} * 7 + doc_id % {n}) % {DAYS} AS INT)"
+    return documents.selectExpr(
+        f"CAST(doc_id % {n} AS STRING) AS symbol",
+        f"CAST(date_add({FIRST_DAY_SQL}, {shift}) AS TIMESTAMP_NTZ) AS published",
+        f"date_add({FIRST_DAY_SQL}, {shift}) AS date",
+        "substring_index(text, '\\n', 1) AS title", "'doc/' || doc_id AS link",
+        "struct(source AS href, source AS title) AS source", "CAST(doc_id AS STRING) AS id",
+        "text", f"doc_id div {n} AS turn")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles without sentiments."""
-    return _as_articles(table(spark, sf_dir, "documents"), _n_symbols(spark, sf_dir)).drop("turn")
+    return _with_turns(table(spark, sf_dir, "documents"), spark, sf_dir).drop("turn")
 
 
 def scored_articles(spark: SparkSession, sf_dir: str, classifier=None) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    plain = _as_articles(spread(documents, "doc_id"), _n_symbols(spark, sf_dir)).drop("turn")
-    return with_sentiment(plain, classifier=classifier)
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"),
+                       "doc_id")
+    return with_sentiment(_with_turns(documents, spark, sf_dir).drop("turn"),
+                          classifier=classifier)
 
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,26 +87,22 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document of fewer than 200 characters has no valid time.
     """
-    found = _as_articles(table(spark, sf_dir, "documents"), _n_symbols(spark, sf_dir))
-    start = F.lit(FIRST_DAY).cast("date")
-    bucket_start = F.date_add(start, bucket_of(F.col("date"), start) * 28)
-    published = F.when(F.length("text") < 200, "unknown").otherwise(
-        F.date_format("published", "yyyy-MM-dd HH:mm:ss"))
-    article = F.struct("id", "title", "link", published.alias("published"), "source", "text")
-    return (found.withColumn("bucket_start", bucket_start)
-            .groupBy("symbol", "bucket_start",
-                     F.floor(F.col("turn") / RESPONSE_SIZE).alias("page"))
-            .agg(F.array_sort(F.collect_list(article)).alias("articles"))
-            .select("symbol", "bucket_start",
-                    F.date_add("bucket_start", 28).alias("bucket_end"), "articles"))
+    published = ("CASE WHEN length(text) < 200 THEN 'unknown' "
+                 "ELSE date_format(published, 'yyyy-MM-dd HH:mm:ss') END AS published")
+    return (_with_turns(table(spark, sf_dir, "documents"), spark, sf_dir)
+            .selectExpr("symbol", f"turn div {RESPONSE_SIZE} AS page",
+                        f"date_add({FIRST_DAY_SQL}, {bucket_of('date', FIRST_DAY_SQL)} * 28)"
+                        " AS bucket_start",
+                        f"struct(id, title, link, {published}, source, text) AS article")
+            .groupBy("symbol", "bucket_start", "page")
+            .agg(F.expr("array_sort(collect_list(article)) AS articles"))
+            .selectExpr("symbol", "bucket_start", "date_add(bucket_start, 28) AS bucket_end",
+                        "articles"))
 
 
 @functools.cache
 def word_classifier():
     """The lexicon rule once more, as a stand-in for a model behind the vectorised hook."""
-    from newstide.functions.sentiment import (DEFAULT_LEXICON, TOKEN_END,
-                                              sentence_classifier)
-
     polarity, token_end = dict(DEFAULT_LEXICON), TOKEN_END
 
     def load():

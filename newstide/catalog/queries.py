@@ -25,9 +25,8 @@ def _register(name: str):
     def add(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(spark, sf_dir)
-            return df.select(*[
-                F.col(f.name).cast("string").alias(f.name)
-                if isinstance(f.dataType, T.DateType) else F.col(f.name) for f in df.schema])
+            days = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
+            return df.withColumns({d: F.col(d).cast("string") for d in days}) if days else df
 
         QUERIES[name] = run
         return build
@@ -55,9 +54,8 @@ def _scored(spark, sf_dir, windows=(W,), **rules) -> DataFrame:
 
 def _day_means(spark, sf_dir) -> DataFrame:
     """Price days with the mean text sentiment of the day, NaN where there is none."""
-    n, total = F.col("text_n"), F.col("text_sum").cast("double")
-    mean = F.when(n > 0, total / n).otherwise(F.lit(float("nan")))
-    return _counts(spark, sf_dir).select("symbol", "date", "open", "close", mean.alias("mean"))
+    mean = "CASE WHEN text_n > 0 THEN CAST(text_sum AS DOUBLE) / text_n ELSE double('NaN') END"
+    return _counts(spark, sf_dir).selectExpr("symbol", "date", "open", "close", f"{mean} AS mean")
 
 
 # --- A: scans, sources, sinks ---------------------------------------------------------------
@@ -178,7 +176,7 @@ def _(spark, sf_dir):
 
 @_register("B7_nan_to_null")
 def _(spark, sf_dir):
-    return _day_means(spark, sf_dir).withColumn("mean", g.nan_to_null(F.col("mean")))
+    return _day_means(spark, sf_dir).withColumn("mean", F.expr(g.nan_to_null("mean")))
 
 
 @_register("B8_day_change")
@@ -194,21 +192,20 @@ def _(spark, sf_dir):
 
 @_register("B10_valid_sentences")
 def _(spark, sf_dir):
-    sentences = s.split_sentences(F.col("text"))
-    return a.table(spark, sf_dir, "documents").select(
-        "doc_id", F.size(sentences).alias("n_sentences"),
-        F.size(F.filter(sentences, lambda x: s.is_valid_sentence(x))).alias("n_valid"))
+    return a.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"size({s.split_sentences('text')}) AS n_sentences",
+        f"size({s.valid_sentences('text')}) AS n_valid")
 
 
 @_register("B11_has_text")
 def _(spark, sf_dir):
-    return a.table(spark, sf_dir, "documents").select(
-        "doc_id", g.has_text(F.col("text")).cast("int").alias("has_text"))
+    return a.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"CAST({g.has_text('text')} AS INT) AS has_text")
 
 
 @_register("B12_has_prediction")
 def _(spark, sf_dir):
-    return (_scored(spark, sf_dir).where(g.has_prediction(F.col("text_prediction")))
+    return (_scored(spark, sf_dir).where(g.has_prediction("text_prediction"))
             .select("symbol", "date", "text_prediction"))
 
 
@@ -228,7 +225,7 @@ def _(spark, sf_dir):
 
 @_register("C1_price_news_join")
 def _(spark, sf_dir):
-    return _counts(spark, sf_dir).select("symbol", "date", "open", "close", *scoring.COUNTERS)
+    return _counts(spark, sf_dir).select("symbol", "date", "open", "close", *tl.COUNTERS)
 
 
 @_register("C2_instrument_history")
@@ -268,8 +265,8 @@ def _(spark, sf_dir):
 @_register("C7_lookback")
 def _(spark, sf_dir):
     banded = scoring.band_scores(_counts(spark, sf_dir), [W])
-    return banded.select("symbol", "date", F.col(f"text_score_{W}").alias("text_score"),
-                         scoring.latest_score(f"text_score_{W}").alias("earlier_score"))
+    return banded.selectExpr("symbol", "date", f"text_score_{W} AS text_score",
+                             f"{scoring.latest_score(f'text_score_{W}')} AS earlier_score")
 
 
 # --- D: aggregations ------------------------------------------------------------------------
@@ -414,7 +411,7 @@ def _(spark, sf_dir):
 
 @_register("E4_window_sweep")
 def _(spark, sf_dir):
-    return _scored(spark, sf_dir, WINDOWS).drop(*scoring.COUNTERS)
+    return _scored(spark, sf_dir, WINDOWS).drop(*tl.COUNTERS)
 
 
 @_register("E5_sample_rank")
@@ -477,8 +474,8 @@ def _(spark, sf_dir):
 # --- H: scalar functions --------------------------------------------------------------------
 
 def _sentences(spark, sf_dir) -> DataFrame:
-    return a.table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(s.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    return a.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"posexplode({s.split_sentences('text')}) AS (pos, sentence)")
 
 
 @_register("H1_sentence_split")
@@ -488,22 +485,24 @@ def _(spark, sf_dir):
 
 @_register("H2_token_count")
 def _(spark, sf_dir):
-    tokens = s.tokens(F.col("sentence"))
-    return _sentences(spark, sf_dir).select(
-        "doc_id", "pos", F.size(tokens).alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
+    found = _sentences(spark, sf_dir).selectExpr(
+        "doc_id", "pos", f"{s.tokens('sentence')} AS tokens")
+    return found.selectExpr("doc_id", "pos", "size(tokens) AS n_tokens",
+                            "array_join(tokens, ' ') AS tokens")
 
 
 @_register("H3_sentence_class")
 def _(spark, sf_dir):
-    return _sentences(spark, sf_dir).select(
-        "doc_id", "pos", s.sentence_class(s.tokens(F.col("sentence"))).alias("class"))
+    return _sentences(spark, sf_dir).selectExpr(
+        "doc_id", "pos", f"{s.sentence_class(s.tokens('sentence'))} AS class")
 
 
 @_register("H4_truncated_mean")
 def _(spark, sf_dir):
-    classes = F.transform(s.split_sentences(F.col("text")), lambda x: s.sentence_class(s.tokens(x)))
-    return a.table(spark, sf_dir, "documents").select(
-        "doc_id", s.mean_class_score(classes).alias("score"))
+    classes = (f"transform({s.split_sentences('text')}, "
+               f"sentence -> {s.sentence_class(s.tokens('sentence'))})")
+    return a.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{s.mean_class_score(classes)} AS score")
 
 
 @_register("H5_classify")
@@ -528,24 +527,22 @@ def _(spark, sf_dir):
 
 @_register("H8_lag_clamp")
 def _(spark, sf_dir):
-    lags = [F.struct(F.lit(w).alias("window"), F.lit(lag).alias("lag"))
-            for w in (2, W) for lag in g.band_lags(w)]
-    return a.prices(spark, sf_dir).select("symbol", "date", F.inline(F.array(*lags)))
+    lags = ", ".join(f"struct({w} AS window, {lag} AS lag)"
+                     for w in (2, W) for lag in g.band_lags(w))
+    return a.prices(spark, sf_dir).selectExpr("symbol", "date", f"inline(array({lags}))")
 
 
 @_register("H9_format_date")
 def _(spark, sf_dir):
     ranges = px.date_ranges(a.prices(spark, sf_dir))
-    return a.instruments(spark, sf_dir).join(ranges, "symbol", "left").select(
-        "symbol", g.format_day(F.col("start_date")).alias("start"),
-        g.format_day(F.col("end_date")).alias("end"))
+    return a.instruments(spark, sf_dir).join(ranges, "symbol", "left").selectExpr(
+        "symbol", f"{g.format_day('start_date')} AS start", f"{g.format_day('end_date')} AS `end`")
 
 
 @_register("H10_safe_ratio")
 def _(spark, sf_dir):
     counts = tl.day_sums(a.scored_articles(spark, sf_dir))
-    return counts.select("symbol", "date",
-                         g.safe_ratio(F.col("title_sum"), F.col("title_n")).alias("ratio"))
+    return counts.selectExpr("symbol", "date", f"{g.safe_ratio('title_sum', 'title_n')} AS ratio")
 
 
 @_register("H11_abs_change")
@@ -558,7 +555,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     bodies = a.search_results(spark, sf_dir).select(
         "symbol", F.to_json(F.struct("articles")).alias("body"))
-    return (bodies.select("symbol", F.inline(news.parse_response(F.col("body"))))
+    return (bodies.selectExpr("symbol", f"inline({news.parse_response('body')})")
             .select("symbol", "id", "title", "link", "published",
                     F.col("source.href").alias("href"), "text"))
 
@@ -570,8 +567,8 @@ def _(spark, sf_dir):
 
 @_register("H14_or_empty")
 def _(spark, sf_dir):
-    return pages.extract_pages(a.table(spark, sf_dir, "pages")).select(
-        "page_id", g.or_empty(F.col("text")).alias("text"))
+    return pages.extract_pages(a.table(spark, sf_dir, "pages")).selectExpr(
+        "page_id", f"{g.or_empty('text')} AS text")
 
 
 @_register("H15_text_length")
@@ -581,14 +578,13 @@ def _(spark, sf_dir):
 
 @_register("H16_source_host")
 def _(spark, sf_dir):
-    return a.table(spark, sf_dir, "pages").select(
-        "page_id", g.source_host(F.col("url")).alias("href"))
+    return a.table(spark, sf_dir, "pages").selectExpr("page_id", f"{g.source_host('url')} AS href")
 
 
 @_register("H17_bucket_of_date")
 def _(spark, sf_dir):
-    return a.articles(spark, sf_dir).select(
-        "link", g.bucket_of(F.col("date"), F.lit(a.FIRST_DAY).cast("date")).alias("bucket"))
+    return a.articles(spark, sf_dir).selectExpr(
+        "link", f"{g.bucket_of('date', a.FIRST_DAY_SQL)} AS bucket")
 
 
 # --- J: enrichment --------------------------------------------------------------------------
@@ -623,7 +619,7 @@ def _(spark, sf_dir):
 
 @_register("K2_score_and_predict")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir).score_and_predict().drop(*scoring.COUNTERS)
+    return _engine(spark, sf_dir).score_and_predict().drop(*tl.COUNTERS)
 
 
 @_register("K3_analyze_accuracy")

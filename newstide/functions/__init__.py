@@ -1,2 +1,11 @@
-"""Column functions: everything here maps columns to a column and stays inside the JVM,
-except the optional model hook in ``sentiment``."""
+"""SQL expressions of the engine's rules.
+
+Every function takes column names or expressions as text and returns an expression as text, for
+``selectExpr``, ``where`` or ``F.expr``. They compose before Spark sees them, so a plan with
+dozens of derived columns is handed over in one piece, and all of them run inside the JVM.
+"""
+
+
+def literal(value: str) -> str:
+    """``value`` as a Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -3,9 +3,7 @@
 The patterns use no look-around and only ASCII classes, so other engines read them alike.
 """
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from newstide.functions import literal
 
 # Patterns of the parts of a page.
 NOISE = (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
@@ -22,19 +20,22 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "
             "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
-def _plain(markup: Column) -> Column:
-    text = F.regexp_replace(markup, LINE_TAG, "\n")
-    text = F.regexp_replace(text, TAG, "")
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
-    text = F.regexp_replace(text, BLANKS, " ")
-    text = F.regexp_replace(text, LINE_BREAKS, "\n")
-    return F.nullif(F.regexp_replace(text, EDGES, ""), F.lit(""))
+def _replace(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {literal(pattern)}, {literal(by)})"
+
+
+def _plain(text: str) -> str:
+    text = _replace(_replace(text, LINE_TAG, "\n"), TAG, "")
+    for entity, character in ENTITIES.items():
+        text = f"replace({text}, {literal(entity)}, {literal(character)})"
+    text = _replace(_replace(_replace(text, BLANKS, " "), LINE_BREAKS, "\n"), EDGES, "")
+    return f"nullif({text}, '')"
 
 
-def page_title(html: Column) -> Column:
-    return _plain(F.regexp_extract(html, TITLE, 1))
+def page_title(html: str) -> str:
+    return _plain(f"regexp_extract({html}, {literal(TITLE)}, 1)")
 
 
-def page_text(html: Column) -> Column:
+def page_text(html: str) -> str:
     """Text of the article element; NULL when the page has no complete, non-empty one."""
-    return _plain(F.regexp_extract(F.regexp_replace(html, NOISE, " "), BODY, 1))
+    return _plain(f"regexp_extract({_replace(html, NOISE, ' ')}, {literal(BODY)}, 1)")

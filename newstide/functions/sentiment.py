@@ -10,10 +10,11 @@ scored where it is read: no shuffle, no Python worker. A trained model plugs in
 """
 
 from collections.abc import Callable, Iterator, Mapping
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from newstide.functions import literal
 
 # The default lexicon and the marks that end a sentence or a token.
 DEFAULT_LEXICON = {"the": 1, "and": 1, "for": 1, "of": -1, "to": -1, "in": -1, "a": -1}
@@ -24,76 +25,68 @@ MIN_TOKENS = 6
 CHANNELS = ("title", "text")
 
 
-def split_sentences(text: Column) -> Column:
-    return F.split(text, SENTENCE_END)
+def split_sentences(text: str) -> str:
+    return f"split({text}, {literal(SENTENCE_END)})"
 
 
-def tokens(sentence: Column) -> Column:
-    return F.filter(F.split(F.lower(sentence), TOKEN_END), lambda token: token != "")
+def tokens(sentence: str) -> str:
+    return f"filter(split(lower({sentence}), {literal(TOKEN_END)}), token -> token <> '')"
 
 
-def is_valid_sentence(sentence: Column, min_tokens: int = MIN_TOKENS) -> Column:
-    return F.size(tokens(sentence)) >= min_tokens
+def valid_sentences(text: str, min_tokens: int = MIN_TOKENS) -> str:
+    return f"filter({split_sentences(text)}, s -> size({tokens('s')}) >= {min_tokens})"
 
 
-def sentence_class(sentence_tokens: Column, lexicon: Mapping[str, int] | None = None) -> Column:
+def sentence_class(sentence_tokens: str, lexicon: Mapping[str, int] | None = None) -> str:
     """Class of one tokenised sentence by the sign of its summed word polarity."""
-    lexicon = DEFAULT_LEXICON if lexicon is None else lexicon
     words: dict[int, list[str]] = {}
-    for word, polarity in lexicon.items():
-        words.setdefault(polarity, []).append(word)
-
-    def polarity_of(token: Column) -> Column:
-        cases = reduce(lambda c, kv: c.when(token.isin(kv[1]), kv[0]), words.items(), F)
-        return cases.otherwise(0) if words else F.lit(0)
-
-    total = F.aggregate(sentence_tokens, F.lit(0), lambda acc, token: acc + polarity_of(token))
-    return F.signum(total).cast("int") + 1
+    for word, polarity in (DEFAULT_LEXICON if lexicon is None else lexicon).items():
+        words.setdefault(int(polarity), []).append(literal(word))
+    cases = " ".join(f"WHEN word IN ({', '.join(group)}) THEN {polarity}"
+                     for polarity, group in words.items())
+    polarity = f"CASE {cases} ELSE 0 END" if cases else "0"
+    total = f"aggregate({sentence_tokens}, 0, (total, word) -> total + {polarity})"
+    return f"CAST(signum({total}) AS INT) + 1"
 
 
-def mean_class_score(classes: Column) -> Column:
+def mean_class_score(classes: str) -> str:
     """``int(50 * sum / n)`` over an array of classes, NULL for an empty or NULL array."""
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(
-        classes,
-        start,
-        lambda acc, c: F.struct((acc.total + c).alias("total"), (acc.n + 1).alias("n")),
-        lambda acc: F.when(acc.n > 0, F.call_function("div", acc.total * 50, acc.n)),
-    ).cast("int")
+    return (f"CAST(aggregate({classes}, named_struct('total', 0L, 'n', 0L), "
+            "(acc, c) -> named_struct('total', acc.total + c, 'n', acc.n + 1), "
+            "acc -> CASE WHEN acc.n > 0 THEN 50 * acc.total div acc.n END) AS INT)")
 
 
-def lexicon_sentiment(text: Column, lexicon: Mapping[str, int] | None = None,
-                      min_tokens: int = MIN_TOKENS) -> Column:
-    # lower() once per text: neither set of marks contains a letter that it could change.
-    tokenised = F.transform(
-        F.split(F.lower(text), SENTENCE_END),
-        lambda s: F.filter(F.split(s, TOKEN_END), lambda token: token != ""))
-    valid = F.filter(tokenised, lambda sentence: F.size(sentence) >= min_tokens)
-    return mean_class_score(F.transform(valid, lambda s: sentence_class(s, lexicon)))
+def lexicon_sentiment(text: str, lexicon: Mapping[str, int] | None = None,
+                      min_tokens: int = MIN_TOKENS) -> str:
+    """Sentiment of a text column in one pass over its sentences."""
+    tokenised = f"transform({split_sentences(text)}, s -> {tokens('s')})"
+    valid = f"filter({tokenised}, words -> size(words) >= {min_tokens})"
+    return mean_class_score(f"transform({valid}, words -> {sentence_class('words', lexicon)})")
 
 
 def sentence_classifier(load_model: Callable[[], Callable[[list[str]], list[int]]],
                         sentences_per_call: int = 1024):
     """Wrap a model as a vectorised UDF from sentences to classes.
 
-    ``load_model`` runs once per Python worker and partition and returns a function from a list
-    of sentences to a list of classes of the same length.
+    ``load_model`` runs once per task and returns a function from a list of sentences to a list
+    of classes of the same length. Documents are scored one after the other, long ones in
+    several calls, so no call sees more than ``sentences_per_call`` sentences.
     """
 
     @F.pandas_udf("array<int>")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
-        for batch in batches:
-            sizes = [0 if doc is None else len(doc) for doc in batch]
-            flat = [s for doc in batch if doc is not None for s in doc]
+
+        def score(sentences) -> list[int] | None:
+            if sentences is None:
+                return None
             classes: list[int] = []
-            for at in range(0, len(flat), sentences_per_call):
-                classes.extend(int(c) for c in model(flat[at:at + sentences_per_call]))
-            out, at = [], 0
-            for doc, size in zip(batch, sizes):
-                out.append(None if doc is None else classes[at:at + size])
-                at += size
-            yield pd.Series(out, dtype=object)
+            for at in range(0, len(sentences), sentences_per_call):
+                classes.extend(int(c) for c in model(list(sentences[at:at + sentences_per_call])))
+            return classes
+
+        for batch in batches:
+            yield pd.Series([score(document) for document in batch], dtype=object)
 
     return classify
 
@@ -101,14 +94,12 @@ def sentence_classifier(load_model: Callable[[], Callable[[list[str]], list[int]
 def with_sentiment(articles: DataFrame, lexicon: Mapping[str, int] | None = None,
                    classifier=None, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Add ``title_sentiment`` and ``text_sentiment``; a missing column scores NULL."""
-
-    def score(channel: str) -> Column:
-        if channel not in articles.columns:
-            return F.lit(None).cast("int")
-        if classifier is None:
-            return lexicon_sentiment(F.col(channel), lexicon, min_tokens)
-        valid = F.filter(split_sentences(F.col(channel)),
-                         lambda s: is_valid_sentence(s, min_tokens))
-        return mean_class_score(classifier(valid))
-
-    return articles.withColumns({f"{c}_sentiment": score(c) for c in CHANNELS})
+    known = [c for c in CHANNELS if c in articles.columns]
+    if classifier is None:
+        scores = [f"{lexicon_sentiment(c, lexicon, min_tokens)} AS {c}_sentiment" for c in known]
+    else:
+        articles = articles.withColumns({
+            f"_{c}_classes": classifier(F.expr(valid_sentences(c, min_tokens))) for c in known})
+        scores = [f"{mean_class_score(f'_{c}_classes')} AS {c}_sentiment" for c in known]
+    scores += [f"CAST(NULL AS INT) AS {c}_sentiment" for c in CHANNELS if c not in known]
+    return articles.selectExpr("*", *scores).drop(*[f"_{c}_classes" for c in known])

@@ -1,7 +1,5 @@
 """Scalar rules: price change, prediction, outcome and small helpers."""
 
-from pyspark.sql import Column, functions as F
-
 # Edges of the neutral score band, of the neutral price move (in percent), the
 # score that stands for "no news", and the length above which an article counts as having text.
 HOLD_LOW, HOLD_HIGH = 45.0, 55.0
@@ -10,69 +8,64 @@ NEUTRAL_SCORE = 50.0
 MIN_TEXT_LENGTH = 200
 
 
-def nan_to_null(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
+def nan_to_null(value: str) -> str:
+    return f"CASE WHEN NOT isnan({value}) THEN {value} END"
 
 
-def day_change(open_: Column, close: Column) -> Column:
+def day_change(open_: str, close: str) -> str:
     """Percent move of a day; NULL when the open is 0 or missing."""
-    return F.try_divide(100 * (close - open_), open_)
+    return f"try_divide(100 * ({close} - {open_}), {open_})"
 
 
-def classify(score: Column) -> Column:
+def classify(score: str) -> str:
     """'' / hold / buy / sell. Missing, 0 and the exact edges give ''."""
-    score = nan_to_null(score)
-    return (F.when(score.isNull() | (score == 0), "")
-            .when((score > HOLD_LOW) & (score < HOLD_HIGH), "hold")
-            .when(score > HOLD_HIGH, "buy")
-            .when(score < HOLD_LOW, "sell")
-            .otherwise(""))
+    return (f"CASE WHEN {score} IS NULL OR isnan({score}) OR {score} = 0 THEN '' "
+            f"WHEN {score} > {HOLD_LOW}D AND {score} < {HOLD_HIGH}D THEN 'hold' "
+            f"WHEN {score} > {HOLD_HIGH}D THEN 'buy' WHEN {score} < {HOLD_LOW}D THEN 'sell' "
+            "ELSE '' END")
 
 
-def grade(prediction: Column, change: Column) -> Column:
+def grade(prediction: str, change: str) -> str:
     """-1 without a prediction, 1 for a right one, 0 for a wrong one or an unknown change."""
-    change = nan_to_null(change)
-    right = (F.when(prediction == "hold", F.abs(change) < MOVE)
-             .when(prediction == "buy", change > MOVE)
-             .when(prediction == "sell", change < -MOVE))
-    return (F.when(F.coalesce(prediction, F.lit("")) == "", -1)
-            .when(right, 1)
-            .otherwise(0))
+    return (f"CASE WHEN coalesce({prediction}, '') = '' THEN -1 WHEN isnan({change}) THEN 0 "
+            f"WHEN {prediction} = 'hold' AND abs({change}) < {MOVE}D THEN 1 "
+            f"WHEN {prediction} = 'buy' AND {change} > {MOVE}D THEN 1 "
+            f"WHEN {prediction} = 'sell' AND {change} < -{MOVE}D THEN 1 ELSE 0 END")
 
 
-def has_prediction(prediction: Column) -> Column:
-    return F.coalesce(prediction != "", F.lit(False))
+def has_prediction(prediction: str) -> str:
+    return f"coalesce({prediction} <> '', FALSE)"
 
 
-def safe_ratio(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+def safe_ratio(part: str, whole: str) -> str:
+    return f"coalesce(try_divide(CAST({part} AS DOUBLE), CAST({whole} AS DOUBLE)), 0D)"
 
 
-def format_day(day: Column) -> Column:
-    return F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit(""))
+def format_day(day: str) -> str:
+    return f"coalesce(date_format({day}, 'yyyy-MM-dd'), '')"
 
 
-def or_empty(value: Column) -> Column:
-    return F.coalesce(value, F.lit(""))
+def or_empty(value: str) -> str:
+    return f"coalesce({value}, '')"
 
 
-def has_text(text: Column) -> Column:
-    return F.coalesce(F.length(text) > MIN_TEXT_LENGTH, F.lit(False))
+def has_text(text: str) -> str:
+    return f"coalesce(length({text}) > {MIN_TEXT_LENGTH}, FALSE)"
 
 
-def to_published(published: Column) -> Column:
+def to_published(published: str) -> str:
     """Publication time as written, without a zone; NULL when it is not a time."""
-    return published.try_cast("timestamp_ntz")
+    return f"try_cast({published} AS TIMESTAMP_NTZ)"
 
 
-def source_host(url: Column) -> Column:
+def source_host(url: str) -> str:
     """Host of a URL, the source key of pages that carry no source record."""
-    return F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit(""))
+    return f"nullif(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')"
 
 
-def bucket_of(day: Column, start: Column, interval_days: int = 28) -> Column:
+def bucket_of(day: str, start: str, interval_days: int = 28) -> str:
     """Number of the fetch bucket that holds ``day``."""
-    return F.floor(F.datediff(day, start) / F.lit(interval_days)).cast("int")
+    return f"CAST(floor(datediff({day}, {start}) / {interval_days}) AS INT)"
 
 
 def band_lags(window: int) -> list[int]:

@@ -31,7 +31,7 @@ def top_sources(articles: DataFrame, k: int = 10) -> DataFrame:
 def corpus_stats(articles: DataFrame) -> DataFrame:
     """Articles, articles with text, distinct sources; a hot source shrinks map-side."""
     return articles.agg(F.count("*").alias("n_articles"),
-                        F.count_if(has_text(F.col("text"))).alias("n_with_text"),
+                        F.expr(f"count_if({has_text('text')}) AS n_with_text"),
                         F.count_distinct("source.href").alias("n_sources"))
 
 

@@ -8,51 +8,53 @@ calendar day of the symbol's history, because articles are summed per day before
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from newstide.functions.sentiment import CHANNELS
 from newstide.functions.signals import NEUTRAL_SCORE, band_lags, classify, grade
+from newstide.operators.timeline import COUNTERS
 
 DEFAULT_WINDOW = 7
 DEFAULT_WINDOWS = (3, 7, 11, 15)
 FILL_LIMIT = 3
-COUNTERS = ("n_links", "n_resolved", *(f"{c}_{x}" for c in CHANNELS for x in ("sum", "n")))
+MEASURES = ("article_count", *(f"{c}_score" for c in CHANNELS))
 
 
-def _days(start: int, end: int):
-    return Window.partitionBy("symbol").orderBy("day").rangeBetween(start, end)
+def _over(oldest: int, newest: int) -> str:
+    """Frame from ``oldest`` to ``newest`` calendar days back."""
+    return ("OVER (PARTITION BY symbol ORDER BY day "
+            f"RANGE BETWEEN {oldest} PRECEDING AND {newest} PRECEDING)")
 
 
-def _band_sum(counter: str, window: int) -> Column:
+def _band_sum(counter: str, window: int) -> str:
     """Sum of a day counter over the lag band. Folded lags (window < 3) repeat the own day."""
-    total = F.coalesce(
-        F.sum(counter).over(_days(-(window + 3), -max(window - 3, 0))), F.lit(0))
+    total = f"coalesce(sum({counter}) {_over(window + 3, max(window - 3, 0))}, 0L)"
     repeats = max(3 - window, 0)
-    return total + repeats * F.col(counter) if repeats else total
+    return f"{total} + {repeats} * {counter}" if repeats else total
 
 
-def _mean(total: Column, n: Column, resolved: Column, null_policy: str) -> Column:
+def _mean(total: str, n: str, resolved: str, null_policy: str) -> str:
     """One missing sentiment makes the band missing under 'poison' and is left out by 'skip'."""
-    usable = n > 0
-    if null_policy == "poison":
-        usable &= n == resolved
-    elif null_policy != "skip":
+    usable = {"poison": f"{n} > 0 AND {n} = {resolved}", "skip": f"{n} > 0"}
+    if null_policy not in usable:
         raise ValueError(f"null_policy must be 'poison' or 'skip', not {null_policy!r}")
-    return F.when(usable, total.cast("double") / n)
+    return f"CASE WHEN {usable[null_policy]} THEN CAST({total} AS DOUBLE) / {n} END"
 
 
 def band_scores(timeline: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
                 null_policy: str = "poison") -> DataFrame:
     """Add ``article_count_w`` and ``{title,text}_score_w`` for every window length w."""
-    added = {}
     for w in windows:
         band_lags(w)
-        band = {c: _band_sum(c, w) for c in COUNTERS}
-        added[f"article_count_{w}"] = band["n_links"]
-        for c in CHANNELS:
-            added[f"{c}_score_{w}"] = _mean(
-                band[f"{c}_sum"], band[f"{c}_n"], band["n_resolved"], null_policy)
-    return timeline.withColumn("day", F.unix_date("date")).withColumns(added)
+    kept = [c for c in timeline.columns if c not in COUNTERS]
+    sums = [f"{_band_sum(c, w)} AS _{c}_{w}" for w in windows for c in COUNTERS]
+    scores = []
+    for w in windows:
+        scores.append(f"_n_links_{w} AS article_count_{w}")
+        scores += [_mean(f"_{c}_sum_{w}", f"_{c}_n_{w}", f"_n_resolved_{w}", null_policy)
+                   + f" AS {c}_score_{w}" for c in CHANNELS]
+    return (timeline.withColumn("day", F.unix_date("date"))
+            .selectExpr(*kept, "day", *sums).selectExpr(*kept, "day", *scores))
 
 
 def band_scores_by_join(timeline: DataFrame, window: int,
@@ -61,22 +63,22 @@ def band_scores_by_join(timeline: DataFrame, window: int,
 
     Seven times the rows and a shuffle more than the frame; kept as the check of the frames.
     """
-    lags = F.array(*[F.struct(F.lit(lag).alias("lag"), F.lit(times).alias("times"))
-                     for lag, times in Counter(band_lags(window)).items()])
-    seen = (timeline.select("symbol", F.inline(lags), F.col("date").alias("_day"), *COUNTERS)
-            .withColumn("date", F.expr("date_add(_day, lag)"))
-            .groupBy("symbol", "date")
-            .agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in COUNTERS]))
-    band = timeline.drop(*COUNTERS).join(seen, ["symbol", "date"], "left").na.fill(0, COUNTERS)
-    scores = {f"{c}_score_{window}": _mean(F.col(f"{c}_sum"), F.col(f"{c}_n"),
-                                           F.col("n_resolved"), null_policy) for c in CHANNELS}
-    return (band.withColumns({f"article_count_{window}": F.col("n_links"), **scores})
-            .drop(*COUNTERS))
-
-
-def latest_score(name: str, limit: int = FILL_LIMIT) -> Column:
+    lags = ", ".join(f"struct({lag} AS lag, {times} AS times)"
+                     for lag, times in Counter(band_lags(window)).items())
+    seen = (timeline.selectExpr("symbol", "date AS _day", *COUNTERS, f"inline(array({lags}))")
+            .selectExpr("symbol", "date_add(_day, lag) AS date",
+                        *[f"{c} * times AS {c}" for c in COUNTERS])
+            .groupBy("symbol", "date").agg(*[F.sum(c).alias(c) for c in COUNTERS]))
+    kept = [c for c in timeline.columns if c not in COUNTERS]
+    return timeline.select(*kept).join(seen, ["symbol", "date"], "left").selectExpr(
+        *kept, f"coalesce(n_links, 0L) AS article_count_{window}",
+        *[_mean(f"{c}_sum", f"{c}_n", "n_resolved", null_policy) + f" AS {c}_score_{window}"
+          for c in CHANNELS])
+
+
+def latest_score(name: str, limit: int = FILL_LIMIT) -> str:
     """The most recent score of the ``limit`` previous calendar days (an as-of look-up)."""
-    return F.last(name, ignorenulls=True).over(_days(-limit, -1))
+    return f"last_value({name}) IGNORE NULLS {_over(limit, 1)}"
 
 
 def fill_scores(scored: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
@@ -90,33 +92,31 @@ def fill_scores(scored: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
         raise ValueError(f"fill must be 'lookback', 'neutral' or 'none', not {fill!r}")
     if fill == "none":
         return scored
+    names = [f"{c}_score_{w}" for c in CHANNELS for w in windows]
+    kept = [c for c in scored.columns if c not in names]
 
-    def filled(name: str) -> Column:
-        known = [F.col(name)]
-        if fill == "lookback" and limit > 0:
-            known.append(latest_score(name, limit))
-        return F.coalesce(*known, F.lit(NEUTRAL_SCORE))
+    def filled(name: str) -> str:
+        earlier = f"{latest_score(name, limit)}, " if fill == "lookback" and limit > 0 else ""
+        return f"coalesce({name}, {earlier}{NEUTRAL_SCORE}D) AS {name}"
 
-    return scored.withColumns({name: filled(name) for name in
-                               (f"{c}_score_{w}" for c in CHANNELS for w in windows)})
+    return scored.selectExpr(*kept, *[filled(name) for name in names])
 
 
 def unpivot_windows(scored: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS) -> DataFrame:
     """One row per window length instead of one column set."""
-    measures = ("article_count", *(f"{c}_score" for c in CHANNELS))
-    rows = [F.struct(F.lit(w).alias("window"), *[F.col(f"{m}_{w}").alias(m) for m in measures])
-            for w in windows]
-    wide = {f"{m}_{w}" for m in measures for w in windows}
-    kept = [c for c in scored.columns if c not in wide and c not in COUNTERS and c != "day"]
-    return scored.select(*kept, F.inline(F.array(*rows)))
+    wide = {f"{m}_{w}" for m in MEASURES for w in windows}
+    kept = [c for c in scored.columns if c not in wide and c != "day"]
+    rows = ", ".join(f"struct({w} AS window, " + ", ".join(f"{m}_{w} AS {m}" for m in MEASURES)
+                     + ")" for w in windows)
+    return scored.selectExpr(*kept, f"inline(array({rows}))")
 
 
 def predict_and_grade(scored: DataFrame) -> DataFrame:
     """Add prediction and result of both channels."""
-    predicted = scored.withColumns(
-        {f"{c}_prediction": classify(F.col(f"{c}_score")) for c in CHANNELS})
-    return predicted.withColumns(
-        {f"{c}_result": grade(F.col(f"{c}_prediction"), F.col("change")) for c in CHANNELS})
+    return (scored
+            .selectExpr("*", *[f"{classify(f'{c}_score')} AS {c}_prediction" for c in CHANNELS])
+            .selectExpr("*", *[f"{grade(f'{c}_prediction', 'change')} AS {c}_result"
+                               for c in CHANNELS]))
 
 
 def score_and_predict(timeline: DataFrame, windows: Sequence[int] = (DEFAULT_WINDOW,),

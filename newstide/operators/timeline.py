@@ -9,6 +9,9 @@ from newstide.operators.ordering import with_position
 # A row holds at most so many links; a day with more continues in further rows.
 LINKS_PER_ROW = 10_000
 
+# What a day's articles come down to; see ``day_sums``.
+COUNTERS = ("n_links", "n_resolved", *(f"{c}_{x}" for c in CHANNELS for x in ("sum", "n")))
+
 
 class DuplicateKeyError(ValueError):
     """A key that must be unique is not."""
@@ -49,10 +52,11 @@ def day_links(articles: DataFrame, links_per_row: int = LINKS_PER_ROW) -> DataFr
 
     Nearly every day is one row with chunk 0. A day of any size stays whole over its chunks.
     """
-    chunk = F.floor((F.col("position") - 1) / F.lit(links_per_row)).cast("int")
-    return (link_positions(articles).groupBy("symbol", "date", chunk.alias("chunk"))
-            .agg(F.array_sort(F.collect_list(F.struct("position", "link"))).alias("_links"))
-            .withColumn("links", F.transform("_links", lambda x: x.link)).drop("_links"))
+    return (link_positions(articles)
+            .withColumn("chunk", F.expr(f"CAST((position - 1) div {links_per_row} AS INT)"))
+            .groupBy("symbol", "date", "chunk")
+            .agg(F.expr("transform(array_sort(collect_list(struct(position, link))), x -> x.link)"
+                        " AS links")))
 
 
 def day_sums(articles: DataFrame) -> DataFrame:
@@ -60,30 +64,27 @@ def day_sums(articles: DataFrame) -> DataFrame:
 
     ``n_resolved`` counts the articles with a source; only they contribute sentiment.
     """
-    resolved = F.col("source.href").isNotNull()
-    sums = []
-    for c in CHANNELS:
-        value = F.when(resolved, F.col(f"{c}_sentiment").cast("long"))
-        sums += [F.sum(value).alias(f"{c}_sum"), F.count(value).alias(f"{c}_n")]
-    return (articles.where(F.col("date").isNotNull()).groupBy("symbol", "date")
-            .agg(F.count("*").alias("n_links"),
-                 F.count(F.when(resolved, 1)).alias("n_resolved"), *sums))
+    sums = [f"{what} FILTER (WHERE source.href IS NOT NULL) AS {name}" for c in CHANNELS
+            for what, name in ((f"sum({c}_sentiment)", f"{c}_sum"),
+                               (f"count({c}_sentiment)", f"{c}_n"))]
+    counters = ["count(*) AS n_links", "count(source.href) AS n_resolved", *sums]
+    return (articles.where("date IS NOT NULL").groupBy("symbol", "date")
+            .agg(*[F.expr(counter) for counter in counters]))
 
 
 def trading_days(prices: DataFrame) -> DataFrame:
     """open, close and percent change per price day, NaN as NULL."""
-    open_, close = nan_to_null(F.col("open")), nan_to_null(F.col("close"))
-    return prices.select("symbol", "date", open_.alias("open"), close.alias("close"),
-                         day_change(open_, close).alias("change"))
+    return (prices.selectExpr("symbol", "date", f"{nan_to_null('open')} AS open",
+                              f"{nan_to_null('close')} AS close")
+            .selectExpr("*", f"{day_change('open', 'close')} AS change"))
 
 
 def count_timeline(prices: DataFrame, articles: DataFrame) -> DataFrame:
     """Slim timeline for scoring. Articles of days without a price fall away; price days without
     articles stay, with counters of 0."""
-    sums = day_sums(articles)
-    counters = [c for c in sums.columns if c not in ("symbol", "date")]
-    return (trading_days(prices).join(sums, ["symbol", "date"], "left")
-            .na.fill(0, counters))
+    return (trading_days(prices).join(day_sums(articles), ["symbol", "date"], "left")
+            .selectExpr("symbol", "date", "open", "close", "change",
+                        *[f"coalesce({c}, 0) AS {c}" for c in COUNTERS]))
 
 
 def build_timeline(prices: DataFrame, articles: DataFrame, strict: bool = False,
@@ -95,19 +96,19 @@ def build_timeline(prices: DataFrame, articles: DataFrame, strict: bool = False,
     """
     if strict:
         require_unique(articles, "symbol", "link")
-    counts = (articles.where(F.col("date").isNotNull()).groupBy("symbol", "date")
+    counts = (articles.where("date IS NOT NULL").groupBy("symbol", "date")
               .agg(F.count("*").alias("n_links")))
-    last_chunk = F.floor((F.greatest("n_links", F.lit(1)) - 1) / F.lit(links_per_row)).cast("int")
+    last_chunk = f"CAST((greatest(n_links, 1) - 1) div {links_per_row} AS INT)"
     rows = (trading_days(prices).join(counts, ["symbol", "date"], "left")
             .na.fill(0, ["n_links"])
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), last_chunk))))
+            .selectExpr("*", f"explode(sequence(0, {last_chunk})) AS chunk"))
     return (rows.join(day_links(articles, links_per_row), ["symbol", "date", "chunk"], "left")
             .select("symbol", "date", "chunk", "open", "close", "links", "change", "n_links"))
 
 
 def link_articles(timeline: DataFrame, articles: DataFrame) -> DataFrame:
     """Resolve each link of a timeline to its article; unresolved links drop out."""
-    links = timeline.select("symbol", "date", F.explode("links").alias("link"))
-    return links.join(
-        articles.select("symbol", "link", F.col("source.href").alias("href"),
-                        *[f"{c}_sentiment" for c in CHANNELS]), ["symbol", "link"])
+    links = timeline.selectExpr("symbol", "date", "explode(links) AS link")
+    found = articles.selectExpr("symbol", "link", "source.href AS href",
+                                *[f"{c}_sentiment" for c in CHANNELS])
+    return links.join(found, ["symbol", "link"])

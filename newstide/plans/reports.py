@@ -4,8 +4,6 @@ Every report takes what ``score_and_predict`` returns. Per-symbol reports group
 (symbol, window) on rows the scoring windows already hash by symbol, so they add no shuffle.
 """
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from newstide.functions.sentiment import CHANNELS
@@ -25,62 +23,60 @@ def correct_counts(scored: DataFrame) -> DataFrame:
     """Per (symbol, window), channel and class: days predicted and days right."""
     counters = []
     for c in CHANNELS:
-        prediction, right = F.col(f"{c}_prediction"), F.col(f"{c}_result") == 1
         for name, label in CLASSES.items():
-            hit = prediction == label
-            counters += [F.count_if(hit).alias(f"{c}_{name}_n"),
-                         F.count_if(hit & right).alias(f"{c}_{name}_correct")]
-        counters.append(F.count_if(has_prediction(prediction)).alias(f"{c}_n"))
-    return scored.groupBy("symbol", "window").agg(*counters)
+            hit = f"{c}_prediction = '{label}'"
+            counters += [f"count_if({hit}) AS {c}_{name}_n",
+                         f"count_if({hit} AND {c}_result = 1) AS {c}_{name}_correct"]
+        counters.append(f"count_if({has_prediction(f'{c}_prediction')}) AS {c}_n")
+    return scored.groupBy("symbol", "window").agg(*[F.expr(counter) for counter in counters])
 
 
 def accuracy(scored: DataFrame) -> DataFrame:
     """Eight accuracies per (symbol, window); a class never predicted has accuracy 0."""
-    counts = correct_counts(scored)
     ratios = []
     for c in CHANNELS:
-        ratios += [safe_ratio(F.col(f"{c}_{k}_correct"), F.col(f"{c}_{k}_n"))
-                   .alias(f"{c}_{k}_accuracy") for k in CLASSES]
-        right = sum((F.col(f"{c}_{k}_correct") for k in CLASSES), F.lit(0))
-        ratios.append(safe_ratio(right, F.col(f"{c}_n")).alias(f"{c}_accuracy"))
-    return counts.select("symbol", "window", *ratios)
+        ratios += [f"{safe_ratio(f'{c}_{k}_correct', f'{c}_{k}_n')} AS {c}_{k}_accuracy"
+                   for k in CLASSES]
+        right = "(" + " + ".join(f"{c}_{k}_correct" for k in CLASSES) + ")"
+        ratios.append(f"{safe_ratio(right, f'{c}_n')} AS {c}_accuracy")
+    return correct_counts(scored).selectExpr("symbol", "window", *ratios)
 
 
 def industry_accuracy(scored: DataFrame, symbols: DataFrame) -> DataFrame:
     """Unweighted mean of the symbols' accuracies per (industry, window)."""
     return (accuracy(scored).join(symbols, "symbol").groupBy("industry", "window")
-            .agg(*[F.avg(a).alias(a) for a in ACCURACIES]))
+            .agg(*[F.expr(f"avg({a}) AS {a}") for a in ACCURACIES]))
 
 
 def covariance(scored: DataFrame) -> DataFrame:
     """Sample covariances per (symbol, window); NULL with fewer than two usable days."""
     return scored.groupBy("symbol", "window").agg(
-        *[F.covar_samp(F.col(x) * 10, F.col(y)).alias(name)
-          for name, (x, y) in COVARIANCES.items()])
+        *[F.expr(f"covar_samp(10 * {x}, {y}) AS {name}") for name, (x, y) in COVARIANCES.items()])
 
 
 def industry_covariance(scored: DataFrame, symbols: DataFrame) -> DataFrame:
     """Sum of the symbols' covariances; NULL as soon as one of them is."""
     return (covariance(scored).join(symbols, "symbol").groupBy("industry", "window")
-            .agg(*[F.when(F.count(c) == F.count("*"), F.sum(c)).alias(c) for c in COVARIANCES]))
+            .agg(*[F.expr(f"CASE WHEN count({c}) = count(*) THEN sum({c}) END AS {c}")
+                   for c in COVARIANCES]))
 
 
 def series(scored: DataFrame) -> DataFrame:
     """Price and score lines in long form: (symbol, window, date, series, value)."""
-    points = F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).alias("value"))
-                       for s in SERIES])
-    return scored.select("symbol", "window", "date", F.inline(points))
+    points = ", ".join(f"struct('{s}' AS series, {s} AS value)" for s in SERIES)
+    return scored.selectExpr("symbol", "window", "date", f"inline(array({points}))")
 
 
 def sentiment_distribution(scored: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Histogram of both scores per (symbol, window); a score of 100 falls into the last bin."""
-    points = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{c}_score").alias("score"))
-                       for c in CHANNELS])
-    bin_ = F.least(F.width_bucket("score", F.lit(0.0), F.lit(100.0), F.lit(bins)), F.lit(bins))
-    return (scored.select("symbol", "window", F.inline(points)).where("score IS NOT NULL")
-            .groupBy("symbol", "window", "channel", bin_.cast("int").alias("bin"))
-            .agg(F.count("*").alias("n")))
+    points = ", ".join(f"struct('{c}' AS channel, {c}_score AS score)" for c in CHANNELS)
+    return (scored.selectExpr("symbol", "window", f"inline(array({points}))")
+            .where("score IS NOT NULL")
+            .selectExpr("symbol", "window", "channel",
+                        f"CAST(least(width_bucket(score, 0D, 100D, {bins}L), {bins}) AS INT) AS bin")
+            .groupBy("symbol", "window", "channel", "bin").agg(F.count("*").alias("n")))
 
 
-def date_ordered(scored: DataFrame, keys: Sequence[str] = ("symbol", "window", "date")) -> DataFrame:
-    return scored.orderBy(*[k for k in keys if k in scored.columns])
+def date_ordered(df: DataFrame) -> DataFrame:
+    """Rows by symbol, window (if any) and date, for output."""
+    return df.orderBy(*[k for k in ("symbol", "window", "date") if k in df.columns])

@@ -2,9 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newstide import schemas
+from newstide.functions import literal
 from newstide.functions.signals import format_day, to_published
 from newstide.sources.prices import date_ranges
 
@@ -18,10 +19,10 @@ def read_search_results(spark: SparkSession, path: str, multi_line: bool = False
     return spark.read.schema(schemas.SEARCH_RESULTS).json(path, multiLine=multi_line)
 
 
-def parse_response(body: Column) -> Column:
+def parse_response(body: str) -> str:
     """Array of articles in the text of one response; NULL if it is no JSON object."""
-    return F.from_json(body, F.lit("articles ARRAY<" + schemas.SEARCH_ARTICLE.simpleString() + ">")
-                       ).getField("articles")
+    schema = f"articles ARRAY<{schemas.SEARCH_ARTICLE.simpleString()}>"
+    return f"from_json({body}, {literal(schema)}).articles"
 
 
 def flatten_articles(search_results: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def flatten_articles(search_results: DataFrame) -> DataFrame:
 
 def valid_publications(articles: DataFrame) -> DataFrame:
     """Parse ``published`` and keep the articles where it really is a time."""
-    return (articles.withColumn("published", to_published(F.col("published")))
+    return (articles.withColumn("published", F.expr(to_published("published")))
             .where(F.col("published").isNotNull())
             .withColumn("date", F.to_date("published")))
 
@@ -50,9 +51,9 @@ def concat_articles(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 def bucket_counts(search_results: DataFrame) -> DataFrame:
     """Articles and responses per (symbol, bucket)."""
-    size = F.coalesce(F.size("articles"), F.lit(0))
     return search_results.groupBy("symbol", "bucket_start").agg(
-        F.sum(F.greatest(size, F.lit(0))).alias("n_articles"), F.count("*").alias("n_responses"))
+        F.expr("sum(coalesce(array_size(articles), 0)) AS n_articles"),
+        F.count("*").alias("n_responses"))
 
 
 def history_sizes(search_results: DataFrame) -> DataFrame:
@@ -62,11 +63,12 @@ def history_sizes(search_results: DataFrame) -> DataFrame:
 
 def fetch_buckets(ranges: DataFrame, interval_days: int = 28) -> DataFrame:
     """Tile [start_date, end_date) with buckets; the last may reach beyond the end."""
-    starts = F.sequence("start_date", "end_date", F.make_dt_interval(F.lit(interval_days)))
-    return (ranges.select("symbol", "end_date", F.explode(starts).alias("bucket_start"))
-            .where(F.col("bucket_start") < F.col("end_date"))
-            .select("symbol", "bucket_start",
-                    F.date_add("bucket_start", interval_days).alias("bucket_end")))
+    step = f"make_dt_interval({interval_days})"
+    return (ranges.selectExpr("symbol", "end_date",
+                              f"explode(sequence(start_date, end_date, {step})) AS bucket_start")
+            .where("bucket_start < end_date")
+            .selectExpr("symbol", "bucket_start",
+                        f"date_add(bucket_start, {interval_days}) AS bucket_end"))
 
 
 def search_terms(instruments: DataFrame) -> DataFrame:
@@ -78,6 +80,6 @@ def fetch_requests(instruments: DataFrame, prices: DataFrame, interval_days: int
     """One request per instrument and bucket; instruments without prices ask for nothing."""
     buckets = fetch_buckets(date_ranges(prices), interval_days)
     return (search_terms(instruments).join(buckets, "symbol")
-            .select("symbol", "q", format_day(F.col("bucket_start")).alias("from"),
-                    format_day(F.col("bucket_end")).alias("to"),
-                    F.lit(country).alias("country"), F.lit(lang).alias("lang")))
+            .selectExpr("symbol", "q", f"{format_day('bucket_start')} AS `from`",
+                        f"{format_day('bucket_end')} AS `to`",
+                        f"{literal(country)} AS country", f"{literal(lang)} AS lang"))

@@ -1,6 +1,6 @@
 """Stored web pages as articles."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from newstide.functions.markup import page_text, page_title
 from newstide.functions.signals import source_host
@@ -8,7 +8,6 @@ from newstide.functions.signals import source_host
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Replace the markup by ``href``, ``title`` and ``text``; other columns pass through."""
-    keep = [c for c in pages.columns if c != html]
-    return pages.select(*keep, source_host(F.col(url)).alias("href"),
-                        page_title(F.col(html)).alias("title"),
-                        page_text(F.col(html)).alias("text"))
+    return pages.selectExpr(
+        "*", f"{source_host(url)} AS href", f"{page_title(html)} AS title",
+        f"{page_text(html)} AS text").drop(html)

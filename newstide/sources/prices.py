@@ -36,7 +36,7 @@ def date_slice(df: DataFrame, start=None, end=None) -> DataFrame:
 def drop_incomplete(df: DataFrame) -> DataFrame:
     """Drop rows with a NULL or NaN in any column."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}).na.drop("any")
+    return df.withColumns({c: F.expr(nan_to_null(f"`{c}`")) for c in floats}).na.drop("any")
 
 
 def read_prices(spark: SparkSession, path: str, fmt: str = "parquet", start=None, end=None,

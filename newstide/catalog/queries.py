@@ -11,7 +11,7 @@ from newstide.operators import corpus, ordering, scoring, timeline as tl
 from newstide.plans import reports
 from newstide.plans.engine import NewsEngine
 from newstide.sources import news, pages, prices as px, snapshots
-from newstide.sources.layout import new_table_path
+from newstide.sources.layout import new_table_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,9 +39,8 @@ def _rounded(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _engine(spark, sf_dir) -> NewsEngine:
-    return NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir),
-                      a.scored_articles(spark, sf_dir))
+def _engine(spark, sf_dir, articles=a.scored_articles) -> NewsEngine:
+    return NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir), articles(spark, sf_dir))
 
 
 def _counts(spark, sf_dir) -> DataFrame:
@@ -126,7 +125,7 @@ def _(spark, sf_dir):
 
 @_register("A8_page_text")
 def _(spark, sf_dir):
-    return pages.extract_pages(a.table(spark, sf_dir, "pages"))
+    return pages.extract_pages(spread(a.table(spark, sf_dir, "pages"), "page_id"))
 
 
 @_register("A9_fetch_buckets")
@@ -613,7 +612,7 @@ def _(spark, sf_dir):
 
 @_register("K1_build_timeline")
 def _(spark, sf_dir):
-    rows = _engine(spark, sf_dir).timeline()
+    rows = _engine(spark, sf_dir, a.articles).timeline()
     return rows.withColumn("links", F.array_join("links", " "))
 
 
@@ -649,17 +648,17 @@ def _(spark, sf_dir):
 
 @_register("K8_corpus_stats")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir).corpus_stats()
+    return _engine(spark, sf_dir, a.articles).corpus_stats()
 
 
 @_register("K9_source_weights")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir).source_weights()
+    return _engine(spark, sf_dir, a.articles).source_weights()
 
 
 @_register("K10_sample_articles")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir).sample_articles().select("symbol", "date", "link", "title")
+    return _engine(spark, sf_dir, a.articles).sample_articles().select("symbol", "date", "link", "title")
 
 
 @_register("K11_sentiment_distribution")

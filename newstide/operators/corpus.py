@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from newstide.functions.signals import has_text
 
 # Up to this n Spark cuts each map task's rows to n per symbol before the shuffle.
-GROUP_LIMIT = 1000
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def source_counts(articles: DataFrame) -> DataFrame:
@@ -19,9 +19,8 @@ def distinct_sources(articles: DataFrame) -> DataFrame:
 
 def source_weights(articles: DataFrame) -> DataFrame:
     """(n + total) / total per source. The total is one value, not a window over all sources."""
-    counts = source_counts(articles)
-    total = counts.agg(F.sum("n").cast("double")).scalar()
-    return counts.withColumn("weight", (F.col("n") + total) / total)
+    total = articles.agg(F.count("source.href").cast("double")).scalar()
+    return source_counts(articles).withColumn("weight", (F.col("n") + total) / total)
 
 
 def top_sources(articles: DataFrame, k: int = 10) -> DataFrame:
@@ -45,7 +44,7 @@ def sample_rank(articles: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", "link"))
     drawn = articles.withColumn("_draw", draw)
     order = ["_draw", "link"]
-    if n > GROUP_LIMIT:
+    if n > int(articles.sparkSession.conf.get(GROUP_LIMIT)):
         part = Window.partitionBy("symbol", F.substring("_draw", 1, 3)).orderBy(*order)
         drawn = (drawn.withColumn("_rank", F.row_number().over(part))
                  .where(F.col("_rank") <= n).drop("_rank"))

@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newstide.operators import corpus
 from newstide.operators.scoring import (DEFAULT_WINDOW, DEFAULT_WINDOWS, FILL_LIMIT,
@@ -10,7 +10,7 @@ from newstide.operators.scoring import (DEFAULT_WINDOW, DEFAULT_WINDOWS, FILL_LI
 from newstide.operators.timeline import build_timeline, count_timeline
 from newstide.plans import reports
 from newstide.sources.prices import keep_symbols
-from newstide.sources.snapshots import write_snapshot
+from newstide.sources.snapshots import load_all, write_snapshot
 
 
 class NewsEngine:
@@ -28,6 +28,14 @@ class NewsEngine:
         self.articles = articles
         self.rules = {"null_policy": null_policy, "fill": fill, "limit": limit}
 
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, symbols: DataFrame, **rules) -> "NewsEngine":
+        """Engine over the tables that ``save`` wrote."""
+        saved = load_all(spark, root)
+        if saved.prices is None or saved.articles is None:
+            raise FileNotFoundError(f"no snapshot of prices and articles under {root}")
+        return cls(symbols, saved.prices, saved.articles, **rules)
+
     def _only(self, df: DataFrame, symbols: Iterable[str] | None) -> DataFrame:
         return df if symbols is None else df.where(F.col("symbol").isin(list(symbols)))
 

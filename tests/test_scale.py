@@ -69,9 +69,12 @@ def test_hot_day_is_whole_over_bounded_rows(spark, skewed):
 
 
 @pytest.mark.parametrize("n, limit", [(10, 1000), (10, 3), (100, 50), (5000, 1000)])
-def test_sample_equals_smallest_draws(spark, skewed, n, limit, monkeypatch):
-    monkeypatch.setattr(corpus, "GROUP_LIMIT", limit)
-    got = corpus.sample_rank(skewed, n, seed=5).collect()
+def test_sample_equals_smallest_draws(spark, skewed, n, limit):
+    spark.conf.set(corpus.GROUP_LIMIT, limit)
+    try:
+        got = corpus.sample_rank(skewed, n, seed=5).collect()
+    finally:
+        spark.conf.unset(corpus.GROUP_LIMIT)
     drawn = skewed.withColumn("d", F.md5(F.concat_ws("|", F.lit("5"), "symbol", "link"))).collect()
     groups = {}
     for r in drawn:
@@ -132,9 +135,10 @@ def test_scans_read_what_they_need(spark, sf_small, name, columns):
         assert f"ReadSchema: struct<{columns}>" in text
 
 
-def test_sample_is_cut_before_the_shuffle(spark, sf_small):
-    text = plan(QUERIES["F3_sample"](spark, sf_small))
-    assert text.count("WindowGroupLimit") == 2
+@pytest.mark.parametrize("n", [1, 10, 1000])
+def test_sample_is_cut_before_the_shuffle(spark, skewed, n):
+    text = plan(corpus.sample_articles(skewed, n))
+    assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1
 
 
 def test_spread_only_touches_narrow_scans(spark):

@@ -29,8 +29,12 @@ def split_sentences(text: str) -> str:
     return f"split({text}, {literal(SENTENCE_END)})"
 
 
+def _words(lowered: str) -> str:
+    return f"array_remove(split({lowered}, {literal(TOKEN_END)}), '')"
+
+
 def tokens(sentence: str) -> str:
-    return f"filter(split(lower({sentence}), {literal(TOKEN_END)}), token -> token <> '')"
+    return _words(f"lower({sentence})")
 
 
 def valid_sentences(text: str, min_tokens: int = MIN_TOKENS) -> str:
@@ -59,7 +63,8 @@ def mean_class_score(classes: str) -> str:
 def lexicon_sentiment(text: str, lexicon: Mapping[str, int] | None = None,
                       min_tokens: int = MIN_TOKENS) -> str:
     """Sentiment of a text column in one pass over its sentences."""
-    tokenised = f"transform({split_sentences(text)}, s -> {tokens('s')})"
+    # lower() once per text: no mark of a sentence or token end is a letter
+    tokenised = f"transform({split_sentences(f'lower({text})')}, s -> {_words('s')})"
     valid = f"filter({tokenised}, words -> size(words) >= {min_tokens})"
     return mean_class_score(f"transform({valid}, words -> {sentence_class('words', lexicon)})")
 

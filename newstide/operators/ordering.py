@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newstide.sources.layout import checkpointed
+from newstide.sources.layout import written
 
 # monotonically_increasing_id() is documented as partition number << 33 | row number.
 ROW_BITS = 33
@@ -25,14 +25,14 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``row_number()`` would sort a whole group in one task. Here the rows are range-sorted by
     keys and order together, so a hot group lies in many sort partitions; each (group, partition)
     run is counted, and the running count of the earlier runs of the group is added. Partition
-    numbers have to be the same for both uses, hence the checkpoint. Rows with a NULL key have
+    numbers have to be the same for both uses, hence the written table. Rows with a NULL key have
     no group and drop out.
     """
     keys = list(keys)
-    sorted_ = checkpointed(
+    sorted_ = written(
         df.na.drop("any", subset=keys).orderBy(*keys, *order)
         .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright("_id", ROW_BITS)))
+        .withColumn("_slice", F.shiftright("_id", ROW_BITS)), "positions")
     earlier = (Window.partitionBy(*keys).orderBy("_slice")
                .rowsBetween(Window.unboundedPreceding, -1))
     runs = (sorted_.groupBy("_slice", *keys)

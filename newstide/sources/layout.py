@@ -27,13 +27,15 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder; later use reads those rows, whoever is lost."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a new table in the shared folder and continue from that table.
+
+    Cuts the lineage: later stages, and tasks repeated after the loss of an executor, read the
+    rows that were written and evaluate nothing again.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:

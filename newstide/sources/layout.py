@@ -1,5 +1,6 @@
 """Where data may be put, and how a scan is laid out."""
 
+import functools
 import os
 import tempfile
 import uuid
@@ -18,9 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="newstide-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="newstide-")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -192,16 +192,22 @@ def test_shared_dir_is_the_named_one(spark):
     assert new_table_path(spark, "t") != new_table_path(spark, "t")
 
 
+class Session:
+    """A session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.conf = {"spark.master": master}
+
+
 def test_no_local_folder_on_a_cluster():
-    class Conf:
-        def get(self, key, default=None):
-            return {"spark.master": "yarn"}.get(key, default)
+    for master in ("yarn", "spark://host:7077", "k8s://https://host"):
+        with pytest.raises(RuntimeError):
+            shared_dir(Session(master))
 
-    class Session:
-        conf = Conf()
 
-    with pytest.raises(RuntimeError):
-        shared_dir(Session())
+def test_one_local_folder_on_a_local_master():
+    made = shared_dir(Session("local[8]"))
+    assert made == shared_dir(Session("local[*]"))
 
 
 def test_drop_incomplete_and_slice(spark):

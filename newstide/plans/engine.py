@@ -10,13 +10,14 @@ from newstide.operators.scoring import (DEFAULT_WINDOW, DEFAULT_WINDOWS, FILL_LI
 from newstide.operators.timeline import build_timeline, count_timeline
 from newstide.plans import reports
 from newstide.sources.prices import keep_symbols
-from newstide.sources.snapshots import load_all, write_snapshot
+from newstide.sources.snapshots import load_all, write_csv, write_snapshot
 
 
 class NewsEngine:
     """``articles`` carry sentiments (``functions.sentiment.with_sentiment`` adds them).
 
-    All methods are lazy but ``save``. Reports take a single window or many; with ``symbols``
+    All methods are lazy but ``save``, ``save_sample`` and ``timeline``, which writes the link
+    positions to the shared folder. Reports take a single window or many; with ``symbols``
     they are limited to these. To run several reports on one scoring, keep
     ``scored = engine.score_and_predict(windows=...).persist()`` and use ``plans.reports``.
     """
@@ -85,6 +86,9 @@ class NewsEngine:
     def sample_articles(self, n: int = 10, seed: int = 42) -> DataFrame:
         return corpus.sample_articles(self.articles, n, seed)
 
+    def save_sample(self, path: str, n: int = 10, seed: int = 42) -> None:
+        write_csv(self.sample_articles(n, seed), path)
+
     def save(self, root: str, layout: str = "symbol") -> None:
         """Snapshot the tables, so that a later session reads scored articles."""
         write_snapshot(self.prices, root, "prices", layout)

@@ -98,7 +98,8 @@ def sentence_classifier(load_model: Callable[[], Callable[[list[str]], list[int]
 
 def with_sentiment(articles: DataFrame, lexicon: Mapping[str, int] | None = None,
                    classifier=None, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """Add ``title_sentiment`` and ``text_sentiment``; a missing column scores NULL."""
+    """Set ``title_sentiment`` and ``text_sentiment``; a missing column scores NULL."""
+    articles = articles.drop(*[f"{c}_sentiment" for c in CHANNELS])
     known = [c for c in CHANNELS if c in articles.columns]
     if classifier is None:
         scores = [f"{lexicon_sentiment(c, lexicon, min_tokens)} AS {c}_sentiment" for c in known]

@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, difference
+from newstide.catalog.oracle import oracle_sql
+from newstide.catalog.queries import QUERIES
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+SQL = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_contract_registers_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.count() == 15

@@ -1,10 +1,54 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-import newstide.llm.queries  # noqa: F401
+Each stage takes a stored table of documents and gives the documents that go on, with the same
+columns; the last one gives their places in training sequences.
 
-STAGES = []
+* toxicity: documents that the chain of classifiers calls toxic go.
+* exact_dedup: of equal texts the document with the smallest id stays.
+* simhash: of each group of near-duplicates the document with the smallest id stays.
+* secrets: every secret in a text is replaced by its kind in brackets; all documents stay.
+* packing: every document gets its place; nothing is cut off.
+"""
+
+from newstide.llm.common import table
+from newstide.llm.exact_dedup import drop_exact_duplicates
+from newstide.llm.packing import pack
+from newstide.llm.secrets import redact_secrets
+from newstide.llm.simhash import drop_near_duplicates
+from newstide.llm.toxicity import drop_toxic
+from newstide.sources.layout import written
+
+
+def toxicity(spark, docs, sf_dir):
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark, docs, sf_dir):
+    return drop_exact_duplicates(docs)
+
+
+def simhash(spark, docs, sf_dir):
+    return drop_near_duplicates(docs)
+
+
+def secrets(spark, docs, sf_dir):
+    return redact_secrets(docs, length_col="n_chars")
+
+
+def packing(spark, docs, sf_dir):
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash", simhash),
+          ("secrets", secrets), ("packing", packing)]
+
+# Trained and iterative stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Places in training sequences of what is left of ``documents`` after all stages."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

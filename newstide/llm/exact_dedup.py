@@ -60,7 +60,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         groups = written(_groups(rows, keys), "radix-groups")
         active = F.col("n").isNotNull() & (F.col("size") > seen)
         level = written(
-            rows.join(groups, keys, "left")
+            # by sorting at any size: the smaller side has no bound that would let it be broadcast
+            rows.join(groups.hint("merge"), keys, "left")
             .select(*slim, "n", "label", "keep_id", "keep_rid", active.alias("active"),
                     F.when(active, F.col("rest")).alias("rest")), "radix-level")
         done.append(level.where(~F.col("active")).select(

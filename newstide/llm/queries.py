@@ -1,19 +1,73 @@
 """Registered queries of this folder, each over its whole table, and their SQL where it exists."""
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from newstide.llm.bpe import round_trip
 from newstide.llm.common import table
 from newstide.llm.exact_dedup import exact_duplicates
+from newstide.llm.packing import pack
+from newstide.llm.quality import judge_quality
+from newstide.llm.secrets import scan_secrets
+from newstide.llm.sharding import hilbert_shards
 from newstide.llm.simhash import near_duplicates
+from newstide.llm.token_counts import count_tokens
+from newstide.llm.toxicity import score_toxicity
+from newstide.llm.url_filter import filter_urls
+
+
+def op1_secret_scan(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"),
+                      public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                      public_tokenizers.PATTERN)
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark, sf_dir):
+    found = filter_urls(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark, sf_dir):
+    found = judge_quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_hilbert_sharding(spark, sf_dir):
+    found = hilbert_shards(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op3_exact_dedup, op9_simhash_near_dedup)}
+def op10_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {query.__name__: query for query in (
+    op1_secret_scan, op2_byte_bpe, op3_exact_dedup, op4_url_filter, op5_toxicity,
+    op6_quality_rules, op7_best_fit_packing, op8_hilbert_sharding, op9_simhash_near_dedup,
+    op10_token_counts)}
 
 SQL = {
     "op3_exact_dedup": r"""

@@ -90,7 +90,8 @@ def links(nodes: DataFrame, small: int = SMALL) -> DataFrame:
     shared = written(variants.groupBy("variant").agg(
         F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .where("n > 1"), "variants")
-    members = written(variants.join(shared.where("n > 2").select("variant", "n"), "variant"),
+    members = written(variants.join(
+        shared.where("n > 2").select("variant", "n").hint("merge"), "variant"),
                       "members")
     few = members.where(F.col("n") <= small)
     pairs = (few.select("variant", F.col("fp").alias("a"))

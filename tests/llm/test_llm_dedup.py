@@ -1,0 +1,179 @@
+"""Exact and near duplicates against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+
+from newstide.llm import exact_dedup, simhash
+from newstide.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, kept boolean, rid long, label string, row string, fp int"
+
+
+def table(spark, rows, parts=5):
+    """Documents with columns whose names the operators use themselves."""
+    full = [(i, t, "en", True, 7, "x", "y", 3) for i, t in rows]
+    return spark.createDataFrame(full, DOCS).repartition(parts) if rows else \
+        spark.createDataFrame([], DOCS)
+
+
+def stored(spark, rows, tmp_path):
+    path = str(tmp_path / "docs")
+    table(spark, rows).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def some_texts(seed=3):
+    r = random.Random(seed)
+    base = [" ".join(r.choice("ab cd ef gh é".split()) for _ in range(r.randint(0, 40)))
+            for _ in range(40)]
+    long_ = "wort " * 30_000
+    return base + base[:9] * 3 + [t.replace(" ", "\t\n") for t in base[:5]] + [
+        None, None, "", " ", " ", "\n\x0b ", long_, long_, long_ + "end", "x" * 200_000]
+
+
+def words_of(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+
+
+def brute_fingerprint(text):
+    words = words_of(text)
+    shingles = ([" ".join(words[i:i + 3]) for i in range(len(words) - 2)] if len(words) > 2
+                else [" ".join(words)] * bool(words))
+    ones = Counter()
+    for s, times in Counter(shingles).items():
+        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        for bit in range(64):
+            ones[bit] += times * (h >> bit & 1)
+    return sum(1 << bit for bit in range(64) if 2 * ones[bit] > len(shingles))
+
+
+def brute_components(prints):
+    """prints: {key: fingerprint}; component as the set of keys reachable."""
+    left, out = dict(prints), {}
+    while left:
+        key, fp = left.popitem()
+        members, front = {key}, [fp]
+        while front:
+            at = front.pop()
+            near = [k for k, f in left.items() if (f ^ at).bit_count() <= 2]
+            front += [left.pop(k) for k in near]
+            members.update(near)
+        out |= dict.fromkeys(members, min(members))
+    return out
+
+
+def test_exact_against_brute_force(spark, tmp_path):
+    rows = list(enumerate(some_texts()))
+    got = {r.doc_id: r for r in exact_dedup.exact_duplicates(stored(spark, rows, tmp_path)).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    assert len(got) == len(rows)
+    for text, ids in groups.items():
+        for i in ids:
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(ids), len(ids), i == min(ids))
+            assert got[i].text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_exact_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a  b"), (None, "a b"), (1, "z"), (None, "q"), (None, "q"), (2, None)]
+    got = exact_dedup.exact_duplicates(stored(spark, rows, tmp_path)).collect()
+    assert sorted((r.keep_id or 0, r.group_size, r.kept) for r in got) == [
+        (0, 2, False), (0, 2, True), (1, 1, True), (1, 3, False), (1, 3, False), (1, 3, True),
+        (2, 1, True)]
+
+
+def test_ids_shared_by_different_texts_do_not_mix_groups(spark, tmp_path):
+    """Groups with the same smallest id and equal later bytes are still apart."""
+    tail = "t" * 500
+    rows = [(1, "a" * 70 + tail), (2, "a" * 70 + tail), (1, "b" * 70 + tail), (3, "b" * 70 + tail)]
+    got = exact_dedup.exact_duplicates(stored(spark, rows, tmp_path)).collect()
+    assert sorted((r.doc_id, r.group_size, r.kept) for r in got) == [
+        (1, 2, True), (1, 2, True), (2, 2, False), (3, 2, False)]
+
+
+def test_exact_drop_keeps_columns(spark, tmp_path):
+    docs = stored(spark, [(5, "a"), (4, "a"), (6, "b")], tmp_path)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 6]
+
+
+def test_empty_tables(spark):
+    docs = table(spark, [])
+    assert exact_dedup.exact_duplicates(docs).count() == 0
+    assert exact_dedup.drop_exact_duplicates(docs).count() == 0
+    assert simhash.near_duplicates(docs).count() == 0
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("text", [None, "", " \t", "One", "one TWO", "A b c", "é à ü ÀB C d",
+                                  "a b c d e f g a b c d", "x y z " * 5000])
+def test_fingerprint(text):
+    assert simhash.fingerprint((text or "").encode()) == brute_fingerprint(text)
+
+
+def test_blocks_of_shingles_add_up(monkeypatch):
+    text = " ".join(random.Random(1).choices("ab cd ef gh ij".split(), k=999))
+    monkeypatch.setattr(simhash, "BLOCK", 10)
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def test_near_against_brute_force(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    components_ = brute_components(prints)
+    got = simhash.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {
+        i: (f"{prints[i]:016x}", components_[i]) for i in texts}
+
+
+@pytest.mark.parametrize("small", [2, 4, 1000])
+def test_links_join_the_same_components_at_any_crowd_limit(spark, small):
+    """A dense ball, chains and lone fingerprints; crowded variants take the other way."""
+    r = random.Random(5)
+    centre = r.getrandbits(64)
+    prints = {centre} | {centre ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for _ in range(60)}
+    prints |= {centre ^ 0xFF ^ 1 << r.randrange(64) for _ in range(20)}
+    chain = r.getrandbits(64)
+    for _ in range(30):
+        chain ^= 1 << r.randrange(64) ^ 1 << r.randrange(64)
+        prints.add(chain)
+    prints |= {r.getrandbits(64) for _ in range(30)} | {0, 1, 1 << 63}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in prints}
+    nodes = spark.createDataFrame([(f,) for f in signed.values()], "fp long")
+    edges = [(row.a, row.b) for row in simhash.links(nodes, small).collect()]
+    back = {s: f for f, s in signed.items()}
+    assert all((back[a] ^ back[b]).bit_count() <= 2 for a, b in edges)
+    found = {row.node: row.component for row in components(
+        spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    expected = brute_components({signed[f]: f for f in prints})
+    assert {s: found.get(s, s) for s in signed.values()} == expected
+
+
+def test_near_nulls_repeats_and_drop(spark, tmp_path):
+    rows = [(3, None), (2, ""), (None, " "), (7, "one two three four"), (7, "one two three four"),
+            (9, "one two three four"), (None, "lone text of words")]
+    docs = stored(spark, rows, tmp_path)
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == Counter({(3, 2): 1, (2, 2): 1, (None, 2): 1, (7, 7): 2, (9, 7): 1,
+                           (None, None): 1})
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({2: 1, 7: 2, None: 1})
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = random.Random(2).sample(range(n), n)
+    edges = spark.createDataFrame(list(zip(order, order[1:])) + [(900, 901), (901, 900), (5, 5)],
+                                  "x long, y long")
+    got = {r.node: r.component for r in components(edges, "x", "y").collect()}
+    assert got == dict.fromkeys(range(n), 0) | {900: 900, 901: 900}

@@ -1,0 +1,94 @@
+"""Secret scan against a plain reading of the contract, and planted secrets."""
+
+import hashlib
+import random
+import re
+
+from newstide.llm import secrets
+
+DOCS = "doc_id long, text string, n_chars long, row string, new string, spans int"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, None if t is None else len(t), "r", "n", 1)
+                                  for i, t in rows], DOCS)
+
+
+def plain_base(text):
+    found = []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 12:
+            found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        if len(m.group()) >= 18:
+            found.append((m.start(), 1, f"access:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"[0-9a-f]+", text):
+        if len(m.group()) >= 16:
+            found.append((m.start(), 2, f"hex:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(found)]
+
+
+def texts():
+    r = random.Random(8)
+    bits = ["password", "Secret", "TOKEN", "api_key", "apikey", "AKIA", "=", ":", " ", '"', "'", "x",
+            "0123456789abcdef", "deadbeef", "ABCDEFGHIJKLMN", "secret=short ", "ſecret=abcdefghijklmnop",
+            "toKen=abcdefghijklmnop", "é", "🎉", "\n", "İ", "=abcdefghijkl", "AKIA" + "Z" * 14]
+    return ["".join(r.choices(bits, k=r.randint(0, 25))) for _ in range(600)] + [
+        "password: secret=abcdefghijklmnop", "", "é" * 9 + "token = 'abcdefghijklmnop'",
+        "tokens\n" * 20_000 + "token=" + "Zz9" * 9]
+
+
+def test_base_spans_against_plain_reading():
+    for text in texts():
+        assert secrets.joined(secrets.base_spans(text)) == ",".join(plain_base(text)), repr(text[:99])
+
+
+def test_scan_rows(spark):
+    rows = list(enumerate(texts())) + [(None, None), (5, "twice"), (5, "twice")]
+    got = secrets.scan_secrets(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    expected = {i: plain_base(t or "") for i, t in rows[:-2]}
+    seen = {r.doc_id: r for r in got}
+    for i, base in expected.items():
+        if i == 5:
+            continue
+        assert seen[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = [s for s in seen[i].spans.split(",") if s]
+        assert [s for s in spans if not s.startswith("novel")] == base
+        assert seen[i].n_assign == sum(s.startswith("assign") for s in base)
+    assert secrets.scan_secrets(docs_of(spark, [])).count() == 0
+
+
+def test_novelty_tells_random_strings_from_names():
+    novelty = secrets.Novelty()
+    r = random.Random(2)
+    keys = ["".join(r.choices("ABCDEFGHJKabcdefghjk0123456789", k=40)) for _ in range(30)]
+    for key in keys:
+        text = f"client.connect(host, bearer {key}, timeout)"
+        start = text.index(key)
+        assert secrets.find_spans(text, novelty)[1] == [(start, start + 40, "novel")]
+        # the same value in the open beside it, or far from any sensitive word, is not reported
+        assert not secrets.novel_spans(f"{key} bearer {key}", [(0, 40, "hex")], novelty)
+        assert not secrets.find_spans("word " * 40 + key, novelty)[1]
+    for name in ("authorization_header_request_parameter2", "session_token_timeout_value_default1",
+                 "0123456789abcdefghijklmnopqrstuvwxyz", "a1a1a1a1a1a1a1a1a1a1a1a1a1a1a1a1"):
+        assert not secrets.find_spans(f"bearer {name} there", novelty)[1], name
+
+
+def test_candidates_near_base_spans_are_not_reported_twice():
+    text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" there'
+    _, spans = secrets.find_spans(text, secrets.Novelty())
+    assert [kind for _, _, kind in spans] == ["assign", "hex"]
+
+
+def test_redaction(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'é token = "{key}" z'), (2, "clean"), (3, None), (4, ""), (None, f"a {key} b {key}")]
+    docs = docs_of(spark, rows)
+    got = secrets.redact_secrets(docs, length_col="n_chars")
+    assert got.dtypes == docs.dtypes
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {
+        1: ('é [assign]" z', 13), 2: ("clean", 5), 3: (None, None), 4: ("", 0),
+        None: ("a [hex] b [hex]", 15)}
+    again = secrets.redact_secrets(got)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))

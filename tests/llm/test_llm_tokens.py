@@ -1,0 +1,153 @@
+"""Byte-level BPE against tiktoken, token counts against the library itself."""
+
+import base64
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from newstide.llm import bpe, token_counts
+
+RANKS, JSON = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"))
+PATTERN = public_tokenizers.PATTERN
+DOCS = "doc_id long, text string, ids string, row int, made string, n_tokens int, content_digest int"
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(RANKS, "rb") as file:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
+    return tiktoken.Encoding("reference", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def tool():
+    with open(RANKS, "rb") as file:
+        return bpe.codec(file.read(), PATTERN)
+
+
+def odd_texts():
+    r = random.Random(4)
+    alphabet = "ab AB 01 \n\t\r\x0b\x0c  '’.,!é日本語🎉́  ‍\x00\x1f<|>"
+    random_ = ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(1500)]
+    runs = ["a" * n for n in range(40)] + [c * 37 for c in "ab'. \n1é🎉"] + [
+        "".join(r.choices(["ab", "a", "ba", "aa"], k=r.randint(1, 30))) for _ in range(300)]
+    return random_ + runs + ["", " ", "  ", "a ", " a", "I'll we've 'S x's", "<|endoftext|> a",
+                             "word " * 20_000, "x" * 50_000, "a  b", "a\n b", "a \nb", "a  b"]
+
+
+def test_ids_and_round_trip(tool, reference):
+    for text in odd_texts():
+        ids = tool.encode(text)
+        assert ids.tolist() == reference.encode_ordinary(text), repr(text[:80])
+        assert tool.decode(ids.tolist()) == text.encode()
+
+
+def test_any_bytes_decode(tool):
+    every = [tool.bytes_of.index(bytes([b])) for b in range(256)]
+    assert tool.decode(every) == bytes(range(256))
+
+
+def test_offsets_cover_characters(tool, reference):
+    for text in odd_texts()[:400] + ["🎉🎊 日本"]:
+        ids = tool.encode(text)
+        if not len(ids):
+            continue
+        starts, ends = tool.offsets(text, ids)
+        _, expected = reference.decode_with_offsets(ids.tolist())
+        assert starts.tolist() == expected
+        assert ends[-1] == len(text) and (starts < ends).all()
+        assert (starts[1:] <= ends[:-1]).all()
+
+
+def test_full_cache_changes_nothing(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "CACHED_PARTS", 2)
+    with open(RANKS, "rb") as file:
+        small = bpe.Codec(bpe.parse_ranks(file.read()), PATTERN)
+    text = "one two three one two three four"
+    assert small.encode(text).tolist() == reference.encode_ordinary(text)
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1, "y", 2, 3) for i, t in rows], DOCS)
+
+
+def test_encode_decode_frames(spark, reference):
+    rows = [(1, "Héllo 🎉"), (2, None), (None, ""), (2, None)]
+    encoded = bpe.encode(docs_of(spark, rows), RANKS, PATTERN, offsets=True)
+    assert set(encoded.columns) == {f.split()[0] for f in DOCS.split(", ")} | {
+        "token_starts", "token_ends"}
+    decoded = bpe.decode(encoded, RANKS, PATTERN)
+    got = sorted((r.doc_id or 0, r.ids, r.decoded) for r in decoded.collect())
+    assert got == [(0, [], ""), (1, reference.encode_ordinary("Héllo 🎉"), "Héllo 🎉"), (2, [], ""),
+                   (2, [], "")]
+    assert bpe.encode(docs_of(spark, []), RANKS, PATTERN).count() == 0
+
+
+def test_decode_of_half_a_character(spark, tool):
+    half = [tool.bytes_of.index(b) for b in (b"a", bytes([0xC3]))]
+    frame = spark.createDataFrame([(half,), (None,)], "ids array<int>")
+    assert {r.decoded for r in bpe.decode(frame, RANKS, PATTERN).collect()} == {"a�", None}
+
+
+def test_round_trip_query(spark, reference):
+    rows = list(enumerate(odd_texts()[:300])) + [(None, None), (7, "same"), (7, "same")]
+    got = bpe.round_trip(docs_of(spark, rows), RANKS, PATTERN).collect()
+    expected = []
+    for i, text in rows:
+        ids = reference.encode_ordinary(text or "")
+        expected.append((-1 if i is None else i, len(ids), hashlib.sha256(b"".join(
+            n.to_bytes(4, "little") for n in ids)).hexdigest(),
+            hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)
+                  for r in got) == sorted(expected)
+    assert bpe.round_trip(docs_of(spark, []), RANKS, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_counts_of_the_library(name):
+    path = public_tokenizers.path(name)
+    with open(path, "rb") as file:
+        count = token_counts.load_counter(path, file.read())
+    whole = Tokenizer.from_file(path)
+    for text in odd_texts():
+        assert count(text) == len(whole.encode(text, add_special_tokens=False).ids), repr(text[:80])
+
+
+def test_counts_of_sentencepiece():
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as file:
+        count = token_counts.load_counter(path, file.read())
+    whole = SentencePieceProcessor(model_file=path)
+    assert all(count(t) == len(whole.encode(t)) for t in odd_texts()[:200])
+
+
+def test_cache_is_read_and_appended(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    rows = [(1, "one two"), (2, "one two"), (2, "one two"), (None, None), (3, ""), (4, "x " * 600)]
+    got = token_counts.count_tokens(docs_of(spark, rows), JSON, cache).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == [
+        (0, 0, 0, False), (1, 7, 2, False), (2, 7, 2, False), (2, 7, 2, False), (3, 0, 0, False),
+        (4, 1200, 601, True)]
+    stored = token_counts.read_cache(spark, cache)
+    before = stored.count()
+    assert stored.select("content_digest").distinct().count() == 3
+    # a stored count is believed: nothing known is encoded again
+    forged = stored.limit(1).select(F.sha2(F.lit("forged"), 256).alias("content_digest"),
+                                    "version_digest", F.lit(77).cast("long").alias("n_tokens"))
+    forged.write.mode("append").parquet(cache)
+    more = token_counts.count_tokens(docs_of(spark, [(9, "forged"), (8, "new"), (1, "one two")]),
+                                     JSON, cache).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in more) == [(1, 2), (8, 1), (9, 77)]
+    assert token_counts.read_cache(spark, cache).count() == before + 2
+    # another tokenizer version shares nothing
+    other = token_counts.count_tokens(docs_of(spark, [(9, "forged")]),
+                                      public_tokenizers.path("word_bpe_49k.json"), cache).collect()
+    assert other[0].n_tokens == 1
+    assert token_counts.count_tokens(docs_of(spark, []), JSON, cache).count() == 0

@@ -1,0 +1,98 @@
+"""Chain of classifiers: held-out quality and edge cases."""
+
+import numpy as np
+import pytest
+
+from newstide.llm import toxicity
+
+DOCS = "doc_id long, text string, _id string, _fold int, found string, row int, judged int, toxic int"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "a", 1, "b", 2, 3, 4) for i, t in rows], DOCS)
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    sf = "/root/testdata/sf0.1"
+    return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_held_out_labels(spark, corpus):
+    """Fitted on even ids, measured on odd ones."""
+    docs, labels = corpus
+    scored = toxicity.score_toxicity(docs, labels.where("doc_id % 2 = 0"))
+    rows = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").select(
+        "p_toxic", scored.toxic.alias("said"), labels.toxic.alias("y"), "p_low_quality", "quality").collect()
+    hits = sum(r.said and r.y for r in rows)
+    assert hits / sum(r.y for r in rows) > 0.97
+    assert hits / max(sum(r.said for r in rows), 1) > 0.97
+    low = np.array([r.p_low_quality > 0.5 for r in rows])
+    y = np.array([r.quality == 0 for r in rows])
+    assert (low == y).mean() > 0.9
+
+
+def test_later_link_uses_earlier_odds():
+    """The second category is the first one's odds and nothing else."""
+    r = np.random.default_rng(0)
+    odds = r.normal(size=(400, 1)) * 3
+    y = (odds[:, 0] > 0).astype(float)
+    link = toxicity.fit_link([np.zeros(0, np.int64)] * 400, odds, y)
+    assert link.earlier[0] > 1 and not link.weights
+    empty = np.zeros(0, np.int64)
+    assert link.odds(empty, [3.0]) > 0 > link.odds(empty, [-3.0])
+
+
+def test_one_class_only():
+    rows = [np.array([1, 2])] * 5
+    link = toxicity.fit_link(rows, np.zeros((5, 0)), np.zeros(5))
+    assert not link.weights and link.odds(rows[0], []) < 0
+
+
+def test_threshold():
+    odds, y = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1.0, 1.0, 0.0, 0.0])
+    assert toxicity._best_threshold(odds, y) == 1.5
+    assert toxicity._best_threshold(np.zeros(3), np.zeros(3)) == 0.0
+    assert toxicity._best_threshold(np.array([2.0, 2.0, 1.0]), np.array([1.0, 0.0, 0.0])) == 1.5
+
+
+def test_features_of_a_word_in_any_dress():
+    def has(text):
+        word = set(toxicity.features(b"idiot").tolist())
+        return word <= set(toxicity.features(text).tolist())
+    assert all(map(has, (b"IDIOT!!", b"an idiot, he", b"idiot***", b"x" * 100_000 + b" idiot")))
+    assert not has(b"idiots") and not len(toxicity.features(b""))
+
+
+def test_nulls_repeats_and_missing_labels(spark):
+    rows = [(i, "you idiot there" if i % 3 == 0 else "good words here") for i in range(120)]
+    rows += [(None, "idiot"), (None, None), (3, "you idiot there"), (200, ""), (201, "idiot " * 50_000)]
+    docs = docs_of(spark, rows)
+    labels = labels_of(spark, [(i, 1, int(i % 3 == 0)) for i in range(120)]
+                       + [(0, 1, 1), (None, 1, 1), (5, None, 1), (999, 0, 1)])
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(rows)
+    said = {(r.doc_id, r.toxic) for r in got}
+    assert {(3, True), (4, False), (None, True), (None, False), (200, False), (201, True)} <= said
+    assert all(r.kept == (not r.toxic) for r in got)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in got)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, None, None)]])
+def test_without_usable_labels_nothing_is_toxic(spark, labels):
+    docs = docs_of(spark, [(1, "idiot"), (2, None)])
+    got = toxicity.score_toxicity(docs, labels_of(spark, labels)).collect()
+    assert [r.toxic for r in got] == [False, False]
+    assert toxicity.score_toxicity(docs_of(spark, []), labels_of(spark, labels)).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    docs = docs_of(spark, [(i, "bad" if i % 2 else "good") for i in range(60)])
+    labels = labels_of(spark, [(i, 1, i % 2) for i in range(60)])
+    sample = toxicity._labelled(docs, labels, toxicity.CATEGORIES, "doc_id", "text", 25)
+    assert sample.count() == 25

@@ -1,10 +1,12 @@
 """Quality by weak supervision, in DataFrame functions only.
 
-Rules vote good (1) or bad (-1) or abstain (0). How often each of them is right is estimated by
-expectation-maximisation from their agreement, without labels; the posterior probability that a
-text is good takes the place of a filter that wants every rule passed.
+Rules vote good (1) or bad (-1) or abstain (0). How often each of them is right, on good texts and on
+bad ones, is estimated by expectation-maximisation from their agreement, without labels; the
+posterior probability that a text is good takes the place of a filter that wants every rule passed.
+A rule that knows one defect is rarely wrong on good texts and often silent about bad ones, so its
+bad vote can outweigh many good ones.
 
-The votes of all documents are counted per pattern first (3^7 patterns at most), so an iteration
+The votes of all documents are counted per pattern first (3^9 patterns at most, one row each), so an iteration
 looks at that small table only and a hot pattern is one row. Texts are read once: the measures of
 each document are written to the shared folder and all the rest starts from them.
 """
@@ -22,6 +24,9 @@ from newstide.sources.layout import written
 WINDOW, SYMBOLS = 8, "#*$%&|<>"
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
+# A word of letters, with at most one mark at its end.
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:!?]?(?![^\x20\x09-\x0D])"
+
 # Rules as (name, good when, bad when) over the measures; anything else abstains.
 RULES = [
     ("symbols", "n_symbols <= 0.02 * n_words", "n_symbols > 0.2 * n_words"),
@@ -30,12 +35,16 @@ RULES = [
     ("capitals", "n_upper <= 0.08 * word_chars", "n_upper > 0.4 * word_chars"),
     ("marks", "n_marks <= 0.02 * n_words", "n_marks > 0.3 * n_words"),
     ("variety", "n_distinct >= 4 * sqrt(n_words)", "n_distinct < 2.5 * sqrt(n_words)"),
+    ("letters", "n_alnum >= 0.93 * word_chars", "n_alnum < 0.9 * word_chars"),
+    ("plain_words", "n_plain >= 0.9 * n_words", "n_plain < 0.75 * n_words"),
     ("word_length", "word_chars BETWEEN 3 * n_words AND 9 * n_words",
      "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
 ]
-# Start, bounds and end of the estimation.
-START_ACCURACY, ACCURACY_BOUNDS, ROUNDS, TOLERANCE = 0.8, (0.55, 0.99), 30, 1e-4
-PRIOR_BOUNDS = (0.05, 0.95)
+# Start of the estimation: share of good texts, and accuracy on good and on bad texts. Then its
+# bounds and its end.
+START_PRIOR, START_ON_GOOD, START_ON_BAD = 0.8, 0.95, 0.3
+PRIOR_BOUNDS, ON_GOOD_BOUNDS, ON_BAD_BOUNDS = (0.05, 0.95), (0.6, 0.999), (0.02, 0.999)
+ROUNDS, TOLERANCE = 30, 1e-3
 KEEP_FROM = 0.5
 
 
@@ -100,6 +109,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     _length_without(text, BLANKS).cast("long").alias("word_chars"),
                     (F.length(text) - _length_without(text, SYMBOLS)).cast("long").alias("n_symbols"),
                     F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+                    F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")).cast("long").alias("n_alnum"),
+                    F.regexp_count(text, F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
                     (F.length(text) - _length_without(text, "!?")).cast("long").alias("n_marks")))
 
 
@@ -112,18 +123,28 @@ def votes(rules: Sequence[tuple[str, str, str]] = RULES) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Model:
-    """Share of good texts and the accuracy of every rule."""
+    """Share of good texts, and how often each rule that votes is right on good and on bad ones."""
 
     prior: float
-    accuracies: dict[str, float]
+    on_good: dict[str, float]
+    on_bad: dict[str, float]
 
     def posterior(self) -> Column:
         """Probability of good, from the votes: log odds of the prior plus those of each vote."""
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for vote, accuracy in self.accuracies.items():
-            odds = odds + F.col(vote) * math.log(accuracy / (1 - accuracy))
+        for vote, right in self.on_good.items():
+            for_good = math.log(right / (1 - self.on_bad[vote]))
+            for_bad = math.log((1 - right) / self.on_bad[vote])
+            odds = odds + F.when(F.col(vote) == 1, for_good).when(F.col(vote) == -1, for_bad
+                                                                  ).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
+    def moved(self, before: "Model") -> float:
+        """Largest change of any estimate."""
+        return max(abs(self.prior - before.prior),
+                   *[abs(now[k] - then[k]) for now, then in (
+                       (self.on_good, before.on_good), (self.on_bad, before.on_bad)) for k in now])
+
 
 def _clipped(value, bounds: tuple[float, float], default: float) -> float:
     return default if value is None else min(max(value, bounds[0]), bounds[1])
@@ -134,21 +155,22 @@ def estimate(patterns: DataFrame, names: Sequence[str]) -> Model:
 
     An iteration is one small aggregate. Without any vote the start values stay.
     """
-    model = Model(0.5, dict.fromkeys(names, START_ACCURACY))
-    right = {v: F.when(F.col(v) == 1, F.col("p")).when(F.col(v) == -1, 1 - F.col("p"))
-             for v in names}
+    model = Model(START_PRIOR, dict.fromkeys(names, START_ON_GOOD),
+                  dict.fromkeys(names, START_ON_BAD))
     for _ in range(ROUNDS):
+        good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
         sums = patterns.withColumn("p", model.posterior()).agg(
-            (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("prior"),
-            *[F.try_divide(F.sum(F.col("n") * right[v]),
-                           F.sum(F.when(F.col(v) != 0, F.col("n")))).alias(v)
-              for v in names]).first()
-        new = Model(_clipped(sums["prior"], PRIOR_BOUNDS, model.prior),
-                    {v: _clipped(sums[v], ACCURACY_BOUNDS, model.accuracies[v]) for v in names})
-        moved = max([abs(new.prior - model.prior),
-                     *[abs(new.accuracies[v] - model.accuracies[v]) for v in names]])
-        model = new
-        if moved < TOLERANCE:
+            (F.sum(good) / F.sum("n")).alias("prior"),
+            *[F.try_divide(F.sum(F.when(F.col(v) == 1, good)),
+                           F.sum(F.when(F.col(v) != 0, good))).alias(f"good_{v}") for v in names],
+            *[F.try_divide(F.sum(F.when(F.col(v) == -1, bad)),
+                           F.sum(F.when(F.col(v) != 0, bad))).alias(f"bad_{v}") for v in names]
+        ).first()
+        before, model = model, Model(
+            _clipped(sums["prior"], PRIOR_BOUNDS, model.prior),
+            {v: _clipped(sums[f"good_{v}"], ON_GOOD_BOUNDS, model.on_good[v]) for v in names},
+            {v: _clipped(sums[f"bad_{v}"], ON_BAD_BOUNDS, model.on_bad[v]) for v in names})
+        if model.moved(before) < TOLERANCE:
             break
     return model
 

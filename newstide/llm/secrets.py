@@ -55,8 +55,9 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])"
                        r"(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 NEAR, AROUND = 64, 512
-# Bytes the candidate has to add per byte of its own to be reported.
-NOVELTY = 0.75
+# Bytes the candidate has to add per byte of its own to be reported: for its first bytes, where the
+# compressor cannot save on an alphabet, and for the rest.
+NOVELTY, FIRST_BYTES, NOVELTY_BEYOND = 0.92, 40, 0.55
 
 Span = tuple[int, int, str]
 
@@ -91,7 +92,7 @@ def _sensitive_windows(text: str) -> Iterator[tuple[int, int]]:
 class Novelty:
     """Marginal compressed bytes of strings, given identifiers and their surroundings."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
+    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 9):
         import zstandard
 
         self.zstd, self.level, self.identifiers = zstandard, level, identifiers.encode()
@@ -103,6 +104,11 @@ class Novelty:
                                         write_checksum=False, write_dict_id=False)
         return len(tool.compress(value.encode())) - len(tool.compress(b""))
 
+    def is_novel(self, value: str, around: str) -> bool:
+        first = min(len(value), FIRST_BYTES)
+        return self.bytes_added(value, around) >= (
+            NOVELTY * first + NOVELTY_BEYOND * (len(value) - first))
+
 
 def novel_spans(text: str, known: Iterable[Span], novelty: Novelty) -> list[Span]:
     """Incompressible candidates in sensitive surroundings that overlap no known span."""
@@ -121,7 +127,7 @@ def novel_spans(text: str, known: Iterable[Span], novelty: Novelty) -> list[Span
             if at < len(taken) and taken[at][0] < end:
                 continue
             around = text[max(start - AROUND, 0):start] + text[end:end + AROUND]
-            if novelty.bytes_added(m.group(), around) >= NOVELTY * (end - start):
+            if novelty.is_novel(m.group(), around):
                 found.append((start, end, "novel"))
     return found
 

@@ -99,10 +99,13 @@ def hilbert_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounds = docs.agg(*[F.percentile_approx(v, inner, QUANTILE_ACCURACY).alias(k)
                         for k, v in dimensions.items()]).first()
     text = F.coalesce(docs[text_col], F.lit(""))
+    # the dimensions are columns of their own first: each is compared with many bounds
+    names = {k: f"dimension_{i}" for i, k in enumerate(dimensions)}
     points = docs.select(docs[id_col].alias("doc_id"),
                          (F.octet_length(text) + 1).cast("long").alias("size"),
                          F.crc32(text.cast("binary")).alias("text_crc32"),
-                         _cells(dimensions, bounds).alias("cells"))
+                         *[dimensions[k].alias(name) for k, name in names.items()]).withColumn(
+        "cells", _cells({k: F.col(name) for k, name in names.items()}, bounds))
     ordered = written(
         points.select("doc_id", "size", "text_crc32", _curve(bits)("cells").alias("curve"))
         .orderBy("curve", "doc_id", "text_crc32", "size")

@@ -25,19 +25,23 @@ from newstide.sources.layout import written
 # Categories of the labels table in the order of the chain. The last decides.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 # Bounds of the fit: labelled rows, folds, hashed features, and features per link.
-SAMPLE_ROWS, FOLDS, FEATURES, SELECTED = 20_000, 3, 1 << 20, 2_000
+SAMPLE_ROWS, FOLDS, FEATURES, SELECTED = 20_000, 3, 1 << 22, 400
 # A feature is used when it occurs so often and is so unevenly spread over the classes.
-LEAST_ROWS, LEAST_CHI2 = 4, 12.0
-ROUNDS, L2, STEP = 300, 0.3, 0.5
+LEAST_ROWS, LEAST_CHI2 = 6, 60.0
+ROUNDS, L2, TOLERANCE = 25, 0.2, 1e-4
 CLIP = 12.0
 
+BEGINNINGS = (6, 4)
 PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _TO_SPACE = bytes(0x20 if b in PUNCTUATION else b for b in range(256))
 
 
 def features(text: bytes) -> np.ndarray:
-    """Hashed features of a whole text: its words without marks, and the marks it has."""
+    """Hashed features of a whole text: its words without marks, their beginnings, for the forms of
+    a word that the sample does not have, and the marks."""
     words = set(text.lower().translate(_TO_SPACE).split())
+    words |= {b"\x01" + word[:length] for length in BEGINNINGS for word in words
+              if len(word) > length}
     words.update(b"\x00" + bytes([mark]) for mark in PUNCTUATION if mark in text)
     hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % FEATURES
     return np.unique(hashes)
@@ -90,19 +94,38 @@ def fit_link(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link
     number = np.full(FEATURES, -1)
     number[best] = np.arange(len(best))
     used = number[cell] >= 0
-    at, cell = at[used], number[cell[used]]
-    width = earlier.shape[1]
-    w, v, b = np.zeros(len(best)), np.zeros(width), intercept
-    sums = np.full(len(best) + width + 1, 1e-8)
+    # rows by chosen features, earlier odds and a constant: sample_rows x SELECTED at most
+    x = np.zeros((n, len(best) + earlier.shape[1] + 1))
+    x[at[used], number[cell[used]]] = 1
+    x[:, len(best):-1] = earlier
+    x[:, -1] = 1
+    w = _newton(x, y, intercept)
+    return Link(dict(zip(best.tolist(), w.tolist())), w[len(best):-1].tolist(), float(w[-1]))
+
+
+def _newton(x: np.ndarray, y: np.ndarray, intercept: float) -> np.ndarray:
+    """Weights of least penalised log loss; the constant in the last column is not penalised."""
+    penalty = np.full(x.shape[1], L2)
+    penalty[-1] = 1e-6
+    w = np.zeros(x.shape[1])
+    w[-1] = intercept
+
+    def loss(w):
+        margin = x @ w
+        return np.logaddexp(0, margin).sum() - y @ margin + penalty @ w ** 2 / 2
+
+    now = loss(w)
     for _ in range(ROUNDS):
-        margin = np.bincount(at, weights=w[cell], minlength=n) + earlier @ v + b
-        error = _sigmoid(margin) - y
-        slope = np.concatenate([np.bincount(cell, weights=error[at], minlength=len(best)) + L2 * w,
-                                earlier.T @ error + L2 * v, [error.sum()]])
-        sums += slope ** 2
-        move = STEP * slope / np.sqrt(sums)
-        w, v, b = w - move[:len(best)], v - move[len(best):-1], b - move[-1]
-    return Link(dict(zip(best.tolist(), w.tolist())), v.tolist(), float(b))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + penalty * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        move, step = np.linalg.solve(curve, slope), 1.0
+        while (then := loss(w - step * move)) > now and step > 1e-3:
+            step /= 2
+        w, before, now = w - step * move, now, min(then, now)
+        if before - now < TOLERANCE * max(before, 1e-9):
+            break
+    return w
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str], id_col: str,
@@ -136,11 +159,14 @@ class Chain:
     links: dict[str, Link]
     threshold: float
 
-    def odds(self, text: bytes) -> list[float]:
+    def odds(self, text: bytes) -> tuple[list[float], bool]:
+        """Log odds per category, and the verdict: a text with no feature that the last link
+        knows has nothing toxic in it."""
         found, odds = features(text), []
         for link in self.links.values():
             odds.append(link.odds(found, odds))
-        return odds
+        known = any(f in link.weights for f in found.tolist())
+        return odds, known and odds[-1] > self.threshold
 
 
 def _best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
@@ -175,7 +201,7 @@ def _fold_fitter(category: str, earlier: list[str]):
                    + [("v", i, w) for i, w in enumerate(link.earlier)]
                    + [("b", 0, link.intercept)]) if model == FOLDS else []
         return pd.DataFrame({"_id": pd.Series([*ids, *[None] * len(weights)], dtype=object),
-                             "part": [None] * len(ids) + [w[0] for w in weights],
+                             "part": pd.Series([None] * len(ids) + [w[0] for w in weights], dtype=object),
                              "at": [0] * len(ids) + [w[1] for w in weights],
                              "value": odds + [w[2] for w in weights]})
 
@@ -216,8 +242,8 @@ def _judge(chain: Chain, text):
 
     def make():
         def one(value):
-            odds = chain.odds(value or b"")
-            return (*[float(_sigmoid(x)) for x in odds], bool(odds[-1] > chain.threshold))
+            odds, toxic = chain.odds(value or b"")
+            return (*[float(_sigmoid(x)) for x in odds], toxic)
         return one
 
     schema = ", ".join(f"p_{name} double" for name in names) + ", toxic boolean"
@@ -229,7 +255,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: Mapping[str,
                    sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, p_<category> per category, toxic, kept.
 
-    Null and empty texts have no features and get the chain's base probabilities. Repeated rows are
+    Null and empty texts have no features, get the chain's base probabilities and are not toxic.
+    Repeated rows are
     judged each; an empty table gives an empty result. Without usable labels nothing is toxic.
     """
     chain = fit_chain(docs, labels, categories, id_col, text_col, sample_rows)

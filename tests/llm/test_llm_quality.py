@@ -66,23 +66,24 @@ def test_no_python_in_the_plan(spark, sf_small, capsys):
 def test_estimation_finds_the_accuracies(spark):
     """Votes drawn from known accuracies are explained by about these."""
     r = random.Random(1)
-    truth = {"a": 0.9, "b": 0.8, "c": 0.7, "d": 0.95}
+    truth = {"a": (0.95, 0.8), "b": (0.9, 0.6), "c": (0.98, 0.5), "d": (0.9, 0.9)}
     rows = []
-    for _ in range(20_000):
+    for _ in range(40_000):
         good = r.random() < 0.7
-        rows.append(tuple((0 if r.random() < 0.2 else (1 if (r.random() < p) == good else -1))
+        rows.append(tuple((0 if r.random() < 0.2 else (1 if (r.random() < p[not good]) == good else -1))
                           for p in truth.values()))
     patterns = spark.createDataFrame([(*k, n) for k, n in Counter(rows).items()],
                                      ", ".join(f"{v} int" for v in truth) + ", n long").coalesce(1)
     model = quality.estimate(patterns, list(truth))
     assert model.prior == pytest.approx(0.7, abs=0.03)
-    for name, accuracy in truth.items():
-        assert model.accuracies[name] == pytest.approx(accuracy, abs=0.03)
+    for name, (on_good, on_bad) in truth.items():
+        assert model.on_good[name] == pytest.approx(on_good, abs=0.03)
+        assert model.on_bad[name] == pytest.approx(on_bad, abs=0.03)
 
 
 def test_nothing_to_estimate(spark):
     patterns = spark.createDataFrame([], "a int, n long")
-    assert quality.estimate(patterns, ["a"]).accuracies == {"a": quality.START_ACCURACY}
+    assert quality.estimate(patterns, ["a"]).on_good == {"a": quality.START_ON_GOOD}
 
 
 def test_agrees_with_labels(spark):

@@ -6,11 +6,11 @@ serve as instruments.
 """
 
 import functools
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newstide.functions.sentiment import (DEFAULT_LEXICON, TOKEN_END, sentence_classifier,
-                                          with_sentiment)
+from newstide.functions.sentiment import TOKEN_END, sentence_classifier, with_sentiment
 from newstide.functions.signals import bucket_of
 from newstide.sources.layout import spread
 
@@ -28,6 +28,18 @@ FIRST_DAY_SQL = "DATE '2024-01-01'"
 N_INDUSTRIES = 4
 DAYS = 30
 RESPONSE_SIZE = 10
+# Words that occur in the driver's texts; a lexicon for checks, not for use.
+LEXICON = {"the": 1, "and": 1, "for": 1, "of": -1, "to": -1, "in": -1, "a": -1}
+_N_SYMBOLS: dict[tuple[str, str], int] = {}
+
+
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Give a local session without ``spark.checkpoint.dir`` a folder for intermediate tables."""
+    context = spark.sparkContext
+    local = context.master == "local" or context.master.startswith("local[")
+    if (local and not spark.conf.get("spark.checkpoint.dir", None)
+            and not context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="newstide-"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +68,18 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "map('nation', CAST(c_nationkey AS STRING)) AS info")
 
 
+def _n_symbols(spark: SparkSession, sf_dir: str) -> int:
+    """Number of symbols, counted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _N_SYMBOLS:
+        _N_SYMBOLS[key] = table(spark, sf_dir, "events").agg(F.count_distinct("user_id")).first()[0]
+    return _N_SYMBOLS[key]
+
+
 def _with_turns(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles. The number of symbols is a parameter of the mapping and is read up
     front: as a subquery it would be copied into every filter derived from the join keys."""
-    n = table(spark, sf_dir, "events").agg(F.count_distinct("user_id")).first()[0]
+    n = _n_symbols(spark, sf_dir)
     shift = f"CAST((doc_id div {n} * 7 + doc_id % {n}) % {DAYS} AS INT)"
     return documents.selectExpr(
         f"CAST(doc_id % {n} AS STRING) AS symbol",
@@ -75,27 +95,35 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_turns(table(spark, sf_dir, "documents"), spark, sf_dir).drop("turn")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table that is one file with one row group, dealt over the cores by its key."""
+    parts = 2 * spark.sparkContext.defaultParallelism
+    return spread(table(spark, sf_dir, name).select(*columns), parts, columns[0])
+
+
 def scored_articles(spark: SparkSession, sf_dir: str, classifier=None) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"),
-                       "doc_id")
+    documents = dealt(spark, sf_dir, "documents", "doc_id", "source", "text")
     return with_sentiment(_with_turns(documents, spark, sf_dir).drop("turn"),
-                          classifier=classifier)
+                          lexicon=LEXICON if classifier is None else None, classifier=classifier)
 
 
-def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses of up to ten articles each, with the publication time as text.
+def search_results(spark: SparkSession, sf_dir: str,
+                   fields=("id", "title", "link", "published", "source", "text")) -> DataFrame:
+    """Responses of up to ten articles each with the named fields; the others are not moved.
 
-    A document of fewer than 200 characters has no valid time.
+    The publication time is text: of ISO style for even ids, of feed style for odd ones. A document
+    of fewer than 200 characters has no valid time but a bare year.
     """
-    published = ("CASE WHEN length(text) < 200 THEN 'unknown' "
-                 "ELSE date_format(published, 'yyyy-MM-dd HH:mm:ss') END AS published")
+    published = ("CASE WHEN length(text) < 200 THEN date_format(published, 'yyyy') "
+                 "WHEN CAST(id AS BIGINT) % 2 = 0 THEN date_format(published, 'yyyy-MM-dd HH:mm:ss') "
+                 "ELSE date_format(published, 'EEE, dd MMM yyyy HH:mm:ss') || ' GMT' END AS published")
+    packed = [published if f == "published" else f for f in fields]
     return (_with_turns(table(spark, sf_dir, "documents"), spark, sf_dir)
             .selectExpr("symbol", f"turn div {RESPONSE_SIZE} AS page",
                         f"date_add({FIRST_DAY_SQL}, {bucket_of('date', FIRST_DAY_SQL)} * 28)"
-                        " AS bucket_start",
-                        f"struct(id, title, link, {published}, source, text) AS article")
+                        " AS bucket_start", *packed)
             .groupBy("symbol", "bucket_start", "page")
-            .agg(F.expr("array_sort(collect_list(article)) AS articles"))
+            .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("articles"))
             .selectExpr("symbol", "bucket_start", "date_add(bucket_start, 28) AS bucket_end",
                         "articles"))
 
@@ -103,7 +131,7 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @functools.cache
 def word_classifier():
     """The lexicon rule once more, as a stand-in for a model behind the vectorised hook."""
-    polarity, token_end = dict(DEFAULT_LEXICON), TOKEN_END
+    polarity, token_end = dict(LEXICON), TOKEN_END
 
     def load():
         import re

@@ -1,11 +1,10 @@
 """SQL over the driver's tables that must give the same rows as the registered queries.
 
 Written from the definitions, not from the Spark plans: lag bands are joins on lagged days, the
-fill is an arg-max over earlier days, sentiments are list functions.
+fill is an arg-max over earlier days, sentiments are list functions. Nothing of the engine is
+imported.
 """
 
-from newstide.functions import markup
-
 WINDOWS = (3, 7, 11, 15)
 POSITIVE, NEGATIVE = "('the', 'and', 'for')", "('of', 'to', 'in', 'a')"
 
@@ -41,20 +40,30 @@ def _classes(text: str) -> str:
     return f"list_transform({_valid(text)}, lambda k: {_class('k')})"
 
 
-def _plain(markup_sql: str) -> str:
-    out = f"regexp_replace({markup_sql}, {_text(markup.LINE_TAG)}, chr(10), 'g')"
-    out = f"regexp_replace({out}, {_text(markup.TAG)}, '', 'g')"
-    for entity, char in markup.ENTITIES.items():
+# Page parts by patterns of this check's own, made for the pages at hand: flat markup and a handful
+# of entities. The engine reads pages with a parser.
+_DROP = (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<nav[^>]*>.*?</nav>"
+         r"|<div class=.ad.[^>]*>.*?</div>")
+_NEW_LINE = r"(?i)</?(p|br|h[1-6]|div|li|ul|ol|tr|table|blockquote)(\s[^>]*)?/?>"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&copy;": "©",
+             "&middot;": "·", "&amp;": "&"}
+
+
+def _plain(inner: str) -> str:
+    out = f"regexp_replace({inner}, {_text(_NEW_LINE)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, '<[^>]+>', '', 'g')"
+    for entity, char in _ENTITIES.items():
         out = f"replace({out}, {_text(entity)}, {_text(char)})"
-    out = f"regexp_replace({out}, {_text(markup.BLANKS)}, ' ', 'g')"
-    out = f"regexp_replace({out}, {_text(markup.LINE_BREAKS)}, chr(10), 'g')"
-    return f"nullif(regexp_replace({out}, {_text(markup.EDGES)}, '', 'g'), '')"
+    lines = f"string_split(regexp_replace({out}, '[ \\t\\r\\f]+', ' ', 'g'), chr(10))"
+    kept = f"list_filter(list_transform({lines}, lambda l: trim(l, ' ')), lambda l: l <> '')"
+    return f"nullif(array_to_string({kept}, chr(10)), '')"
 
 
-_TITLE = _plain(f"regexp_extract(html, {_text(markup.TITLE)}, 1)")
-_BODY = _plain(f"regexp_extract(regexp_replace(html, {_text(markup.NOISE)}, ' ', 'g'), "
-               f"{_text(markup.BODY)}, 1)")
-_HOST = "nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')"
+_TITLE = _plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_BODY = _plain(f"regexp_extract(regexp_replace(html, {_text(_DROP)}, ' ', 'g'), "
+               "'(?is)<article[^>]*>(.*?)</article>', 1)")
+_AUTHORITY = "string_split(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1), '@')"
+_HOST = f"nullif(lower(split_part({_AUTHORITY}[-1], ':', 1)), '')"
 
 
 def _lags(windows) -> str:
@@ -143,8 +152,9 @@ articles AS (
   FROM documents, n),
 found AS (
   SELECT *, DATE '2024-01-01' + CAST(28 * ((date - DATE '2024-01-01') // 28) AS INTEGER) AS bucket_start,
-         CASE WHEN length(text) < 200 THEN 'unknown'
-              ELSE strftime(date, '%Y-%m-%d') || ' 00:00:00' END AS published
+         CASE WHEN length(text) < 200 THEN strftime(date, '%Y')
+              WHEN doc_id % 2 = 0 THEN strftime(date, '%Y-%m-%d') || ' 00:00:00'
+              ELSE strftime(date, '%a, %d %b %Y') || ' 00:00:00 GMT' END AS published
   FROM articles),
 scored_articles AS (
   SELECT *, {_score('tc')} AS title_sentiment, {_score('xc')} AS text_sentiment
@@ -217,10 +227,22 @@ _INDUSTRY_COV = (f'SELECT industry, "window", '
                  + ' FROM covariance JOIN symbols USING (symbol) GROUP BY industry, "window"')
 _COV = ('SELECT symbol, "window", ' + ", ".join(f"round({c}, 6) AS {c}" for c in COVARIANCES)
         + " FROM covariance")
-_LINKS = ("SELECT symbol, date, string_agg(link, ' ' ORDER BY link) AS links, count(*) AS n_links "
-          "FROM articles GROUP BY symbol, date")
-_STATS = ("SELECT count(*) AS n_articles, count(*) FILTER (length(text) > 200) AS n_with_text, "
-          "count(DISTINCT href) AS n_sources FROM articles")
+_LINKS = ("SELECT symbol, date, row_number() OVER (PARTITION BY symbol, date ORDER BY link) "
+          "AS position, link FROM articles")
+_OWN = "SEMI JOIN (SELECT symbol FROM symbols WHERE industry <> '3') USING (symbol)"
+
+
+def _stats(scope: str = "") -> str:
+    return ("SELECT count(*) AS n_articles, count(*) FILTER (length(text) > 200) AS n_with_text, "
+            f"count(DISTINCT href) AS n_sources FROM articles {scope}")
+
+
+def _repeated(times: str) -> str:
+    """Common table expressions of the scores of ``_with`` over articles that count ``times``."""
+    return _with().replace(
+        "FROM (SELECT *, " + _classes("title"),
+        f"FROM (SELECT articles.*, {_classes('title')}").replace(
+        "AS xc FROM articles)),", f"AS xc FROM articles, range({times}))),")
 
 
 def _weights(counts: str) -> str:
@@ -235,6 +257,10 @@ def oracle_sql() -> dict[str, str]:
              "THEN CAST(text_sum AS DOUBLE) / text_n END AS mean FROM counts)")
     return {
         "A1_price_scan": one + _PRICES,
+        "A1_wide_prices": one + f"""
+SELECT industry AS symbol, {DAY}, min(open) AS open, max(high) AS high, min(low) AS low,
+       max(close) AS close, CAST(sum(volume) AS BIGINT) AS volume
+FROM prices JOIN symbols USING (symbol) GROUP BY industry, date""",
         "A2_symbol_dimension": one + "SELECT industry, symbol FROM symbols",
         "A3_search_scan": one + """
 SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start,
@@ -242,10 +268,17 @@ SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start,
 FROM found""",
         "A4_snapshot_write": one + _PRICES,
         "A5_snapshot_read": one + f"SELECT symbol, {DAY}, link, href FROM articles",
-        "A6_full_load": one + """
-SELECT 'instruments' AS name, count(*) AS n FROM instruments
-UNION ALL SELECT 'prices', count(*) FROM prices UNION ALL SELECT 'articles', count(*) FROM articles
-UNION ALL SELECT 'source_weights', count(*) FROM sources""",
+        "A5_snapshot_symbol": one + f"""
+SELECT symbol, {DAY}, link, href FROM articles WHERE symbol = '7'""",
+        "A6_full_load": one + f"""
+SELECT 'instruments' AS name, symbol AS key, shortname AS value FROM instruments
+UNION ALL SELECT 'search_results', symbol || ' ' || bucket_start, string_agg(link, ' ' ORDER BY id)
+FROM found GROUP BY symbol, bucket_start, turn // 10
+UNION ALL SELECT 'prices', symbol || ' ' || date, CAST(volume AS VARCHAR) FROM prices
+UNION ALL SELECT 'articles', symbol || ' ' || link, md5(text) FROM articles
+UNION ALL SELECT 'timeline', symbol || ' ' || date, CAST(n_links AS VARCHAR) FROM counts
+UNION ALL SELECT 'links', symbol || ' ' || date || ' ' || position, link FROM ({_LINKS})
+UNION ALL SELECT 'source_weights', href, CAST(n AS VARCHAR) FROM sources""",
         "A7_csv_sink": one + f"SELECT symbol, {DAY}, link, href FROM sample",
         "A8_page_text": one + "SELECT page_id, url, href, title, text FROM stored",
         "A9_fetch_buckets": one + """
@@ -258,11 +291,13 @@ WHERE date >= DATE '2024-01-08' AND date <= DATE '2024-01-19'""",
         "B3_drop_incomplete": one + f"""
 SELECT symbol, {DAY}, open, close, mean FROM {means} WHERE mean IS NOT NULL""",
         "B4_valid_publications": one + f"""
-SELECT symbol, link, {DAY} FROM found WHERE TRY_CAST(published AS TIMESTAMP) IS NOT NULL""",
+SELECT symbol, link, CAST(CAST(coalesce(try_strptime(published, '%Y-%m-%d %H:%M:%S'),
+         try_strptime(published, '%a, %d %b %Y %H:%M:%S GMT')) AS DATE) AS VARCHAR) AS date
+FROM found WHERE length(text) >= 200""",
         "B5_project_articles": one + f"""
 SELECT symbol, {DAY}, title, link, href, id, CAST(NULL AS VARCHAR) AS text,
        CAST(NULL AS INTEGER) AS title_sentiment, CAST(NULL AS INTEGER) AS text_sentiment
-FROM found WHERE published <> 'unknown'""",
+FROM found WHERE length(published) > 4""",
         "B6_select_rename": one + f"SELECT symbol, {DAY}, open, close FROM prices",
         "B7_nan_to_null": one + f"SELECT symbol, {DAY}, open, close, mean FROM {means}",
         "B8_day_change": one + f"SELECT symbol, {DAY}, change FROM days",
@@ -297,7 +332,7 @@ SELECT industry, symbol, "window", text_accuracy FROM accuracy JOIN symbols USIN
 SELECT symbol, {DAY}, text_score, text_earlier AS earlier_score
 FROM band LEFT JOIN {_earlier('text')} USING (symbol, date, "window")""",
         "D1_links_per_day": one + f"""
-SELECT symbol, {DAY}, 0 AS chunk, links FROM ({_LINKS})""",
+SELECT symbol, {DAY}, position, link FROM ({_LINKS})""",
         "D2_document_sentiment": one + """
 SELECT link, title_sentiment, text_sentiment FROM scored_articles""",
         "D3_band_mean": one + f"SELECT symbol, {DAY}, title_score, text_score FROM band",
@@ -312,7 +347,7 @@ SELECT symbol, {DAY}, title_score, text_score FROM band""",
         "D10_source_counts": one + "SELECT href, n FROM sources",
         "D11_source_weight": one + ", hosts AS (SELECT href, count(*) AS n FROM stored "
                                    "WHERE href IS NOT NULL GROUP BY href) " + _weights("hosts"),
-        "D12_corpus_statistics": one + _STATS,
+        "D12_corpus_statistics": one + _stats(),
         "D13_date_range": one + """
 SELECT symbol, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date
 FROM ranges""",
@@ -321,6 +356,10 @@ SELECT symbol, link, count(*) AS n FROM {copies} GROUP BY symbol, link HAVING co
         "D14_drop_duplicate_links": one + f"""
 SELECT symbol, link, id FROM {copies}
 QUALIFY row_number() OVER (PARTITION BY symbol, link ORDER BY date, id) = 1""",
+        "D14_scores_drop_duplicates": one + f"""
+SELECT symbol, {DAY}, article_count, text_score FROM scored""",
+        "D14_scores_keep_duplicates": _repeated("CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END") + f"""
+SELECT symbol, {DAY}, article_count, text_score FROM scored""",
         "D15_bucket_counts": one + """
 SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start, count(*) AS n_articles,
        count(DISTINCT turn // 10) AS n_responses FROM found GROUP BY symbol, bucket_start""",
@@ -342,7 +381,8 @@ FROM articles""",
         "F2_top_sources": one + "SELECT href, n FROM sources ORDER BY n DESC, href LIMIT 10",
         "F3_sample": one + f"SELECT symbol, {DAY}, link, href, title FROM sample",
         "F4_date_order": one + f"""
-SELECT symbol, {DAY}, open, close, change FROM days ORDER BY symbol, date""",
+SELECT symbol, {DAY}, open, close, change,
+       row_number() OVER (PARTITION BY symbol ORDER BY date) AS position FROM days""",
         "G1_flatten_groups": one + """
 SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start,
        CAST(bucket_start + 28 AS VARCHAR) AS bucket_end, link, published FROM found""",
@@ -398,19 +438,22 @@ SELECT link, title_sentiment, text_sentiment FROM scored_articles""",
 SELECT symbol, {DAY}, change, title_prediction, text_prediction, title_result, text_result
 FROM scored""",
         "K1_build_timeline": one + f"""
-SELECT symbol, {DAY}, 0 AS chunk, open, close, links, change, coalesce(n_links, 0) AS n_links
-FROM days LEFT JOIN ({_LINKS}) USING (symbol, date)""",
+SELECT symbol, {DAY}, open, close, change, n_links FROM counts""",
         "K2_score_and_predict": one + _SCORED,
         "K3_analyze_accuracy": one + "SELECT * FROM accuracy",
         "K4_analyze_accuracies": all_ + _INDUSTRY_ACC,
         "K5_analyze_cov": one + _COV,
         "K6_analyze_covs": all_ + _INDUSTRY_COV,
+        "K46_analyze_sweep": all_ + f"""
+SELECT * FROM ({_INDUSTRY_ACC}) JOIN ({_INDUSTRY_COV}) USING (industry, "window")""",
         "K7_series": one + " UNION ALL ".join(
-            f"SELECT symbol, \"window\", {DAY}, '{c}' AS series, {c} AS value FROM scored"
+            f"SELECT symbol, \"window\", {DAY}, '{c}' AS series, {c} AS value, "
+            "row_number() OVER (PARTITION BY symbol ORDER BY scored.date) AS position FROM scored"
             for c in ("open", "title_score", "text_score")),
-        "K8_corpus_stats": one + _STATS,
-        "K9_source_weights": one + _weights("sources"),
-        "K10_sample_articles": one + f"SELECT symbol, {DAY}, link, title FROM sample",
+        "K8_corpus_stats": one + _stats(_OWN),
+        "K9_source_weights": one + f", own AS (SELECT href, count(*) AS n FROM articles {_OWN} "
+                                   "WHERE href IS NOT NULL GROUP BY href) " + _weights("own"),
+        "K10_sample_articles": one + f"SELECT symbol, {DAY}, link, title FROM sample {_OWN}",
         "K11_sentiment_distribution": one + """
 SELECT symbol, "window", channel, bin, count(*) AS n FROM (
   SELECT symbol, "window", channel, least(CAST(floor(score / 10) AS INTEGER) + 1, 10) AS bin FROM (

@@ -11,7 +11,7 @@ from newstide.operators import corpus, ordering, scoring, timeline as tl
 from newstide.plans import reports
 from newstide.plans.engine import NewsEngine
 from newstide.sources import news, pages, prices as px, snapshots
-from newstide.sources.layout import new_table_path, spread
+from newstide.sources.layout import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,7 @@ def _register(name: str):
 
     def add(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            a.ensure_shared_dir(spark)
             df = build(spark, sf_dir)
             days = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
             return df.withColumns({d: F.col(d).cast("string") for d in days}) if days else df
@@ -43,6 +44,12 @@ def _engine(spark, sf_dir, articles=a.scored_articles) -> NewsEngine:
     return NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir), articles(spark, sf_dir))
 
 
+def _some_industries(spark, sf_dir) -> NewsEngine:
+    """An engine whose symbols are those of three industries; other articles are not its own."""
+    symbols = a.symbols(spark, sf_dir).where("industry <> '3'")
+    return NewsEngine(symbols, a.prices(spark, sf_dir), a.articles(spark, sf_dir))
+
+
 def _counts(spark, sf_dir) -> DataFrame:
     return tl.count_timeline(a.prices(spark, sf_dir), a.scored_articles(spark, sf_dir))
 
@@ -66,6 +73,20 @@ def _(spark, sf_dir):
     return px.read_prices(spark, path, start="2024-01-01", end="2024-12-31")
 
 
+@_register("A1_wide_prices")
+def _(spark, sf_dir):
+    """Daily values per industry as a file with a column per industry and field."""
+    path = new_table_path(spark, "wide-prices")
+    industries = [str(k) for k in range(a.N_INDUSTRIES)]
+    fields = {"Open": "min", "High": "max", "Low": "min", "Close": "max", "Volume": "sum"}
+    measures = [F.expr(f"{rule}({field.lower()})").alias(field) for field, rule in fields.items()]
+    daily = (a.prices(spark, sf_dir).join(a.symbols(spark, sf_dir), "symbol")
+             .groupBy(F.col("date").alias("Date")).pivot("industry", industries).agg(*measures))
+    (daily.select("Date", *[F.col(f"{k}_{f}").alias(f"{k}|{f}") for k in industries for f in fields])
+     .write.csv(path, header=True))
+    return px.read_prices(spark, path, "csv", wide=True)
+
+
 @_register("A2_symbol_dimension")
 def _(spark, sf_dir):
     maps = a.symbols(spark, sf_dir).select(
@@ -97,17 +118,32 @@ def _(spark, sf_dir):
     return found.select("symbol", "date", "link", F.col("source.href").alias("href"))
 
 
-@_register("A6_full_load")
+@_register("A5_snapshot_symbol")
 def _(spark, sf_dir):
     root = new_table_path(spark, "snapshot")
-    snapshots.write_snapshot(a.instruments(spark, sf_dir), root, "instruments", layout="bucket")
-    snapshots.write_snapshot(a.prices(spark, sf_dir), root, "prices", layout="bucket")
     snapshots.write_snapshot(a.articles(spark, sf_dir), root, "articles", layout="bucket")
+    return snapshots.read_snapshot(spark, root, "articles", symbol="7").select(
+        "symbol", "date", "link", F.col("source.href").alias("href"))
+
+
+@_register("A6_full_load")
+def _(spark, sf_dir):
+    """Rows of every table that a saved engine gives back, as (table, key, value)."""
+    root = new_table_path(spark, "snapshot")
+    NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir), a.articles(spark, sf_dir),
+               instruments=a.instruments(spark, sf_dir),
+               search_results=a.search_results(spark, sf_dir)).save(root, layout="bucket")
     load = snapshots.load_all(spark, root)
-    sizes = {"instruments": load.instruments, "prices": load.prices, "articles": load.articles,
-             "source_weights": load.source_weights}
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n")
-             for k, df in sizes.items()]
+    rows = {"instruments": (load.instruments, "symbol", "shortname"),
+            "search_results": (load.search_results, "symbol || ' ' || bucket_start",
+                               "array_join(articles.link, ' ')"),
+            "prices": (load.prices, "symbol || ' ' || date", "CAST(volume AS STRING)"),
+            "articles": (load.articles, "symbol || ' ' || link", "md5(text)"),
+            "timeline": (load.timeline, "symbol || ' ' || date", "CAST(n_links AS STRING)"),
+            "links": (load.links, "symbol || ' ' || date || ' ' || position", "link"),
+            "source_weights": (load.source_weights, "href", "CAST(n AS STRING)")}
+    parts = [df.selectExpr(f"'{name}' AS name", f"{key} AS key", f"{value} AS value")
+             for name, (df, key, value) in rows.items()]
     return news.concat_articles(*parts)
 
 
@@ -125,7 +161,7 @@ def _(spark, sf_dir):
 
 @_register("A8_page_text")
 def _(spark, sf_dir):
-    return pages.extract_pages(spread(a.table(spark, sf_dir, "pages"), "page_id"))
+    return pages.extract_pages(a.dealt(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 @_register("A9_fetch_buckets")
@@ -154,7 +190,7 @@ def _(spark, sf_dir):
 
 @_register("B4_valid_publications")
 def _(spark, sf_dir):
-    found = news.flatten_articles(a.search_results(spark, sf_dir))
+    found = news.flatten_articles(a.search_results(spark, sf_dir, ("link", "published")))
     return news.valid_publications(found).select("symbol", "link", "date")
 
 
@@ -229,8 +265,7 @@ def _(spark, sf_dir):
 
 @_register("C2_instrument_history")
 def _(spark, sf_dir):
-    histories = news.history_sizes(a.search_results(spark, sf_dir))
-    return (a.instruments(spark, sf_dir).join(histories, "symbol")
+    return (news.with_history_size(a.instruments(spark, sf_dir), a.search_results(spark, sf_dir, ("link",)))
             .select("symbol", "shortname", "n_groups"))
 
 
@@ -272,8 +307,7 @@ def _(spark, sf_dir):
 
 @_register("D1_links_per_day")
 def _(spark, sf_dir):
-    return tl.day_links(a.articles(spark, sf_dir)).select(
-        "symbol", "date", "chunk", F.array_join("links", " ").alias("links"))
+    return tl.day_links(a.articles(spark, sf_dir))
 
 
 @_register("D2_document_sentiment")
@@ -365,14 +399,34 @@ def _(spark, sf_dir):
     return tl.drop_duplicate_links(_copies(spark, sf_dir)).select("symbol", "link", "id")
 
 
+def _repeated(spark, sf_dir) -> DataFrame:
+    """Scored articles of which every third comes twice, as from buckets that share a day."""
+    articles = a.scored_articles(spark, sf_dir)
+    return articles.union(articles.where("CAST(id AS BIGINT) % 3 = 0"))
+
+
+@_register("D14_scores_drop_duplicates")
+def _(spark, sf_dir):
+    engine = NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir), _repeated(spark, sf_dir),
+                        duplicates="drop")
+    return engine.score_and_predict().select("symbol", "date", "article_count", "text_score")
+
+
+@_register("D14_scores_keep_duplicates")
+def _(spark, sf_dir):
+    engine = NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir), _repeated(spark, sf_dir),
+                        duplicates="keep")
+    return engine.score_and_predict().select("symbol", "date", "article_count", "text_score")
+
+
 @_register("D15_bucket_counts")
 def _(spark, sf_dir):
-    return news.bucket_counts(a.search_results(spark, sf_dir))
+    return news.bucket_counts(a.search_results(spark, sf_dir, ("link",)))
 
 
 @_register("D15_history_sizes")
 def _(spark, sf_dir):
-    return news.history_sizes(a.search_results(spark, sf_dir))
+    return news.history_sizes(a.search_results(spark, sf_dir, ("link",)))
 
 
 # --- E: windows -----------------------------------------------------------------------------
@@ -446,14 +500,16 @@ def _(spark, sf_dir):
 
 @_register("F4_date_order")
 def _(spark, sf_dir):
-    return reports.date_ordered(tl.trading_days(a.prices(spark, sf_dir)))
+    """The position is what the order of the rows comes to."""
+    ordered = reports.date_ordered(tl.trading_days(a.prices(spark, sf_dir)))
+    return ordering.with_position(ordered, ["symbol"], ["date"])
 
 
 # --- G: set operations ----------------------------------------------------------------------
 
 @_register("G1_flatten_groups")
 def _(spark, sf_dir):
-    return news.flatten_articles(a.search_results(spark, sf_dir)).select(
+    return news.flatten_articles(a.search_results(spark, sf_dir, ("link", "published"))).select(
         "symbol", "bucket_start", "bucket_end", "link", "published")
 
 
@@ -493,13 +549,13 @@ def _(spark, sf_dir):
 @_register("H3_sentence_class")
 def _(spark, sf_dir):
     return _sentences(spark, sf_dir).selectExpr(
-        "doc_id", "pos", f"{s.sentence_class(s.tokens('sentence'))} AS class")
+        "doc_id", "pos", f"{s.sentence_class(s.tokens('sentence'), a.LEXICON)} AS class")
 
 
 @_register("H4_truncated_mean")
 def _(spark, sf_dir):
     classes = (f"transform({s.split_sentences('text')}, "
-               f"sentence -> {s.sentence_class(s.tokens('sentence'))})")
+               f"sentence -> {s.sentence_class(s.tokens('sentence'), a.LEXICON)})")
     return a.table(spark, sf_dir, "documents").selectExpr(
         "doc_id", f"{s.mean_class_score(classes)} AS score")
 
@@ -612,8 +668,7 @@ def _(spark, sf_dir):
 
 @_register("K1_build_timeline")
 def _(spark, sf_dir):
-    rows = _engine(spark, sf_dir, a.articles).timeline()
-    return rows.withColumn("links", F.array_join("links", " "))
+    return _engine(spark, sf_dir, a.articles).timeline()
 
 
 @_register("K2_score_and_predict")
@@ -641,24 +696,32 @@ def _(spark, sf_dir):
     return _rounded(_engine(spark, sf_dir).analyze_covs(), reports.COVARIANCES)
 
 
+@_register("K46_analyze_sweep")
+def _(spark, sf_dir):
+    return _rounded(_engine(spark, sf_dir).analyze_sweep(),
+                    [*reports.ACCURACIES, *reports.COVARIANCES])
+
+
 @_register("K7_series")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir).series()
+    return ordering.with_position(_engine(spark, sf_dir).series(),
+                                  ["symbol", "window", "series"], ["date"])
 
 
 @_register("K8_corpus_stats")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir, a.articles).corpus_stats()
+    return _some_industries(spark, sf_dir).corpus_stats()
 
 
 @_register("K9_source_weights")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir, a.articles).source_weights()
+    return _some_industries(spark, sf_dir).source_weights()
 
 
 @_register("K10_sample_articles")
 def _(spark, sf_dir):
-    return _engine(spark, sf_dir, a.articles).sample_articles().select("symbol", "date", "link", "title")
+    return _some_industries(spark, sf_dir).sample_articles().select(
+        "symbol", "date", "link", "title")
 
 
 @_register("K11_sentiment_distribution")

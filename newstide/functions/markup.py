@@ -1,41 +1,115 @@
-"""Title and article text of stored web pages, by regular expressions inside the JVM.
+"""Title and article text of stored web pages.
 
-The patterns use no look-around and only ASCII classes, so other engines read them alike.
+Elements nest, so a page is read by a parser and not by patterns: one Arrow UDF over the markup,
+page by page. Character references are decoded by the parser.
 """
 
-from newstide.functions import literal
+import re
+from html.parser import HTMLParser
 
-# Patterns of the parts of a page.
-NOISE = (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-         r"|<nav[^>]*>.*?</nav>|<div class=.ad.[^>]*>.*?</div>")
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-BODY = r"(?is)<article[^>]*>(.*?)</article>"
-LINE_TAG = r"(?i)</?(p|br|h[1-6]|div|li|ul|ol|tr|table|blockquote)([ /][^>]*)?>"
-TAG = r"<[^>]*>"
-BLANKS = r"[ \t\r\f]+"
-LINE_BREAKS = r" *\n[ \n]*"
-EDGES = r"^[ \n]+|[ \n]+\z"
-# Entities in the order they are replaced; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ",
-            "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+import pyarrow as pa
+from pyspark.sql import functions as F, types as T
 
+# Elements that hold no text of the page, those without an end tag, those that stand
+# for a line of their own, and class names of advertisements.
+NOISE = frozenset("script style nav noscript template svg".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+LINES = frozenset("p br h1 h2 h3 h4 h5 h6 div li ul ol tr table blockquote".split())
+AD_CLASSES = frozenset("ad ads advert advertisement sponsored".split())
+# Where the text of a page is looked for, best first.
+BODIES = ("article", "main", "body")
 
-def _replace(text: str, pattern: str, by: str) -> str:
-    return f"regexp_replace({text}, {literal(pattern)}, {literal(by)})"
+PARTS = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
 
+_BLANKS = re.compile(r"[ \t\r\f]+")
+_BREAKS = re.compile(r" *\n[ \n]*")
 
-def _plain(text: str) -> str:
-    text = _replace(_replace(text, LINE_TAG, "\n"), TAG, "")
-    for entity, character in ENTITIES.items():
-        text = f"replace({text}, {literal(entity)}, {literal(character)})"
-    text = _replace(_replace(_replace(text, BLANKS, " "), LINE_BREAKS, "\n"), EDGES, "")
-    return f"nullif({text}, '')"
 
+def tidy(text: str) -> str | None:
+    """Runs of blanks and line breaks made single, ends trimmed; None when nothing is left."""
+    return _BREAKS.sub("\n", _BLANKS.sub(" ", text)).strip(" \n") or None
 
-def page_title(html: str) -> str:
-    return _plain(f"regexp_extract({html}, {literal(TITLE)}, 1)")
 
+class _Page(HTMLParser):
+    """Collects the title and, per kind of body, the text of each outermost element."""
 
-def page_text(html: str) -> str:
-    """Text of the article element; NULL when the page has no complete, non-empty one."""
-    return _plain(f"regexp_extract({_replace(html, NOISE, ' ')}, {literal(BODY)}, 1)")
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.title: list[str] = []
+        self.titled = False
+        self.found: dict[str, list[str]] = {}
+        self.open = dict.fromkeys(BODIES, 0)
+        self.done: set[str] = set()
+        self.in_title = False
+        self.skipped: list[str] = []
+
+    def _put(self, text: str) -> None:
+        for body in BODIES:
+            if self.open[body] and body not in self.done:
+                self.found[body].append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if self.skipped:
+            # what opens inside skipped markup has to close before it ends
+            if tag == self.skipped[0]:
+                self.skipped.append(tag)
+            return
+        classes = set((dict(attrs).get("class") or "").lower().split())
+        if tag in NOISE or tag not in VOID and classes & AD_CLASSES:
+            self._put(" ")
+            self.skipped = [tag]
+            return
+        if tag == "title" and not self.titled and not self.in_title:
+            self.in_title = True
+        if tag in self.open:
+            if not self.open[tag]:
+                self.found.setdefault(tag, [])
+            self.open[tag] += 1
+        if tag in LINES:
+            self._put("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in LINES and not self.skipped:
+            self._put("\n")
+
+    def handle_endtag(self, tag):
+        if self.skipped:
+            if tag == self.skipped[0]:
+                self.skipped.pop()
+            return
+        if tag == "title" and self.in_title:
+            self.in_title, self.titled = False, True
+        if tag in LINES:
+            self._put("\n")
+        if self.open.get(tag):
+            self.open[tag] -= 1
+            if not self.open[tag]:
+                self.done.add(tag)
+
+    def handle_data(self, data):
+        if self.skipped:
+            return
+        if self.in_title:
+            self.title.append(data)
+        else:
+            self._put(data)
+
+
+def read_page(html: str | None) -> tuple[str | None, str | None]:
+    """(title, text) of a page: the text of its first outermost article, else of its main part or
+    body, without scripts, navigation and advertisements. An element that never ends goes to the
+    end of the page."""
+    if html is None:
+        return None, None
+    page = _Page()
+    page.feed(html)
+    page.close()
+    texts = (tidy("".join(page.found[body])) for body in BODIES if body in page.found)
+    return tidy("".join(page.title)), next((text for text in texts if text), None)
+
+
+@F.arrow_udf(PARTS)
+def page_parts(html: pa.Array) -> pa.Array:
+    pages = [read_page(one.as_py()) for one in html]
+    return pa.array([{"title": title, "text": text} for title, text in pages],
+                    pa.struct([("title", pa.string()), ("text", pa.string())]))

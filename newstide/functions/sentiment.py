@@ -4,20 +4,19 @@ A text is cut into sentences, sentences into tokens; a sentence with at least ``
 tokens is valid and gets class 0, 1 or 2 (negative, neutral, positive). The sentiment of the
 text is the mean class times 50, cut to an integer; no valid sentence means NULL.
 
-The default classifier counts words of a small lexicon with array functions, so a document is
-scored where it is read: no shuffle, no Python worker. A trained model plugs in through
-``sentence_classifier``.
+With a lexicon, words are counted with array functions, so a document is scored where it is read: no
+shuffle, no Python worker. A trained model plugs in through ``sentence_classifier``. Neither is
+built in: which words count, or which model, is for the user to say.
 """
 
 from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from newstide.functions import literal
 
-# The default lexicon and the marks that end a sentence or a token.
-DEFAULT_LEXICON = {"the": 1, "and": 1, "for": 1, "of": -1, "to": -1, "in": -1, "a": -1}
+# The marks that end a sentence or a token.
 SENTENCE_END = r"[.!?\n]+"
 TOKEN_END = r"[^a-z]+"
 MIN_TOKENS = 6
@@ -41,10 +40,10 @@ def valid_sentences(text: str, min_tokens: int = MIN_TOKENS) -> str:
     return f"filter({split_sentences(text)}, s -> size({tokens('s')}) >= {min_tokens})"
 
 
-def sentence_class(sentence_tokens: str, lexicon: Mapping[str, int] | None = None) -> str:
+def sentence_class(sentence_tokens: str, lexicon: Mapping[str, int]) -> str:
     """Class of one tokenised sentence by the sign of its summed word polarity."""
     words: dict[int, list[str]] = {}
-    for word, polarity in (DEFAULT_LEXICON if lexicon is None else lexicon).items():
+    for word, polarity in lexicon.items():
         words.setdefault(int(polarity), []).append(literal(word))
     cases = " ".join(f"WHEN word IN ({', '.join(group)}) THEN {polarity}"
                      for polarity, group in words.items())
@@ -60,7 +59,7 @@ def mean_class_score(classes: str) -> str:
             "acc -> CASE WHEN acc.n > 0 THEN 50 * acc.total div acc.n END) AS INT)")
 
 
-def lexicon_sentiment(text: str, lexicon: Mapping[str, int] | None = None,
+def lexicon_sentiment(text: str, lexicon: Mapping[str, int],
                       min_tokens: int = MIN_TOKENS) -> str:
     """Sentiment of a text column in one pass over its sentences."""
     # lower() once per text: no mark of a sentence or token end is a letter
@@ -71,41 +70,53 @@ def lexicon_sentiment(text: str, lexicon: Mapping[str, int] | None = None,
 
 def sentence_classifier(load_model: Callable[[], Callable[[list[str]], list[int]]],
                         sentences_per_call: int = 1024):
-    """Wrap a model as a vectorised UDF from sentences to classes.
+    """Wrap a model as a vectorised UDF from lists of sentences to lists of classes.
 
     ``load_model`` runs once per task and returns a function from a list of sentences to a list
-    of classes of the same length. Documents are scored one after the other, long ones in
-    several calls, so no call sees more than ``sentences_per_call`` sentences.
+    of classes of the same length; another length is an error. The argument is an array of lists,
+    one per channel, so that all channels share the model. The sentences of all documents of an
+    Arrow batch are classified in calls of ``sentences_per_call``, the last one perhaps shorter.
     """
+    lists = pa.list_(pa.list_(pa.int32()))
 
-    @F.pandas_udf("array<int>")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load_model()
 
-        def score(sentences) -> list[int] | None:
-            if sentences is None:
-                return None
+        def score(sentences: list[str]) -> list[int]:
             classes: list[int] = []
             for at in range(0, len(sentences), sentences_per_call):
-                classes.extend(int(c) for c in model(list(sentences[at:at + sentences_per_call])))
+                part = sentences[at:at + sentences_per_call]
+                found = [int(c) for c in model(part)]
+                if len(found) != len(part):
+                    raise ValueError(f"{len(found)} classes for {len(part)} sentences")
+                classes += found
             return classes
 
         for batch in batches:
-            yield pd.Series([score(document) for document in batch], dtype=object)
+            documents = batch.to_pylist()
+            classes = iter(score([s for d in documents for channel in d or [] for s in channel or []]))
+            yield pa.array([None if d is None else [
+                None if channel is None else [next(classes) for _ in channel] for channel in d]
+                for d in documents], lists)
 
     return classify
 
 
 def with_sentiment(articles: DataFrame, lexicon: Mapping[str, int] | None = None,
                    classifier=None, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """Set ``title_sentiment`` and ``text_sentiment``; a missing column scores NULL."""
+    """Set ``title_sentiment`` and ``text_sentiment`` by a lexicon (polarity per word) or a
+    ``sentence_classifier``, one of which has to be given; a missing column scores NULL."""
+    if (lexicon is None) == (classifier is None):
+        raise ValueError("give a lexicon or a classifier")
     articles = articles.drop(*[f"{c}_sentiment" for c in CHANNELS])
     known = [c for c in CHANNELS if c in articles.columns]
     if classifier is None:
         scores = [f"{lexicon_sentiment(c, lexicon, min_tokens)} AS {c}_sentiment" for c in known]
     else:
-        articles = articles.withColumns({
-            f"_{c}_classes": classifier(F.expr(valid_sentences(c, min_tokens))) for c in known})
-        scores = [f"{mean_class_score(f'_{c}_classes')} AS {c}_sentiment" for c in known]
+        sentences = F.array(*[F.expr(valid_sentences(c, min_tokens)) for c in known])
+        articles = articles.withColumn("_classes", classifier(sentences))
+        scores = [f"{mean_class_score(f'_classes[{k}]')} AS {c}_sentiment"
+                  for k, c in enumerate(known)]
     scores += [f"CAST(NULL AS INT) AS {c}_sentiment" for c in CHANNELS if c not in known]
-    return articles.selectExpr("*", *scores).drop(*[f"_{c}_classes" for c in known])
+    return articles.selectExpr("*", *scores).drop("_classes")

@@ -1,5 +1,7 @@
 """Scalar rules: price change, prediction, outcome and small helpers."""
 
+from newstide.functions import literal
+
 # Edges of the neutral score band, of the neutral price move (in percent), the
 # score that stands for "no news", and the length above which an article counts as having text.
 HOLD_LOW, HOLD_HIGH = 45.0, 55.0
@@ -53,14 +55,38 @@ def has_text(text: str) -> str:
     return f"coalesce(length({text}) > {MIN_TEXT_LENGTH}, FALSE)"
 
 
+# An ISO date with or without a time, its offset, and the day name of a feed date.
+ISO_DAY = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+ISO_OFFSET = r":\d{2}(\.\d+)?\s*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\s*$"
+DAY_NAME = r"^\s*[A-Za-z]+,\s*"
+FEED_PATTERNS = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm z",
+                 "d MMM yyyy HH:mm xx")
+
+
+def _in_utc(instant: str) -> str:
+    return f"convert_timezone(current_timezone(), 'UTC', CAST({instant} AS TIMESTAMP_NTZ))"
+
+
 def to_published(published: str) -> str:
-    """Publication time as written, without a zone; NULL when it is not a time."""
-    return f"try_cast({published} AS TIMESTAMP_NTZ)"
+    """Publication time from ISO text or the style of news feeds; NULL when it is neither.
+
+    ISO needs a whole date, so a bare year is no time. A time with a zone or an offset is turned
+    into UTC; one without is taken as written.
+    """
+    zoned = f"try_to_timestamp(regexp_replace(trim({published}), ' *(UTC|GMT)$', 'Z'))"
+    feed_text = f"regexp_replace(trim({published}), {literal(DAY_NAME)}, '')"
+    feed = ", ".join(f"try_to_timestamp({feed_text}, {literal(p)})" for p in FEED_PATTERNS)
+    return (f"CASE WHEN {published} RLIKE {literal(ISO_DAY)} THEN "
+            f"CASE WHEN {published} RLIKE {literal(ISO_OFFSET)} THEN {_in_utc(zoned)} "
+            f"ELSE try_cast({published} AS TIMESTAMP_NTZ) END "
+            f"ELSE {_in_utc(f'coalesce({feed})')} END")
 
 
 def source_host(url: str) -> str:
-    """Host of a URL, the source key of pages that carry no source record."""
-    return f"nullif(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')"
+    """Host of a URL in lower case, without user and port: the source key of pages that carry no
+    source record."""
+    host = literal(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)")
+    return f"nullif(lower(regexp_extract({url}, {host}, 1)), '')"
 
 
 def bucket_of(day: str, start: str, interval_days: int = 28) -> str:

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newstide.functions.signals import has_text
+from newstide.operators.timeline import drop_duplicate_links
 
-# Up to this n Spark cuts each map task's rows to n per symbol before the shuffle.
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Leading hexadecimal digits of the draw by which a symbol is ranked in parts first.
+PART_DIGITS = 2
 
 
 def source_counts(articles: DataFrame) -> DataFrame:
@@ -18,9 +19,10 @@ def distinct_sources(articles: DataFrame) -> DataFrame:
 
 
 def source_weights(articles: DataFrame) -> DataFrame:
-    """(n + total) / total per source. The total is one value, not a window over all sources."""
-    total = articles.agg(F.count("source.href").cast("double")).scalar()
-    return source_counts(articles).withColumn("weight", (F.col("n") + total) / total)
+    """(n + total) / total per source. The total is summed from the counts, in one value."""
+    counts = source_counts(articles)
+    total = counts.agg(F.sum("n").cast("double")).scalar()
+    return counts.withColumn("weight", (F.col("n") + total) / total)
 
 
 def top_sources(articles: DataFrame, k: int = 10) -> DataFrame:
@@ -35,22 +37,25 @@ def corpus_stats(articles: DataFrame) -> DataFrame:
 
 
 def sample_rank(articles: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
-    """The ``n`` articles per symbol that come first in a seeded hash order, with their rank.
+    """(symbol, link, rank) of the ``n`` links per symbol that come first in a seeded hash order.
 
-    A symbol with fewer gives all it has. No task sees a whole hot symbol: for usual n the
-    filter on the rank becomes a group limit before the shuffle; for larger n the symbol is
-    first cut within parts of the hash range.
+    A symbol with fewer gives all it has. Only keys are ranked, in two steps: within the 256 parts
+    of the draw's range first, then what these parts let through. A hot symbol is 256 groups in
+    the first step, and at most 256 n rows in the second, whatever the number of map tasks.
     """
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", "link"))
-    drawn = articles.withColumn("_draw", draw)
+    keys = articles.select("symbol", "link").distinct().withColumn("_draw", draw)
+    part = Window.partitionBy("symbol", F.substring("_draw", 1, PART_DIGITS))
     order = ["_draw", "link"]
-    if n > int(articles.sparkSession.conf.get(GROUP_LIMIT)):
-        part = Window.partitionBy("symbol", F.substring("_draw", 1, 3)).orderBy(*order)
-        drawn = (drawn.withColumn("_rank", F.row_number().over(part))
-                 .where(F.col("_rank") <= n).drop("_rank"))
+    first = (keys.withColumn("_rank", F.row_number().over(part.orderBy(*order)))
+             .where(F.col("_rank") <= n))
     ranked = F.row_number().over(Window.partitionBy("symbol").orderBy(*order))
-    return drawn.withColumn("rank", ranked).where(F.col("rank") <= n).drop("_draw")
+    return (first.withColumn("rank", ranked).where(F.col("rank") <= n)
+            .select("symbol", "link", "rank"))
 
 
 def sample_articles(articles: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
-    return sample_rank(articles, n, seed).drop("rank")
+    """The articles of ``sample_rank``, one per link; whole rows are fetched for these alone."""
+    chosen = sample_rank(articles, n, seed).drop("rank")
+    return drop_duplicate_links(articles.join(chosen, ["symbol", "link"], "left_semi")
+                                .select(*articles.columns))

@@ -6,57 +6,65 @@ from newstide.functions.signals import day_change, nan_to_null
 from newstide.functions.sentiment import CHANNELS
 from newstide.operators.ordering import with_position
 
-# A row holds at most so many links; a day with more continues in further rows.
-LINKS_PER_ROW = 10_000
-
 # What a day's articles come down to; see ``day_sums``.
 COUNTERS = ("n_links", "n_resolved", *(f"{c}_{x}" for c in CHANNELS for x in ("sum", "n")))
 
 
-class DuplicateKeyError(ValueError):
-    """A key that must be unique is not."""
-
-
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:
-    """Strict mode: run the check now and raise on the first violation found."""
-    found = duplicate_keys(df, *keys).head(1)
-    if found:
-        raise DuplicateKeyError(f"duplicate key {found[0].asDict()}")
-    return df
-
+    """``df``, which raises when it is evaluated if a key occurs more than once.
 
-def drop_duplicate_links(articles: DataFrame) -> DataFrame:
-    """Keep one article per (symbol, link): the earliest, then the smallest by its content.
-
-    Copies are merged map-side before the shuffle, so a link with very many copies is no hot key.
+    The check is part of the plan, so that nothing runs while a report is built. It moves the keys
+    only.
     """
-    rest = [c for c in articles.columns if c not in ("symbol", "link", "published")]
-    row = F.struct("published", *rest)
-    return (articles.groupBy("symbol", "link").agg(F.min(row).alias("_row"))
-            .select("symbol", "link", "_row.*").select(*articles.columns))
-
-
-def link_positions(articles: DataFrame) -> DataFrame:
-    """Every (symbol, date, link) with its place in the day's publication order."""
-    slim = articles.select("symbol", "date", "published", "link")
-    return with_position(slim, ["symbol", "date"], ["published", "link"])
+    n = duplicate_keys(df, *keys).agg(F.count("*")).scalar()
+    message = f"duplicate key ({', '.join(keys)}) in so many cases: "
+    return df.where(F.when(n == 0, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit(message), n.cast("string")))))
 
 
-def day_links(articles: DataFrame, links_per_row: int = LINKS_PER_ROW) -> DataFrame:
-    """Links per (symbol, date) in publication order, ``chunk`` 0, 1, ... of bounded length.
+def drop_duplicate_links(articles: DataFrame) -> DataFrame:
+    """Keep one article per (symbol, link): the earliest, then the smallest id, then the smallest
+    SHA-256 of the row as JSON. Rows without a symbol or a link have no key and stay.
 
-    Nearly every day is one row with chunk 0. A day of any size stays whole over its chunks.
+    The survivor is chosen on these few columns, merged map-side, so that a link with very many
+    copies is no hot key and any column type will do. Whole rows are compared with the choice only
+    where a key collides.
     """
-    return (link_positions(articles)
-            .withColumn("chunk", F.expr(f"CAST((position - 1) div {links_per_row} AS INT)"))
-            .groupBy("symbol", "date", "chunk")
-            .agg(F.expr("transform(array_sort(collect_list(struct(position, link))), x -> x.link)"
-                        " AS links")))
+    row = F.struct(*articles.columns)
+    slim = ["published", *(["id"] if "id" in articles.columns else [])]
+    marked = articles.select("symbol", "link", row.alias("_row"), F.struct(
+        *slim, F.sha2(F.to_json(row), 256).alias("digest")).alias("_order"))
+    first = (marked.groupBy("symbol", "link")
+             .agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
+    joined = marked.join(first, ["symbol", "link"], "left")
+    chosen = (joined.where(F.col("_order").eqNullSafe(F.col("_first")))
+              .groupBy("symbol", "link").agg(F.first("_row").alias("_row")))
+    return joined.where("_n IS NULL").select("_row.*").union(chosen.select("_row.*"))
+
+
+def unique_links(articles: DataFrame, duplicates: str = "error") -> DataFrame:
+    """Articles under a policy for links that a symbol has more than once: 'error' raises when the
+    result is evaluated, 'drop' keeps one of them, 'keep' lets each count."""
+    policies = {"error": lambda: require_unique(articles, "symbol", "link"),
+                "drop": lambda: drop_duplicate_links(articles), "keep": lambda: articles}
+    if duplicates not in policies:
+        raise ValueError(f"duplicates must be 'error', 'drop' or 'keep', not {duplicates!r}")
+    return policies[duplicates]()
+
+
+def day_links(articles: DataFrame) -> DataFrame:
+    """Every (symbol, date, position, link): the links of a day in publication order, from 1.
+
+    One row per link, so a day of any size is just many rows.
+    """
+    slim = articles.select("symbol", "date", "published", "link")
+    return (with_position(slim, ["symbol", "date"], ["published", "link"])
+            .select("symbol", "date", "position", "link"))
 
 
 def day_sums(articles: DataFrame) -> DataFrame:
@@ -87,28 +95,20 @@ def count_timeline(prices: DataFrame, articles: DataFrame) -> DataFrame:
                         *[f"coalesce({c}, 0) AS {c}" for c in COUNTERS]))
 
 
-def build_timeline(prices: DataFrame, articles: DataFrame, strict: bool = False,
-                   links_per_row: int = LINKS_PER_ROW) -> DataFrame:
-    """Timeline with the links of each day (NULL without news).
-
-    One row per (symbol, date), apart from days with more than ``links_per_row`` links: these
-    have a row per ``chunk``. The chunk is in the join key, so a hot day is a spread-out join.
-    """
-    if strict:
-        require_unique(articles, "symbol", "link")
+def build_timeline(prices: DataFrame, articles: DataFrame) -> DataFrame:
+    """Exactly one row per (symbol, price day), with the day's number of links; ``day_links`` has
+    the links themselves under the same key."""
     counts = (articles.where("date IS NOT NULL").groupBy("symbol", "date")
               .agg(F.count("*").alias("n_links")))
-    last_chunk = f"CAST((greatest(n_links, 1) - 1) div {links_per_row} AS INT)"
-    rows = (trading_days(prices).join(counts, ["symbol", "date"], "left")
-            .na.fill(0, ["n_links"])
-            .selectExpr("*", f"explode(sequence(0, {last_chunk})) AS chunk"))
-    return (rows.join(day_links(articles, links_per_row), ["symbol", "date", "chunk"], "left")
-            .select("symbol", "date", "chunk", "open", "close", "links", "change", "n_links"))
+    return (trading_days(prices).join(counts, ["symbol", "date"], "left").na.fill(0, ["n_links"])
+            .select("symbol", "date", "open", "close", "change", "n_links"))
 
 
 def link_articles(timeline: DataFrame, articles: DataFrame) -> DataFrame:
-    """Resolve each link of a timeline to its article; unresolved links drop out."""
-    links = timeline.selectExpr("symbol", "date", "explode(links) AS link")
-    found = articles.selectExpr("symbol", "link", "source.href AS href",
+    """The articles of the timeline's days, resolved to source and sentiments.
+
+    A join on the day, which is what a link stands under: copies of a link stay as many as they are.
+    """
+    found = articles.selectExpr("symbol", "date", "link", "source.href AS href",
                                 *[f"{c}_sentiment" for c in CHANNELS])
-    return links.join(found, ["symbol", "link"])
+    return found.join(timeline.select("symbol", "date"), ["symbol", "date"])

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newstide.operators import corpus
 from newstide.operators.scoring import (DEFAULT_WINDOW, DEFAULT_WINDOWS, FILL_LIMIT,
                                         score_and_predict)
-from newstide.operators.timeline import build_timeline, count_timeline
+from newstide.operators.timeline import (build_timeline, count_timeline, day_links,
+                                         unique_links)
 from newstide.plans import reports
 from newstide.sources.prices import keep_symbols
 from newstide.sources.snapshots import load_all, write_csv, write_snapshot
@@ -16,17 +17,26 @@ from newstide.sources.snapshots import load_all, write_csv, write_snapshot
 class NewsEngine:
     """``articles`` carry sentiments (``functions.sentiment.with_sentiment`` adds them).
 
-    All methods are lazy but ``save``, ``save_sample`` and ``timeline``, which writes the link
+    Prices and articles are cut to the engine's symbols, for all reports. ``duplicates`` says what
+    happens when a symbol has the same link twice: 'error' (the default) makes every report on
+    articles fail when it is evaluated, 'drop' keeps one article of each link, 'keep' counts all.
+
+    All methods are lazy but ``save`` and ``save_sample``, and ``links``, which writes the link
     positions to the shared folder. Reports take a single window or many; with ``symbols``
     they are limited to these. To run several reports on one scoring, keep
-    ``scored = engine.score_and_predict(windows=...).persist()`` and use ``plans.reports``.
+    ``scored = engine.score_and_predict(windows=...).persist()`` and use ``plans.reports``;
+    ``analyze_sweep`` makes both industry reports in one pass.
     """
 
     def __init__(self, symbols: DataFrame, prices: DataFrame, articles: DataFrame,
-                 null_policy: str = "poison", fill: str = "lookback", limit: int = FILL_LIMIT):
+                 null_policy: str = "poison", fill: str = "lookback", limit: int = FILL_LIMIT,
+                 duplicates: str = "error", instruments: DataFrame | None = None,
+                 search_results: DataFrame | None = None):
         self.symbols = symbols
         self.prices = keep_symbols(prices, symbols)
-        self.articles = articles
+        self.articles = unique_links(keep_symbols(articles, symbols), duplicates)
+        self.instruments = instruments
+        self.search_results = search_results
         self.rules = {"null_policy": null_policy, "fill": fill, "limit": limit}
 
     @classmethod
@@ -35,15 +45,20 @@ class NewsEngine:
         saved = load_all(spark, root)
         if saved.prices is None or saved.articles is None:
             raise FileNotFoundError(f"no snapshot of prices and articles under {root}")
-        return cls(symbols, saved.prices, saved.articles, **rules)
+        return cls(symbols, saved.prices, saved.articles, instruments=saved.instruments,
+                   search_results=saved.search_results, **rules)
 
     def _only(self, df: DataFrame, symbols: Iterable[str] | None) -> DataFrame:
         return df if symbols is None else df.where(F.col("symbol").isin(list(symbols)))
 
-    def timeline(self, symbols: Iterable[str] | None = None, strict: bool = False) -> DataFrame:
+    def timeline(self, symbols: Iterable[str] | None = None) -> DataFrame:
+        """One row per symbol and price day."""
         symbols = None if symbols is None else list(symbols)
-        return build_timeline(self._only(self.prices, symbols),
-                              self._only(self.articles, symbols), strict)
+        return build_timeline(self._only(self.prices, symbols), self._only(self.articles, symbols))
+
+    def links(self, symbols: Iterable[str] | None = None) -> DataFrame:
+        """The links of every day in publication order, one row per link."""
+        return day_links(self._only(self.articles, symbols))
 
     def score_and_predict(self, symbols: Iterable[str] | None = None,
                           windows: Sequence[int] = (DEFAULT_WINDOW,)) -> DataFrame:
@@ -66,6 +81,10 @@ class NewsEngine:
     def analyze_covs(self, windows: Sequence[int] = DEFAULT_WINDOWS) -> DataFrame:
         return reports.industry_covariance(self.score_and_predict(windows=windows), self.symbols)
 
+    def analyze_sweep(self, windows: Sequence[int] = DEFAULT_WINDOWS) -> DataFrame:
+        """``analyze_accuracies`` and ``analyze_covs`` side by side, scored once."""
+        return reports.industry_sweep(self.score_and_predict(windows=windows), self.symbols)
+
     def series(self, symbols: Iterable[str] | None = None,
                window: int = DEFAULT_WINDOW) -> DataFrame:
         return reports.series(self.score_and_predict(symbols, [window]))
@@ -91,6 +110,9 @@ class NewsEngine:
 
     def save(self, root: str, layout: str = "symbol") -> None:
         """Snapshot the tables, so that a later session reads scored articles."""
-        write_snapshot(self.prices, root, "prices", layout)
-        write_snapshot(self.articles, root, "articles", layout)
-        write_snapshot(self.timeline(), root, "timeline", layout)
+        tables = {"instruments": self.instruments, "search_results": self.search_results,
+                  "prices": self.prices, "articles": self.articles, "timeline": self.timeline(),
+                  "links": self.links()}
+        for name, df in tables.items():
+            if df is not None:
+                write_snapshot(df, root, name, layout)

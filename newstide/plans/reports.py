@@ -19,8 +19,7 @@ SERIES = ("open", "title_score", "text_score")
 HISTOGRAM_BINS = 10
 
 
-def correct_counts(scored: DataFrame) -> DataFrame:
-    """Per (symbol, window), channel and class: days predicted and days right."""
+def _counters() -> list[str]:
     counters = []
     for c in CHANNELS:
         for name, label in CLASSES.items():
@@ -28,37 +27,65 @@ def correct_counts(scored: DataFrame) -> DataFrame:
             counters += [f"count_if({hit}) AS {c}_{name}_n",
                          f"count_if({hit} AND {c}_result = 1) AS {c}_{name}_correct"]
         counters.append(f"count_if({has_prediction(f'{c}_prediction')}) AS {c}_n")
-    return scored.groupBy("symbol", "window").agg(*[F.expr(counter) for counter in counters])
+    return counters
 
 
-def accuracy(scored: DataFrame) -> DataFrame:
-    """Eight accuracies per (symbol, window); a class never predicted has accuracy 0."""
+def _covariances() -> list[str]:
+    return [f"covar_samp(10 * {x}, {y}) AS {name}" for name, (x, y) in COVARIANCES.items()]
+
+
+def _ratios() -> list[str]:
     ratios = []
     for c in CHANNELS:
         ratios += [f"{safe_ratio(f'{c}_{k}_correct', f'{c}_{k}_n')} AS {c}_{k}_accuracy"
                    for k in CLASSES]
         right = "(" + " + ".join(f"{c}_{k}_correct" for k in CLASSES) + ")"
         ratios.append(f"{safe_ratio(right, f'{c}_n')} AS {c}_accuracy")
-    return correct_counts(scored).selectExpr("symbol", "window", *ratios)
+    return ratios
+
+
+def _means() -> list[str]:
+    return [f"avg({a}) AS {a}" for a in ACCURACIES]
+
+
+def _sums() -> list[str]:
+    return [f"CASE WHEN count({c}) = count(*) THEN sum({c}) END AS {c}" for c in COVARIANCES]
+
+
+def _per(df: DataFrame, keys: tuple[str, ...], measures: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(measure) for measure in measures])
+
+
+def correct_counts(scored: DataFrame) -> DataFrame:
+    """Per (symbol, window), channel and class: days predicted and days right."""
+    return _per(scored, ("symbol", "window"), _counters())
+
+
+def accuracy(scored: DataFrame) -> DataFrame:
+    """Eight accuracies per (symbol, window); a class never predicted has accuracy 0."""
+    return correct_counts(scored).selectExpr("symbol", "window", *_ratios())
 
 
 def industry_accuracy(scored: DataFrame, symbols: DataFrame) -> DataFrame:
     """Unweighted mean of the symbols' accuracies per (industry, window)."""
-    return (accuracy(scored).join(symbols, "symbol").groupBy("industry", "window")
-            .agg(*[F.expr(f"avg({a}) AS {a}") for a in ACCURACIES]))
+    return _per(accuracy(scored).join(symbols, "symbol"), ("industry", "window"), _means())
 
 
 def covariance(scored: DataFrame) -> DataFrame:
     """Sample covariances per (symbol, window); NULL with fewer than two usable days."""
-    return scored.groupBy("symbol", "window").agg(
-        *[F.expr(f"covar_samp(10 * {x}, {y}) AS {name}") for name, (x, y) in COVARIANCES.items()])
+    return _per(scored, ("symbol", "window"), _covariances())
 
 
 def industry_covariance(scored: DataFrame, symbols: DataFrame) -> DataFrame:
     """Sum of the symbols' covariances; NULL as soon as one of them is."""
-    return (covariance(scored).join(symbols, "symbol").groupBy("industry", "window")
-            .agg(*[F.expr(f"CASE WHEN count({c}) = count(*) THEN sum({c}) END AS {c}")
-                   for c in COVARIANCES]))
+    return _per(covariance(scored).join(symbols, "symbol"), ("industry", "window"), _sums())
+
+
+def industry_sweep(scored: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Accuracies and covariances per (industry, window) from one pass over the scored days."""
+    both = (_per(scored, ("symbol", "window"), _counters() + _covariances())
+            .selectExpr("symbol", "window", *_ratios(), *COVARIANCES))
+    return _per(both.join(symbols, "symbol"), ("industry", "window"), _means() + _sums())
 
 
 def series(scored: DataFrame) -> DataFrame:

@@ -60,3 +60,23 @@ ARTICLES = T.StructType([
     T.StructField("title_sentiment", T.IntegerType()),
     T.StructField("text_sentiment", T.IntegerType()),
 ])
+
+TIMELINE = T.StructType([
+    T.StructField("symbol", T.StringType()),
+    T.StructField("date", T.DateType()),
+    T.StructField("open", T.DoubleType()),
+    T.StructField("close", T.DoubleType()),
+    T.StructField("change", T.DoubleType()),
+    T.StructField("n_links", T.LongType()),
+])
+
+LINKS = T.StructType([
+    T.StructField("symbol", T.StringType()),
+    T.StructField("date", T.DateType()),
+    T.StructField("position", T.LongType()),
+    T.StructField("link", T.StringType()),
+])
+
+# What a snapshot of that name holds.
+TABLES = {"instruments": INSTRUMENTS, "search_results": SEARCH_RESULTS, "prices": PRICES,
+          "articles": ARTICLES, "timeline": TIMELINE, "links": LINKS}

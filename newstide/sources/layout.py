@@ -1,34 +1,46 @@
 """Where data may be put, and how a scan is laid out."""
 
-import functools
+import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TABLES: dict[str, SparkSession] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors share one machine, gets a temporary folder
-    when the setting is absent.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or what was given to
+    ``SparkContext.setCheckpointDir``. Without one there is no place for intermediate tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_dir()
+    return named
 
 
-@functools.cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="newstide-")
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of this session; what is written there goes when Python ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if not _TABLES:
+        atexit.register(remove_tables)
+    _TABLES[path] = spark
+    return path
 
 
-def new_table_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table; what was to be read from it is void."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def remove_tables() -> None:
+    """Delete all intermediate tables of this session."""
+    for path, spark in list(_TABLES.items()):
+        try:
+            remove_table(spark, path)
+        except Exception:  # at the end the JVM may be gone, and with it the way to the folder
+            pass
+        del _TABLES[path]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,13 +54,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a narrow scan over the cores before costly per-row work.
+def spread(scan: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Deal the rows of a narrow scan over ``parts`` tasks before costly per-row work.
 
-    A table of one file with one row group is read by one task whatever its size. Such a scan
-    has few partitions, so moving it is cheap; a scan with enough of them is left as it is.
+    For a table of few files with one row group each, which few tasks read whatever its size. The
+    caller knows its files; nothing is moved unless this is called.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(2 * cores, *keys)
+    return scan.repartition(parts, *keys)

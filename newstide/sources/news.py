@@ -61,6 +61,11 @@ def history_sizes(search_results: DataFrame) -> DataFrame:
     return search_results.groupBy("symbol").agg(F.count("*").alias("n_groups"))
 
 
+def with_history_size(instruments: DataFrame, search_results: DataFrame) -> DataFrame:
+    """Every instrument that has responses, with their number (``n_groups``)."""
+    return instruments.join(history_sizes(search_results), "symbol")
+
+
 def fetch_buckets(ranges: DataFrame, interval_days: int = 28) -> DataFrame:
     """Tile [start_date, end_date) with buckets; the last may reach beyond the end."""
     step = f"make_dt_interval({interval_days})"

@@ -1,13 +1,13 @@
 """Stored web pages as articles."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from newstide.functions.markup import page_text, page_title
+from newstide.functions.markup import page_parts
 from newstide.functions.signals import source_host
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Replace the markup by ``href``, ``title`` and ``text``; other columns pass through."""
-    return pages.selectExpr(
-        "*", f"{source_host(url)} AS href", f"{page_title(html)} AS title",
-        f"{page_text(html)} AS text").drop(html)
+    return (pages.withColumn("_parts", page_parts(html))
+            .selectExpr("*", f"{source_host(url)} AS href", "_parts.title", "_parts.text")
+            .drop(html, "_parts"))

@@ -40,15 +40,20 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 
 def read_prices(spark: SparkSession, path: str, fmt: str = "parquet", start=None, end=None,
-                symbols: DataFrame | None = None, **options) -> DataFrame:
+                symbols: DataFrame | None = None, wide: bool = False, **options) -> DataFrame:
     """Price scan, cut to [start, end] and to ``symbols``, without incomplete rows.
 
+    ``wide`` reads tables with a column per ticker and field (``unpivot_prices``); their columns
+    are what the file has, so their names are read from it.
+
     A table has one row per (symbol, date); ``operators.timeline.duplicate_keys`` checks it.
     """
     if fmt == "csv":
         options = {"header": True, **options}
-    prices = date_slice(
-        spark.read.format(fmt).schema(schemas.PRICES).options(**options).load(path), start, end)
+    reader = spark.read.format(fmt).options(**options)
+    stored = (unpivot_prices(reader.load(path)) if wide
+              else reader.schema(schemas.PRICES).load(path))
+    prices = date_slice(stored, start, end)
     if symbols is not None:
         prices = keep_symbols(prices, symbols)
     return drop_incomplete(prices)

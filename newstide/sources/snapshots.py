@@ -4,7 +4,9 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from newstide import schemas
 from newstide.operators.corpus import source_weights
 
 PART = "part"
@@ -18,29 +20,55 @@ def _parts(symbol: Column) -> dict[str, Column]:
             "bucket": F.concat(F.lit("bucket_"), bucket.cast("string"))}
 
 
+def _layout_of(spark: SparkSession, path: str) -> str | None:
+    """Layout of a stored table, from its directories; None when there is none or it has no parts."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    first = stored.select(PART).first() if PART in stored.columns else None
+    return None if first is None else first[0].split("_", 1)[0]
+
+
 def write_snapshot(df: DataFrame, root: str, name: str, layout: str = "symbol") -> None:
     """Write table ``name``.
 
-    ``layout="symbol"`` makes one directory per symbol and replaces the symbols in ``df`` only.
+    ``layout="symbol"`` makes one directory per symbol and replaces the symbols in ``df`` only. As
+    it leaves other symbols in place, it refuses a table that is stored in buckets.
     ``layout="bucket"`` hashes the symbols into a fixed number of directories, for more symbols
-    than a file listing should hold, and replaces the table. A table without symbols is plain.
-    Rebalancing lets AQE split the files of a hot symbol and merge those of small ones.
+    than a file listing should hold, and replaces the table, whatever its layout was. A table
+    without symbols is plain. Rebalancing lets AQE split the files of a hot symbol and merge those
+    of small ones; each file is sorted by symbol and date, so that a reader of one symbol skips
+    most of a bucket.
     """
     path = f"{root.rstrip('/')}/{name}"
     if "symbol" not in df.columns:
         df.write.mode("overwrite").parquet(path)
         return
+    if layout == "symbol" and _layout_of(df.sparkSession, path) == "bucket":
+        raise ValueError(f"{path} is stored in buckets; write it with layout='bucket'")
     overwrite = "dynamic" if layout == "symbol" else "static"
+    order = [PART, "symbol", *(c for c in ("date", "bucket_start") if c in df.columns)]
     (df.withColumn(PART, _parts(F.col("symbol"))[layout]).hint("rebalance", PART)
+     .sortWithinPartitions(*order)
      .write.mode("overwrite").option("partitionOverwriteMode", overwrite)
      .partitionBy(PART).parquet(path))
 
 
-def read_snapshot(spark: SparkSession, root: str, name: str,
-                  symbol: str | None = None) -> DataFrame | None:
-    """Table ``name``, or one symbol of it from its directory; None when there is no such table."""
+def read_snapshot(spark: SparkSession, root: str, name: str, symbol: str | None = None,
+                  schema: StructType | None = None) -> DataFrame | None:
+    """Table ``name``, or one symbol of it from its directory; None when there is no such table.
+
+    The columns are those of ``schema``, by default of the known table of that name; an absent
+    column is NULL. Nothing is inferred but for tables of other names.
+    """
+    schema = schema or schemas.TABLES.get(name)
+    reader = spark.read if schema is None else spark.read.schema(
+        StructType([*schema, StructField(PART, StringType())]))
     try:
-        df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
+        df = reader.parquet(f"{root.rstrip('/')}/{name}")
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -61,12 +89,13 @@ class Snapshot:
     prices: DataFrame | None
     articles: DataFrame | None
     timeline: DataFrame | None
+    links: DataFrame | None
     source_weights: DataFrame | None
 
 
 def load_all(spark: SparkSession, root: str) -> Snapshot:
     tables = {name: read_snapshot(spark, root, name)
-              for name in ("instruments", "search_results", "prices", "articles", "timeline")}
+              for name in schemas.TABLES}
     articles = tables["articles"]
     return Snapshot(**tables, source_weights=None if articles is None else source_weights(articles))
 

@@ -3,13 +3,16 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.errors.exceptions.captured import SparkRuntimeException
+
 from newstide import NewsEngine, schemas
 from newstide.functions.sentiment import with_sentiment
-from newstide.operators.timeline import drop_duplicate_links
 from newstide.sources import news, prices as px
 
 GOOD = "the day was good for the company and the market."
 BAD = "a loss of a lot in a day to regret."
+LEXICON = {"the": 1, "and": 1, "for": 1, "of": -1, "to": -1, "in": -1, "a": -1}
 NEUTRAL = "shares closed with little change today."
 
 
@@ -40,15 +43,20 @@ def test_files_to_reports(spark, tmp_path):
     prices = px.read_prices(spark, str(tmp_path / "prices.csv"), "csv", start=start, symbols=symbols)
     found = news.flatten_articles(
         news.read_search_results(spark, str(tmp_path / "responses"), multi_line=True))
-    articles = with_sentiment(news.project_articles(news.valid_publications(found)))
+    articles = with_sentiment(news.project_articles(news.valid_publications(found)),
+                              lexicon=LEXICON)
     assert articles.schema == schemas.ARTICLES
-    articles = drop_duplicate_links(articles)
-    engine = NewsEngine(symbols, prices, articles)
+    # both buckets hold the same articles, which is an error unless something is done about it
+    with pytest.raises(SparkRuntimeException, match="duplicate key"):
+        NewsEngine(symbols, prices, articles).corpus_stats().collect()
+    engine = NewsEngine(symbols, prices, articles, duplicates="drop")
 
-    timeline = {(r.symbol, r.date): r for r in engine.timeline(strict=True).collect()}
+    timeline = {(r.symbol, r.date): r for r in engine.timeline().collect()}
     assert len(timeline) == 2 * len(days) - 1
     assert ("BP", days[3]) not in timeline
-    assert len(timeline["BP", days[0]].links) == 2 and timeline["BP", days[1]].links is None
+    assert (timeline["BP", days[0]].n_links, timeline["BP", days[1]].n_links) == (2, 0)
+    assert sorted((r.symbol, r.position) for r in engine.links().collect()) == [
+        ("BP", 1), ("BP", 2), ("XOM", 1), ("XOM", 2)]
     assert (timeline["BP", days[0]].change, timeline["XOM", days[0]].change) == (1.0, -1.0)
 
     # w = 3 sees the news for seven days from its own, and three more by the fill

@@ -1,8 +1,10 @@
 """Edge cases of the scalar rules, with hand-computed expectations."""
 
 import pytest
+from pyspark.errors.exceptions.captured import PythonException
 from pyspark.sql import functions as F
 
+from newstide.catalog.adapters import LEXICON
 from newstide.functions import literal, markup, sentiment as s, signals as g
 from newstide.sources.pages import extract_pages
 
@@ -80,7 +82,7 @@ FIVE, SIX = "one two three four five", "the two three four five six"
     # digits and accents end tokens
     ("a1b c d e f", 0), ("thé b c d", None)])
 def test_lexicon_sentiment(spark, text, expected):
-    got = values(spark, "t STRING", [(text,)], s.lexicon_sentiment("t"))
+    got = values(spark, "t STRING", [(text,)], s.lexicon_sentiment("t", LEXICON))
     assert got == [(expected,)]
 
 
@@ -99,25 +101,71 @@ def test_many_words_of_a_lexicon(spark):
 
 def test_with_sentiment_of_missing_channels(spark):
     df = spark.createDataFrame([(SIX,)], "title STRING")
-    assert s.with_sentiment(df).collect()[0].asDict() == {
+    assert s.with_sentiment(df, lexicon=LEXICON).collect()[0].asDict() == {
         "title": SIX, "title_sentiment": 100, "text_sentiment": None}
+    with pytest.raises(ValueError):
+        s.with_sentiment(df)
+
 
+def test_model_hook_is_called_with_full_chunks(spark, tmp_path):
+    """Sentences of all documents and both channels fill the calls; the model is loaded once."""
+    log = str(tmp_path / "calls")
 
-def test_model_hook_sees_valid_sentences_in_bounded_calls(spark):
     def load():
         def model(sentences):
-            assert 0 < len(sentences) <= 2
+            with open(log, "a") as file:
+                file.write(f"{len(sentences)}\n")
             return [2 if "GOOD" in x else 0 for x in sentences]
         return model
 
-    classifier = s.sentence_classifier(load, sentences_per_call=2)
+    classifier = s.sentence_classifier(load, sentences_per_call=4)
     good, bad = "GOOD b c d e f", "b c d e f g"
-    rows = [(None, good), ("", ".".join([good, good, bad, "too short", bad, good])), (bad, "x")]
-    df = s.with_sentiment(spark.createDataFrame(rows, "title STRING, text STRING"),
+    rows = [(None, good), ("", ".".join([good, good, bad, "too short", bad, good])), (bad, "x"),
+            (good, None)]
+    df = s.with_sentiment(spark.createDataFrame(rows, "title STRING, text STRING").coalesce(1),
                           classifier=classifier)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r.title_sentiment, r.text_sentiment) for r in df.collect()] == [
-        (None, 100), (None, 60), (0, None)]
+        (None, 100), (None, 60), (0, None), (100, None)]
     assert df.columns == ["title", "text", "title_sentiment", "text_sentiment"]
+    with open(log) as file:
+        assert file.read().split() == ["4", "4"]
+
+
+def test_model_hook_refuses_another_number_of_classes(spark):
+    classifier = s.sentence_classifier(lambda: lambda sentences: [1])
+    df = spark.createDataFrame([("a b c d e f. a b c d e f",)], "text STRING")
+    with pytest.raises(PythonException, match="1 classes for 2 sentences"):
+        s.with_sentiment(df, classifier=classifier).collect()
+
+
+@pytest.mark.parametrize("written, expected", [
+    ("2015-01-02 08:00:00", "2015-01-02 08:00"), ("2015-01-02", "2015-01-02 00:00"),
+    ("2015-1-2", "2015-01-02 00:00"), ("2015-01-02T08:00:00Z", "2015-01-02 08:00"),
+    ("2015-01-02T08:00:00+02:00", "2015-01-02 06:00"), ("2015-01-02 23:30:00-0100", None),
+    ("2015-01-02 08:00:00 GMT", "2015-01-02 08:00"), ("2015-01-02T08:00:00.25-05:30", "2015-01-02 13:30"),
+    ("Fri, 02 Jan 2015 08:00:00 GMT", "2015-01-02 08:00"), ("2 Jan 2015 08:00:00 +0130", "2015-01-02 06:30"),
+    ("Fri, 2 Jan 2015 23:30:00 -0100", "2015-01-03 00:30"), ("Friday, 02 Jan 2015 08:00 UTC", "2015-01-02 08:00"),
+    ("Fri, 02 Jan 2015 08:00:00 EST", "2015-01-02 13:00"), ("2015", None), ("2015-01", None),
+    ("Sat sometime", None), ("Fri, 32 Jan 2015 08:00:00 GMT", None), ("", None), (None, None)])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_publication_times(spark, written, expected, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = values(spark, "t STRING", [(written,)], g.to_published("t"))[0][0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if written == "2015-01-02 23:30:00-0100":  # an offset without a colon is ISO basic style
+        assert got is None or f"{got:%Y-%m-%d %H:%M}" == "2015-01-03 00:30"
+    else:
+        assert (None if got is None else f"{got:%Y-%m-%d %H:%M}") == expected
+
+
+@pytest.mark.parametrize("url, host", [
+    ("https://user:pw@Host.com/x", "host.com"), ("http://EXAMPLE.com:80?q", "example.com"),
+    ("http://a@b@c.org#f", "c.org"), ("ftp://h", "h"), ("no scheme", None), ("http:///x", None), (None, None)])
+def test_source_host(spark, url, host):
+    assert values(spark, "u STRING", [(url,)], g.source_host("u")) == [(host,)]
 
 
 def test_literal(spark):
@@ -136,12 +184,22 @@ def test_extract_pages(spark):
     rows = [(1, "https://a.example.com/1", PAGE), (2, "https://a.example.com/2", "<article>cut"),
             (3, "bad", None), (4, "http://b.example.com", "<title>t</title><article> </article>")]
     got = extract_pages(spark.createDataFrame(rows, "page_id INT, url STRING, html STRING"))
+    assert got.columns == ["page_id", "url", "href", "title", "text"]
     assert [(r.href, r.title, r.text) for r in got.orderBy("page_id").collect()] == [
-        ("a.example.com", "Up & down", "Head\nOne bold word <tag> &lt;\nkept\nlast line"),
-        ("a.example.com", None, None), (None, None, None), ("b.example.com", "t", None)]
-
-
-def test_patterns_have_no_lookaround():
-    for name in ("NOISE", "TITLE", "BODY", "LINE_TAG", "TAG", "BLANKS", "LINE_BREAKS", "EDGES"):
-        pattern = getattr(markup, name)
-        assert not any(mark in pattern for mark in ("(?=", "(?!", "(?<"))
+        ("a.example.com", "Up & down", "Head\nOne bold\u00a0word <tag> &lt;\nkept\nlast line"),
+        ("a.example.com", None, "cut"), (None, None, None), ("b.example.com", "t", None)]
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article>a<div class='ad'>x<div>y</div>z</div>b</article>", "a b"),
+    ("<article>one<article>two</article>three</article><article>next</article>", "onetwothree"),
+    ("<article>&eacute; &#8217; &mdash; &#x1F389; &amp;lt; &unknown;</article>", "é ’ — 🎉 &lt; &unknown;"),
+    ("<body><p>no article</p><nav>menu</nav></body>", "no article"),
+    ("<body>around<main>inner</main></body>", "inner"),
+    ("<body>text<article></article></body>", "text"),
+    ("<article>a<img class='ad' src='x'>b<br>c<hr/>d</article>", "ab\ncd"),
+    ("<article>a</p></div>b", "a\n\nb".replace("\n\n", "\n")),
+    ("<article><script>if (a < b) '</article>'</script>kept</article>", "kept"),
+    ("no markup at all", None), ("", None)])
+def test_page_text(html, text):
+    assert markup.read_page(html)[1] == text

@@ -134,9 +134,11 @@ def test_timeline_keeps_price_days_and_drops_weekend_news(spark):
     articles = articles_of(spark, [("a", 0, "z", "s", 1, 1), ("a", 0, "y", "s", 1, 1),
                                    ("a", 5, "weekend", "s", 1, 1), ("c", 0, "other", "s", 1, 1)])
     got = tl.build_timeline(prices, articles).orderBy("symbol", "date").collect()
-    assert [(r.symbol, r.date, r.links, r.change, r.n_links) for r in got] == [
-        ("a", day(0), ["y", "z"], 10.0, 2), ("a", day(1), None, None, 0),
-        ("b", day(0), None, -25.0, 0)]
+    assert [(r.symbol, r.date, r.change, r.n_links) for r in got] == [
+        ("a", day(0), 10.0, 2), ("a", day(1), None, 0), ("b", day(0), -25.0, 0)]
+    links = tl.day_links(articles).where("symbol = 'a'").orderBy("date", "position").collect()
+    assert [(r.date, r.position, r.link) for r in links] == [
+        (day(0), 1, "y"), (day(0), 2, "z"), (day(5), 1, "weekend")]
 
 
 def test_nan_prices_become_null(spark):
@@ -150,13 +152,9 @@ def test_duplicate_links(spark):
                                    ("b", 2, "l", "s", 3, 3)])
     assert [tuple(r) for r in tl.duplicate_keys(articles, "symbol", "link").collect()] == [
         ("a", "l", 2)]
-    prices = prices_of(spark, [("a", 2, 1.0, 1.0)])
-    with pytest.raises(tl.DuplicateKeyError):
-        tl.build_timeline(prices, articles, strict=True)
     kept = tl.drop_duplicate_links(articles)
     assert kept.columns == articles.columns
     assert sorted((r.symbol, r.text_sentiment) for r in kept.collect()) == [("a", 2), ("b", 3)]
-    tl.build_timeline(prices, kept, strict=True)
 
 
 @pytest.fixture(scope="module")
@@ -200,6 +198,24 @@ def test_industry_accuracy_is_the_mean_of_ratios(engine):
     assert set(got) == {("x", 3), ("y", 3), ("x", 15), ("y", 15)}
 
 
+def test_sweep_is_both_reports(engine):
+    sweep = {(r.industry, r.window): r.asDict() for r in engine.analyze_sweep([3, 7]).collect()}
+    for one in (engine.analyze_accuracies([3, 7]), engine.analyze_covs([3, 7])):
+        for r in one.collect():
+            for name, value in r.asDict().items():
+                assert sweep[r.industry, r.window][name] == pytest.approx(value), name
+
+
+def test_reports_on_articles_keep_to_the_symbols(spark):
+    """The engine of symbol a knows nothing of the articles of zzz."""
+    articles = articles_of(spark, [("a", 0, "l1", "s", 1, 1), ("zzz", 0, "l2", "t", 1, 1)])
+    engine = NewsEngine(spark.createDataFrame([("x", "a"), ("y", "a")], schemas.SYMBOLS),
+                        prices_of(spark, [("a", 0, 1.0, 1.0)]), articles)
+    assert tuple(engine.corpus_stats().first()) == (1, 0, 1)
+    assert [r.href for r in engine.source_weights().collect()] == ["s"]
+    assert [r.link for r in engine.sample_articles().collect()] == ["l1"]
+
+
 def test_covariance(engine):
     got = {r.symbol: r for r in engine.analyze_cov(window=3).collect()}
     change, title = [10.0, 0.0, -10.0, 20.0], [80.0, 80.0, 40.0, 40.0]

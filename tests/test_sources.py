@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from newstide import NewsEngine, schemas
 from newstide.operators.corpus import corpus_stats, top_sources
 from newstide.sources import news, prices as px, snapshots
-from newstide.sources.layout import new_table_path, shared_dir
+from newstide.sources.layout import new_table_path, remove_table, shared_dir, written
 
 D = dt.date
 
@@ -153,6 +154,63 @@ def test_snapshot_replaces_only_the_written_symbols(spark, prices, tmp_path):
     assert got == [("7", 1)] + [(s, d) for s in ("QCOM", "QCOM.A") for d in (1, 2, 3, 4)]
 
 
+@pytest.mark.parametrize("name", ["prices", "unknown"])
+def test_layout_changes_never_double_rows(spark, prices, name, tmp_path):
+    root = str(tmp_path)
+    snapshots.write_snapshot(prices, root, name, "symbol")
+    snapshots.write_snapshot(prices, root, name, "bucket")
+    assert snapshots.read_snapshot(spark, root, name).count() == 12
+    assert snapshots.read_snapshot(spark, root, name, "7").count() == 4
+    # writing single symbols would leave the others behind in their buckets
+    with pytest.raises(ValueError):
+        snapshots.write_snapshot(prices.where("symbol = '7'"), root, name, "symbol")
+    assert snapshots.read_snapshot(spark, root, name).count() == 12
+
+
+def test_bucket_files_are_sorted(spark, tmp_path):
+    rows = [(f"s{i % 300}", D(2024, 1, 1) + dt.timedelta(i % 17), 1.0, 1.0, 1.0, 1.0, i)
+            for i in range(3000)]
+    snapshots.write_snapshot(spark.createDataFrame(rows, schemas.PRICES).repartition(8),
+                             str(tmp_path), "prices", "bucket")
+    for path in (tmp_path / "prices").rglob("*.parquet"):
+        found = [(r.symbol, r.date) for r in spark.read.parquet(str(path)).collect()]
+        assert found == sorted(found)
+
+
+def test_stored_schema_is_not_inferred(spark, tmp_path):
+    """An older file without a column and with another one reads as the table's schema."""
+    old = spark.createDataFrame([("a", D(2024, 1, 1), 1.0, "x")],
+                                "symbol STRING, date DATE, open DOUBLE, other STRING")
+    snapshots.write_snapshot(old, str(tmp_path), "prices")
+    got = snapshots.read_snapshot(spark, str(tmp_path), "prices")
+    assert got.columns == schemas.PRICES.names
+    assert tuple(got.first()) == ("a", D(2024, 1, 1), 1.0, None, None, None, None)
+
+
+def test_instruments_and_responses_are_saved(spark, prices, tmp_path):
+    symbols = px.symbol_dimension(spark, {"i": ["QCOM", "7"]})
+    instruments = spark.createDataFrame([("QCOM", "t", "Qualcomm", {"k": "v"})], schemas.INSTRUMENTS)
+    article = ("1", "t", "l1", "2015-01-03", ("h", "H"), "x")
+    responses = spark.createDataFrame([("QCOM", D(2015, 1, 1), D(2015, 1, 29), [article])],
+                                      schemas.SEARCH_RESULTS)
+    engine = NewsEngine(symbols, prices, spark.createDataFrame([], schemas.ARTICLES),
+                        instruments=instruments, search_results=responses)
+    engine.save(str(tmp_path))
+    again = NewsEngine.load(spark, str(tmp_path), symbols)
+    assert again.instruments.collect() == instruments.collect()
+    assert again.search_results.collect() == responses.collect()
+    sizes = news.with_history_size(again.instruments, again.search_results).collect()
+    assert [(r.symbol, r.n_groups) for r in sizes] == [("QCOM", 1)]
+
+
+def test_wide_price_files(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text(
+        "Date,A|Open,A|High,A|Low,A|Close,A|Volume,B|Open\n"
+        "2024-01-02,1,2,0.5,1.5,10,\n2024-01-03,3,4,2.5,3.5,20,9\n")
+    got = px.read_prices(spark, str(tmp_path / "wide.csv"), "csv", start="2024-01-03", wide=True)
+    assert [tuple(r) for r in got.collect()] == [("A", D(2024, 1, 3), 3.0, 4.0, 2.5, 3.5, 20)]
+
+
 def test_full_load_and_engine_save(spark, prices, tmp_path):
     articles = spark.createDataFrame(
         [("QCOM", dt.datetime(2024, 1, 2), D(2024, 1, 2), "t", f"l{i}", (f"h{i % 2}", "H"), str(i),
@@ -163,7 +221,9 @@ def test_full_load_and_engine_save(spark, prices, tmp_path):
     load = snapshots.load_all(spark, str(tmp_path))
     assert load.instruments is None and load.search_results is None
     assert load.prices.count() == 8 and load.articles.count() == 5
-    assert load.timeline.where("links IS NOT NULL").first().links == [f"l{i}" for i in range(5)]
+    assert {r.date.day: r.n_links for r in load.timeline.where("symbol = 'QCOM'").collect()} == {
+        1: 0, 2: 5, 3: 0, 4: 0}
+    assert [r.link for r in load.links.orderBy("position").collect()] == [f"l{i}" for i in range(5)]
     assert {(r.href, r.n, r.weight) for r in load.source_weights.collect()} == {
         ("h0", 3, 1.6), ("h1", 2, 1.4)}
     again = NewsEngine.load(spark, str(tmp_path), symbols)
@@ -193,21 +253,39 @@ def test_shared_dir_is_the_named_one(spark):
 
 
 class Session:
-    """A session without spark.checkpoint.dir."""
+    """A session without a shared folder."""
+
+    class sparkContext:
+        master = "local[8]"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    conf: dict[str, str] = {}
+
+
+def test_without_a_shared_folder_there_is_none():
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
 
-    def __init__(self, master):
-        self.conf = {"spark.master": master}
 
+def test_folder_of_the_context_counts():
+    class Given(Session):
+        class sparkContext(Session.sparkContext):
+            @staticmethod
+            def getCheckpointDir():
+                return "hdfs:/shared"
 
-def test_no_local_folder_on_a_cluster():
-    for master in ("yarn", "spark://host:7077", "k8s://https://host"):
-        with pytest.raises(RuntimeError):
-            shared_dir(Session(master))
+    assert shared_dir(Given()) == "hdfs:/shared"
 
 
-def test_one_local_folder_on_a_local_master():
-    made = shared_dir(Session("local[8]"))
-    assert made == shared_dir(Session("local[*]"))
+def test_intermediate_tables_are_removed(spark):
+    kept = written(spark.range(3).toDF("id"), "gone")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and kept.count() == 3
+    remove_table(spark, path)
+    assert not os.path.exists(path)
 
 
 def test_drop_incomplete_and_slice(spark):

@@ -6,7 +6,6 @@ serve as instruments.
 """
 
 import functools
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,15 +32,6 @@ LEXICON = {"the": 1, "and": 1, "for": 1, "of": -1, "to": -1, "in": -1, "a": -1}
 _N_SYMBOLS: dict[tuple[str, str], int] = {}
 
 
-def ensure_shared_dir(spark: SparkSession) -> None:
-    """Give a local session without ``spark.checkpoint.dir`` a folder for intermediate tables."""
-    context = spark.sparkContext
-    local = context.master == "local" or context.master.startswith("local[")
-    if (local and not spark.conf.get("spark.checkpoint.dir", None)
-            and not context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="newstide-"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

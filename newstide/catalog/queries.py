@@ -11,7 +11,7 @@ from newstide.operators import corpus, ordering, scoring, timeline as tl
 from newstide.plans import reports
 from newstide.plans.engine import NewsEngine
 from newstide.sources import news, pages, prices as px, snapshots
-from newstide.sources.layout import new_table_path
+from newstide.sources.layout import ensure_shared_dir, new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +24,7 @@ def _register(name: str):
 
     def add(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            a.ensure_shared_dir(spark)
+            ensure_shared_dir(spark)
             df = build(spark, sf_dir)
             days = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
             return df.withColumns({d: F.col(d).cast("string") for d in days}) if days else df

@@ -2,6 +2,7 @@
 
 import atexit
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Give a session on one machine a folder for intermediate tables where none is set.
+
+    For registered queries and tests, which have to run in any session; on a cluster it does nothing.
+    """
+    context = spark.sparkContext
+    local = context.master == "local" or context.master.startswith("local[")
+    if local and not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="newstide-"))
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path for a table of this session; what is written there goes when Python ends."""
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

@@ -10,13 +10,15 @@ columns; the last one gives their places in training sequences.
 * packing: every document gets its place; nothing is cut off.
 """
 
+import functools
+
 from newstide.llm.common import table
 from newstide.llm.exact_dedup import drop_exact_duplicates
 from newstide.llm.packing import pack
 from newstide.llm.secrets import redact_secrets
 from newstide.llm.simhash import drop_near_duplicates
 from newstide.llm.toxicity import drop_toxic
-from newstide.sources.layout import written
+from newstide.sources.layout import ensure_shared_dir, written
 
 
 def toxicity(spark, docs, sf_dir):
@@ -39,8 +41,16 @@ def packing(spark, docs, sf_dir):
     return pack(docs)
 
 
-STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash", simhash),
-          ("secrets", secrets), ("packing", packing)]
+def _stage(stage):
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        ensure_shared_dir(spark)
+        return stage(spark, docs, sf_dir)
+
+    return stage.__name__, run
+
+
+STAGES = [_stage(stage) for stage in (toxicity, exact_dedup, simhash, secrets, packing)]
 
 # Trained and iterative stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -48,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """Places in training sequences of what is left of ``documents`` after all stages."""
+    ensure_shared_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -1,5 +1,7 @@
 """Registered queries of this folder, each over its whole table, and their SQL where it exists."""
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from newstide.llm.simhash import near_duplicates
 from newstide.llm.token_counts import count_tokens
 from newstide.llm.toxicity import score_toxicity
 from newstide.llm.url_filter import filter_urls
+from newstide.sources.layout import ensure_shared_dir
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -64,7 +67,16 @@ def op10_token_counts(spark, sf_dir):
                         public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {query.__name__: query for query in (
+def _registered(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ensure_shared_dir(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {query.__name__: _registered(query) for query in (
     op1_secret_scan, op2_byte_bpe, op3_exact_dedup, op4_url_filter, op5_toxicity,
     op6_quality_rules, op7_best_fit_packing, op8_hilbert_sharding, op9_simhash_near_dedup,
     op10_token_counts)}

@@ -51,13 +51,6 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -CLIP, CLIP)))
 
 
-def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and feature of every entry."""
-    sizes = [len(r) for r in rows]
-    cells = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(rows)), sizes), cells
-
-
 @dataclass(frozen=True)
 class Link:
     """One classifier: weights by feature, weights of earlier log odds, intercept."""
@@ -72,6 +65,24 @@ class Link:
         return float(np.clip(total + sum(get(f, 0.0) for f in found.tolist()), -CLIP, CLIP))
 
 
+def _chosen(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The features most unevenly spread over the classes, by chi-square, best first.
+
+    Each row has a feature once, so counting needs two small arrays and no list of all entries.
+    """
+    seen, hits = np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.int32)
+    for row, positive in zip(rows, y):
+        seen[row] += 1
+        if positive:
+            hits[row] += 1
+    n, share = len(y), y.mean()
+    often = np.nonzero((seen >= LEAST_ROWS) & (seen < n))[0]
+    count = seen[often].astype(float)
+    chi2 = (hits[often] - count * share) ** 2 * n / (count * (n - count) * share * (1 - share))
+    order = np.argsort(-chi2, kind="stable")[:SELECTED]
+    return often[order[chi2[order] >= LEAST_CHI2]]
+
+
 def fit_link(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link:
     """Logistic regression with L2 penalty on features chosen by chi-square.
 
@@ -82,21 +93,14 @@ def fit_link(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link
     intercept = math.log(share / (1 - share))
     if not 0 < positive < n:
         return Link({}, [0.0] * earlier.shape[1], intercept)
-    at, cell = _matrix(rows)
-    seen = np.bincount(cell, minlength=FEATURES).astype(float)
-    hits = np.bincount(cell, weights=y[at], minlength=FEATURES)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = (hits - seen * positive / n) ** 2 * n * n / (
-            seen * (n - seen) * (positive / n) * (n - positive))
-    chi2 = np.where((seen >= LEAST_ROWS) & (seen < n), np.nan_to_num(chi2), 0.0)
-    best = np.argsort(-chi2, kind="stable")[:SELECTED]
-    best = best[chi2[best] >= LEAST_CHI2]
-    number = np.full(FEATURES, -1)
+    best = _chosen(rows, y)
+    number = np.full(FEATURES, -1, np.int32)
     number[best] = np.arange(len(best))
-    used = number[cell] >= 0
     # rows by chosen features, earlier odds and a constant: sample_rows x SELECTED at most
-    x = np.zeros((n, len(best) + earlier.shape[1] + 1))
-    x[at[used], number[cell[used]]] = 1
+    x = np.zeros((n, len(best) + earlier.shape[1] + 1), np.float32)
+    for i, row in enumerate(rows):
+        at = number[row]
+        x[i, at[at >= 0]] = 1
     x[:, len(best):-1] = earlier
     x[:, -1] = 1
     w = _newton(x, y, intercept)
@@ -118,7 +122,7 @@ def _newton(x: np.ndarray, y: np.ndarray, intercept: float) -> np.ndarray:
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        curve = (x * (p * (1 - p)).astype(x.dtype)[:, None]).T @ x + np.diag(penalty)
         move, step = np.linalg.solve(curve, slope), 1.0
         while (then := loss(w - step * move)) > now and step > 1e-3:
             step /= 2
@@ -191,7 +195,7 @@ def _fold_fitter(category: str, earlier: list[str]):
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         model = group["_model"].iloc[0]
         out = group["_fold"].to_numpy() == model
-        rows = [np.asarray(r, np.int64) for r in group["found"]]
+        rows = list(group["found"])
         before = group[earlier].to_numpy(float).reshape(len(group), len(earlier))
         link = fit_link([r for r, o in zip(rows, out) if not o], before[~out],
                         group[category].to_numpy(float)[~out])

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from newstide.llm.common import BLANK_RUN, id_and_text
+from newstide.llm.common import id_and_text
 from newstide.operators.ordering import with_position
 
 # Permitted lengths in words; each document is followed by one end mark.

@@ -5,12 +5,17 @@ marks whose further inputs are the log odds of the categories before it. For tra
 out-of-fold: a document's come from a model that did not see it, so that a later link learns how
 far an earlier one can be trusted.
 
+Every feature of two or more sampled rows is in the fit. Its column is scaled by how unevenly it is
+spread over the classes (the log ratio of its smoothed shares), so that the L2 penalty holds common
+words back and lets rare telling ones through, at any number of labels.
+
 The models are fitted on a bounded sample of the labelled rows (``sample_rows``, those first in a
 hash order of their ids). Every fold of a link is a task of its own and sees that sample only. All
-documents are judged where they are read, whole, with the weights as a small table.
+documents are judged where they are read, whole, with the weights as two arrays.
 """
 
 import math
+import pickle
 import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -24,11 +29,14 @@ from newstide.sources.layout import written
 
 # Categories of the labels table in the order of the chain. The last decides.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
-# Bounds of the fit: labelled rows, folds, hashed features, and features per link.
-SAMPLE_ROWS, FOLDS, FEATURES, SELECTED = 20_000, 3, 1 << 22, 400
-# A feature is used when it occurs so often and is so unevenly spread over the classes.
-LEAST_ROWS, LEAST_CHI2 = 6, 60.0
-ROUNDS, L2, TOLERANCE = 25, 0.2, 1e-4
+# Bounds of the fit: labelled rows, folds, hashed features.
+SAMPLE_ROWS, FOLDS, FEATURES = 20_000, 3, 1 << 22
+# A feature of a single row says nothing about others. SMOOTHING is added to its rows of each class.
+LEAST_ROWS, SMOOTHING = 2, 1.0
+# Penalties of scaled features and of earlier odds; Newton steps, steps of the solver in each.
+L2, L2_EARLIER, ROUNDS, SOLVER_ROUNDS, TOLERANCE = 2.0, 0.2, 25, 40, 1e-4
+# Entries of the sparse table that a pass has as numbers at a time.
+BLOCK = 1 << 20
 CLIP = 12.0
 
 BEGINNINGS = (6, 4)
@@ -51,22 +59,37 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -CLIP, CLIP)))
 
 
+class Weights:
+    """Weights by feature, as arrays in the order of the features."""
+
+    def __init__(self, at: np.ndarray = (), value: np.ndarray = ()):
+        self.at, self.value = np.asarray(at, np.int32), np.asarray(value, np.float32)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def total(self, found: np.ndarray) -> float:
+        if not len(self) or not len(found):
+            return 0.0
+        place = np.minimum(np.searchsorted(self.at, found), len(self) - 1)
+        return float(self.value[place][self.at[place] == found].sum(dtype=float))
+
+
 @dataclass(frozen=True)
 class Link:
     """One classifier: weights by feature, weights of earlier log odds, intercept."""
 
-    weights: dict[int, float]
+    weights: Weights
     earlier: list[float]
     intercept: float
 
     def odds(self, found: np.ndarray, earlier: list[float]) -> float:
-        get = self.weights.get
         total = self.intercept + sum(w * x for w, x in zip(self.earlier, earlier))
-        return float(np.clip(total + sum(get(f, 0.0) for f in found.tolist()), -CLIP, CLIP))
+        return float(np.clip(total + self.weights.total(found), -CLIP, CLIP))
 
 
-def _chosen(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The features most unevenly spread over the classes, by chi-square, best first.
+def _used(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of ``LEAST_ROWS`` rows and more, in order, and the scale of each.
 
     Each row has a feature once, so counting needs two small arrays and no list of all entries.
     """
@@ -75,16 +98,50 @@ def _chosen(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         seen[row] += 1
         if positive:
             hits[row] += 1
-    n, share = len(y), y.mean()
-    often = np.nonzero((seen >= LEAST_ROWS) & (seen < n))[0]
-    count = seen[often].astype(float)
-    chi2 = (hits[often] - count * share) ** 2 * n / (count * (n - count) * share * (1 - share))
-    order = np.argsort(-chi2, kind="stable")[:SELECTED]
-    return often[order[chi2[order] >= LEAST_CHI2]]
+    used = np.nonzero(seen >= LEAST_ROWS)[0]
+    hits, misses, n = hits[used], seen[used] - hits[used], y.sum()
+    return used, np.abs(np.log((hits + SMOOTHING) / (n + 2 * SMOOTHING))
+                        - np.log((misses + SMOOTHING) / (len(y) - n + 2 * SMOOTHING)))
+
+
+class _Table:
+    """Rows by scaled features, earlier odds and a constant: the features sparse, by row."""
+
+    def __init__(self, rows: list[np.ndarray], used: np.ndarray, scale: np.ndarray,
+                 earlier: np.ndarray):
+        number = np.full(FEATURES, -1, np.int32)
+        number[used] = np.arange(len(used))
+        places = [at[at >= 0] for at in (number[row] for row in rows)]
+        self.sizes = np.array([len(at) for at in places])
+        self.at = np.concatenate(places)
+        self.scale, self.features = scale, len(used)
+        self.dense = np.column_stack([earlier, np.ones(len(rows))])
+        self.blocks, start, begin = [], 0, 0
+        ends = np.cumsum(self.sizes)
+        while start < len(rows):
+            stop = max(int(np.searchsorted(ends, begin + BLOCK, "right")), start + 1)
+            self.blocks.append((start, stop, begin, int(ends[stop - 1])))
+            start, begin = stop, int(ends[stop - 1])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """A number per row."""
+        scaled, out = w[:self.features] * self.scale, self.dense @ w[self.features:]
+        for start, stop, begin, end in self.blocks:
+            row = np.repeat(np.arange(stop - start), self.sizes[start:stop])
+            out[start:stop] += np.bincount(row, scaled[self.at[begin:end]], stop - start)
+        return out
+
+    def back(self, g: np.ndarray, power: int = 1) -> np.ndarray:
+        """A number per column, of the entries raised to ``power``."""
+        out = np.zeros(self.features)
+        for start, stop, begin, end in self.blocks:
+            out += np.bincount(self.at[begin:end], np.repeat(g[start:stop], self.sizes[start:stop]),
+                               self.features)
+        return np.concatenate([out * self.scale ** power, g @ self.dense ** power])
 
 
 def fit_link(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link:
-    """Logistic regression with L2 penalty on features chosen by chi-square.
+    """Logistic regression with L2 penalty on all features of two or more rows, scaled.
 
     Without both classes the link predicts the smoothed share of its class and nothing else.
     """
@@ -92,46 +149,58 @@ def fit_link(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link
     share = (positive + 0.5) / (n + 1)
     intercept = math.log(share / (1 - share))
     if not 0 < positive < n:
-        return Link({}, [0.0] * earlier.shape[1], intercept)
-    best = _chosen(rows, y)
-    number = np.full(FEATURES, -1, np.int32)
-    number[best] = np.arange(len(best))
-    # rows by chosen features, earlier odds and a constant: sample_rows x SELECTED at most
-    x = np.zeros((n, len(best) + earlier.shape[1] + 1), np.float32)
-    for i, row in enumerate(rows):
-        at = number[row]
-        x[i, at[at >= 0]] = 1
-    x[:, len(best):-1] = earlier
-    x[:, -1] = 1
-    w = _newton(x, y, intercept)
-    return Link(dict(zip(best.tolist(), w.tolist())), w[len(best):-1].tolist(), float(w[-1]))
-
-
-def _newton(x: np.ndarray, y: np.ndarray, intercept: float) -> np.ndarray:
+        return Link(Weights(), [0.0] * earlier.shape[1], intercept)
+    used, scale = _used(rows, y)
+    w = _newton(_Table(rows, used, scale, earlier), y, intercept)
+    return Link(Weights(used, w[:len(used)] * scale), w[len(used):-1].tolist(), float(w[-1]))
+
+
+def _newton(x: _Table, y: np.ndarray, intercept: float) -> np.ndarray:
     """Weights of least penalised log loss; the constant in the last column is not penalised."""
-    penalty = np.full(x.shape[1], L2)
+    penalty = np.full(x.features + x.dense.shape[1], L2)
+    penalty[x.features:] = L2_EARLIER
     penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(penalty))
     w[-1] = intercept
 
-    def loss(w):
-        margin = x @ w
+    def loss(margin, w):
         return np.logaddexp(0, margin).sum() - y @ margin + penalty @ w ** 2 / 2
 
-    now = loss(w)
+    margin = x.times(w)
+    now = loss(margin, w)
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p)).astype(x.dtype)[:, None]).T @ x + np.diag(penalty)
-        move, step = np.linalg.solve(curve, slope), 1.0
-        while (then := loss(w - step * move)) > now and step > 1e-3:
+        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        slope, curve = x.back(p - y) + penalty * w, p * (1 - p)
+        move = _solved(lambda v: x.back(curve * x.times(v)) + penalty * v, slope,
+                       x.back(curve, 2) + penalty)
+        along, step = x.times(move), 1.0
+        while (then := loss(margin - step * along, w - step * move)) > now and step > 1e-3:
             step /= 2
-        w, before, now = w - step * move, now, min(then, now)
+        if then > now:
+            break
+        w, margin, before, now = w - step * move, margin - step * along, now, then
         if before - now < TOLERANCE * max(before, 1e-9):
             break
     return w
 
 
+def _solved(times, slope: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Conjugate gradients for times(x) = slope, scaled by the diagonal, to a twentieth."""
+    x, rest = np.zeros(len(slope)), slope.copy()
+    scaled = rest / diagonal
+    way, size = scaled, rest @ scaled
+    first = size
+    for _ in range(SOLVER_ROUNDS):
+        if size <= first * 0.0025:
+            break
+        turned = times(way)
+        x, rest = x + size / (way @ turned) * way, rest - size / (way @ turned) * turned
+        scaled = rest / diagonal
+        size, before = rest @ scaled, size
+        way = scaled + size / before * way
+    return x
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str], id_col: str,
               text_col: str, sample_rows: int) -> DataFrame:
     """The sample: id, fold, features and one 0/1 column per category.
@@ -164,13 +233,11 @@ class Chain:
     threshold: float
 
     def odds(self, text: bytes) -> tuple[list[float], bool]:
-        """Log odds per category, and the verdict: a text with no feature that the last link
-        knows has nothing toxic in it."""
+        """Log odds per category, and the verdict of the last."""
         found, odds = features(text), []
         for link in self.links.values():
             odds.append(link.odds(found, odds))
-        known = any(f in link.weights for f in found.tolist())
-        return odds, known and odds[-1] > self.threshold
+        return odds, odds[-1] > self.threshold
 
 
 def _best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
@@ -190,7 +257,7 @@ def _best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
 def _fold_fitter(category: str, earlier: list[str]):
     """Fit of one group: model ``_model`` leaves that fold out and predicts it; the last sees all.
 
-    Gives a row per prediction (``_id``) and, from the last model, one per weight (``part``).
+    Gives a row per prediction (``_id``) and, from the last model, one with the ``link``.
     """
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         model = group["_model"].iloc[0]
@@ -201,13 +268,10 @@ def _fold_fitter(category: str, earlier: list[str]):
                         group[category].to_numpy(float)[~out])
         odds = [link.odds(r, b.tolist()) for r, b, o in zip(rows, before, out) if o]
         ids = group["_id"].to_numpy()[out]
-        weights = ([("w", k, w) for k, w in link.weights.items()]
-                   + [("v", i, w) for i, w in enumerate(link.earlier)]
-                   + [("b", 0, link.intercept)]) if model == FOLDS else []
-        return pd.DataFrame({"_id": pd.Series([*ids, *[None] * len(weights)], dtype=object),
-                             "part": pd.Series([None] * len(ids) + [w[0] for w in weights], dtype=object),
-                             "at": [0] * len(ids) + [w[1] for w in weights],
-                             "value": odds + [w[2] for w in weights]})
+        last = [pickle.dumps(link)] if model == FOLDS else []
+        return pd.DataFrame({"_id": pd.Series([*ids, *[None] * len(last)], dtype=object),
+                             "value": odds + [None] * len(last),
+                             "link": pd.Series([None] * len(ids) + last, dtype=object)})
 
     return fit
 
@@ -225,14 +289,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str]
         fitted = written(
             sample.withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
             .groupBy("_model").applyInPandas(
-                fit, f"_id {kind}, part string, at bigint, value double"), "link")
-        # bounded by SELECTED weights
-        parts = fitted.where("part IS NOT NULL").collect()
-        links[category] = Link({r["at"]: r["value"] for r in parts if r["part"] == "w"},
-                               [r["value"] for r in sorted(parts, key=lambda r: r["at"])
-                                if r["part"] == "v"],
-                               next((r["value"] for r in parts if r["part"] == "b"), -CLIP))
-        odds = fitted.where("part IS NULL").select("_id", F.col("value").alias(f"_odds_{category}"))
+                fit, f"_id {kind}, value double, link binary"), "link")
+        # a row of two arrays, bounded by the features of the sample
+        last = fitted.where("link IS NOT NULL").first()
+        links[category] = (pickle.loads(last["link"]) if last
+                           else Link(Weights(), [0.0] * len(earlier), -CLIP))
+        odds = fitted.where("link IS NULL").select("_id", F.col("value").alias(f"_odds_{category}"))
         sample = written(sample.join(odds, "_id"), "sample")
         earlier.append(f"_odds_{category}")
     # bounded by sample_rows
@@ -259,9 +321,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: Mapping[str,
                    sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, p_<category> per category, toxic, kept.
 
-    Null and empty texts have no features, get the chain's base probabilities and are not toxic.
-    Repeated rows are
-    judged each; an empty table gives an empty result. Without usable labels nothing is toxic.
+    Null and empty texts have no features and get the chain's base odds. Repeated rows are judged
+    each; an empty table gives an empty result. Without usable labels nothing is toxic.
     """
     chain = fit_chain(docs, labels, categories, id_col, text_col, sample_rows)
     return (docs.select(docs[id_col].alias("doc_id"), _judge(chain, docs[text_col]).alias("_r"))

@@ -97,3 +97,37 @@ def test_sample_is_bounded(spark):
     labels = labels_of(spark, [(i, 1, i % 2) for i in range(60)])
     sample = toxicity._labelled(docs, labels, toxicity.CATEGORIES, "doc_id", "text", 25)
     assert sample.count() == 25
+
+
+def test_words_of_few_labelled_rows_count(spark):
+    """11 of 87 labelled rows are toxic, each by one of four words."""
+    r, bad = np.random.default_rng(4), ["idiot", "clown", "moron", "scum"]
+    common = ["".join(r.choice(list("abcdefghij"), 5)) for _ in range(60)]
+
+    def text(*more):
+        return " ".join([*r.choice(common, 25), *more])
+    rows = [(i, text(*([bad[i % 4]] if i < 11 else []))) for i in range(87)]
+    rows += [(1000 + i, text(bad[i % 4])) for i in range(40)] + [(2000 + i, text()) for i in range(40)]
+    got = toxicity.score_toxicity(docs_of(spark, rows),
+                                  labels_of(spark, [(i, 1, int(i < 11)) for i in range(87)])).collect()
+    assert sum(r.toxic for r in got if 1000 <= r.doc_id < 2000) > 30
+    assert sum(r.toxic for r in got if r.doc_id >= 2000) < 5
+
+
+def test_earlier_link_can_decide():
+    """A text without any feature of the last link is judged by the odds of the one before."""
+    found = toxicity.features(b"filth")
+    first = toxicity.Link(toxicity.Weights(found[:1], [6.0]), [], -3.0)
+    chain = toxicity.Chain({"low": first, "toxic": toxicity.Link(toxicity.Weights(), [1.0], 0.0)}, 0.0)
+    assert chain.odds(b"filth")[1] and not chain.odds(b"fine")[1]
+
+
+def test_held_out_recall_of_each_language(spark, corpus):
+    docs, labels = corpus
+    scored = toxicity.score_toxicity(docs, labels.where("doc_id % 2 = 0")).select("doc_id", "toxic")
+    rows = (scored.join(labels.where("doc_id % 2 = 1 AND toxic = 1").select("doc_id"), "doc_id")
+            .join(docs.select("doc_id", "lang"), "doc_id").collect())
+    # 16 rows of the fitted half are Spanish and toxic
+    for lang, least in {"en": 0.9, "de": 0.9, "fr": 0.9, "es": 0.5}.items():
+        said = [r.toxic for r in rows if r.lang == lang]
+        assert sum(said) / len(said) > least, lang

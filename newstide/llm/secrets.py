@@ -10,6 +10,7 @@ A document is judged by itself where it is read; nothing is shuffled.
 """
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -56,8 +57,9 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])"
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 NEAR, AROUND = 64, 512
 # Bytes the candidate has to add per byte of its own to be reported: for its first bytes, where the
-# compressor cannot save on an alphabet, and for the rest.
-NOVELTY, FIRST_BYTES, NOVELTY_BEYOND = 0.92, 40, 0.55
+# compressor cannot save on an alphabet, and for the rest. From CODED_BYTES on it codes by alphabet:
+# what random text over the candidate's own symbols takes, and a table of TABLE_BYTES, is enough.
+NOVELTY, FIRST_BYTES, NOVELTY_BEYOND, CODED_BYTES, TABLE_BYTES = 0.92, 40, 0.55, 64, 12
 
 Span = tuple[int, int, str]
 
@@ -106,8 +108,10 @@ class Novelty:
 
     def is_novel(self, value: str, around: str) -> bool:
         first = min(len(value), FIRST_BYTES)
-        return self.bytes_added(value, around) >= (
-            NOVELTY * first + NOVELTY_BEYOND * (len(value) - first))
+        least = NOVELTY * first + NOVELTY_BEYOND * (len(value) - first)
+        if len(value) >= CODED_BYTES:
+            least = min(least, TABLE_BYTES + len(value) * math.log2(len(set(value))) / 8)
+        return self.bytes_added(value, around) >= least
 
 
 def novel_spans(text: str, known: Iterable[Span], novelty: Novelty) -> list[Span]:

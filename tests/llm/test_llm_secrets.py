@@ -93,3 +93,16 @@ def test_redaction(spark):
         None: ("a [hex] b [hex]", 15)}
     again = secrets.redact_secrets(got)
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+
+
+def test_random_strings_of_small_alphabets_at_any_length():
+    novelty, r = secrets.Novelty(), random.Random(3)
+    for symbols in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for length in (16, 32, 40, 63, 64, 96, 128, 256, 512):
+            keys = ["".join(r.choices(symbols, k=length)) for _ in range(50)]
+            found = sum(novelty.is_novel(key, "client.connect(host, bearer , timeout)") for key in keys)
+            assert found >= 48, (symbols, length, found)
+    names = [w for w in secrets.IDENTIFIERS.split() if w.isalpha()]
+    for length in (64, 100, 200):
+        names_joined = [("1_" + "_".join(r.choices(names, k=60)))[:length] for _ in range(50)]
+        assert sum(novelty.is_novel(n, "bearer there") for n in names_joined) <= 2, length

@@ -1,7 +1,7 @@
 """Secret scan: base patterns and dictionary-primed zstandard novelty.
 
-The base patterns find assignments, access keys and hexadecimal strings. Beyond them, every long
-string of letters and digits that stands near a sensitive word is a candidate. A compressor primed
+The base patterns find assignments, access keys and hexadecimal strings. Beyond them, every run
+of 12 and more characters without blanks and quotes that stands near a sensitive word is a candidate. A compressor primed
 with a dictionary of identifiers and with the text around the candidate measures how many bytes the
 candidate adds: names and repeated values are cheap, random strings cost about what they are long.
 A candidate that stays incompressible and overlaps no base span is reported as kind ``novel``.
@@ -51,9 +51,14 @@ IDENTIFIERS = ("access account action address admin alias algorithm application
                "variable version www your_api_key_here changeme xxxxxxxx 0123456789 abcdefghij "
                "klmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 1234567890 0000000000")
 
-# A candidate: how long, how near to a sensitive word, and how much of the text around it primes.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])"
-                       r"(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+# A candidate: a maximal run of ASCII characters that are neither blanks nor quotes; how near to a
+# sensitive word it is, on either side, and how much of the text around it primes.
+_RUN = "[!#-&(-_a-~]"
+CANDIDATE = re.compile(_RUN + "{12,}")
+_OUTSIDE = re.compile("[^!#-&(-_a-~]")
+_EDGE = ".,;:()[]{}<>"
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+_KEY_LINES = re.compile(r"[A-Za-z0-9+/=\s]*")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 NEAR, AROUND = 64, 512
 # Bytes the candidate has to add per byte of its own to be reported: for its first bytes, where the
@@ -79,13 +84,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _sensitive_windows(text: str) -> Iterator[tuple[int, int]]:
-    """Where candidates are looked for: from each sensitive word on, merged where they overlap."""
+    """Where candidates are looked for: around each sensitive word, merged where they overlap."""
     start = end = -1
     for word in _SENSITIVE.finditer(text):
-        if word.start() > end:
+        if word.start() - NEAR > end:
             if end >= 0:
                 yield start, end
-            start = word.start()
+            start = max(word.start() - NEAR, 0)
         end = word.end() + NEAR
     if end >= 0:
         yield start, end
@@ -114,25 +119,64 @@ class Novelty:
         return self.bytes_added(value, around) >= least
 
 
+def _mixed(value: str) -> bool:
+    """Letters with digits, or three of lower case, upper case, digits and marks."""
+    lower, upper = any("a" <= c <= "z" for c in value), any("A" <= c <= "Z" for c in value)
+    digit = any("0" <= c <= "9" for c in value)
+    mark = any(not c.isalnum() and c not in "-_/" for c in value)
+    return digit and (lower or upper) or lower + upper + digit + mark >= 3
+
+
+def _key_blocks(text: str) -> Iterator[Span]:
+    """Private keys from their first line to the end line, or as far as lines of base64 go."""
+    at = 0
+    while head := _KEY_BLOCK.search(text, at):
+        at = _KEY_LINES.match(text, head.end()).end()
+        foot = text.find("-----END ", head.end())
+        again = text.find("-----BEGIN ", head.end())
+        if foot >= 0 and not 0 <= again < foot:
+            close = text.find("-----", foot + 9)
+            at = close + 5 if close >= 0 else len(text)
+        yield head.start(), at, "novel"
+
+
+def _is_secret(value: str, around: str, novelty: Novelty) -> bool:
+    """A run counts as a whole, or by what follows the sensitive words or the = in it."""
+    parts = {value, value.rpartition("=")[2], _SENSITIVE.split(value)[-1]}
+    return any(len(part) >= 12 and _mixed(part) and novelty.is_novel(part, around)
+               for part in parts)
+
+
 def novel_spans(text: str, known: Iterable[Span], novelty: Novelty) -> list[Span]:
-    """Incompressible candidates in sensitive surroundings that overlap no known span."""
-    taken = sorted((start, end) for start, end, _ in known)
-    found: list[Span] = []
+    """Key blocks, and incompressible candidates in sensitive surroundings that overlap no known
+    span; of a run that does, what lies outside is a candidate."""
+    found = list(_key_blocks(text))
+    taken = sorted([(start, end) for start, end, _ in known] + [s[:2] for s in found])
     reached = 0
     at = 0
     for left, right in _sensitive_windows(text):
-        for m in CANDIDATE.finditer(text, max(left, reached)):
-            start, end = m.span()
+        begin = max(left, reached)
+        while begin > reached and not _OUTSIDE.match(text, begin - 1):
+            begin -= 1
+        for m in CANDIDATE.finditer(text, begin):
+            start, stop = m.span()
             if start >= right:
                 break
-            reached = end
+            reached = stop
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if at < len(taken) and taken[at][0] < end:
-                continue
-            around = text[max(start - AROUND, 0):start] + text[end:end + AROUND]
-            if novelty.is_novel(m.group(), around):
-                found.append((start, end, "novel"))
+            free, k = [], at
+            while k < len(taken) and taken[k][0] < stop:
+                free.append((start, taken[k][0]))
+                start, k = max(start, taken[k][1]), k + 1
+            for start, end in [*free, (start, stop)]:
+                run = text[start:end]
+                start += len(run) - len(run.lstrip(_EDGE))
+                run = run.strip(_EDGE)
+                end = start + len(run)
+                around = text[max(start - AROUND, 0):start] + text[end:end + AROUND]
+                if len(run) >= 12 and _is_secret(run, around, novelty):
+                    found.append((start, end, "novel"))
     return found
 
 

@@ -118,6 +118,22 @@ def search_results(spark: SparkSession, sf_dir: str,
                         "articles"))
 
 
+# What becomes of a page, by its number: an end tag of the title, the tags of the body, the end of an
+# advertisement or the ends of paragraphs are left out, the page ends within a tag, or is no text.
+BROKEN = ("replace(html, '</title>', '')",
+          "regexp_replace(html, '</?(body|html)[^>]*>', '')",
+          "regexp_replace(html, '<div class=.ad.>([^<]*)</div>', '<p class=ad>$1')",
+          "html || '<![x[abc <a <a <a'", "html || char(0)", "replace(html, '</p>', '')")
+
+
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with faults that a reader of stored pages meets. All but those that are no text have
+    the parts of the faultless page."""
+    cases = " ".join(f"WHEN {k} THEN {change}" for k, change in enumerate(BROKEN))
+    return (dealt(spark, sf_dir, "pages", "page_id", "url", "html")
+            .selectExpr("page_id", "url", f"CASE page_id % {len(BROKEN)} {cases} END AS html"))
+
+
 @functools.cache
 def word_classifier():
     """The lexicon rule once more, as a stand-in for a model behind the vectorised hook."""

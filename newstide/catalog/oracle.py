@@ -281,6 +281,14 @@ UNION ALL SELECT 'links', symbol || ' ' || date || ' ' || position, link FROM ({
 UNION ALL SELECT 'source_weights', href, CAST(n AS VARCHAR) FROM sources""",
         "A7_csv_sink": one + f"SELECT symbol, {DAY}, link, href FROM sample",
         "A8_page_text": one + "SELECT page_id, url, href, title, text FROM stored",
+        "A8_broken_pages": one + """
+SELECT page_id, url, href, CASE WHEN page_id % 6 <> 4 THEN title END AS title,
+       CASE WHEN page_id % 6 <> 4 THEN text END AS text,
+       CASE WHEN page_id % 6 = 4 THEN 'ValueError: no text: a NUL character' END AS page_error
+FROM stored""",
+        "A8_page_failures": one + """
+SELECT href, count(*) AS n_pages, count(*) FILTER (WHERE page_id % 6 = 4) AS n_failed
+FROM stored GROUP BY href""",
         "A9_fetch_buckets": one + """
 SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start,
        CAST(bucket_end AS VARCHAR) AS bucket_end FROM buckets""",

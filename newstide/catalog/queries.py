@@ -164,6 +164,16 @@ def _(spark, sf_dir):
     return pages.extract_pages(a.dealt(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+@_register("A8_broken_pages")
+def _(spark, sf_dir):
+    return pages.extract_pages(a.broken_pages(spark, sf_dir), errors=True)
+
+
+@_register("A8_page_failures")
+def _(spark, sf_dir):
+    return pages.page_failures(a.broken_pages(spark, sf_dir))
+
+
 @_register("A9_fetch_buckets")
 def _(spark, sf_dir):
     return news.fetch_buckets(px.date_ranges(a.prices(spark, sf_dir)))

@@ -1,12 +1,14 @@
 """Edge cases of the scalar rules, with hand-computed expectations."""
 
+import time
+
 import pytest
 from pyspark.errors.exceptions.captured import PythonException
 from pyspark.sql import functions as F
 
 from newstide.catalog.adapters import LEXICON
 from newstide.functions import literal, markup, sentiment as s, signals as g
-from newstide.sources.pages import extract_pages
+from newstide.sources.pages import extract_pages, page_failures
 
 NAN = float("nan")
 
@@ -203,3 +205,57 @@ def test_extract_pages(spark):
     ("no markup at all", None), ("", None)])
 def test_page_text(html, text):
     assert markup.read_page(html)[1] == text
+
+
+@pytest.mark.parametrize("html, title, text", [
+    ("<body><p class=ad>buy<p>two</p><p>three</p></body>", None, "two\nthree"),
+    ("<html><title>T<body><p>all text", "T", "all text"),
+    ("<title>t</title><p>hello</p>", "t", "hello"),
+    ("<title>T<p>all text", "T", "all text"), ("<title>T<style>p{}</style><p>x", "T", "x"),
+    ("<title>Use of <p> tags</title><p>x", "Use of <p> tags", "x"),
+    ("<p>a</p><![x[abc", None, "a"), ("<p>a</p><a href='x>b", None, "a"), ("<p>x <", None, "x <"),
+    ("<p>a<!-- c --!>b<!-->c<!-- d", None, "abc"), ("<p title=it's>t</p>", None, "t"),
+    ("<ul><li>a<li class=ad>b<li>c</ul>d", None, "a\nc\nd"),
+    ("<ul><li class=ad>b<ul><li>in</ul><p>still</p><li>c</ul>", None, "c"),
+    ("<table><tr><td class=ad>x<td>y<tr><td>z</table>w", None, "y\nz\nw"),
+    ("<table><tr><td class=ad>x<table><tr><td>in</table>still<td>y</table>", None, "y"),
+    ("<dl><dt class=ad>x<dd>y</dl>", None, "y"), ("<h1 class=ad>x<h2>y</h2>", None, "y"),
+    ("<div class=ad>x<span></div>y", None, "y"), ("<nav><ul><li>x</ul></nav>y", None, "y"),
+    ("<p><span class=ad>x</span>y</p>", None, "y"), ("<p>1<b class=ad>x</p>y", None, "1\ny"),
+    ("<svg><title>no</title><path/><p>yes</p>", None, "yes"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg>out", None, "out"),
+    ("<div><article>one</div>two", None, "one"), ("<article>a</article>b<article>c", None, "a"),
+    ("<p>a</body></html>b", None, "a b".replace(" ", "")), ("<textarea><p>x</textarea>y", None, "<p>xy"),
+    ("<p>1<script>no end", None, "1")])
+def test_implied_tags_and_recovery(html, title, text):
+    assert markup.read_page(html) == (title, text)
+
+
+@pytest.mark.parametrize("repeated, end", [
+    ("<a ", ""), ("<a ", ">"), ("<a b=", ""), ("<p class='", ""), ("<!--", ""), ("<![x[", ""),
+    ("</", ""), ("<", ""), ("&am", ""), ("<title>", ""), ("<title><body>", "</title>"),
+    ("<script>", ""), ("<li>", ""), ("<div><b>", "</p>" * 40_000), ("<b><p>", "</b>" * 40_000),
+    ("<td><svg>", "<p>" * 40_000)])
+def test_time_grows_with_the_page(repeated, end):
+    """Four times the page takes four times as long, with room for a busy machine."""
+
+    def seconds(n):
+        page = "<body>" + repeated * n + end
+        start = time.process_time()
+        markup.read_page(page)
+        return time.process_time() - start
+
+    small = min(seconds(20_000) for _ in range(3))
+    assert seconds(80_000) < 12 * small + 0.2
+
+
+def test_a_page_that_fails_keeps_its_other_fields(spark):
+    rows = [(1, "https://a.example.com/1", "<title>t</title><p>x"), (2, "https://a.example.com/2", "%PDF\0<p>"),
+            (3, "https://b.example.com/", None)]
+    pages = spark.createDataFrame(rows, "page_id INT, url STRING, html STRING")
+    found = extract_pages(pages, errors=True).orderBy("page_id").collect()
+    assert [(r.href, r.title, r.text) for r in found] == [
+        ("a.example.com", "t", "x"), ("a.example.com", None, None), ("b.example.com", None, None)]
+    assert [r.page_error is None for r in found] == [True, False, True]
+    assert {tuple(r) for r in page_failures(pages).collect()} == {
+        ("a.example.com", 2, 1), ("b.example.com", 1, 0)}

@@ -118,6 +118,26 @@ def search_results(spark: SparkSession, sf_dir: str,
                         "articles"))
 
 
+# What becomes of the text of a response: every seventh is cut short, every seventh has another thing
+# in place of its articles, every seventh is a message without articles.
+FAULTY = {0: "substring(body, 1, length(body) div 2)",
+          1: "replace(body, '\"articles\":[', '\"articles\":[\"none\",')",
+          2: "'{\"symbol\":\"' || symbol || '\",\"message\":\"quota\"}'"}
+
+
+def faulty_responses(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """Responses as text (symbol, bucket_start, n_articles, body), some of which cannot be used."""
+    body = ("to_json(struct(symbol, bucket_end, "
+            "transform(articles, a -> struct(" + ", ".join(f"a.{f}" for f in fields) + ")) AS articles))")
+    number = "(CAST(symbol AS BIGINT) + CAST(articles[0].id AS BIGINT)) % 7"
+    cases = " ".join(f"WHEN {k} THEN {change}" for k, change in FAULTY.items())
+    return (search_results(spark, sf_dir, fields)
+            .selectExpr("symbol", "bucket_start", "size(articles) AS n_articles",
+                        f"{number} AS number", f"{body} AS body")
+            .selectExpr("symbol", "bucket_start", "n_articles",
+                        f"CASE number {cases} ELSE body END AS body"))
+
+
 # What becomes of a page, by its number: an end tag of the title, the tags of the body, the end of an
 # advertisement or the ends of paragraphs are left out, the page ends within a tag, or is no text.
 BROKEN = ("replace(html, '</title>', '')",

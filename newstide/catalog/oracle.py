@@ -156,6 +156,13 @@ found AS (
               WHEN doc_id % 2 = 0 THEN strftime(date, '%Y-%m-%d') || ' 00:00:00'
               ELSE strftime(date, '%a, %d %b %Y') || ' 00:00:00 GMT' END AS published
   FROM articles),
+responses AS (
+  SELECT *, CASE number WHEN 0 THEN 'not JSON' WHEN 1 THEN 'wrong type'
+                        WHEN 2 THEN 'no article list' END AS reason
+  FROM (SELECT symbol, bucket_start, turn // 10 AS page, CAST(count(*) AS INTEGER) AS n_articles,
+               string_agg(link, ' ' ORDER BY id) AS links,
+               (CAST(symbol AS BIGINT) + CAST(min(id) AS BIGINT)) % 7 AS number
+        FROM found GROUP BY symbol, bucket_start, turn // 10)),
 scored_articles AS (
   SELECT *, {_score('tc')} AS title_sentiment, {_score('xc')} AS text_sentiment
   FROM (SELECT *, {_classes('title')} AS tc, {_classes('text')} AS xc FROM articles)),
@@ -266,6 +273,14 @@ FROM prices JOIN symbols USING (symbol) GROUP BY industry, date""",
 SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start,
        CAST(bucket_start + 28 AS VARCHAR) AS bucket_end, id, title, link, published, href, text
 FROM found""",
+        "A3_rejected_responses": one + """
+SELECT CAST(bucket_start AS VARCHAR) AS folder, reason, count(*) AS n_responses
+FROM responses GROUP BY bucket_start, reason""",
+        "A3_accepted_articles": one + """
+SELECT f.symbol, CAST(f.bucket_start AS VARCHAR) AS bucket_start,
+       CAST(f.bucket_start + 28 AS VARCHAR) AS bucket_end, f.id, f.link, f.href
+FROM found f JOIN responses r ON r.symbol = f.symbol AND r.bucket_start = f.bucket_start
+ AND r.page = f.turn // 10 WHERE r.reason IS NULL""",
         "A4_snapshot_write": one + _PRICES,
         "A5_snapshot_read": one + f"SELECT symbol, {DAY}, link, href FROM articles",
         "A5_snapshot_symbol": one + f"""
@@ -430,6 +445,9 @@ FROM sums""",
         "H11_abs_change": one + f"SELECT symbol, {DAY}, abs(change) AS move FROM days",
         "H12_json_decode": one + """
 SELECT symbol, id, title, link, published, href, text FROM found""",
+        "H12_decode_responses": one + """
+SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start, n_articles, reason,
+       CASE WHEN reason IS NULL THEN links END AS links FROM responses""",
         "H13_to_day": "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events",
         "H14_or_empty": one + "SELECT page_id, coalesce(text, '') AS text FROM stored",
         "H15_text_length": """

@@ -103,6 +103,28 @@ def _(spark, sf_dir):
                         "published", F.col("source.href").alias("href"), "text")
 
 
+@_register("A3_rejected_responses")
+def _(spark, sf_dir):
+    """Responses used and rejected, by the folder of their file."""
+    path = new_table_path(spark, "responses")
+    (a.faulty_responses(spark, sf_dir, "id", "title", "link", "published")
+     .select("bucket_start", "body").write.partitionBy("bucket_start").text(path))
+    found = news.rejects_per_file(news.scan_responses(spark, path))
+    folder = F.regexp_extract("file", "bucket_start=([0-9-]+)/", 1)
+    return (found.groupBy(folder.alias("folder"), "reason")
+            .agg(F.sum("n_responses").alias("n_responses")))
+
+
+@_register("A3_accepted_articles")
+def _(spark, sf_dir):
+    path = new_table_path(spark, "responses")
+    (a.faulty_responses(spark, sf_dir, "id", "link", "source")
+     .select("bucket_start", "body").write.partitionBy("bucket_start").text(path))
+    return (news.flatten_articles(news.read_search_results(spark, path))
+            .select("symbol", "bucket_start", "bucket_end", "id", "link",
+                    F.col("source.href").alias("href")))
+
+
 @_register("A4_snapshot_write")
 def _(spark, sf_dir):
     root = new_table_path(spark, "snapshot")
@@ -625,6 +647,13 @@ def _(spark, sf_dir):
                     F.col("source.href").alias("href"), "text"))
 
 
+@_register("H12_decode_responses")
+def _(spark, sf_dir):
+    found = news.decode_responses(a.faulty_responses(spark, sf_dir, "id", "title", "link"))
+    return found.select("symbol", "bucket_start", "n_articles", "reason",
+                        F.array_join("articles.link", " ").alias("links"))
+
+
 @_register("H13_to_day")
 def _(spark, sf_dir):
     return a.table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("date"))

@@ -1,8 +1,10 @@
 """News-search responses: scan, flatten, clean, and the plan of what to fetch."""
 
+from collections.abc import Mapping
 from functools import reduce
+from types import MappingProxyType
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newstide import schemas
 from newstide.functions import literal
@@ -10,13 +12,74 @@ from newstide.functions.signals import format_day, to_published
 from newstide.sources.prices import date_ranges
 
 
-def read_search_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Responses as JSON. With ``multi_line`` each file is one response.
+# Why a response is not used.
+NOT_JSON, WRONG_TYPE, NO_ARTICLES = "not JSON", "wrong type", "no article list"
+NO_SYMBOL, BAD_BUCKET = "no symbol", "bucket ends before it starts"
+_RECORD = "_record"
 
-    ``symbol``, ``bucket_start`` and ``bucket_end`` come from the document or from the path
+
+def _reason(record: str, articles: str, more: Mapping[str, str] = MappingProxyType({})) -> str:
+    """Why a response is rejected, NULL for a good one, from what a permissive reader leaves:
+    ``record`` is the text of what it could not take. ``more`` has conditions and their reasons."""
+    others = "".join(f" WHEN {fault} THEN {literal(reason)}" for fault, reason in more.items())
+    return (f"CASE WHEN {record} IS NOT NULL THEN CASE WHEN try_parse_json({record}) IS NULL "
+            f"THEN {literal(NOT_JSON)} ELSE {literal(WRONG_TYPE)} END "
+            f"WHEN {articles} IS NULL THEN {literal(NO_ARTICLES)}{others} END")
+
+
+def scan_responses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Every response with ``file``, ``record`` and ``reason``.
+
+    ``reason`` is NULL for a response that can be used; else it says why not, and ``record`` has
+    the text as it was found where it is no JSON or a value has the wrong type. A response is used
+    as a whole or not at all. With ``multi_line`` each file is one response. ``symbol``,
+    ``bucket_start`` and ``bucket_end`` come from the document or from the path
     (``symbol=QCOM/bucket_start=2015-01-01/...``).
     """
-    return spark.read.schema(schemas.SEARCH_RESULTS).json(path, multiLine=multi_line)
+    schema = T.StructType([*schemas.SEARCH_RESULTS, T.StructField(_RECORD, T.StringType())])
+    stored = (spark.read.schema(schema)
+              .json(path, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=_RECORD))
+    # The reader judges the columns it is asked for. The reason needs them all, so every query that
+    # asks for the reason judges a response in the same way.
+    faults = {"symbol IS NULL": NO_SYMBOL, "bucket_end < bucket_start": BAD_BUCKET}
+    return stored.selectExpr(*schemas.SEARCH_RESULTS.names, "_metadata.file_path AS file",
+                             f"{_RECORD} AS record",
+                             _reason(_RECORD, "articles", faults) + " AS reason")
+
+
+def accepted(responses: DataFrame, without_list: bool = False) -> DataFrame:
+    """The responses of a scan that can be used; ``without_list`` keeps those that only lack a list
+    of articles, as responses without any."""
+    usable = "reason IS NULL" + (f" OR reason = {literal(NO_ARTICLES)}" if without_list else "")
+    return responses.where(usable).select(*schemas.SEARCH_RESULTS.names)
+
+
+def rejected(responses: DataFrame) -> DataFrame:
+    """The others: file, reason, and what is known of them."""
+    return responses.where("reason IS NOT NULL").select(
+        "file", "reason", "symbol", "bucket_start", "bucket_end", "record")
+
+
+def rejects_per_file(responses: DataFrame) -> DataFrame:
+    """(file, reason, n_responses) with reason NULL for what is used: the counts add up to all."""
+    return responses.groupBy("file", "reason").agg(F.count("*").alias("n_responses"))
+
+
+def read_search_results(spark: SparkSession, path: str, multi_line: bool = False,
+                        rejects: str = "drop") -> DataFrame:
+    """The responses under ``path`` that can be read, see ``scan_responses``.
+
+    A response that is JSON but has no list of articles counts as one with none. ``rejects='drop'``
+    leaves out the others, which ``rejected`` shows; ``'error'`` raises at the first of them, lists
+    included, when the result is evaluated.
+    """
+    if rejects not in ("drop", "error"):
+        raise ValueError(f"rejects must be 'drop' or 'error', not {rejects!r}")
+    found = scan_responses(spark, path, multi_line)
+    if rejects == "error":
+        found = found.where(F.when(F.col("reason").isNull(), F.lit(True)).otherwise(
+            F.raise_error(F.concat_ws(": ", F.lit("response rejected"), "reason", "file"))))
+    return accepted(found, without_list=True)
 
 
 def parse_response(body: str) -> str:
@@ -25,6 +88,21 @@ def parse_response(body: str) -> str:
     return f"from_json({body}, {literal(schema)}).articles"
 
 
+def decode_responses(df: DataFrame, body: str = "body") -> DataFrame:
+    """Replace the text of responses by ``articles`` and ``reason``, as ``scan_responses`` does.
+
+    A rejected response has no articles; NULL text counts as no JSON."""
+    schema = f"articles ARRAY<{schemas.SEARCH_ARTICLE.simpleString()}>, {_RECORD} STRING"
+    # the option also keeps the optimizer from cutting the schema that a response is judged by
+    decoded = (f"from_json(coalesce({body}, ''), {literal(schema)}, "
+               f"map('columnNameOfCorruptRecord', '{_RECORD}'))")
+    text = f"CASE WHEN _decoded IS NULL THEN '' ELSE _decoded.{_RECORD} END"
+    return (df.withColumn("_decoded", F.expr(decoded))
+            .withColumn("reason", F.expr(_reason(f"({text})", "_decoded.articles")))
+            .withColumn("articles", F.expr("CASE WHEN reason IS NULL THEN _decoded.articles END"))
+            .drop(body, "_decoded"))
+
+
 def flatten_articles(search_results: DataFrame) -> DataFrame:
     """One row per article of every response."""
     return search_results.select("symbol", "bucket_start", "bucket_end", F.inline("articles"))

@@ -95,6 +95,65 @@ def test_search_scan_of_one_file_per_response(spark, tmp_path):
     assert {tuple(r) for r in news.history_sizes(found).collect()} == {("QCOM", 1), ("7", 2)}
 
 
+FAULTY = """{"symbol":"a","articles":[{"id":"1","link":"l"}]}
+{"symbol":"a","articles":[{"id":"1","li
+{"symbol":"a","articles":"oops"}
+{"symbol":"a","articles":[{"id":"1"},"x"]}
+{"symbol":"a","bucket_end":"zzz","articles":[]}
+{"symbol":"a","bucket_end":"2023-12-31","articles":[]}
+{"symbol":"a","message":"quota"}
+{"articles":[]}
+"text"
+[{"symbol":"q","articles":[]},{"symbol":"r","articles":[]}]
+garbage
+"""
+
+
+def test_rejected_responses_are_kept_with_file_and_reason(spark, tmp_path):
+    folder = tmp_path / "bucket_start=2024-01-01"
+    folder.mkdir()
+    (folder / "a.json").write_text(FAULTY)
+    (folder / "b.json").write_text('{"symbol":"b","articles":[]}\n')
+    scan = news.scan_responses(spark, str(tmp_path))
+    reasons = {"not JSON": 2, "wrong type": 4, "bucket ends before it starts": 1,
+               "no article list": 1, "no symbol": 1}
+    assert scan.count() == 13
+    bad = news.rejected(scan)
+    # the same verdicts, whatever columns a query asks for
+    assert news.accepted(scan).count() == news.accepted(scan).select("symbol").collect().__len__() == 4
+    assert bad.count() == bad.select("file").count() == 9
+    assert {r.reason: r.n for r in bad.groupBy("reason").agg(F.count("*").alias("n")).collect()} == reasons
+    assert {r.file.rsplit("/", 1)[1] for r in bad.collect()} == {"a.json"}
+    assert sorted(r.record for r in bad.where("reason = 'not JSON'").collect()) == [
+        "garbage", '{"symbol":"a","articles":[{"id":"1","li']
+    assert sorted(r.n_responses for r in news.rejects_per_file(scan).collect()) == [1, 1, 1, 1, 2, 3, 4]
+    assert sorted(r.symbol for r in news.read_search_results(spark, str(tmp_path)).collect()) == [
+        "a", "a", "b", "q", "r"]
+    with pytest.raises(Exception, match="response rejected"):
+        news.read_search_results(spark, str(tmp_path), rejects="error").collect()
+    with pytest.raises(ValueError):
+        news.read_search_results(spark, str(tmp_path), rejects="maybe")
+
+
+def test_a_file_cut_short_is_one_reject(spark, tmp_path):
+    (tmp_path / "symbol=A").mkdir()
+    whole = json.dumps(RESPONSE, indent=1)
+    for name, text in (("good", whole), ("short", whole[:len(whole) // 2]), ("empty", "")):
+        (tmp_path / "symbol=A" / f"{name}.json").write_text(text)
+    scan = news.scan_responses(spark, str(tmp_path), multi_line=True)
+    assert [(r.symbol, r.reason, r.file.rsplit("/", 1)[1]) for r in news.rejected(scan).collect()] == [
+        ("A", "not JSON", "short.json")]
+    assert news.accepted(scan).count() == 1
+
+
+def test_decoded_bodies_have_a_reason(spark):
+    bodies = [(line,) for line in FAULTY.splitlines()[:4]] + [("{}",), (None,), ("",)]
+    found = news.decode_responses(spark.createDataFrame(bodies, "body STRING"))
+    assert [(r.reason, r.articles is None) for r in found.collect()] == [
+        (None, False), ("not JSON", True), ("wrong type", True), ("wrong type", True),
+        ("no article list", True), ("not JSON", True), ("not JSON", True)]
+
+
 def test_parse_response(spark):
     bodies = spark.createDataFrame([(json.dumps(RESPONSE),), ("no json",), (None,)], "body STRING")
     got = bodies.selectExpr(f"{news.parse_response('body')} AS a").collect()

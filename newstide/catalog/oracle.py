@@ -294,6 +294,11 @@ UNION ALL SELECT 'articles', symbol || ' ' || link, md5(text) FROM articles
 UNION ALL SELECT 'timeline', symbol || ' ' || date, CAST(n_links AS VARCHAR) FROM counts
 UNION ALL SELECT 'links', symbol || ' ' || date || ' ' || position, link FROM ({_LINKS})
 UNION ALL SELECT 'source_weights', href, CAST(n AS VARCHAR) FROM sources""",
+        "A6_saved_accuracy": one + "SELECT * FROM accuracy",
+        "A6_saved_covariance": one + _COV,
+        "A6_interrupted_save": one + f"""
+SELECT 'prices' AS name, symbol || ' ' || date AS key, CAST(volume AS VARCHAR) AS value FROM prices
+UNION ALL SELECT 'links', symbol || ' ' || date || ' ' || position, link FROM ({_LINKS})""",
         "A7_csv_sink": one + f"SELECT symbol, {DAY}, link, href FROM sample",
         "A8_page_text": one + "SELECT page_id, url, href, title, text FROM stored",
         "A8_broken_pages": one + """

@@ -10,7 +10,7 @@ from newstide.functions import sentiment as s, signals as g
 from newstide.operators import corpus, ordering, scoring, timeline as tl
 from newstide.plans import reports
 from newstide.plans.engine import NewsEngine
-from newstide.sources import news, pages, prices as px, snapshots
+from newstide.sources import news, pages, prices as px, snapshots, versions
 from newstide.sources.layout import ensure_shared_dir, new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,43 @@ def _(spark, sf_dir):
     return news.concat_articles(*parts)
 
 
+def _saved(spark, sf_dir) -> NewsEngine:
+    """The engine after a save, as a later session loads it."""
+    root = new_table_path(spark, "saved")
+    _engine(spark, sf_dir).save(root, layout="bucket", buckets=8)
+    return NewsEngine.load(spark, root, a.symbols(spark, sf_dir))
+
+
+@_register("A6_saved_accuracy")
+def _(spark, sf_dir):
+    """K3 from stored days: no shuffle by symbol, no texts."""
+    return _saved(spark, sf_dir).analyze_accuracy()
+
+
+@_register("A6_saved_covariance")
+def _(spark, sf_dir):
+    return _rounded(_saved(spark, sf_dir).analyze_cov(), reports.COVARIANCES)
+
+
+@_register("A6_interrupted_save")
+def _(spark, sf_dir):
+    """Prices and links as readers see them after a second save that stopped half-way."""
+    root = new_table_path(spark, "saved")
+    engine = NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir), a.articles(spark, sf_dir))
+    engine.save(root, layout="bucket", buckets=8)
+    try:
+        with versions.new_version(spark, root) as draft:
+            draft.write("links", engine.links().limit(0), "bucket")
+            draft.write_clustered("prices", engine.prices.withColumn("volume", F.lit(0).cast("long")))
+            raise InterruptedError
+    except InterruptedError:
+        load = snapshots.load_all(spark, root)
+    prices = load.prices.selectExpr("'prices' AS name", "symbol || ' ' || date AS key",
+                                    "CAST(volume AS STRING) AS value")
+    return prices.unionByName(load.links.selectExpr(
+        "'links' AS name", "symbol || ' ' || date || ' ' || position AS key", "link AS value"))
+
+
 @_register("A7_csv_sink")
 def _(spark, sf_dir):
     path = new_table_path(spark, "sample-csv")

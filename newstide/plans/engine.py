@@ -4,6 +4,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newstide import schemas
 from newstide.operators import corpus
 from newstide.operators.scoring import (DEFAULT_WINDOW, DEFAULT_WINDOWS, FILL_LIMIT,
                                         score_and_predict)
@@ -11,7 +12,8 @@ from newstide.operators.timeline import (build_timeline, count_timeline, day_lin
                                          unique_links)
 from newstide.plans import reports
 from newstide.sources.prices import keep_symbols
-from newstide.sources.snapshots import load_all, write_csv, write_snapshot
+from newstide.sources.snapshots import load_all, write_csv
+from newstide.sources.versions import BUCKETS, new_version
 
 
 class NewsEngine:
@@ -26,27 +28,37 @@ class NewsEngine:
     they are limited to these. To run several reports on one scoring, keep
     ``scored = engine.score_and_predict(windows=...).persist()`` and use ``plans.reports``;
     ``analyze_sweep`` makes both industry reports in one pass.
+
+    ``days`` are price days with the sums of their articles (``schemas.DAYS``), which all scores
+    are made from; without them they are summed from the articles. ``unique`` says that no symbol
+    has a link twice, so that nothing has to look. A saved engine has both.
     """
 
     def __init__(self, symbols: DataFrame, prices: DataFrame, articles: DataFrame,
                  null_policy: str = "poison", fill: str = "lookback", limit: int = FILL_LIMIT,
                  duplicates: str = "error", instruments: DataFrame | None = None,
-                 search_results: DataFrame | None = None):
+                 search_results: DataFrame | None = None, days: DataFrame | None = None,
+                 unique: bool = False):
         self.symbols = symbols
         self.prices = keep_symbols(prices, symbols)
-        self.articles = unique_links(keep_symbols(articles, symbols), duplicates)
+        self.days = None if days is None else keep_symbols(days, symbols)
+        self.unique = unique or duplicates != "keep"
+        self.articles = unique_links(keep_symbols(articles, symbols),
+                                     "keep" if unique else duplicates)
         self.instruments = instruments
         self.search_results = search_results
         self.rules = {"null_policy": null_policy, "fill": fill, "limit": limit}
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str, symbols: DataFrame, **rules) -> "NewsEngine":
-        """Engine over the tables that ``save`` wrote."""
-        saved = load_all(spark, root)
+    def load(cls, spark: SparkSession, root: str, symbols: DataFrame, version: int | None = None,
+             **rules) -> "NewsEngine":
+        """Engine over the tables that ``save`` wrote, of the newest version or that of a number."""
+        saved = load_all(spark, root, version)
         if saved.prices is None or saved.articles is None:
             raise FileNotFoundError(f"no snapshot of prices and articles under {root}")
         return cls(symbols, saved.prices, saved.articles, instruments=saved.instruments,
-                   search_results=saved.search_results, **rules)
+                   search_results=saved.search_results, days=saved.days, unique=saved.unique,
+                   **rules)
 
     def _only(self, df: DataFrame, symbols: Iterable[str] | None) -> DataFrame:
         return df if symbols is None else df.where(F.col("symbol").isin(list(symbols)))
@@ -54,18 +66,25 @@ class NewsEngine:
     def timeline(self, symbols: Iterable[str] | None = None) -> DataFrame:
         """One row per symbol and price day."""
         symbols = None if symbols is None else list(symbols)
+        if self.days is not None:
+            return self._only(self.days, symbols).select(*schemas.TIMELINE.names)
         return build_timeline(self._only(self.prices, symbols), self._only(self.articles, symbols))
 
     def links(self, symbols: Iterable[str] | None = None) -> DataFrame:
         """The links of every day in publication order, one row per link."""
         return day_links(self._only(self.articles, symbols))
 
-    def score_and_predict(self, symbols: Iterable[str] | None = None,
-                          windows: Sequence[int] = (DEFAULT_WINDOW,)) -> DataFrame:
+    def day_counts(self, symbols: Iterable[str] | None = None) -> DataFrame:
+        """Price days with the sums that scores are made from."""
         symbols = None if symbols is None else list(symbols)
-        slim = count_timeline(self._only(self.prices, symbols),
+        if self.days is not None:
+            return self._only(self.days, symbols)
+        return count_timeline(self._only(self.prices, symbols),
                               self._only(self.articles, symbols))
-        return score_and_predict(slim, windows, **self.rules)
+
+    def score_and_predict(self, symbols: Iterable[str] | None = None,
+                          windows: Sequence[int] = (DEFAULT_WINDOW,)) -> DataFrame:
+        return score_and_predict(self.day_counts(symbols), windows, **self.rules)
 
     def analyze_accuracy(self, symbols: Iterable[str] | None = None,
                          window: int = DEFAULT_WINDOW) -> DataFrame:
@@ -108,11 +127,25 @@ class NewsEngine:
     def save_sample(self, path: str, n: int = 10, seed: int = 42) -> None:
         write_csv(self.sample_articles(n, seed), path)
 
-    def save(self, root: str, layout: str = "symbol") -> None:
-        """Snapshot the tables, so that a later session reads scored articles."""
-        tables = {"instruments": self.instruments, "search_results": self.search_results,
-                  "prices": self.prices, "articles": self.articles, "timeline": self.timeline(),
-                  "links": self.links()}
-        for name, df in tables.items():
-            if df is not None:
-                write_snapshot(df, root, name, layout)
+    def save(self, root: str, layout: str = "symbol", buckets: int = BUCKETS) -> None:
+        """Save all tables as a new version under ``root``, so that a later session reads scored
+        articles. The version takes effect as a whole, when its last table is written.
+
+        ``layout="symbol"`` keeps a part per symbol and those of other symbols that the version
+        before has; ``"bucket"`` hashes the symbols into a fixed number of parts and replaces them
+        all. Prices and days are clustered by symbol into ``buckets`` files.
+        """
+        others = layout == "symbol"
+        with new_version(self.symbols.sparkSession, root) as version:
+            version.write("articles", self.articles, layout, unique=self.unique)
+            # sentiments are made and links are proved unique once: what follows reads what was written
+            articles = keep_symbols(version.read("articles"), self.symbols)
+            version.write("links", day_links(articles), layout)
+            for name in ("instruments", "search_results"):
+                if (df := getattr(self, name)) is not None:
+                    version.write(name, df, layout)
+                elif not others:
+                    version.drop(name)
+            version.write_clustered("prices", self.prices, buckets=buckets, others=others)
+            version.write_clustered("days", count_timeline(self.prices, articles),
+                                    buckets=buckets, others=others)

@@ -70,6 +70,13 @@ TIMELINE = T.StructType([
     T.StructField("n_links", T.LongType()),
 ])
 
+# A price day with what its articles come down to; a report needs nothing else.
+DAYS = T.StructType([
+    *(f for f in TIMELINE if f.name != "n_links"),
+    *(T.StructField(name, T.LongType()) for name in (
+        "n_links", "n_resolved", "title_sum", "title_n", "text_sum", "text_n")),
+])
+
 LINKS = T.StructType([
     T.StructField("symbol", T.StringType()),
     T.StructField("date", T.DateType()),
@@ -79,4 +86,4 @@ LINKS = T.StructType([
 
 # What a snapshot of that name holds.
 TABLES = {"instruments": INSTRUMENTS, "search_results": SEARCH_RESULTS, "prices": PRICES,
-          "articles": ARTICLES, "timeline": TIMELINE, "links": LINKS}
+          "articles": ARTICLES, "timeline": TIMELINE, "links": LINKS, "days": DAYS}

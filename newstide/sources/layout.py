@@ -5,6 +5,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _TABLES: dict[str, SparkSession] = {}
@@ -39,10 +40,52 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in ``folder``, in order; none if there is no such folder."""
+    fs, where = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _fs(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file appear as a whole, or not at all: False if there is one of that name."""
+    fs, where = _fs(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{uuid.uuid4().hex}")
+    fs.mkdirs(where.getParent())
+    stream = fs.create(draft, False)
+    stream.write(text.encode())
+    stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.FileContext.getFileContext(where.toUri(), fs.getConf())
+    try:
+        files.rename(draft, where, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError as failure:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in failure.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def remove_table(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table; what was to be read from it is void."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+    _TABLES.pop(path, None)
 
 
 def remove_tables() -> None:
@@ -52,7 +95,7 @@ def remove_tables() -> None:
             remove_table(spark, path)
         except Exception:  # at the end the JVM may be gone, and with it the way to the folder
             pass
-        del _TABLES[path]
+        _TABLES.pop(path, None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from collections.abc import Iterable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newstide import schemas
@@ -9,9 +10,15 @@ from newstide.functions.signals import nan_to_null
 
 
 def symbol_dimension(spark: SparkSession, industries: Mapping[str, Iterable[str]]) -> DataFrame:
-    """One row per (industry, symbol) of a configuration mapping."""
+    """One row per (industry, symbol) of a configuration mapping.
+
+    An Arrow table becomes a local relation, whose size Spark knows: joins with it are broadcast by
+    Spark's own choice, and shuffle neither side.
+    """
     rows = [(industry, symbol) for industry, symbols in industries.items() for symbol in symbols]
-    return spark.createDataFrame(rows, schemas.SYMBOLS)
+    columns = zip(*rows) if rows else ((), ())
+    table = pa.table([pa.array(column, pa.string()) for column in columns], schemas.SYMBOLS.names)
+    return spark.createDataFrame(table, schemas.SYMBOLS)
 
 
 def flatten_symbol_map(df: DataFrame, column: str = "industries") -> DataFrame:

@@ -1,23 +1,18 @@
-"""Snapshots: named Parquet tables under one root, laid out by symbol."""
+"""Snapshots: named Parquet tables under one root, laid out by symbol.
+
+``write_snapshot`` and ``read_snapshot`` keep single tables. All tables of an engine are saved
+together as one version (``sources.versions``), which ``load_all`` reads.
+"""
 
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from newstide import schemas
 from newstide.operators.corpus import source_weights
-
-PART = "part"
-N_BUCKETS = 256
-
-
-def _parts(symbol: Column) -> dict[str, Column]:
-    """Directory of a symbol per layout. The prefix keeps it text when it is read back."""
-    bucket = F.pmod(F.xxhash64(symbol), F.lit(N_BUCKETS))
-    return {"symbol": F.concat(F.lit("symbol_"), symbol),
-            "bucket": F.concat(F.lit("bucket_"), bucket.cast("string"))}
+from newstide.sources.versions import PART, part_of, read_version, version_of
 
 
 def _layout_of(spark: SparkSession, path: str) -> str | None:
@@ -51,7 +46,7 @@ def write_snapshot(df: DataFrame, root: str, name: str, layout: str = "symbol")
         raise ValueError(f"{path} is stored in buckets; write it with layout='bucket'")
     overwrite = "dynamic" if layout == "symbol" else "static"
     order = [PART, "symbol", *(c for c in ("date", "bucket_start") if c in df.columns)]
-    (df.withColumn(PART, _parts(F.col("symbol"))[layout]).hint("rebalance", PART)
+    (df.withColumn(PART, part_of(layout)).hint("rebalance", PART)
      .sortWithinPartitions(*order)
      .write.mode("overwrite").option("partitionOverwriteMode", overwrite)
      .partitionBy(PART).parquet(path))
@@ -75,7 +70,8 @@ def read_snapshot(spark: SparkSession, root: str, name: str, symbol: str | None
         raise
     if symbol is not None:
         if PART in df.columns:
-            df = df.where(F.col(PART).isin(*_parts(F.lit(symbol)).values()))
+            df = df.where(F.col(PART).isin(*[part_of(layout, F.lit(symbol))
+                                             for layout in ("symbol", "bucket")]))
         df = df.where(F.col("symbol") == symbol)
     return df.drop(PART)
 
@@ -90,14 +86,26 @@ class Snapshot:
     articles: DataFrame | None
     timeline: DataFrame | None
     links: DataFrame | None
+    days: DataFrame | None
     source_weights: DataFrame | None
-
-
-def load_all(spark: SparkSession, root: str) -> Snapshot:
-    tables = {name: read_snapshot(spark, root, name)
-              for name in schemas.TABLES}
+    # whether no symbol has a link twice, as proved when the articles were saved
+    unique: bool = False
+
+
+def load_all(spark: SparkSession, root: str, number: int | None = None) -> Snapshot:
+    """Tables of the newest version under ``root``, or that of a number; without any version those
+    that ``write_snapshot`` left there. All tables are of one version, whatever is saved meanwhile."""
+    version = version_of(spark, root, number)
+    if version is None:
+        tables = {name: read_snapshot(spark, root, name) for name in schemas.TABLES}
+    else:
+        tables = {name: read_version(spark, root, version, name) for name in schemas.TABLES}
+        if tables["days"] is not None:
+            tables["timeline"] = tables["days"].select(*schemas.TIMELINE.names)
     articles = tables["articles"]
-    return Snapshot(**tables, source_weights=None if articles is None else source_weights(articles))
+    unique = version is not None and version.tables.get("articles", {}).get("unique", False)
+    return Snapshot(**tables, unique=unique,
+                    source_weights=None if articles is None else source_weights(articles))
 
 
 def write_csv(articles: DataFrame, path: str) -> None:

@@ -118,6 +118,14 @@ def search_results(spark: SparkSession, sf_dir: str,
                         "articles"))
 
 
+def stored_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of one to four days from the days of every third article: they overlap, touch and lie
+    apart, and keep to no common start."""
+    return (articles(spark, sf_dir).where("CAST(id AS BIGINT) % 3 = 0")
+            .selectExpr("symbol", "date AS bucket_start",
+                        "date_add(date, CAST(1 + CAST(id AS BIGINT) % 4 AS INT)) AS bucket_end"))
+
+
 # What becomes of the text of a response: every seventh is cut short, every seventh has another thing
 # in place of its articles, every seventh is a message without articles.
 FAULTY = {0: "substring(body, 1, length(body) div 2)",

@@ -312,6 +312,21 @@ FROM stored GROUP BY href""",
         "A9_fetch_buckets": one + """
 SELECT symbol, CAST(bucket_start AS VARCHAR) AS bucket_start,
        CAST(bucket_end AS VARCHAR) AS bucket_end FROM buckets""",
+        "A9_missing_requests": one + """
+, wanted AS (
+  SELECT symbol, unnest(range(start_date, end_date, INTERVAL 1 DAY))::DATE AS day FROM ranges),
+answered AS (
+  SELECT DISTINCT symbol, date + CAST(k AS INTEGER) AS day
+  FROM (SELECT *, unnest(range(1 + doc_id % 4)) AS k FROM articles WHERE doc_id % 3 = 0)),
+missing AS (
+  SELECT *, day - CAST(row_number() OVER (PARTITION BY symbol ORDER BY day) AS INTEGER) AS gap
+  FROM wanted ANTI JOIN answered USING (symbol, day)),
+placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY symbol, gap ORDER BY day) - 1) // 3 AS bucket
+  FROM missing)
+SELECT symbol, shortname AS q, CAST(min(day) AS VARCHAR) AS "from",
+       CAST(max(day) + 1 AS VARCHAR) AS "to", 'US' AS country, 'en' AS lang
+FROM placed JOIN instruments USING (symbol) GROUP BY symbol, shortname, gap, bucket""",
         "B1_symbol_filter": one + _PRICES + """
 WHERE symbol IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)""",
         "B2_date_slice": one + _PRICES + """
@@ -372,6 +387,9 @@ SELECT symbol, {DAY}, title_score, text_score FROM band""",
         "D7_industry_accuracy": one + _INDUSTRY_ACC,
         "D8_covariance": all_ + _COV,
         "D9_industry_covariance": one + _INDUSTRY_COV,
+        "D8_merged_states": one + ('SELECT symbol, "window", ' + ", ".join(
+            f"round({a}, 6) AS {a}" for a in ACCURACIES)
+            + f', {", ".join(COVARIANCES)} FROM accuracy JOIN ({_COV}) USING (symbol, "window")'),
         "D10_source_counts": one + "SELECT href, n FROM sources",
         "D11_source_weight": one + ", hosts AS (SELECT href, count(*) AS n FROM stored "
                                    "WHERE href IS NOT NULL GROUP BY href) " + _weights("hosts"),
@@ -400,6 +418,7 @@ FROM (SELECT DISTINCT symbol, bucket_start, turn // 10 FROM found) GROUP BY symb
 SELECT symbol, {DAY}, "window", title_score, text_score FROM filled""",
         "E3_fill_neutral": _with(WINDOWS, fill="neutral") + f"""
 SELECT symbol, {DAY}, "window", title_score, text_score FROM filled""",
+        "E3_scores_after_append": all_ + _SCORED,
         "E4_window_sweep": all_ + _SCORED,
         "E5_sample_rank": one + "SELECT symbol, link, CAST(rank AS INTEGER) AS rank FROM sample",
         "F1_publication_order": one + """

@@ -11,7 +11,7 @@ from newstide.operators import corpus, ordering, scoring, timeline as tl
 from newstide.plans import reports
 from newstide.plans.engine import NewsEngine
 from newstide.sources import news, pages, prices as px, snapshots, versions
-from newstide.sources.layout import ensure_shared_dir, new_table_path
+from newstide.sources.layout import ensure_shared_dir, new_table_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,6 +240,12 @@ def _(spark, sf_dir):
 
 # --- B: projections, filters, predicates ----------------------------------------------------
 
+@_register("A9_missing_requests")
+def _(spark, sf_dir):
+    return news.missing_requests(a.instruments(spark, sf_dir), a.prices(spark, sf_dir),
+                                 a.stored_buckets(spark, sf_dir), interval_days=3)
+
+
 @_register("B1_symbol_filter")
 def _(spark, sf_dir):
     watched = a.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(
@@ -431,6 +437,18 @@ def _(spark, sf_dir):
     return _rounded(sums, reports.COVARIANCES)
 
 
+@_register("D8_merged_states")
+def _(spark, sf_dir):
+    """Reports of all days from states of three parts, one of which was merged twice and taken out."""
+    scored = written(_scored(spark, sf_dir).select(
+        "symbol", "date", "window", "change", *[f"{c}_{x}" for c in tl.CHANNELS
+                                                for x in ("score", "prediction", "result")]), "scored")
+    third = [reports.report_state(scored.where(f"day(date) % 3 = {k}")) for k in range(3)]
+    twice = reports.merge_states(*third, third[1])
+    return _rounded(reports.reports_of(reports.retract_state(twice, third[1])),
+                    [*reports.ACCURACIES, *reports.COVARIANCES])
+
+
 @_register("D10_source_counts")
 def _(spark, sf_dir):
     return corpus.source_counts(a.articles(spark, sf_dir))
@@ -531,6 +549,14 @@ def _(spark, sf_dir):
     return _filled(spark, sf_dir, "neutral")
 
 
+@_register("E3_scores_after_append")
+def _(spark, sf_dir):
+    """Scores of the first half of the month, brought up to date when the rest is appended."""
+    days, appended = written(_counts(spark, sf_dir), "days"), "2024-01-17"
+    before = scoring.score_and_predict(days.where(f"date < DATE '{appended}'"), WINDOWS)
+    return (scoring.updated_scores(before, days, appended, windows=WINDOWS).drop(*tl.COUNTERS))
+
+
 @_register("E4_window_sweep")
 def _(spark, sf_dir):
     return _scored(spark, sf_dir, WINDOWS).drop(*tl.COUNTERS)

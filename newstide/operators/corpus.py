@@ -36,15 +36,18 @@ def corpus_stats(articles: DataFrame) -> DataFrame:
                         F.count_distinct("source.href").alias("n_sources"))
 
 
-def sample_rank(articles: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
+def sample_rank(articles: DataFrame, n: int = 10, seed: int = 42,
+                unique: bool = False) -> DataFrame:
     """(symbol, link, rank) of the ``n`` links per symbol that come first in a seeded hash order.
 
     A symbol with fewer gives all it has. Only keys are ranked, in two steps: within the 256 parts
     of the draw's range first, then what these parts let through. A hot symbol is 256 groups in
     the first step, and at most 256 n rows in the second, whatever the number of map tasks.
+    With ``unique`` no symbol has a link twice, and keys need not be made distinct first.
     """
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", "link"))
-    keys = articles.select("symbol", "link").distinct().withColumn("_draw", draw)
+    keys = articles.select("symbol", "link")
+    keys = (keys if unique else keys.distinct()).withColumn("_draw", draw)
     part = Window.partitionBy("symbol", F.substring("_draw", 1, PART_DIGITS))
     order = ["_draw", "link"]
     first = (keys.withColumn("_rank", F.row_number().over(part.orderBy(*order)))
@@ -54,8 +57,9 @@ def sample_rank(articles: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
             .select("symbol", "link", "rank"))
 
 
-def sample_articles(articles: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
+def sample_articles(articles: DataFrame, n: int = 10, seed: int = 42,
+                    unique: bool = False) -> DataFrame:
     """The articles of ``sample_rank``, one per link; whole rows are fetched for these alone."""
-    chosen = sample_rank(articles, n, seed).drop("rank")
-    return drop_duplicate_links(articles.join(chosen, ["symbol", "link"], "left_semi")
-                                .select(*articles.columns))
+    chosen = sample_rank(articles, n, seed, unique).drop("rank")
+    rows = articles.join(chosen, ["symbol", "link"], "left_semi").select(*articles.columns)
+    return rows if unique else drop_duplicate_links(rows)

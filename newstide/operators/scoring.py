@@ -7,6 +7,7 @@ calendar day of the symbol's history, because articles are summed per day before
 
 from collections import Counter
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -126,3 +127,50 @@ def score_and_predict(timeline: DataFrame, windows: Sequence[int] = (DEFAULT_WIN
     windows = list(dict.fromkeys(windows))
     scored = fill_scores(band_scores(timeline, windows, null_policy), windows, fill, limit)
     return predict_and_grade(unpivot_windows(scored, windows))
+
+
+def horizon(windows: Sequence[int], fill: str = "lookback", limit: int = FILL_LIMIT) -> int:
+    """Days after a price day up to which scores depend on it: the band of the longest window, and
+    the days a score is filled on."""
+    return max(max(band_lags(w)) for w in windows) + (limit if fill == "lookback" else 0)
+
+
+def _day(day) -> date:
+    return date.fromisoformat(day) if isinstance(day, str) else day
+
+
+def affected_days(first, last=None, windows: Sequence[int] = (DEFAULT_WINDOW,),
+                  fill: str = "lookback", limit: int = FILL_LIMIT) -> str:
+    """Condition for the days whose scores change with prices or articles of ``first`` to ``last``
+    (None: no end)."""
+    start = f"date >= DATE '{_day(first)}'"
+    if last is None:
+        return start
+    end = _day(last) + timedelta(horizon(windows, fill, limit))
+    return f"{start} AND date <= DATE '{end}'"
+
+
+def rescored_days(days: DataFrame, first, last=None, windows: Sequence[int] = (DEFAULT_WINDOW,),
+                  null_policy: str = "poison", fill: str = "lookback",
+                  limit: int = FILL_LIMIT) -> DataFrame:
+    """Scores of the days that change with prices or articles of ``first`` to ``last``.
+
+    Reads the price days within the horizon of these alone; the dates are plain filters, which a
+    stored table of days is scanned with.
+    """
+    reach = horizon(windows, fill, limit)
+    near = days.where(f"date >= DATE '{_day(first) - timedelta(reach)}'")
+    if last is not None:
+        near = near.where(f"date <= DATE '{_day(last) + timedelta(reach)}'")
+    scored = score_and_predict(near, windows, null_policy, fill, limit)
+    return scored.where(affected_days(first, last, windows, fill, limit))
+
+
+def updated_scores(scored: DataFrame, days: DataFrame, first, last=None,
+                   windows: Sequence[int] = (DEFAULT_WINDOW,), **rules) -> DataFrame:
+    """Stored scores after a change: those of other days as they are, the affected ones anew.
+
+    ``scored`` has the same windows and rules, ``days`` is the state after the change."""
+    reach = {k: v for k, v in rules.items() if k in ("fill", "limit")}
+    same = scored.where(f"NOT ({affected_days(first, last, windows, **reach)})")
+    return same.unionByName(rescored_days(days, first, last, windows, **rules))

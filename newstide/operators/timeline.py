@@ -27,24 +27,45 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
         F.raise_error(F.concat(F.lit(message), n.cast("string")))))
 
 
+def _choice(articles: DataFrame) -> list[str]:
+    """What decides between copies of a link, as far as scores depend on it."""
+    wanted = {"published": "published", "id": "id", "date": "date", "source": "source.href AS href",
+              **{f"{c}_sentiment": f"{c}_sentiment" for c in CHANNELS}}
+    return [column for name, column in wanted.items() if name in articles.columns]
+
+
 def drop_duplicate_links(articles: DataFrame) -> DataFrame:
-    """Keep one article per (symbol, link): the earliest, then the smallest id, then the smallest
-    SHA-256 of the row as JSON. Rows without a symbol or a link have no key and stay.
+    """Keep one article per (symbol, link): the earliest, then the smallest id, date, source and
+    sentiments, then the smallest SHA-256 of the row as JSON. Rows without a symbol or a link have
+    no key and stay.
 
-    The survivor is chosen on these few columns, merged map-side, so that a link with very many
-    copies is no hot key and any column type will do. Whole rows are compared with the choice only
-    where a key collides.
+    Keys are counted first, merged map-side; whole rows are looked at only where a key collides, and
+    their choice is merged map-side too, so a link with very many copies is no hot key.
     """
     row = F.struct(*articles.columns)
-    slim = ["published", *(["id"] if "id" in articles.columns else [])]
-    marked = articles.select("symbol", "link", row.alias("_row"), F.struct(
-        *slim, F.sha2(F.to_json(row), 256).alias("digest")).alias("_order"))
-    first = (marked.groupBy("symbol", "link")
-             .agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
-    joined = marked.join(first, ["symbol", "link"], "left")
-    chosen = (joined.where(F.col("_order").eqNullSafe(F.col("_first")))
+    crowded = duplicate_keys(articles, "symbol", "link").select("symbol", "link")
+    alone = articles.join(crowded, ["symbol", "link"], "left_anti").select(*articles.columns)
+    copies = (articles.join(crowded, ["symbol", "link"], "left_semi").select(*articles.columns)
+              .select("symbol", "link", row.alias("_row"), F.struct(
+                  *map(F.expr, _choice(articles)),
+                  F.sha2(F.to_json(row), 256).alias("digest")).alias("_order")))
+    first = copies.groupBy("symbol", "link").agg(F.min("_order").alias("_first"))
+    chosen = (copies.join(first, ["symbol", "link"])
+              .where(F.col("_order").eqNullSafe(F.col("_first")))
               .groupBy("symbol", "link").agg(F.first("_row").alias("_row")))
-    return joined.where("_n IS NULL").select("_row.*").union(chosen.select("_row.*"))
+    return alone.union(chosen.select("_row.*"))
+
+
+def scored_survivors(articles: DataFrame) -> DataFrame:
+    """What scores need of the articles that ``drop_duplicate_links`` keeps: symbol, link, date,
+    source and sentiments. One aggregation of slim columns; texts are neither read nor moved."""
+    # a row without a key is a group of its own
+    keyed = F.col("symbol").isNotNull() & F.col("link").isNotNull()
+    slim = articles.select("symbol", "link", F.struct(*map(F.expr, _choice(articles))).alias("_order"),
+                           F.when(~keyed, F.monotonically_increasing_id()).alias("_row"))
+    kept = slim.groupBy("symbol", "link", "_row").agg(F.min("_order").alias("_order"))
+    return kept.select("symbol", "link", "_order.date", F.struct("_order.href").alias("source"),
+                       *[f"_order.{c}_sentiment" for c in CHANNELS])
 
 
 def unique_links(articles: DataFrame, duplicates: str = "error") -> DataFrame:

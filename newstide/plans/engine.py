@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newstide import schemas
 from newstide.operators import corpus
 from newstide.operators.scoring import (DEFAULT_WINDOW, DEFAULT_WINDOWS, FILL_LIMIT,
-                                        score_and_predict)
+                                        rescored_days, score_and_predict)
 from newstide.operators.timeline import (build_timeline, count_timeline, day_links,
-                                         unique_links)
+                                         scored_survivors, unique_links)
 from newstide.plans import reports
 from newstide.sources.prices import keep_symbols
 from newstide.sources.snapshots import load_all, write_csv
@@ -43,8 +43,9 @@ class NewsEngine:
         self.prices = keep_symbols(prices, symbols)
         self.days = None if days is None else keep_symbols(days, symbols)
         self.unique = unique or duplicates != "keep"
-        self.articles = unique_links(keep_symbols(articles, symbols),
-                                     "keep" if unique else duplicates)
+        self._found = keep_symbols(articles, symbols)
+        self._copies = "keep" if unique else duplicates
+        self.articles = unique_links(self._found, self._copies)
         self.instruments = instruments
         self.search_results = search_results
         self.rules = {"null_policy": null_policy, "fill": fill, "limit": limit}
@@ -63,12 +64,18 @@ class NewsEngine:
     def _only(self, df: DataFrame, symbols: Iterable[str] | None) -> DataFrame:
         return df if symbols is None else df.where(F.col("symbol").isin(list(symbols)))
 
+    def _scored(self, symbols: Iterable[str] | None) -> DataFrame:
+        """Articles for scores and counts: copies are dropped among slim rows, not whole ones."""
+        if self._copies == "drop":
+            return scored_survivors(self._only(self._found, symbols))
+        return self._only(self.articles, symbols)
+
     def timeline(self, symbols: Iterable[str] | None = None) -> DataFrame:
         """One row per symbol and price day."""
         symbols = None if symbols is None else list(symbols)
         if self.days is not None:
             return self._only(self.days, symbols).select(*schemas.TIMELINE.names)
-        return build_timeline(self._only(self.prices, symbols), self._only(self.articles, symbols))
+        return build_timeline(self._only(self.prices, symbols), self._scored(symbols))
 
     def links(self, symbols: Iterable[str] | None = None) -> DataFrame:
         """The links of every day in publication order, one row per link."""
@@ -79,13 +86,16 @@ class NewsEngine:
         symbols = None if symbols is None else list(symbols)
         if self.days is not None:
             return self._only(self.days, symbols)
-        return count_timeline(self._only(self.prices, symbols),
-                              self._only(self.articles, symbols))
+        return count_timeline(self._only(self.prices, symbols), self._scored(symbols))
 
     def score_and_predict(self, symbols: Iterable[str] | None = None,
                           windows: Sequence[int] = (DEFAULT_WINDOW,)) -> DataFrame:
         return score_and_predict(self.day_counts(symbols), windows, **self.rules)
 
+    def rescore(self, first, last=None, windows: Sequence[int] = (DEFAULT_WINDOW,)) -> DataFrame:
+        """The scored days that change when prices or articles of ``first`` to ``last`` do."""
+        return rescored_days(self.day_counts(), first, last, windows, **self.rules)
+
     def analyze_accuracy(self, symbols: Iterable[str] | None = None,
                          window: int = DEFAULT_WINDOW) -> DataFrame:
         return reports.accuracy(self.score_and_predict(symbols, [window]))
@@ -122,7 +132,7 @@ class NewsEngine:
         return corpus.source_weights(self.articles)
 
     def sample_articles(self, n: int = 10, seed: int = 42) -> DataFrame:
-        return corpus.sample_articles(self.articles, n, seed)
+        return corpus.sample_articles(self.articles, n, seed, unique=self.unique)
 
     def save_sample(self, path: str, n: int = 10, seed: int = 42) -> None:
         write_csv(self.sample_articles(n, seed), path)

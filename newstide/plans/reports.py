@@ -4,6 +4,8 @@ Every report takes what ``score_and_predict`` returns. Per-symbol reports group
 (symbol, window) on rows the scoring windows already hash by symbol, so they add no shuffle.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from newstide.functions.sentiment import CHANNELS
@@ -88,6 +90,77 @@ def industry_sweep(scored: DataFrame, symbols: DataFrame) -> DataFrame:
     return _per(both.join(symbols, "symbol"), ("industry", "window"), _means() + _sums())
 
 
+def report_state(scored: DataFrame) -> DataFrame:
+    """What accuracies and covariances are made from, per (symbol, window): counters, and of each
+    covariance the number of pairs, both means and the sum of products of deviations.
+
+    States of disjoint sets of days can be merged, and taken out again, without those days.
+    """
+    moments = []
+    for name, (x, y) in COVARIANCES.items():
+        pair = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+        moments.append(
+            f"named_struct('n', count(*) {pair}, 'x', coalesce(avg(10 * {x}) {pair}, 0D), "
+            f"'y', coalesce(avg({y}) {pair}, 0D), "
+            f"'c', coalesce(covar_pop(10 * {x}, {y}), 0D) * count(*) {pair}) AS {name}")
+    return _per(scored, ("symbol", "window"), _counters() + moments)
+
+
+def _counter_names(state: DataFrame) -> list[str]:
+    return [c for c in state.columns if c not in ("symbol", "window", *COVARIANCES)]
+
+
+def _joint(a: str, b: str, sign: int = 1) -> str:
+    """Moments of two disjoint sets from their own, or (sign -1) of the first without the second."""
+    n = f"({a}.n + {sign} * {b}.n)"
+
+    def mean(z: str) -> str:
+        return f"coalesce(try_divide({a}.n * {a}.{z} + {sign} * {b}.n * {b}.{z}, {n}), 0D)"
+
+    # of the parts of the larger set: their sums of products and what lies between their means
+    inner = (f"({a}.x - {b}.x) * ({a}.y - {b}.y) * try_divide({a}.n * {b}.n, {n})")
+    return (f"named_struct('n', {n}, 'x', {mean('x')}, 'y', {mean('y')}, 'c', CASE WHEN {n} = 0 "
+            f"THEN 0D ELSE {a}.c + {sign} * {b}.c + {sign} * coalesce({inner}, 0D) END)")
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all days of the given states, which share no day. Any number of rows per key:
+    rows of a table that several parts have written are merged as well."""
+    every = reduce(DataFrame.unionByName, states)
+    counters = [f"sum({c}) AS {c}" for c in _counter_names(every)]
+    empty = "named_struct('n', 0L, 'x', 0D, 'y', 0D, 'c', 0D)"
+    moments = [f"aggregate(collect_list({name}), {empty}, (a, b) -> {_joint('a', 'b')}) AS {name}"
+               for name in COVARIANCES]
+    return _per(every, ("symbol", "window"), counters + moments)
+
+
+def retract_state(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """The state without the days of ``part``, all of which ``whole`` has; keys without any day
+    left stay, with counters of 0."""
+    w, p = whole.alias("w"), part.alias("p")
+    joined = w.join(p, ["symbol", "window"], "left")
+    empty = "named_struct('n', 0L, 'x', 0D, 'y', 0D, 'c', 0D)"
+    counters = [f"w.{c} - coalesce(p.{c}, 0L) AS {c}" for c in _counter_names(whole)]
+    both = joined.selectExpr("symbol", "window", *counters, *[
+        f"w.{name} AS _w_{name}" for name in COVARIANCES], *[
+        f"coalesce(p.{name}, {empty}) AS _p_{name}" for name in COVARIANCES])
+    return both.selectExpr("symbol", "window", *_counter_names(whole), *[
+        f"{_joint(f'_w_{name}', f'_p_{name}', -1)} AS {name}" for name in COVARIANCES])
+
+
+def reports_of(state: DataFrame) -> DataFrame:
+    """Accuracies and sample covariances per (symbol, window) of a state."""
+    return state.selectExpr("symbol", "window", *_ratios(), *[
+        f"CASE WHEN {name}.n > 1 THEN {name}.c / ({name}.n - 1) END AS {name}"
+        for name in COVARIANCES])
+
+
+def industry_reports_of(state: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``industry_sweep`` from a state instead of the scored days."""
+    return _per(reports_of(state).join(symbols, "symbol"), ("industry", "window"),
+                _means() + _sums())
+
+
 def series(scored: DataFrame) -> DataFrame:
     """Price and score lines in long form: (symbol, window, date, series, value)."""
     points = ", ".join(f"struct('{s}' AS series, {s} AS value)" for s in SERIES)

@@ -4,7 +4,7 @@ from collections.abc import Mapping
 from functools import reduce
 from types import MappingProxyType
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from newstide import schemas
 from newstide.functions import literal
@@ -161,8 +161,65 @@ def search_terms(instruments: DataFrame) -> DataFrame:
 def fetch_requests(instruments: DataFrame, prices: DataFrame, interval_days: int = 28,
                    country: str = "US", lang: str = "en") -> DataFrame:
     """One request per instrument and bucket; instruments without prices ask for nothing."""
-    buckets = fetch_buckets(date_ranges(prices), interval_days)
+    return _requests(instruments, fetch_buckets(date_ranges(prices), interval_days), country, lang)
+
+
+def _requests(instruments: DataFrame, buckets: DataFrame, country: str, lang: str) -> DataFrame:
     return (search_terms(instruments).join(buckets, "symbol")
             .selectExpr("symbol", "q", f"{format_day('bucket_start')} AS `from`",
                         f"{format_day('bucket_end')} AS `to`",
                         f"{literal(country)} AS country", f"{literal(lang)} AS lang"))
+
+
+def covered_days(search_results: DataFrame) -> DataFrame:
+    """Stretches (symbol, start_date, end_date) that the buckets of stored responses cover, the end
+    not included; buckets that overlap or touch are one stretch."""
+    buckets = (search_results.where("bucket_start < bucket_end")
+               .groupBy("symbol", "bucket_start").agg(F.max("bucket_end").alias("bucket_end")))
+    before = (Window.partitionBy("symbol").orderBy("bucket_start")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    so_far = Window.partitionBy("symbol").orderBy("bucket_start")
+    reached = F.max("bucket_end").over(before)
+    fresh = F.when(reached >= F.col("bucket_start"), 0).otherwise(1)
+    return (buckets.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(so_far))
+            .groupBy("symbol", "_stretch")
+            .agg(F.min("bucket_start").alias("start_date"), F.max("bucket_end").alias("end_date"))
+            .drop("_stretch"))
+
+
+def uncovered_ranges(ranges: DataFrame, search_results: DataFrame) -> DataFrame:
+    """Parts of the wanted ranges [start_date, end_date) per symbol that no stored response covers.
+
+    The stretches of a symbol are disjoint and in order, so a gap lies between each and the next."""
+    covered = covered_days(search_results).select(
+        "symbol", F.col("start_date").alias("_from"), F.col("end_date").alias("_to"))
+    in_order = Window.partitionBy("symbol").orderBy("_from")
+    wanted = ranges.select("symbol", "start_date", "end_date").join(
+        covered, (ranges["symbol"] == covered["symbol"]) & (F.col("_from") < F.col("end_date"))
+        & (F.col("_to") > F.col("start_date")), "left").drop(covered["symbol"])
+    gaps = wanted.select(
+        "symbol", "end_date",
+        # before the first stretch, and after each one up to the next or the end
+        F.when(F.lag("_from").over(in_order).isNull(), F.struct(
+            F.col("start_date").alias("start"),
+            F.coalesce("_from", "end_date").alias("stop"))).alias("_first"),
+        F.when(F.col("_to").isNotNull(), F.struct(
+            F.col("_to").alias("start"),
+            F.coalesce(F.lead("_from").over(in_order), "end_date").alias("stop"))).alias("_next"))
+    return (gaps.select("symbol", "end_date", F.explode(F.array("_first", "_next")).alias("_gap"))
+            .select("symbol", F.col("_gap.start").alias("start_date"),
+                    F.least("_gap.stop", "end_date").alias("end_date"))
+            .where("start_date < end_date"))
+
+
+def missing_requests(instruments: DataFrame, prices: DataFrame, search_results: DataFrame,
+                     interval_days: int = 28, country: str = "US", lang: str = "en") -> DataFrame:
+    """``fetch_requests`` for the days that no stored response covers, and no others."""
+    gaps = uncovered_ranges(date_ranges(prices), search_results)
+    step = f"make_dt_interval({interval_days})"
+    buckets = (gaps.selectExpr("symbol", "end_date",
+                               f"explode(sequence(start_date, end_date, {step})) AS bucket_start")
+               .where("bucket_start < end_date")
+               .selectExpr("symbol", "bucket_start",
+                           f"least(date_add(bucket_start, {interval_days}), end_date) AS bucket_end"))
+    return _requests(instruments, buckets, country, lang)

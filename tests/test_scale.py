@@ -121,7 +121,7 @@ def test_reports_add_no_shuffle_to_the_scoring(spark, sf_small):
 
 
 # Pages are read by a parser, and the hook is for models.
-PYTHON = {"A8_page_text", "D11_source_weight", "G2_concat_frames", "H14_or_empty", "J2_model_hook"}
+PYTHON = {"A8_broken_pages", "A8_page_failures", "A8_page_text", "D11_source_weight", "G2_concat_frames", "H14_or_empty", "J2_model_hook"}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -180,3 +180,18 @@ def test_articles_are_cut_to_the_symbols_below_the_daily_sums(spark, sf_small):
 
 def test_spread_moves_when_it_is_called(spark):
     assert spread(spark.range(10, numPartitions=1), 16).rdd.getNumPartitions() == 16
+
+
+def test_scores_without_copies_move_no_text(spark, sf_small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["D14_scores_drop_duplicates"](spark, sf_small))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "to_json" not in text and "sha2" not in text
+    assert text.count("Exchange hashpartitioning(symbol") <= 9
+
+
+def test_a_sample_of_unique_links_looks_for_no_copies(spark, sf_small):
+    text = plan(QUERIES["K10_sample_articles"](spark, sf_small))
+    assert "to_json" not in text and text.count("Window [row_number") == 2

@@ -243,3 +243,87 @@ def test_full_score_falls_into_the_last_bin(spark):
                                    "symbol STRING, window INT, title_score DOUBLE, text_score DOUBLE")
     got = {(r.channel, r.bin) for r in reports.sentiment_distribution(scored).collect()}
     assert got == {("title", 10), ("text", 1)}
+
+
+def random_days(spark, seed, n=45):
+    rng = random.Random(seed)
+    rows = []
+    for symbol in ("a", "b"):
+        for k in range(n):
+            if rng.random() < 0.7:
+                links = rng.choice([0, 0, 1, 3])
+                resolved = links - (links > 1)
+                known = max(resolved - (rng.random() < 0.2), 0)
+                rows.append((symbol, day(k), 100.0, 100 + rng.uniform(-1, 1), rng.uniform(-1, 1),
+                             links, resolved, 10 * known, known, 60 * known, known))
+    return spark.createDataFrame(rows, schemas.DAYS)
+
+
+@pytest.mark.parametrize("fill, limit", [("lookback", 3), ("neutral", 3), ("lookback", 0)])
+def test_scores_brought_up_to_date_equal_full_scores(spark, fill, limit):
+    """Appended days, and changed days in the middle, for every window of 0 to 15 days."""
+    windows, rules = list(range(16)), {"fill": fill, "limit": limit}
+    before = random_days(spark, 1).cache()
+    changed = before.withColumn("text_sum", F.when(
+        F.col("date").between(day(17), day(19)), F.col("text_n") * 90).otherwise(F.col("text_sum")))
+    full = {r: None for r in map(repr, scoring.score_and_predict(changed, windows, **rules)
+                                 .drop(*tl.COUNTERS).collect())}
+    for stored, first, last in (
+            (scoring.score_and_predict(changed.where(F.col("date") < day(30)), windows, **rules),
+             day(30), None),
+            (scoring.score_and_predict(before, windows, **rules), day(17), str(day(19)))):
+        found = scoring.updated_scores(stored, changed, first, last, windows, **rules)
+        assert sorted(map(repr, found.drop(*tl.COUNTERS).collect())) == sorted(full)
+
+
+def test_rescoring_reads_the_days_of_its_horizon_only(spark, tmp_path):
+    random_days(spark, 2).write.parquet(str(tmp_path / "days"))
+    stored = spark.read.schema(schemas.DAYS).parquet(str(tmp_path / "days"))
+    assert scoring.horizon([3, 7]) == 13 and scoring.horizon([0], "neutral") == 3
+    near = scoring.rescored_days(stored, day(30), day(31), [7])
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(date,{day(17)})" in text
+    assert f"LessThanOrEqual(date,{day(44)})" in text
+    assert {r.date for r in near.collect()} <= {day(k) for k in range(30, 45)}
+
+
+def test_states_merge_and_retract(spark):
+    scored = scoring.score_and_predict(random_days(spark, 3), [3, 7]).cache()
+    parts = [reports.report_state(scored.where(F.dayofmonth("date") % 4 == k)) for k in range(4)]
+    whole = reports.merge_states(*parts)
+
+    def close(a, b):
+        left, right = ({(r.symbol, r.window): r for r in df.collect()} for df in (a, b))
+        assert set(left) == set(right)
+        for key in left:
+            for name in [*reports.ACCURACIES, *reports.COVARIANCES]:
+                assert left[key][name] == pytest.approx(right[key][name], abs=1e-9)
+
+    full = reports.reports_of(reports.report_state(scored))
+    close(reports.reports_of(whole), full)
+    expected = reports.accuracy(scored).join(reports.covariance(scored), ["symbol", "window"])
+    close(full, expected)
+    rest = scored.where("dayofmonth(date) % 4 <> 2")
+    close(reports.reports_of(reports.retract_state(whole, parts[2])),
+          reports.reports_of(reports.report_state(rest)))
+    symbols = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a")], schemas.SYMBOLS)
+    sweep = {(r.industry, r.window): r for r in reports.industry_sweep(scored, symbols).collect()}
+    for row in reports.industry_reports_of(whole, symbols).collect():
+        for name in [*reports.ACCURACIES, *reports.COVARIANCES]:
+            assert row[name] == pytest.approx(sweep[row.industry, row.window][name], abs=1e-9)
+    # nothing left: no accuracy, no covariance
+    gone = reports.reports_of(reports.retract_state(whole, whole)).collect()
+    assert {r.price_text for r in gone} == {None} and {r.text_accuracy for r in gone} == {0.0}
+
+
+def test_survivors_of_scores_are_those_of_whole_rows(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice([0, 1, 1]), rng.choice(["l", "m", None]),
+             rng.choice(["s", "t", None]), rng.choice([1, 2, None]), rng.choice([3, 4]))
+            for _ in range(60)]
+    articles = articles_of(spark, rows)
+    slim = ["symbol", "link", "date", "source.href", "title_sentiment", "text_sentiment"]
+    whole = tl.drop_duplicate_links(articles).select(*slim).collect()
+    assert sorted(map(repr, whole)) == sorted(
+        map(repr, tl.scored_survivors(articles).select(*slim).collect()))
+    assert len([r for r in whole if r.link is None]) == len([r for r in rows if r[2] is None])

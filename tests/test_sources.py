@@ -356,3 +356,36 @@ def test_drop_incomplete_and_slice(spark):
     assert px.date_slice(df).count() == 4
     empty = df.where("FALSE").select(F.lit("a").alias("symbol"), "date")
     assert px.date_ranges(empty).count() == 0
+
+
+def test_requests_are_for_uncovered_days_only(spark):
+    """Random buckets that overlap, touch and lie apart, against a set of days."""
+    import random
+    rng = random.Random(8)
+    ranges = {s: (rng.randint(0, 9), rng.randint(25, 40)) for s in "abcdef"}
+    buckets = [(s, start, start + rng.randint(0, 6)) for s in "abcd" for start in
+               (rng.randint(-5, 45) for _ in range(rng.randint(1, 9)))]
+
+    def date(n):
+        return D(2024, 3, 1) + dt.timedelta(n)
+
+    days = spark.createDataFrame([(s, date(a), date(b)) for s, (a, b) in ranges.items()],
+                                 "symbol STRING, start_date DATE, end_date DATE")
+    stored = spark.createDataFrame([(s, date(a), date(b), None) for s, a, b in buckets],
+                                   schemas.SEARCH_RESULTS)
+    gaps = news.uncovered_ranges(days, stored).collect()
+    found = [(g.symbol, (g.start_date - date(0)).days + k) for g in gaps
+             for k in range((g.end_date - g.start_date).days)]
+    covered = {(s, d) for s, a, b in buckets for d in range(a, b)}
+    wanted = {(s, d) for s, (a, b) in ranges.items() for d in range(a, b)} - covered
+    assert len(found) == len(set(found)) and set(found) == wanted
+    prices = spark.createDataFrame([(s, date(d), 1.0, 1.0, 1.0, 1.0, 1) for s, r in ranges.items()
+                                    for d in r], schemas.PRICES)
+    instruments = spark.createDataFrame([(s, "t", s.upper(), None) for s in ranges], schemas.INSTRUMENTS)
+    asked = news.missing_requests(instruments, prices, stored, interval_days=4).collect()
+    assert {r.q for r in asked} <= set("ABCDEF") and all(r["from"] < r["to"] for r in asked)
+    spans = [(r.symbol, (D.fromisoformat(r["from"]) - date(0)).days + k) for r in asked for k in
+             range((D.fromisoformat(r["to"]) - D.fromisoformat(r["from"])).days)]
+    assert sorted(spans) == sorted(wanted)
+    nothing = news.missing_requests(instruments, prices, stored.limit(0), 28)
+    assert nothing.count() == sum(-(-(b - a) // 28) for a, b in ranges.values())

@@ -2,13 +2,23 @@
 
 import atexit
 import os
+import shutil
+import sysconfig
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from pathlib import Path
+from urllib.parse import urlsplit
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _TABLES: dict[str, SparkSession] = {}
+_SHIPPED: set[str] = set()
+# Tables of the innermost ``scratch`` block of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,11 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def ensure_shared_dir(spark: SparkSession) -> None:
-    """Give a session on one machine a folder for intermediate tables where none is set.
+def ship_package(spark: SparkSession) -> bool:
+    """Send this package to the Python workers of a session, once; False if they have it already.
 
-    For registered queries and tests, which have to run in any session; on a cluster it does nothing.
+    Workers import what a Python function of a query names. They find the package where it is
+    installed or on ``PYTHONPATH``; else the driver's own copy is sent as one archive.
     """
+    context, top = spark.sparkContext, Path(__file__).resolve().parent.parent
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *sysconfig.get_paths().values()]
+    if str(top.parent) in known or context.applicationId in _SHIPPED:
+        return False
+    folder = tempfile.mkdtemp(prefix="newstide-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    # Spark's driver serves the file to the executors as long as the session lives
+    context.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", top.parent, top.name))
+    _SHIPPED.add(context.applicationId)
+    return True
+
+
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Give a session what registered queries need in any session: this package on its workers, and,
+    on one machine, a folder for intermediate tables where none is set."""
+    ship_package(spark)
     context = spark.sparkContext
     local = context.master == "local" or context.master.startswith("local[")
     if local and not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
@@ -37,9 +64,36 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     if not _TABLES:
         atexit.register(remove_tables)
     _TABLES[path] = spark
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose intermediate tables are removed at its end, but for those of the written tables
+    that are given to the function it yields. What else was read from them is void then."""
+    outer, tables, kept = _SCOPE.get(), [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        found = {os.path.dirname(one) for one in df.inputFiles()}
+        kept.update(path for path in tables if any(urlsplit(one).path == urlsplit(path).path
+                                                   for one in found))
+        return df
+
+    token = _SCOPE.set(tables)
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for path in tables:
+            if path in kept:
+                if outer is not None:
+                    outer.append(path)
+            elif path in _TABLES:
+                remove_table(_TABLES[path], path)
+
+
 def _fs(spark: SparkSession, path: str):
     """(file system, path) of the JVM."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from newstide import NewsEngine, schemas
 from newstide.operators.corpus import corpus_stats, top_sources
 from newstide.sources import news, prices as px, snapshots
-from newstide.sources.layout import new_table_path, remove_table, shared_dir, written
+from newstide.sources.layout import new_table_path, remove_table, scratch, shared_dir, written
 
 D = dt.date
 
@@ -347,6 +349,39 @@ def test_intermediate_tables_are_removed(spark):
     assert not os.path.exists(path)
 
 
+def test_tables_of_a_block_go_with_it(spark):
+    def folder(df):
+        return df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+
+    with scratch() as keep:
+        first = written(spark.range(3).toDF("id"), "first")
+        with scratch() as keep_inner:
+            gone = folder(written(first, "inner"))
+            second = keep_inner(written(first, "second"))
+        assert not os.path.exists(gone) and second.count() == 3
+        third = keep(written(second, "third"))
+        away = folder(first), folder(second)
+    assert third.count() == 3 and not any(map(os.path.exists, away))
+    with pytest.raises(InterruptedError), scratch():
+        gone = folder(written(third, "failed"))
+        raise InterruptedError
+    assert not os.path.exists(gone) and third.count() == 3
+
+
+def test_queries_run_from_any_folder(tmp_path):
+    """Workers get the package although neither the folder nor PYTHONPATH has it."""
+    code = ("import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "print('rows', e.queries()['A8_page_text'](s, sys.argv[2]).count())\n"
+            "print('text', e.queries()['A8_page_text'](s, sys.argv[2]).first().text[:1] != '')\n")
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, top, "/root/testdata/sf0.001"], cwd=tmp_path,
+                          env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 50" in done.stdout and "text True" in done.stdout, done.stderr[-2000:]
+
+
 def test_drop_incomplete_and_slice(spark):
     df = spark.createDataFrame([(D(2024, 1, 1), 1.0), (D(2024, 1, 2), float("nan")),
                                 (D(2024, 1, 3), None), (D(2024, 1, 4), 2.0)], "date DATE, x DOUBLE")

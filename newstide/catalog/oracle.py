@@ -299,6 +299,10 @@ UNION ALL SELECT 'source_weights', href, CAST(n AS VARCHAR) FROM sources""",
         "A6_interrupted_save": one + f"""
 SELECT 'prices' AS name, symbol || ' ' || date AS key, CAST(volume AS VARCHAR) AS value FROM prices
 UNION ALL SELECT 'links', symbol || ' ' || date || ' ' || position, link FROM ({_LINKS})""",
+        "A6_merged_deliveries": one + f"""
+SELECT symbol || ' ' || date || ' ' || position AS key, link AS value FROM ({_LINKS})
+UNION ALL SELECT symbol || ' ' || date, concat_ws(' ', n_links, n_resolved, title_sum, title_n,
+                                                  text_sum, text_n) FROM counts""",
         "A7_csv_sink": one + f"SELECT symbol, {DAY}, link, href FROM sample",
         "A8_page_text": one + "SELECT page_id, url, href, title, text FROM stored",
         "A8_broken_pages": one + """

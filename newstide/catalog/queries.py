@@ -8,7 +8,7 @@ from newstide import schemas
 from newstide.catalog import adapters as a
 from newstide.functions import sentiment as s, signals as g
 from newstide.operators import corpus, ordering, scoring, timeline as tl
-from newstide.plans import reports
+from newstide.plans import refresh, reports
 from newstide.plans.engine import NewsEngine
 from newstide.sources import news, pages, prices as px, snapshots, versions
 from newstide.sources.layout import ensure_shared_dir, new_table_path, written
@@ -50,6 +50,11 @@ def _some_industries(spark, sf_dir) -> NewsEngine:
     return NewsEngine(symbols, a.prices(spark, sf_dir), a.articles(spark, sf_dir))
 
 
+def _with_sentiments(spark, sf_dir) -> DataFrame:
+    """Scored articles without their texts, which these queries do not return."""
+    return a.scored_articles(spark, sf_dir).withColumn("text", F.lit(None).cast("string"))
+
+
 def _counts(spark, sf_dir) -> DataFrame:
     return tl.count_timeline(a.prices(spark, sf_dir), a.scored_articles(spark, sf_dir))
 
@@ -206,6 +211,23 @@ def _(spark, sf_dir):
         "'links' AS name", "symbol || ' ' || date || ' ' || position AS key", "link AS value"))
 
 
+@_register("A6_merged_deliveries")
+def _(spark, sf_dir):
+    """Links and sums of days after a save and two deliveries that overlap it and each other."""
+    root = new_table_path(spark, "saved")
+    articles = written(_with_sentiments(spark, sf_dir), "scored")
+    number = "CAST(id AS BIGINT) % 4"
+    NewsEngine(a.symbols(spark, sf_dir), a.prices(spark, sf_dir), articles.where(f"{number} < 2")
+               ).save(root, layout="bucket", buckets=8)
+    for delivery in (f"{number} IN (1, 2)", f"{number} <> 1", f"{number} = 0"):
+        refresh.merge_articles(spark, root, articles.where(delivery))
+    load = snapshots.load_all(spark, root)
+    links = load.links.selectExpr("symbol || ' ' || date || ' ' || position AS key", "link AS value")
+    return links.unionByName(load.days.selectExpr(
+        "symbol || ' ' || date AS key",
+        "concat_ws(' ', n_links, n_resolved, title_sum, title_n, text_sum, text_n) AS value"))
+
+
 @_register("A7_csv_sink")
 def _(spark, sf_dir):
     path = new_table_path(spark, "sample-csv")

@@ -27,7 +27,7 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
         F.raise_error(F.concat(F.lit(message), n.cast("string")))))
 
 
-def _choice(articles: DataFrame) -> list[str]:
+def link_order(articles: DataFrame) -> list[str]:
     """What decides between copies of a link, as far as scores depend on it."""
     wanted = {"published": "published", "id": "id", "date": "date", "source": "source.href AS href",
               **{f"{c}_sentiment": f"{c}_sentiment" for c in CHANNELS}}
@@ -47,7 +47,7 @@ def drop_duplicate_links(articles: DataFrame) -> DataFrame:
     alone = articles.join(crowded, ["symbol", "link"], "left_anti").select(*articles.columns)
     copies = (articles.join(crowded, ["symbol", "link"], "left_semi").select(*articles.columns)
               .select("symbol", "link", row.alias("_row"), F.struct(
-                  *map(F.expr, _choice(articles)),
+                  *map(F.expr, link_order(articles)),
                   F.sha2(F.to_json(row), 256).alias("digest")).alias("_order")))
     first = copies.groupBy("symbol", "link").agg(F.min("_order").alias("_first"))
     chosen = (copies.join(first, ["symbol", "link"])
@@ -61,7 +61,7 @@ def scored_survivors(articles: DataFrame) -> DataFrame:
     source and sentiments. One aggregation of slim columns; texts are neither read nor moved."""
     # a row without a key is a group of its own
     keyed = F.col("symbol").isNotNull() & F.col("link").isNotNull()
-    slim = articles.select("symbol", "link", F.struct(*map(F.expr, _choice(articles))).alias("_order"),
+    slim = articles.select("symbol", "link", F.struct(*map(F.expr, link_order(articles))).alias("_order"),
                            F.when(~keyed, F.monotonically_increasing_id()).alias("_row"))
     kept = slim.groupBy("symbol", "link", "_row").agg(F.min("_order").alias("_order"))
     return kept.select("symbol", "link", "_order.date", F.struct("_order.href").alias("source"),

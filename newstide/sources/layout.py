@@ -139,7 +139,8 @@ def remove_table(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table; what was to be read from it is void."""
     fs, where = _fs(spark, path)
     fs.delete(where, True)
-    _TABLES.pop(path, None)
+    for known in [one for one in _TABLES if urlsplit(one).path == urlsplit(path).path]:
+        del _TABLES[known]
 
 
 def remove_tables() -> None:

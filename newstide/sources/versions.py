@@ -13,12 +13,12 @@ symbol and date, so that windows and groups by symbol need no shuffle.
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newstide import schemas
 from newstide.sources.layout import create_once, file_names, read_text, remove_table
@@ -27,6 +27,8 @@ COMMITS, DATA = "_commits", "_data"
 PART, SYMBOL_PARTS = "part", 256
 # Files of a clustered table.
 BUCKETS = 32
+# Tables whose rows are stored with a digest, so that a merge compares copies without their texts.
+DIGESTED, DIGEST = ("articles",), "_digest"
 
 
 class CommitConflict(RuntimeError):
@@ -85,9 +87,16 @@ def _clustered(spark: SparkSession, path: str, schema: StructType, entry: Mappin
     return spark.table(name)
 
 
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a row as JSON."""
+    return F.sha2(F.to_json(F.struct(*df.columns)), 256)
+
+
 def read_version(spark: SparkSession, root: str, version: Version, name: str,
-                 symbol: str | None = None) -> DataFrame | None:
-    """A table of a version, or one symbol of it from its part; None if the version has none."""
+                 symbol: str | None = None, parts: Iterable[str] | None = None,
+                 digest: bool = False) -> DataFrame | None:
+    """A table of a version, one symbol of it from its part, or some of its parts; None if the
+    version has none. ``digest`` adds the stored digest of rows."""
     entry = version.tables.get(name)
     if entry is None:
         return None
@@ -97,7 +106,10 @@ def read_version(spark: SparkSession, root: str, version: Version, name: str,
     elif entry["kind"] == "plain":
         df = spark.read.schema(schema).parquet(f"{root}/{entry['path']}")
     else:
-        parts = entry["parts"]
+        schema = StructType([*schema, StructField(DIGEST, StringType())]) if digest else schema
+        wanted, parts = parts, entry["parts"]
+        if wanted is not None:
+            parts = {part: parts[part] for part in wanted if part in parts}
         if symbol is not None:
             wanted = spark.range(1).select(part_of(entry["layout"], F.lit(symbol))).first()[0]
             parts = {wanted: parts[wanted]} if wanted in parts else {}
@@ -120,9 +132,9 @@ class Draft:
         schema = {} if name in schemas.TABLES else {"schema": json.loads(df.schema.json())}
         self.tables[name] = {"kind": kind, **schema, **more}
 
-    def read(self, name: str) -> DataFrame | None:
+    def read(self, name: str, **some) -> DataFrame | None:
         """A table as this version will have it."""
-        return read_version(self.spark, self.root, Version(0, self.tables), name)
+        return read_version(self.spark, self.root, Version(0, self.tables), name, **some)
 
     def drop(self, *names: str) -> None:
         """Leave out tables of the base."""
@@ -133,6 +145,8 @@ class Draft:
         """Write the rows of ``df`` by part; rebalancing splits the files of a hot part."""
         path = f"{self.folder}/{name}"
         order = [PART, "symbol", *(c for c in ("date", "bucket_start") if c in df.columns)]
+        if name in DIGESTED and DIGEST not in df.columns:
+            df = df.withColumn(DIGEST, row_digest(df))
         (df.withColumn(PART, part_of(layout)).hint("rebalance", PART).sortWithinPartitions(*order)
          .write.partitionBy(PART).parquet(f"{self.root}/{path}"))
         prefix = f"{PART}="
@@ -157,6 +171,12 @@ class Draft:
         self._note(name, df, "parts", layout=layout, **properties,
                    parts={**kept, **self._write_parts(df, name, layout)})
 
+    def replace_parts(self, name: str, df: DataFrame) -> None:
+        """Put the rows of ``df`` in place of the parts they belong to; other parts keep their files."""
+        entry = self.tables[name]
+        new = self._write_parts(df, name, entry["layout"])
+        self.tables[name] = entry | {"parts": entry["parts"] | new}
+
     def write_clustered(self, name: str, df: DataFrame, order=("symbol", "date"),
                         buckets: int = BUCKETS, others: bool = False) -> None:
         """Write a slim table hashed by symbol into ``buckets`` sorted files. A symbol has a row per
@@ -175,7 +195,8 @@ class Draft:
 
 @contextmanager
 def new_version(spark: SparkSession, root: str) -> Iterator[Draft]:
-    """Write tables of a new version; it is committed when the block ends without an exception.
+    """Write tables of a new version; it is committed when the block ends without an exception and
+    any table was changed.
 
     Of two that were begun on the same base the first commits; the other raises ``CommitConflict``
     and leaves everything as it was.
@@ -186,6 +207,8 @@ def new_version(spark: SparkSession, root: str) -> Iterator[Draft]:
     draft = Draft(spark, root, base, f"{DATA}/{number:010d}-{uuid.uuid4().hex[:12]}",
                   dict(base.tables) if base else {})
     yield draft
+    if base is not None and draft.tables == base.tables:
+        return
     if not create_once(spark, f"{root}/{COMMITS}/{number:010d}.json",
                        json.dumps(draft.tables, indent=1, sort_keys=True)):
         raise CommitConflict(f"version {number} of {root} is there already; begin again")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newstide import NewsEngine, schemas
+from newstide.plans import refresh
 from newstide.sources import prices as px, snapshots, versions
 
 D = dt.date
@@ -159,3 +160,55 @@ def test_empty_tables_and_tables_of_other_names(spark, tmp_path):
     assert {n: df.count() for n, df in read.items()} == {"articles": 0, "notes": 1, "plain": 3,
                                                         "prices": 0}
     assert read["notes"].columns == ["symbol", "n"] and read["articles"].schema == schemas.ARTICLES
+
+
+def delivery(spark, rows):
+    """rows: (symbol, day, link, id, text); sentiments by the day"""
+    full = [(s, dt.datetime(2024, 1, d), D(2024, 1, d), "t", link, ("h", "H"), i, text, d, 2 * d)
+            for s, d, link, i, text in rows]
+    return spark.createDataFrame(full, schemas.ARTICLES)
+
+
+def test_deliveries_in_turn_equal_one_save(spark, tmp_path):
+    """New links, better and worse copies of stored ones, and copies that only differ in the text."""
+    first = [(s, d, f"l{d}", "m", "x") for s in "ABC" for d in (1, 2, 3)]
+    second = [("A", 3, "l3", "m", "x"), ("A", 4, "l4", "m", "x"), ("B", 1, "l2", "m", "better"),
+              ("B", 3, "l1", "m", "worse"), ("B", 3, "l3", "a", "better id"), ("A", 4, "l4", "m", "w")]
+    third = [("A", 1, "l1", "m", "same key, other text"), ("A", 2, "l2", "m", "x")]
+    dimension = px.symbol_dimension(spark, {"i": "ABC"})
+    prices = prices_of(spark, "ABC")
+    at_once = NewsEngine(dimension, prices, delivery(spark, first + second + third),
+                         duplicates="drop")
+    at_once.save(str(tmp_path / "once"))
+    root = str(tmp_path / "turns")
+    NewsEngine(dimension, prices, delivery(spark, first)).save(root)
+    before = versions.version_of(spark, root).tables
+    version, parts = refresh.merge_articles(spark, root, delivery(spark, second))
+    assert parts == ["symbol_A", "symbol_B"] and version.number == 2
+    for name in ("articles", "links"):  # C has no news and keeps its files
+        same = {p for p, path in version.tables[name]["parts"].items()
+                if path == before[name]["parts"][p]}
+        assert same == {"symbol_C"}
+    refresh.merge_articles(spark, root, delivery(spark, third))
+    last = versions.versions(spark, root)
+    # what is there already makes no version
+    assert refresh.merge_articles(spark, root, delivery(spark, first + second))[1] == []
+    assert versions.versions(spark, root) == last
+    a, b = (snapshots.load_all(spark, str(tmp_path / name)) for name in ("once", "turns"))
+    assert a.unique and b.unique
+    for name in ("articles", "links", "days", "timeline", "prices"):
+        assert rows(getattr(a, name)) == rows(getattr(b, name)), name
+    loaded = NewsEngine.load(spark, root, dimension)
+    assert rows(loaded.analyze_sweep([3])) == rows(at_once.analyze_sweep([3]))
+
+
+def test_what_cannot_be_merged(spark, tmp_path):
+    with pytest.raises(ValueError, match="no saved engine"):
+        refresh.merge_articles(spark, str(tmp_path), articles_of(spark, "A"))
+    engine_of(spark).save(str(tmp_path))
+    for column in ("symbol", "link"):
+        with pytest.raises(Exception, match="without a symbol or a link"):
+            refresh.merge_articles(spark, str(tmp_path), articles_of(spark, "A").withColumn(
+                column, F.lit(None).cast("string")))
+    assert refresh.merge_articles(spark, str(tmp_path), articles_of(spark, "A").limit(0))[1] == []
+    assert versions.versions(spark, str(tmp_path)) == [1]

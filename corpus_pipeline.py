@@ -11,6 +11,7 @@ columns; the last one gives their places in training sequences.
 """
 
 import functools
+import os
 
 from newstide.llm.common import table
 from newstide.llm.exact_dedup import drop_exact_duplicates
@@ -18,7 +19,7 @@ from newstide.llm.packing import pack
 from newstide.llm.secrets import redact_secrets
 from newstide.llm.simhash import drop_near_duplicates
 from newstide.llm.toxicity import drop_toxic
-from newstide.sources.layout import ensure_shared_dir, written
+from newstide.sources.layout import ensure_shared_dir, remove_table, scratch, written
 
 
 def toxicity(spark, docs, sf_dir):
@@ -57,9 +58,19 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Places in training sequences of what is left of ``documents`` after all stages."""
+    """Places in training sequences of what is left of ``documents`` after all stages.
+
+    A stage's intermediate tables go when its documents are written, and these when the next stage's
+    are; an empty table gives an empty result, null texts and repeated rows are what each operator
+    makes of them.
+    """
     ensure_shared_dir(spark)
     docs = table(spark, sf_dir, "documents")
+    last = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        for path in last:
+            remove_table(spark, path)
+        last = [os.path.dirname(one) for one in docs.inputFiles()[:1]]
     return STAGES[-1][1](spark, docs, sf_dir)

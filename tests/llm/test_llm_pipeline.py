@@ -11,12 +11,13 @@ from compare import connect, difference
 from newstide.llm import queries, secrets
 from newstide.llm.common import table
 from newstide.llm.toxicity import score_toxicity
+from newstide.sources import layout
 from test_llm_dedup import brute_components, brute_fingerprint
 
 
 def test_all_operators_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(contract.queries())
 
 
@@ -30,8 +31,10 @@ def test_query_equals_sql(spark, sf_small, name):
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_covers_its_table(spark, sf_small, name):
     df = queries.QUERIES[name](spark, sf_small)
-    key = "page_id" if name.startswith("op4") else "doc_id"
-    source = table(spark, sf_small, "pages" if key == "page_id" else "documents")
+    name_of = {"op4": ("page_id", "pages"), "op12": ("vec_id", "embeddings"),
+               "op13": ("vec_id", "embeddings")}
+    key, source = name_of.get(name.split("_")[0], ("doc_id", "documents"))
+    source = table(spark, sf_small, source)
     ids = sorted(r[0] for r in source.select(key).collect())
     got = sorted(r[0] for r in df.select(key).collect())
     assert (sorted(set(got)) if name.startswith("op7") else got) == ids
@@ -89,3 +92,11 @@ def test_nulls_pass_the_pipeline(spark, sf_small):
         odd = stage(spark, odd, sf_small)
     assert {r.doc_id for r in odd.select("doc_id").collect()} >= {3}
     assert odd.agg(F.count("*")).first()[0] >= 2
+
+
+def test_a_run_keeps_the_tables_of_its_last_stages_only(spark, sf_small):
+    before = set(layout._TABLES)
+    found = corpus_pipeline.run(spark, sf_small)
+    left = [path.rsplit("/", 1)[1].split("-")[0] for path in set(layout._TABLES) - before]
+    assert left.count("stage") == 1 and "fingerprints" not in left and "radix" not in left
+    assert found.count() > 0

@@ -6,12 +6,13 @@ bytes together are a token, in the order of the ranks, which is how a rank file
 
 A text is cut where a single space follows and no blank comes next; there the split pattern always
 begins a new match. The parts recur, so their ids are kept, and only parts not seen by this task go
-through the library. A text with runs of blanks is cut by the pattern itself. Decoding looks the
+through the library. Long parts, as of text without blanks, are not kept. A text with runs of blanks is cut by the pattern itself. Decoding looks the
 bytes of every id up in the reversed byte table and joins them before any character is formed, so a
 character that is spread over several ids comes out whole.
 """
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterable
@@ -19,10 +20,10 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newstide.llm.common import row_of, row_udf
+from newstide.llm.common import PartCache, row_of, row_udf
 
-# Parts whose ids a task keeps; when they are full it starts anew, which changes no result.
-CACHED_PARTS = 400_000
+# Bytes that a Python worker keeps of recurring parts and their ids.
+CACHED_BYTES = 96 << 20
 _BLANK_AFTER_SPACE = re.compile(r" (?=\s|\Z)")
 
 
@@ -47,19 +48,9 @@ def split_parts(text: str, pattern) -> list[str]:
     return [first, *parts] if first else parts
 
 
-class _Ids(dict):
-    """Ids of parts as little-endian 32-bit words."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHED_PARTS:
-            self.clear()
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        packed = self[part] = np.array(ids, "<u4").tobytes()
-        return packed
+def _packed_ids(tokenizer, part: str) -> bytes:
+    """Ids of a part as little-endian 32-bit words."""
+    return np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Codec:
@@ -84,7 +75,7 @@ class Codec:
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.pattern = regex.compile(pattern)
-        self.ids = _Ids(tokenizer)
+        self.ids = PartCache(functools.partial(_packed_ids, tokenizer), CACHED_BYTES)
         size = max(ranks.values(), default=-1) + 1
         self.bytes_of = [b""] * size
         for token, rank in tokenizer.get_vocab().items():
@@ -137,7 +128,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     """Add the ids of every text, with ``offsets`` also ``token_starts`` and ``token_ends``.
 
     All columns stay; one with the name of a new column is replaced. A null or empty text has no
-    ids. Special tokens are ordinary text.
+    ids, an empty table gives no rows, repeated rows are encoded each. A very long text is one
+    array of its ids. Special tokens are ordinary text.
     """
     file = _shared_file(docs.sparkSession, path)
 
@@ -174,7 +166,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """Encode and decode every text, one row per row of ``docs``.
 
     doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), decoded_sha256 (of
-    the decoded bytes), n_split (tokens that end inside a character). Null texts count as empty.
+    the decoded bytes), n_split (tokens that end inside a character). Null texts count as empty,
+    repeated rows are returned each, an empty table gives no rows; texts of any length are encoded
+    whole. Other columns of ``docs`` never enter, so their names cannot clash.
     """
     file = _shared_file(docs.sparkSession, path)
 

@@ -1,5 +1,6 @@
 """What the operators of this folder share."""
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,3 +52,29 @@ def row_udf(schema: str, make: Callable[[], Callable[..., tuple | None]], rows_a
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return apply
+
+
+class PartCache(dict):
+    """Values of recurring short texts, made by ``make`` and kept within ``limit`` bytes.
+
+    A text of more than ``longest`` characters is worth no place: its value is made each time. When
+    the bytes are used up the cache starts anew, which changes no result.
+    """
+
+    # of an entry beside its key and value
+    ENTRY = 120
+
+    def __init__(self, make: Callable[[str], object], limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.size = make, limit, longest, 0
+
+    def __missing__(self, part: str):
+        value = self.make(part)
+        if len(part) <= self.longest:
+            size = sys.getsizeof(part) + sys.getsizeof(value) + self.ENTRY
+            if self.size + size > self.limit:
+                self.clear()
+                self.size = 0
+            self.size += size
+            self[part] = value
+        return value

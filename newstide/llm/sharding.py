@@ -23,18 +23,35 @@ SHARDS, BITS = 16, 4
 QUANTILE_ACCURACY = 2000
 
 
-def leading_bytes(column: Column, n: int = 6) -> Column:
-    """Number that orders texts by their first bytes; exact in a double up to six."""
-    head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, n)), 2 * n, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
 def default_dimensions(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
     """Language, source and length of a document, as far as the table has the columns."""
-    known = {c: leading_bytes(docs[c]) for c in ("lang", "source") if c in docs.columns}
+    known = {c: docs[c] for c in ("lang", "source") if c in docs.columns}
     return {**known, "length": F.octet_length(docs[text_col]).cast("double")}
 
 
+def text_quantiles(docs: DataFrame, column: str, parts: int) -> list[str]:
+    """The ``parts`` - 1 inner quantiles of a text column, whole values in the order of their bytes.
+
+    Values are counted map-side, so a hot one is a row; the distinct values are range-sorted, and
+    the counts of earlier sort partitions are added to running counts within each.
+    """
+    counts = docs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
+        F.count("*").alias("n"))
+    ordered = written(counts.orderBy("value").withColumn("_id", F.monotonically_increasing_id())
+                      .withColumn("_slice", F.shiftright("_id", ROW_BITS)), "values")
+    # one row per sort partition
+    slices = (ordered.groupBy("_slice").agg(F.sum("n").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy())))
+    within = F.sum("n").over(Window.partitionBy("_slice").orderBy("_id"))
+    reached = ordered.join(slices, "_slice").select(
+        "value", "_total", (F.col("_before") + within).alias("_up_to"))
+    bounds = reached.agg(*[F.min(F.when(F.col("_up_to") * parts >= F.col("_total") * k, F.col("value")))
+                           .alias(f"q{k}") for k in range(1, parts)]).first()
+    return [bound for bound in bounds if bound is not None]
+
+
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     """Index on the Hilbert curve of integer points (rows) with ``bits`` bits per coordinate.
 
@@ -73,14 +90,22 @@ def _curve(bits: int):
     return curve
 
 
-def _cell(value: Column, bounds: list[float] | None) -> Column:
+def _cell(value: Column, bounds: list) -> Column:
     """How many of the inner quantiles lie below the value; null is in cell 0."""
-    below = [F.coalesce((value > float(bound)).cast("int"), F.lit(0)) for bound in bounds or []]
+    below = [F.coalesce((value > F.lit(bound)).cast("int"), F.lit(0)) for bound in bounds]
     return sum(below, F.lit(0))
 
 
-def _cells(dimensions: Mapping[str, Column], bounds) -> Column:
-    return F.array(*[_cell(value, bounds[name]) for name, value in dimensions.items()])
+def _bounds(points: DataFrame, columns: list[str], bits: int) -> dict[str, list]:
+    """Inner quantiles of every column."""
+    kinds = dict(points.dtypes)
+    texts = [c for c in columns if kinds[c] == "string"]
+    numbers = [c for c in columns if c not in texts]
+    inner = [k / (1 << bits) for k in range(1, 1 << bits)]
+    found = points.agg(*[F.percentile_approx(c, inner, QUANTILE_ACCURACY).alias(c) for c in numbers]
+                       ).first() if numbers else {}
+    return {**{c: found[c] or [] for c in numbers},
+            **{c: text_quantiles(points, c, 1 << bits) for c in texts}}
 
 
 def hilbert_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -91,21 +116,20 @@ def hilbert_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The numbers of rows of any two shards differ by one at most; slots count from 0 along the
     curve. Equal indices are ordered by id (nulls first), checksum and size; rows equal in all of
     these are interchangeable. A null text has size 1 and checksum 0, a null in a dimension lies in
-    its first cell. An empty table gives an empty result. ``dimensions`` are numeric columns of
-    ``docs``; ``bits`` times their number may be 62 at most.
+    its first cell. An empty table gives an empty result. ``dimensions`` are columns of numbers or
+    of texts, which are compared as a whole; ``bits`` times their number may be 62 at most.
     """
     dimensions = dimensions or default_dimensions(docs, text_col)
-    inner = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = docs.agg(*[F.percentile_approx(v, inner, QUANTILE_ACCURACY).alias(k)
-                        for k, v in dimensions.items()]).first()
     text = F.coalesce(docs[text_col], F.lit(""))
-    # the dimensions are columns of their own first: each is compared with many bounds
     names = {k: f"dimension_{i}" for i, k in enumerate(dimensions)}
-    points = docs.select(docs[id_col].alias("doc_id"),
-                         (F.octet_length(text) + 1).cast("long").alias("size"),
-                         F.crc32(text.cast("binary")).alias("text_crc32"),
-                         *[dimensions[k].alias(name) for k, name in names.items()]).withColumn(
-        "cells", _cells({k: F.col(name) for k, name in names.items()}, bounds))
+    # slim columns first: quantiles and the sort read these and not the texts
+    points = written(docs.select(
+        docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        *[dimensions[k].alias(name) for k, name in names.items()]), "points")
+    bounds = _bounds(points, list(names.values()), bits)
+    points = points.withColumn("cells", F.array(*[_cell(F.col(c), bounds[c])
+                                                  for c in names.values()]))
     ordered = written(
         points.select("doc_id", "size", "text_crc32", _curve(bits)("cells").alias("curve"))
         .orderBy("curve", "doc_id", "text_crc32", "size")

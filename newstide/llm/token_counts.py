@@ -4,8 +4,9 @@ A count belongs to a content digest (SHA-256 of the text as it is counted) and a
 (SHA-256 of the tokenizer file). Texts whose pair of digests is stored are not encoded; of the others
 one row per distinct digest is, and the new counts are appended to the cache.
 
-Digests travel without their texts. The one text per missing digest is found by joining on digest
-and id, so the rows of a group of copies are spread by their ids and no copy is encoded twice.
+Digests travel without their texts. The text of a missing digest is fetched by the number of the first
+row that has it, so no copy is encoded twice, whatever its id; with a warm cache the few numbers are a
+small table, and Spark's own choice of join leaves the texts where they are.
 """
 
 import hashlib
@@ -15,28 +16,16 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newstide.llm.common import id_and_text, row_udf
+from newstide.llm.common import PartCache, id_and_text, row_udf
 from newstide.sources.layout import new_table_path, written
 
 LIMIT = 512
 CACHE = "content_digest string, version_digest string, n_tokens bigint"
-# Counts of parts that a task keeps; when they are full it starts anew, which changes no result.
-CACHED_PARTS = 1_000_000
+# Bytes that a Python worker keeps of recurring parts and their counts.
+CACHED_BYTES = 96 << 20
 _BLANK_AFTER_SPACE = re.compile(r" (?=\s|\Z)")
 
 
-class _PartCounts(dict):
-    def __init__(self, count: Callable[[str], int]):
-        super().__init__()
-        self.count = count
-
-    def __missing__(self, part: str) -> int:
-        if len(self) >= CACHED_PARTS:
-            self.clear()
-        n = self[part] = self.count(part)
-        return n
-
-
 def _splits_at_spaces(tokenizer) -> bool:
     """Whether a text may be counted in parts that begin with a single space.
 
@@ -71,7 +60,7 @@ def load_counter(name: str, file: bytes) -> Callable[[str], int]:
 
     if not _splits_at_spaces(tokenizer):
         return count
-    counts = _PartCounts(count)
+    counts = PartCache(count, CACHED_BYTES)
 
     def count_parts(text: str) -> int:
         if _BLANK_AFTER_SPACE.search(text):
@@ -107,7 +96,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     ``cache_path`` is a table that later calls read again, of any corpus and tokenizer; without one
     the cache lives for this call. Null texts count as empty, which have no tokens. Repeated rows
-    are counted once and returned each; an empty table gives an empty result. Appending the same
+    are counted once and returned each; an empty table gives an empty result. Texts of any length
+    are counted whole; other columns of ``docs`` never enter. ``docs`` has to be a stored table or
+    give its rows in the same order each time, as row numbers are taken from it. Appending the same
     digest twice, as two jobs at a time may do, is harmless: equal digests have equal counts.
     """
     spark = docs.sparkSession
@@ -116,22 +107,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         content = file.read()
     version = hashlib.sha256(content).hexdigest()
     name, shared = tokenizer_path, spark.sparkContext.broadcast(content)
-    texts = id_and_text(docs, id_col, text_col).withColumn("content_digest", F.sha2("text", 256))
-    keys = written(texts.select("doc_id", "content_digest",
+    texts = id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
+    keys = written(texts.select("rid", "doc_id", F.sha2("text", 256).alias("content_digest"),
                                 F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     stored = read_cache(spark, cache_path).where(F.col("version_digest") == version)
     missing = written(
-        keys.groupBy("content_digest").agg(F.min("doc_id").alias("first_id"))
-        .join(stored.select("content_digest"), "content_digest", "left_anti")
-        .withColumnRenamed("content_digest", "first_digest"), "misses")
+        keys.groupBy("content_digest").agg(F.min("rid").alias("rid"))
+        .join(stored.select("content_digest"), "content_digest", "left_anti"), "misses")
 
     def make():
         count = _counter(name, version, shared.value)
         return lambda text: (count(text),)
 
-    first = ((F.col("content_digest") == F.col("first_digest"))
-             & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    new = (texts.join(missing, first, "left_semi")
+    new = (texts.select("rid", "text").join(missing, "rid")
            .select("content_digest", F.lit(version).alias("version_digest"),
                    row_udf("n_tokens bigint", make)("text")["n_tokens"].alias("n_tokens")))
     new.write.mode("append").parquet(cache_path)

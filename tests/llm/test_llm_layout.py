@@ -172,9 +172,25 @@ def test_hot_source_prunes_on_the_other_dimensions(spark, tmp_path):
     assert sum(s["min(lang)"] <= "fr" <= s["max(lang)"] for s in spans) <= 9
 
 
-def test_text_order_of_leading_bytes(spark):
-    values = ["", "a", "ab", "b", "src1", "src10", "src2", "é", None]
-    frame = spark.createDataFrame([(v,) for v in values], "v string")
-    got = {r.v: r.n for r in frame.select("v", sharding.leading_bytes(F.col("v")).alias("n")).collect()}
-    known = sorted((v for v in values if v is not None), key=str.encode)
-    assert [got[v] for v in known] == sorted(got[v] for v in known) and got[None] is None
+@pytest.mark.parametrize("parts", [2, 4, 16])
+def test_quantiles_of_whole_texts(spark, parts):
+    r = random.Random(parts)
+    values = ["", "é", "hot"] + [f"https://www.site{k}.com/" for k in range(40)]
+    rows = [r.choice(values) for _ in range(600)] + ["hot"] * 300
+    frame = spark.createDataFrame([(v,) for v in [*rows, None, None]], "v string").repartition(7)
+    ordered = sorted(rows, key=str.encode)
+    expected = [ordered[-(-len(rows) * k // parts) - 1] for k in range(1, parts)]
+    assert sharding.text_quantiles(frame, "v", parts) == expected
+    assert sharding.text_quantiles(frame.where("v IS NULL"), "v", parts) == []
+
+
+def test_sources_with_a_common_beginning_prune(spark):
+    """Every source begins with the same twelve bytes; a filter on one still skips most shards."""
+    r = random.Random(1)
+    rows = [(i, "x" * r.randint(1, 4000), f"https://www.{r.choice('abcdefgh')}.org/") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sharding.hilbert_shards(docs).join(docs, "doc_id").groupBy("shard").agg(
+        F.min("source").alias("lo"), F.max("source").alias("hi")).collect()
+    assert len(found) == 16
+    touched = [sum(s.lo <= f"https://www.{c}.org/" <= s.hi for s in found) for c in "abcdefgh"]
+    assert max(touched) <= 8 and sum(touched) <= 16 * 8 // 2

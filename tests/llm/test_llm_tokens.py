@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newstide.llm import bpe, token_counts
+from newstide.llm.common import PartCache
 
 RANKS, JSON = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"))
 PATTERN = public_tokenizers.PATTERN
@@ -65,13 +66,41 @@ def test_offsets_cover_characters(tool, reference):
 
 
 def test_full_cache_changes_nothing(monkeypatch, reference):
-    monkeypatch.setattr(bpe, "CACHED_PARTS", 2)
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 600)
     with open(RANKS, "rb") as file:
         small = bpe.Codec(bpe.parse_ranks(file.read()), PATTERN)
     text = "one two three one two three four"
     assert small.encode(text).tolist() == reference.encode_ordinary(text)
 
 
+def test_memory_of_texts_without_blanks_is_bounded(reference):
+    """20,000 texts of CJK letters, each one part: nothing of them is kept."""
+    with open(RANKS, "rb") as file:
+        small = bpe.Codec(bpe.parse_ranks(file.read()), PATTERN)
+    with open(JSON, "rb") as file:
+        count = token_counts.load_counter(JSON, file.read())
+    r = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x9000)]
+    for k in range(20_000):
+        text = "".join(r.choices(letters, k=80 if k % 100 else 3000))
+        ids = small.encode(text)
+        if k % 1000 == 0:
+            assert ids.tolist() == reference.encode_ordinary(text)
+        count(text)
+    kept = count.__closure__[[c.cell_contents.__class__ for c in count.__closure__].index(PartCache)]
+    assert small.ids.size == 0 and kept.cell_contents.size == 0
+
+
+def test_a_cache_stays_within_its_bytes():
+    made = []
+    cache = PartCache(lambda part: made.append(part) or len(part), limit=10_000)
+    r = random.Random(5)
+    for _ in range(20_000):
+        part = str(r.randint(0, 5)) + "é" * r.randint(55, 70)
+        assert cache[part] == len(part) and cache.size <= 10_000
+    assert len(made) < 20_000 and all(len(part) <= cache.longest for part in cache)
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1, "y", 2, 3) for i, t in rows], DOCS)
 
@@ -137,7 +166,10 @@ def test_cache_is_read_and_appended(spark, tmp_path):
         (4, 1200, 601, True)]
     stored = token_counts.read_cache(spark, cache)
     before = stored.count()
-    assert stored.select("content_digest").distinct().count() == 3
+    # one encoding per digest, of rows that repeat id and text as well
+    assert before == stored.select("content_digest").distinct().count() == 3
+    token_counts.count_tokens(docs_of(spark, rows), JSON, cache).collect()
+    assert token_counts.read_cache(spark, cache).count() == before
     # a stored count is believed: nothing known is encoded again
     forged = stored.limit(1).select(F.sha2(F.lit("forged"), 256).alias("content_digest"),
                                     "version_digest", F.lit(77).cast("long").alias("n_tokens"))

@@ -57,8 +57,12 @@ _RUN = "[!#-&(-_a-~]"
 CANDIDATE = re.compile(_RUN + "{12,}")
 _OUTSIDE = re.compile("[^!#-&(-_a-~]")
 _EDGE = ".,;:()[]{}<>"
-_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
-_KEY_LINES = re.compile(r"[A-Za-z0-9+/=\s]*")
+_KEY_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY[A-Z ]*)-----")
+# Lines of a key, which may be written with escaped line ends: header fields and base64.
+_KEY_LINES = re.compile(r"(?:(?:\s|\\[nr])*+(?:[A-Za-z-]++: [^\n]*+\n|[A-Za-z0-9+/=]{16,}+))*+")
+# The last line may be short; it stands alone.
+_KEY_REST = re.compile(r"(?:\r?\n|\\n)[A-Za-z0-9+/=]{1,15}(?=\r?\n|\\n|\Z)")
+_KEY_END = re.compile(r"(?:\s|\\[nr])*+[A-Za-z0-9+/=]*+(?:\s|\\[nr])*+-----END ([A-Z0-9 ]*)-----")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 NEAR, AROUND = 64, 512
 # Bytes the candidate has to add per byte of its own to be reported: for its first bytes, where the
@@ -128,16 +132,20 @@ def _mixed(value: str) -> bool:
 
 
 def _key_blocks(text: str) -> Iterator[Span]:
-    """Private keys from their first line to the end line, or as far as lines of base64 go."""
+    """Private keys: a head, lines of a key, and the foot of the same label if it follows these.
+
+    A head that no line of a key follows is a mention and no key."""
     at = 0
     while head := _KEY_BLOCK.search(text, at):
         at = _KEY_LINES.match(text, head.end()).end()
-        foot = text.find("-----END ", head.end())
-        again = text.find("-----BEGIN ", head.end())
-        if foot >= 0 and not 0 <= again < foot:
-            close = text.find("-----", foot + 9)
-            at = close + 5 if close >= 0 else len(text)
-        yield head.start(), at, "novel"
+        foot = _KEY_END.match(text, at)
+        rest = _KEY_REST.match(text, at) if at > head.end() else None
+        if foot and foot[1] == head[1]:
+            at = foot.end()
+        elif rest:
+            at = rest.end()
+        if at > head.end():
+            yield head.start(), at, "novel"
 
 
 def _is_secret(value: str, around: str, novelty: Novelty) -> bool:
@@ -233,7 +241,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text",
     """``docs`` with every span in its texts replaced by ``[kind]``; rows and columns stay.
 
     Texts without a span, null ones among them, are not touched. ``length_col`` is set to the new
-    number of characters of a changed text.
+    number of characters of a changed text, if the table has that column.
     """
     def make():
         novelty = Novelty()
@@ -247,7 +255,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text",
                           row_udf("text string", make)(docs[text_col])["text"].alias("new"))
     columns = {c: F.col("row")[c] for c in docs.columns}
     columns[text_col] = F.coalesce("new", columns[text_col])
-    if length_col is not None:
+    if length_col in columns:
         columns[length_col] = F.coalesce(F.length("new"), columns[length_col]).cast(
             docs.schema[length_col].dataType)
     return changed.select(*[column.alias(c) for c, column in columns.items()])

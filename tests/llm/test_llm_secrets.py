@@ -121,3 +121,31 @@ def test_candidates_with_marks_on_either_side_and_in_one_run():
         assert secrets.redacted(text, secrets.find_spans(text, novelty)[1]) == left
     plain = "the session of the parliament, authorization-dependent and well-documented, ended at noon."
     assert not secrets.find_spans(plain, novelty)[1]
+
+
+def test_a_key_block_takes_no_prose():
+    r = random.Random(6)
+    lines = "\n".join("".join(r.choices("ABCDEFabcdef0123456789+/", k=64)) for _ in range(5)) + "\nabc="
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    prose = "and then some words of prose, line by line.\nMore of it, " * 100
+    field = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    cases = {
+        f"{head}\n{lines}\n{foot}": f"{head}\n{lines}\n{foot}",
+        f"{head}\n{field}{lines}\n{foot}": f"{head}\n{field}{lines}\n{foot}",
+        f"{head}\n{lines}\n{foot}".replace("\n", "\\n"): f"{head}\n{lines}\n{foot}".replace("\n", "\\n"),
+        # cut off, of another label, mentioned only
+        f"{head}\n{lines[:200]}": f"{head}\n{lines[:200]}",
+        f"{head}\n{lines[:194]}\n{prose}{foot}": f"{head}\n{lines[:194]}",
+        f"{head}\n{lines[:194]}\n-----END EC PRIVATE KEY-----": f"{head}\n{lines[:194]}",
+        f"{head} {prose}{foot}": None}
+    for block, taken in cases.items():
+        text = f"{prose}\n{block}\n{prose}"
+        found = [text[a:b] for a, b, _ in secrets._key_blocks(text)]
+        assert found == ([] if taken is None else [taken]), block[:90]
+    many = f"{head}\n" * 20_000 + prose
+    assert list(secrets._key_blocks(many)) == []
+
+
+def test_redaction_of_a_table_without_lengths(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefABCDEF123456")], "doc_id long, text string")
+    assert secrets.redact_secrets(docs, length_col="n_chars").first().text == "[assign]"

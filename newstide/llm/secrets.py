@@ -1,17 +1,22 @@
 """Secret scan: base patterns and dictionary-primed zstandard novelty.
 
 The base patterns find assignments, access keys and hexadecimal strings. Beyond them, every run
-of 12 and more characters without blanks and quotes that stands near a sensitive word is a candidate. A compressor primed
-with a dictionary of identifiers and with the text around the candidate measures how many bytes the
-candidate adds: names and repeated values are cheap, random strings cost about what they are long.
-A candidate that stays incompressible and overlaps no base span is reported as kind ``novel``.
+of 12 and more characters without blanks and quotes that stands near a sensitive word is a candidate.
+A compressor primed with identifiers, prose, common forms and the text around the candidate measures
+how many bytes the candidate adds to a text: names, words, dates and repeated values are cheap. What it
+adds is held against what random strings of the same shape add: the same marks, and other letters and
+digits of its kinds. A candidate that adds nearly as much, and overlaps no base span, is reported as
+kind ``novel``.
 
 A document is judged by itself where it is read; nothing is shuffled.
 """
 
+import functools
 import hashlib
-import math
+import random
 import re
+import string
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -51,6 +56,37 @@ IDENTIFIERS = ("access account action address admin alias algorithm application
                "variable version www your_api_key_here changeme xxxxxxxx 0123456789 abcdefghij "
                "klmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 1234567890 0000000000")
 
+# Ordinary sentences, for the letters of words, and forms that values often have.
+PROSE = (
+    "the committee of the house was not able to agree on which of these questions they would like to "
+    "put before their members when it meets again this week; nothing about the weather on either side "
+    "of the river had changed, although everyone there thought that something ought to happen; she "
+    "wrote down what he had been saying, which was rather more interesting than the information given "
+    "by their government; "
+    "die meisten menschen haben noch nicht verstanden, dass sich ihre wirtschaftliche lage durch eine "
+    "solche entscheidung nur wenig verbessern wird; durch die verschiedenen einrichtungen der "
+    "gesellschaft werden wichtige veranstaltungen nach möglichkeit gemeinsam durchgeführt, und auch die "
+    "beziehungen zwischen den beteiligten unternehmen sollten sich dadurch erheblich verändern; "
+    "les habitants de la ville ont toujours souhaité que leurs représentants puissent répondre aux "
+    "questions qui les concernent directement; cette organisation internationale cherche depuis "
+    "plusieurs années à améliorer l'enseignement et les conditions de travail, mais beaucoup de "
+    "personnes pensent que les changements viendront seulement avec le temps; "
+    "los ciudadanos quieren saber cuándo empezarán las obras del puente y quiénes van a pagar por ellas "
+    "durante el año; la administración pública tiene que responder a las necesidades de la población, "
+    "porque muchas personas trabajadoras necesitan una explicación sobre los cambios que se hicieron "
+    "entonces en aquellas ciudades; ")
+FORMS = ("john.smith@example.com maria_garcia99@mail.example.org info@company.net /home/user/projects/ "
+         "/usr/local/lib/python3.11/site-packages/ src/main/java/com/example/ c:\\users\\public\\documents "
+         "https://www.example.com/news/2024/01/15/index.html?page=2&id= http://localhost:8080/api/v1/users "
+         "2023-12-31T23:59:59Z 2024-01-15T10:23:45.000+00:00 build-artifacts-2023.tar.gz "
+         "report_final_v2.pdf image.png data.json.gz 192.168.0.1:5432 10.0.0.255 +1-555-0123 "
+         "version-1.10.3-beta.2 x86_64-linux-gnu node_modules/@types ")
+# Sentences of rare words that a candidate is put behind, so that what it adds is measured inside a
+# block; their lengths differ, which evens out that only whole bytes can be seen.
+CARRIERS = ("quoth my jovial wizard, vexing fjord bank glyphs; kept up waxy",
+            "big fjords vex quick waltz nymph; zephyrs pack my box of jugs,",
+            "how vexingly quick daft zebras jump over my lazy foxglove bank")
+
 # A candidate: a maximal run of ASCII characters that are neither blanks nor quotes; how near to a
 # sensitive word it is, on either side, and how much of the text around it primes.
 _RUN = "[!#-&(-_a-~]"
@@ -65,10 +101,22 @@ _KEY_REST = re.compile(r"(?:\r?\n|\\n)[A-Za-z0-9+/=]{1,15}(?=\r?\n|\\n|\Z)")
 _KEY_END = re.compile(r"(?:\s|\\[nr])*+[A-Za-z0-9+/=]*+(?:\s|\\[nr])*+-----END ([A-Z0-9 ]*)-----")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 NEAR, AROUND = 64, 512
-# Bytes the candidate has to add per byte of its own to be reported: for its first bytes, where the
-# compressor cannot save on an alphabet, and for the rest. From CODED_BYTES on it codes by alphabet:
-# what random text over the candidate's own symbols takes, and a table of TABLE_BYTES, is enough.
-NOVELTY, FIRST_BYTES, NOVELTY_BEYOND, CODED_BYTES, TABLE_BYTES = 0.92, 40, 0.55, 64, 12
+# Marks that join the parts of names, paths, dates and addresses. Random strings have few of them, so
+# a candidate with one in every SPARSE characters is judged by its parts alone.
+_SEPARATORS = re.compile(r"[-_./:@?=&,;~|\\()\[\]{}<>]+")
+LEAST, SPARSE = 12, 8
+# Share of what random strings of its shape add that a candidate has to add. Letters in the case of a
+# word, or of a name of words and numbers, have to add more, as words of other vocabularies come near
+# to the lower bound.
+NOVELTY, WORD_NOVELTY, NAME_NOVELTY = 0.78, 0.93, 1.02
+_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+_NAME_PARTS = re.compile(r"[A-Z]{2,}(?![a-z])|[A-Z]?[a-z]+|[A-Z]|[0-9]+")
+NAME_LETTERS, NAME_DIGITS = 4, 4
+# Rows of one mark that a word is followed by belong to no value.
+_TRAIL = re.compile(r"([^A-Za-z0-9])\1+\Z")
+# How often parts of the dictionary are shown to the compressor's own tables, words and other forms;
+# random strings per shape, of shapes up to LONG and beyond; how many shapes are remembered.
+SHOWN_WORDS, SHOWN_FORMS, RANDOM, RANDOM_LONG, LONG, SHAPES = 10, 3, 16, 3, 128, 4096
 
 Span = tuple[int, int, str]
 
@@ -87,48 +135,114 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _sensitive_windows(text: str) -> Iterator[tuple[int, int]]:
+def _sensitive_windows(text: str, near: int) -> Iterator[tuple[int, int]]:
     """Where candidates are looked for: around each sensitive word, merged where they overlap."""
     start = end = -1
     for word in _SENSITIVE.finditer(text):
-        if word.start() - NEAR > end:
+        if word.start() - near > end:
             if end >= 0:
                 yield start, end
-            start = max(word.start() - NEAR, 0)
-        end = word.end() + NEAR
+            start = max(word.start() - near, 0)
+        end = word.end() + near
     if end >= 0:
         yield start, end
 
 
 class Novelty:
-    """Marginal compressed bytes of strings, given identifiers and their surroundings."""
+    """Marginal compressed bytes of strings, given identifiers and their surroundings.
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 9):
-        import zstandard
+    ``near`` is how far a candidate may be from a sensitive word, ``around`` how much of the text on
+    either side of it primes. The compressor codes single letters by how often they occur, not pairs,
+    so every text goes through ``folded`` first: lower case, and in place of each letter its rank
+    among those that follow the letter before it in the dictionary. What repeats still does, and
+    letters of words become few.
+    """
 
-        self.zstd, self.level, self.identifiers = zstandard, level, identifiers.encode()
+    def __init__(self, identifiers: str = IDENTIFIERS, near: int = NEAR, around: int = AROUND,
+                 level: int = 19):
+        import zstandard
 
-    def bytes_added(self, value: str, around: str) -> int:
-        prime = self.zstd.ZstdCompressionDict(self.identifiers + b" " + around.encode(),
-                                              dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-        tool = self.zstd.ZstdCompressor(level=self.level, dict_data=prime, write_content_size=False,
-                                        write_checksum=False, write_dict_id=False)
-        return len(tool.compress(value.encode())) - len(tool.compress(b""))
+        self.zstd, self.level, self.near, self.around = zstandard, level, near, around
+        words = f"{PROSE}{identifiers} ".lower()
+        letters = string.ascii_lowercase
+        pairs, alone = Counter(zip(" " + words, words)), Counter(words)
+        self.rank = {}
+        for before in " " + letters:
+            after = sorted(letters, key=lambda c: (-pairs[before, c], -alone[c], c))
+            self.rank |= {(before, c): letters[i] for i, c in enumerate(after)}
+        parts = f"{words}{FORMS}".split()
+        shown = [self.folded(w + " ").encode() for w in parts if w.isalpha()] * SHOWN_WORDS
+        shown += [self.folded(w).encode() for w in parts if not w.isalpha()] * SHOWN_FORMS
+        # the tables of the coder and the least of content; all of it follows
+        tables = zstandard.train_dictionary(512, shown, level=level).as_bytes()
+        self.content = tables + self.folded(f"{PROSE}{FORMS}{identifiers} ").encode()
+        self.carriers = [self.folded(c).encode() for c in CARRIERS]
+        self.bare = self._primed("")
+        self._of_shape = functools.lru_cache(SHAPES)(self._random_bytes)
+
+    def folded(self, text: str) -> str:
+        text = text.lower()
+        before = " " + "".join(c if "a" <= c <= "z" else " " for c in text)
+        return "".join(self.rank.get(pair, pair[1]) for pair in zip(before, text))
+
+    def _primed(self, around: str):
+        """The measure of strings in these surroundings."""
+        data = self.content + self.folded(around).encode()
+        params = self.zstd.ZstdCompressionParameters.from_level(
+            self.level, source_size=256, dict_size=len(data), write_content_size=False,
+            write_checksum=False, write_dict_id=False)
+        prime = self.zstd.ZstdCompressionDict(data, dict_type=self.zstd.DICT_TYPE_FULLDICT)
+        prime.precompute_compress(compression_params=params)
+        tool = self.zstd.ZstdCompressor(compression_params=params, dict_data=prime)
+        empty = [len(tool.compress(c)) for c in self.carriers]
+
+        def added(value: str) -> float:
+            data = self.folded(value).encode()
+            carriers = self.carriers if len(value) <= LONG else self.carriers[:1]
+            return sum(len(tool.compress(c + data)) - n for c, n in zip(carriers, empty)) / len(carriers)
+
+        return added
+
+    def bytes_added(self, value: str, around: str) -> float:
+        return self._primed(around)(value)
+
+    def _random_bytes(self, kinds: str, shape: str) -> float:
+        """What random strings of a shape add on average; \0 in the shape stands for one of ``kinds``."""
+        draw = random.Random(f"{kinds}{shape}")
+        n = RANDOM if len(shape) <= LONG else RANDOM_LONG
+        strings = ("".join(draw.choice(kinds) if c == "\0" else c for c in shape) for _ in range(n))
+        return sum(map(self.bare, strings)) / n
+
+    def random_bytes(self, value: str) -> float:
+        """Bytes that random strings of this one's marks and kinds of letters and digits add."""
+        seen = {c for c in value if c.isalnum()}
+        kinds = "".join(kind for kind in (string.ascii_lowercase, string.ascii_uppercase, string.digits)
+                        if not seen.isdisjoint(kind))
+        if seen <= set(string.hexdigits) and len(kinds) > len(string.ascii_lowercase):
+            kinds = "0123456789abcdef"
+        shape = "".join("\0" if c.isalnum() else c for c in value)
+        return (self._of_shape if len(value) <= LONG else self._random_bytes)(kinds or "-", shape)
 
     def is_novel(self, value: str, around: str) -> bool:
-        first = min(len(value), FIRST_BYTES)
-        least = NOVELTY * first + NOVELTY_BEYOND * (len(value) - first)
-        if len(value) >= CODED_BYTES:
-            least = min(least, TABLE_BYTES + len(value) * math.log2(len(set(value))) / 8)
-        return self.bytes_added(value, around) >= least
-
-
-def _mixed(value: str) -> bool:
-    """Letters with digits, or three of lower case, upper case, digits and marks."""
-    lower, upper = any("a" <= c <= "z" for c in value), any("A" <= c <= "Z" for c in value)
-    digit = any("0" <= c <= "9" for c in value)
-    mark = any(not c.isalnum() and c not in "-_/" for c in value)
-    return digit and (lower or upper) or lower + upper + digit + mark >= 3
+        least = (WORD_NOVELTY if _WORD.fullmatch(value) else
+                 NAME_NOVELTY if _is_name(value) else NOVELTY)
+        return self.bytes_added(value, around) >= least * self.random_bytes(value)
+
+
+def _is_name(value: str) -> bool:
+    """Words of ``NAME_LETTERS`` letters and more on average, in any case, joined or apart, and each
+    part between separators with one short number at most, at its end."""
+    letters = words = 0
+    for part in _SEPARATORS.split(value):
+        found = _NAME_PARTS.findall(part)
+        if sum(map(len, found)) < len(part):
+            return False
+        if found and found[-1].isdigit() and len(found[-1]) <= NAME_DIGITS:
+            found.pop()
+        if any(one.isdigit() for one in found):
+            return False
+        letters, words = letters + sum(map(len, found)), words + len(found)
+    return letters >= NAME_LETTERS * words > 0
 
 
 def _key_blocks(text: str) -> Iterator[Span]:
@@ -149,10 +263,17 @@ def _key_blocks(text: str) -> Iterator[Span]:
 
 
 def _is_secret(value: str, around: str, novelty: Novelty) -> bool:
-    """A run counts as a whole, or by what follows the sensitive words or the = in it."""
-    parts = {value, value.rpartition("=")[2], _SENSITIVE.split(value)[-1]}
-    return any(len(part) >= 12 and _mixed(part) and novelty.is_novel(part, around)
-               for part in parts)
+    """A run counts as a whole, by what follows the sensitive words or the = in it, or by a part.
+
+    What is judged has ``LEAST`` characters, two thirds of these letters or digits, and few
+    separators, see ``SPARSE``."""
+    value = _TRAIL.sub("", value)
+    rests = {value, value.rpartition("=")[2], _SENSITIVE.split(value)[-1].strip("-_=:")}
+    judged = {rest for rest in rests
+              if sum(map(len, _SEPARATORS.findall(rest))) * SPARSE < len(rest)}
+    judged.update(_SEPARATORS.split(value))
+    return any(sum(map(str.isalnum, one)) >= LEAST * 2 // 3 and len(one) >= LEAST
+               and novelty.is_novel(one, around) for one in sorted(judged))
 
 
 def novel_spans(text: str, known: Iterable[Span], novelty: Novelty) -> list[Span]:
@@ -162,7 +283,7 @@ def novel_spans(text: str, known: Iterable[Span], novelty: Novelty) -> list[Span
     taken = sorted([(start, end) for start, end, _ in known] + [s[:2] for s in found])
     reached = 0
     at = 0
-    for left, right in _sensitive_windows(text):
+    for left, right in _sensitive_windows(text, novelty.near):
         begin = max(left, reached)
         while begin > reached and not _OUTSIDE.match(text, begin - 1):
             begin -= 1
@@ -182,8 +303,9 @@ def novel_spans(text: str, known: Iterable[Span], novelty: Novelty) -> list[Span
                 start += len(run) - len(run.lstrip(_EDGE))
                 run = run.strip(_EDGE)
                 end = start + len(run)
-                around = text[max(start - AROUND, 0):start] + text[end:end + AROUND]
-                if len(run) >= 12 and _is_secret(run, around, novelty):
+                around = (text[max(start - novelty.around, 0):start]
+                          + text[end:end + novelty.around])
+                if len(run) >= LEAST and _is_secret(run, around, novelty):
                     found.append((start, end, "novel"))
     return found
 
@@ -200,15 +322,17 @@ def find_spans(text: str, novelty: Novelty) -> tuple[list[Span], list[Span]]:
     return base, spans
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR,
+                 around: int = AROUND) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
     ``spans`` is kind:start:end in code points, the end exclusive, by start and then kind, joined by
     commas; ``base_sha256`` is the digest of the same of the base spans alone. Null and empty texts
     have none. Whole texts are read, repeated rows each; an empty table gives an empty result.
+    ``near`` and ``around`` are those of ``Novelty``.
     """
     def make():
-        novelty = Novelty()
+        novelty = Novelty(near=near, around=around)
 
         def one(text):
             base, spans = find_spans(text or "", novelty)
@@ -236,15 +360,15 @@ def redacted(text: str, spans: Iterable[Span]) -> str:
     return "".join(parts) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text",
-                   length_col: str | None = None) -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None,
+                   near: int = NEAR, around: int = AROUND) -> DataFrame:
     """``docs`` with every span in its texts replaced by ``[kind]``; rows and columns stay.
 
-    Texts without a span, null ones among them, are not touched. ``length_col`` is set to the new
+    Texts without a span, null ones among them, are not touched, repeated rows are treated each. ``length_col`` is set to the new
     number of characters of a changed text, if the table has that column.
     """
     def make():
-        novelty = Novelty()
+        novelty = Novelty(near=near, around=around)
 
         def one(text):
             spans = find_spans(text, novelty)[1] if text else []

@@ -3,6 +3,10 @@
 import hashlib
 import random
 import re
+import string
+import time
+
+import pytest
 
 from newstide.llm import secrets
 
@@ -149,3 +153,90 @@ def test_a_key_block_takes_no_prose():
 def test_redaction_of_a_table_without_lengths(spark):
     docs = spark.createDataFrame([(1, "password = abcdefABCDEF123456")], "doc_id long, text string")
     assert secrets.redact_secrets(docs, length_col="n_chars").first().text == "[assign]"
+
+
+def reported(value, novelty):
+    text = f"the secret of the client {value} was sent with the request"
+    return any(start < text.index(value) + len(value) and end > text.index(value)
+               for start, end, _ in secrets.find_spans(text, novelty)[1])
+
+
+LOWER, DIGITS = string.ascii_lowercase, string.digits
+ALPHABETS = {
+    "lower": LOWER, "upper": LOWER.upper(), "letters": string.ascii_letters, "digits": DIGITS,
+    "lower hex": "0123456789abcdef", "upper hex": "0123456789ABCDEF", "base32": LOWER.upper() + "234567",
+    "base36": LOWER + DIGITS, "base62": string.ascii_letters + DIGITS,
+    "base64": string.ascii_letters + DIGITS + "+/", "url base64": string.ascii_letters + DIGITS + "-_",
+    "marks": string.ascii_letters + DIGITS + "!#$%&*@^"}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_recall_of_random_strings(name):
+    """About 500 strings of 12 to 128 characters in all, each beside a sensitive word."""
+    novelty, r = secrets.Novelty(), random.Random(name)
+    keys = ["".join(r.choices(ALPHABETS[name], k=r.randint(12, 128))) for _ in range(42)]
+    assert sum(reported(key, novelty) for key in keys) >= 0.9 * len(keys)
+
+
+def harmless():
+    r = random.Random(5)
+    nouns = ("bridge hotel harvest pension teacher cabinet rainfall market football stadium orchestra "
+             "painting budget tunnel airport vaccine climate village referee planet salmon").split()
+    people = "paula.schmidt m.lefebvre juan.ortega ingrid.berg t.nakamura rosa.conti".split()
+    for _ in range(42):
+        a, b, c = r.sample(nouns, 3)
+        day = f"{r.randint(1990, 2040)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+        time = f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}"
+        yield from (
+            f"{r.choice(people)}{r.randint(50, 2010)}@{a}.org", f"{day}T{time}Z", f"{time}.{r.randint(0, 999):03}Z",
+            f"/{a}/{b}/{c}.txt", f"https://www.{a}.com/{b}/{r.randint(1, 9999)}/{c}.html",
+            f"{a}-{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}.tar.gz", f"{a}_{b}_{c}_id",
+            f"{a.upper()}_{b.upper()}_TIMEOUT_MS_V{r.randint(1, 9)}", f"{a}{b.title()}{c.title()}2",
+            f"{a}-{b}-dependent", f"{b}_{day.replace('-', '_')}.csv",
+            f"{r.randint(10, 250)}.{r.randint(10, 250)}.{r.randint(10, 250)}.{r.randint(10, 250)}:8443")
+
+
+def test_precision_beside_sensitive_words():
+    """Some 500 mail addresses, times, paths, addresses, versions and names."""
+    novelty, values = secrets.Novelty(), list(harmless())
+    wrong = [value for value in values if reported(value, novelty)]
+    assert len(values) > 500 and len(wrong) <= 0.02 * len(values), wrong
+
+
+def test_few_long_words_are_reported(spark):
+    """Words of the documents, of which the dictionary has none."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    words = sorted({word for text in texts for word in re.findall("[A-Za-z]{12,}", text)})
+    novelty = secrets.Novelty()
+    assert len(words) > 200
+    assert sum(reported(word, novelty) for word in words) <= 0.03 * len(words)
+
+
+def test_no_document_of_the_table_has_novel_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert secrets.scan_secrets(docs).where("n_novel > 0").count() == 0
+
+
+def test_how_near_and_how_much_around(spark):
+    key, far = "9aF3kQ8zLmX2pR7vT1bN", "some words on " * 6
+    text = f"a password {far} {key} end"
+    assert not secrets.find_spans(text, secrets.Novelty())[1]
+    assert secrets.find_spans(text, secrets.Novelty(near=200))[1]
+    docs = docs_of(spark, [(1, text)])
+    assert secrets.scan_secrets(docs, near=200).first().n_novel == 1
+    assert secrets.redact_secrets(docs, near=200).first().text == f"a password {far} [novel] end"
+    # the same value further off primes only where the surroundings reach it
+    text = f"{key} {far} bearer {key}"
+    near, wide = secrets.Novelty(around=20), secrets.Novelty(around=200)
+    assert secrets.find_spans(text, near)[1] and not secrets.find_spans(text, wide)[1]
+
+
+def test_time_grows_with_the_run():
+    novelty, r = secrets.Novelty(), random.Random(9)
+
+    def seconds(n):
+        began = time.perf_counter()
+        secrets.find_spans("secret " + "".join(r.choices("aB3_-xYz", k=n)), novelty)
+        return time.perf_counter() - began
+    seconds(1000)
+    assert seconds(400_000) < 20 * max(seconds(50_000), 0.05)

@@ -131,3 +131,74 @@ def test_held_out_recall_of_each_language(spark, corpus):
     for lang, least in {"en": 0.9, "de": 0.9, "fr": 0.9, "es": 0.5}.items():
         said = [r.toxic for r in rows if r.lang == lang]
         assert sum(said) / len(said) > least, lang
+
+
+def plain_rows(seed=3, n=90):
+    """Rows of a few features, an earlier odds column, and labels that depend on both."""
+    r = np.random.default_rng(seed)
+    rows = [np.unique(r.choice(40, r.integers(1, 12)) * 7) for _ in range(n)]
+    earlier = r.normal(size=(n, 1))
+    y = (np.array([7 in row or 21 in row for row in rows]) * 2.0 + earlier[:, 0] + r.normal(size=n) > 1)
+    return rows, earlier, y.astype(float)
+
+
+def plain_fit(rows, earlier, y):
+    """The same penalised log loss written out densely, minimised by full Newton steps."""
+    seen = {f: [f in row for row in rows] for f in sorted({f for row in rows for f in row.tolist()})}
+    seen = {f: np.array(has, float) for f, has in seen.items() if sum(has) >= 2}
+    share = {f: ((has @ y + 1) / (y.sum() + 2), (has @ (1 - y) + 1) / ((1 - y).sum() + 2))
+             for f, has in seen.items()}
+    scale = np.array([abs(np.log(a / b)) for a, b in share.values()])
+    x = np.column_stack([*seen.values(), earlier, np.ones(len(y))])
+    x[:, :len(seen)] *= scale
+    penalty = np.array([2.0] * len(seen) + [0.2] * earlier.shape[1] + [1e-6])
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty),
+                             x.T @ (p - y) + penalty * w) / 2
+    return list(seen), w[:len(seen)] * scale, w[len(seen):-1], w[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fit_against_a_dense_solver(seed):
+    rows, earlier, y = plain_rows(seed)
+    used, weights, odds_weights, intercept = plain_fit(rows, earlier, y)
+    link = toxicity.fit_link(rows, earlier, y)
+    assert link.weights.at.tolist() == used
+    assert np.allclose(link.weights.value, weights, atol=0.03)
+    assert np.allclose(link.earlier, odds_weights, atol=0.03) and abs(link.intercept - intercept) < 0.03
+
+
+def test_chain_against_folds_written_out(spark):
+    """Out-of-fold odds of the first link, the second link fed with them, and the threshold."""
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(25)]
+    texts = [" ".join(r.choice(words, 8)) for _ in range(120)]
+    labels = [(i, int(words[0] not in t), int(words[0] in t and words[1] in t or words[2] in t))
+              for i, t in enumerate(texts)]
+    docs, table = docs_of(spark, list(enumerate(texts))), labels_of(spark, labels)
+    chain = toxicity.fit_chain(docs, table)
+
+    draws = {row.doc_id: row.fold for row in table.selectExpr(
+        "doc_id", "pmod(xxhash64(doc_id, 'fit'), 3) AS fold").collect()}
+    fold = np.array([draws[i] for i in range(len(texts))])
+    rows = [toxicity.features(t.encode()) for t in texts]
+    ys = {"low_quality": np.array([float(q == 0) for _, q, _ in labels]),
+          "toxic": np.array([float(t) for *_, t in labels])}
+    earlier = np.zeros((len(texts), 0))
+    for name, y in ys.items():
+        out_of_fold = np.zeros(len(texts))
+        for k in range(3):
+            kept = fold != k
+            link = toxicity.fit_link([x for x, o in zip(rows, kept) if o], earlier[kept], y[kept])
+            for i in np.nonzero(~kept)[0]:
+                out_of_fold[i] = link.odds(rows[i], earlier[i].tolist())
+        whole = toxicity.fit_link(rows, earlier, y)
+        got = chain.links[name]
+        # rows come in another order, so sums differ in their last digits
+        assert got.weights.at.tolist() == whole.weights.at.tolist()
+        assert np.allclose(got.weights.value, whole.weights.value, atol=1e-3)
+        assert np.allclose([*got.earlier, got.intercept], [*whole.earlier, whole.intercept], atol=1e-3)
+        earlier = np.column_stack([earlier, out_of_fold])
+    assert chain.threshold == pytest.approx(toxicity._best_threshold(earlier[:, 1], ys["toxic"]), abs=1e-3)

@@ -398,6 +398,9 @@ SELECT symbol, {DAY}, title_score, text_score FROM band""",
         "D11_source_weight": one + ", hosts AS (SELECT href, count(*) AS n FROM stored "
                                    "WHERE href IS NOT NULL GROUP BY href) " + _weights("hosts"),
         "D12_corpus_statistics": one + _stats(),
+        "D12_stored_statistics": one + """
+SELECT count(*) AS n_articles, count(*) FILTER (length(text) > 200) AS n_with_text, true AS near
+FROM articles""",
         "D13_date_range": one + """
 SELECT symbol, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date
 FROM ranges""",
@@ -430,6 +433,7 @@ SELECT symbol, link, row_number() OVER (PARTITION BY symbol ORDER BY date, link)
 FROM articles""",
         "F1_publication_sort": one + f"SELECT symbol, {DAY}, link FROM articles",
         "F2_top_sources": one + "SELECT href, n FROM sources ORDER BY n DESC, href LIMIT 10",
+        "F2_stored_top_sources": one + "SELECT href, n FROM sources ORDER BY n DESC, href LIMIT 10",
         "F3_sample": one + f"SELECT symbol, {DAY}, link, href, title FROM sample",
         "F4_date_order": one + f"""
 SELECT symbol, {DAY}, open, close, change,

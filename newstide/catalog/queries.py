@@ -487,6 +487,26 @@ def _(spark, sf_dir):
     return corpus.corpus_stats(a.articles(spark, sf_dir))
 
 
+def _merged(spark, sf_dir) -> NewsEngine:
+    """The engine as loaded after a save and an overlapping delivery."""
+    root = new_table_path(spark, "saved")
+    articles = written(a.scored_articles(spark, sf_dir), "scored")
+    number = "CAST(id AS BIGINT) % 3"
+    symbols = a.symbols(spark, sf_dir)
+    NewsEngine(symbols, a.prices(spark, sf_dir), articles.where(f"{number} < 2")
+               ).save(root, layout="bucket", buckets=8)
+    refresh.merge_articles(spark, root, articles.where(f"{number} > 0"))
+    return NewsEngine.load(spark, root, symbols)
+
+
+@_register("D12_stored_statistics")
+def _(spark, sf_dir):
+    """From stored sketches, and whether the estimate is within three standard errors of the count."""
+    exact = corpus.distinct_sources(a.articles(spark, sf_dir)).agg(F.count("*")).scalar()
+    stats = _merged(spark, sf_dir).corpus_stats(approximate=True)
+    return stats.withColumn("near", F.abs(F.col("n_sources") - exact) <= 0.05 * exact).drop("n_sources")
+
+
 @_register("D13_date_range")
 def _(spark, sf_dir):
     return px.date_ranges(a.prices(spark, sf_dir))
@@ -609,6 +629,12 @@ def _(spark, sf_dir):
     return corpus.top_sources(a.articles(spark, sf_dir))
 
 
+@_register("F2_stored_top_sources")
+def _(spark, sf_dir):
+    """From the stored states, which hold all sources there are."""
+    return _merged(spark, sf_dir).top_sources(approximate=True)
+
+
 @_register("F3_sample")
 def _(spark, sf_dir):
     return corpus.sample_articles(a.articles(spark, sf_dir)).select(

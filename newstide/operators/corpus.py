@@ -5,6 +5,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from newstide.functions.signals import has_text
 from newstide.operators.timeline import drop_duplicate_links
 
+# Size of a sketch of distinct sources (2^12 registers, a standard error of some 1.6 %), and how many
+# sources a state of the most frequent ones can count.
+SKETCH_LG, TRACKED = 12, 10_000
 # Leading hexadecimal digits of the draw by which a symbol is ranked in parts first.
 PART_DIGITS = 2
 
@@ -36,6 +39,37 @@ def corpus_stats(articles: DataFrame) -> DataFrame:
                         F.count_distinct("source.href").alias("n_sources"))
 
 
+def corpus_state(articles: DataFrame, tracked: int = TRACKED) -> DataFrame:
+    """What ``corpus_stats_of`` and ``top_sources_of`` need, per symbol: counts, a HyperLogLog sketch
+    of the sources, and a state of the most frequent ones. All of it combines map-side and has a
+    bounded size, whatever the number of articles; states of any parts of a corpus can be united.
+    """
+    known = "FILTER (WHERE source.href IS NOT NULL)"
+    return articles.groupBy("symbol").agg(
+        F.count("*").alias("n_articles"), F.expr(f"count_if({has_text('text')}) AS n_with_text"),
+        F.expr(f"hll_sketch_agg(source.href, {SKETCH_LG}) AS sources"),
+        F.expr(f"approx_top_k_accumulate(source.href, {tracked}) {known} AS top"))
+
+
+def corpus_stats_of(state: DataFrame) -> DataFrame:
+    """``corpus_stats`` from stored states: counts are exact, the number of sources is estimated."""
+    return state.agg(F.coalesce(F.sum("n_articles"), F.lit(0)).alias("n_articles"),
+                     F.coalesce(F.sum("n_with_text"), F.lit(0)).alias("n_with_text"),
+                     F.expr("hll_sketch_estimate(hll_union_agg(sources)) AS n_sources"))
+
+
+def top_sources_of(state: DataFrame, k: int = 10, tracked: int = TRACKED) -> DataFrame:
+    """``top_sources`` from stored states: exact up to three quarters of ``tracked`` sources, which
+    has to be that of the states; beyond, a count errs by 3.5 / ``tracked`` of all articles at most,
+    and sources rarer than that can be missing."""
+    # by a constant key: without any state there is nothing to estimate from
+    found = (state.groupBy(F.lit(0).alias("_all")).agg(
+        F.expr(f"approx_top_k_combine(top, {tracked}) AS top"))
+        .selectExpr(f"inline(approx_top_k_estimate(top, {tracked}))"))
+    return (found.where("item IS NOT NULL").selectExpr("item AS href", "count AS n")
+            .orderBy(F.desc("n"), "href").limit(k))
+
+
 def sample_rank(articles: DataFrame, n: int = 10, seed: int = 42,
                 unique: bool = False) -> DataFrame:
     """(symbol, link, rank) of the ``n`` links per symbol that come first in a seeded hash order.

@@ -12,7 +12,7 @@ from newstide.operators.timeline import (build_timeline, count_timeline, day_lin
                                          scored_survivors, unique_links)
 from newstide.plans import reports
 from newstide.sources.prices import keep_symbols
-from newstide.sources.snapshots import load_all, write_csv
+from newstide.sources.snapshots import CORPUS, load_all, write_csv
 from newstide.sources.versions import BUCKETS, new_version
 
 
@@ -31,17 +31,19 @@ class NewsEngine:
 
     ``days`` are price days with the sums of their articles (``schemas.DAYS``), which all scores
     are made from; without them they are summed from the articles. ``unique`` says that no symbol
-    has a link twice, so that nothing has to look. A saved engine has both.
+    has a link twice, so that nothing has to look. ``state`` is that of ``corpus_state``. A saved
+    engine has all three.
     """
 
     def __init__(self, symbols: DataFrame, prices: DataFrame, articles: DataFrame,
                  null_policy: str = "poison", fill: str = "lookback", limit: int = FILL_LIMIT,
                  duplicates: str = "error", instruments: DataFrame | None = None,
                  search_results: DataFrame | None = None, days: DataFrame | None = None,
-                 unique: bool = False):
+                 unique: bool = False, state: DataFrame | None = None):
         self.symbols = symbols
         self.prices = keep_symbols(prices, symbols)
         self.days = None if days is None else keep_symbols(days, symbols)
+        self._state = None if state is None else keep_symbols(state, symbols)
         self.unique = unique or duplicates != "keep"
         self._found = keep_symbols(articles, symbols)
         self._copies = "keep" if unique else duplicates
@@ -59,7 +61,7 @@ class NewsEngine:
             raise FileNotFoundError(f"no snapshot of prices and articles under {root}")
         return cls(symbols, saved.prices, saved.articles, instruments=saved.instruments,
                    search_results=saved.search_results, days=saved.days, unique=saved.unique,
-                   **rules)
+                   state=saved.corpus, **rules)
 
     def _only(self, df: DataFrame, symbols: Iterable[str] | None) -> DataFrame:
         return df if symbols is None else df.where(F.col("symbol").isin(list(symbols)))
@@ -122,10 +124,20 @@ class NewsEngine:
                                window: int = DEFAULT_WINDOW) -> DataFrame:
         return reports.sentiment_distribution(self.score_and_predict(symbols, [window]))
 
-    def corpus_stats(self) -> DataFrame:
+    def corpus_state(self) -> DataFrame:
+        """Counts and sketches per symbol: the stored ones, else made from the articles."""
+        return corpus.corpus_state(self.articles) if self._state is None else self._state
+
+    def corpus_stats(self, approximate: bool = False) -> DataFrame:
+        """Exact, or (``approximate``) from ``corpus_state``, without reading articles where it is
+        stored; only the number of sources is estimated."""
+        if approximate:
+            return corpus.corpus_stats_of(self.corpus_state())
         return corpus.corpus_stats(self.articles)
 
-    def top_sources(self, k: int = 10) -> DataFrame:
+    def top_sources(self, k: int = 10, approximate: bool = False) -> DataFrame:
+        if approximate:
+            return corpus.top_sources_of(self.corpus_state(), k)
         return corpus.top_sources(self.articles, k)
 
     def source_weights(self) -> DataFrame:
@@ -151,6 +163,7 @@ class NewsEngine:
             # sentiments are made and links are proved unique once: what follows reads what was written
             articles = keep_symbols(version.read("articles"), self.symbols)
             version.write("links", day_links(articles), layout)
+            version.write(CORPUS, corpus.corpus_state(articles), layout)
             for name in ("instruments", "search_results"):
                 if (df := getattr(self, name)) is not None:
                     version.write(name, df, layout)

@@ -2,9 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newstide.operators.corpus import corpus_state
 from newstide.operators.timeline import count_timeline, day_links, drop_duplicate_links, link_order
 from newstide.sources.layout import scratch, written
 from newstide.sources.news import project_articles
+from newstide.sources.snapshots import CORPUS
 from newstide.sources.versions import (DIGEST, Draft, Version, new_version, part_of, row_digest,
                                        version_of)
 
@@ -65,6 +67,8 @@ def _rewrite(draft: Draft, new: DataFrame, changes: DataFrame, parts: list[str])
     draft.replace_parts("articles", kept.unionByName(fresh))
     now = draft.read("articles", parts=parts)
     draft.replace_parts("links", day_links(now))
+    if CORPUS in draft.tables:
+        draft.replace_parts(CORPUS, corpus_state(now))
     symbols = now.select("symbol").distinct()
     prices = draft.read("prices").join(symbols, "symbol", "left_semi")
     draft.write_clustered("days", count_timeline(prices, now),

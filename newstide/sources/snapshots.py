@@ -15,6 +15,10 @@ from newstide.operators.corpus import source_weights
 from newstide.sources.versions import PART, part_of, read_version, version_of
 
 
+# The table of ``operators.corpus.corpus_state``, which versions of earlier saves do not have.
+CORPUS = "corpus"
+
+
 def _layout_of(spark: SparkSession, path: str) -> str | None:
     """Layout of a stored table, from its directories; None when there is none or it has no parts."""
     try:
@@ -88,6 +92,8 @@ class Snapshot:
     links: DataFrame | None
     days: DataFrame | None
     source_weights: DataFrame | None
+    # counts and sketches per symbol
+    corpus: DataFrame | None = None
     # whether no symbol has a link twice, as proved when the articles were saved
     unique: bool = False
 
@@ -105,6 +111,7 @@ def load_all(spark: SparkSession, root: str, number: int | None = None) -> Snaps
     articles = tables["articles"]
     unique = version is not None and version.tables.get("articles", {}).get("unique", False)
     return Snapshot(**tables, unique=unique,
+                    corpus=None if version is None else read_version(spark, root, version, CORPUS),
                     source_weights=None if articles is None else source_weights(articles))
 
 

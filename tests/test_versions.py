@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newstide import NewsEngine, schemas
+from newstide.operators import corpus
 from newstide.plans import refresh
 from newstide.sources import prices as px, snapshots, versions
 
@@ -212,3 +213,55 @@ def test_what_cannot_be_merged(spark, tmp_path):
                 column, F.lit(None).cast("string")))
     assert refresh.merge_articles(spark, str(tmp_path), articles_of(spark, "A").limit(0))[1] == []
     assert versions.versions(spark, str(tmp_path)) == [1]
+
+
+def sources_of(spark, n_sources, n_rows, first=0):
+    """A few frequent sources among many rare ones; every fourth row has no source."""
+    href = F.expr(f"CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN concat('top', id % 5) "
+                  f"ELSE concat('h', pmod(xxhash64(id), {n_sources})) END")
+    return spark.range(first, first + n_rows).select(
+        F.concat(F.lit("s"), F.col("id") % 7).alias("symbol"), F.col("id").cast("string").alias("link"),
+        F.struct(F.lit("n").alias("title"), href.alias("href")).alias("source"),
+        F.expr("repeat('x', CAST(id % 300 AS INT))").alias("text"))
+
+
+@pytest.mark.parametrize("n_sources", [30, 3_000, 100_000])
+def test_united_states_of_parts_estimate_the_whole(spark, n_sources):
+    parts = [sources_of(spark, n_sources, 120_000, first) for first in (0, 120_000)]
+    whole = parts[0].union(parts[1])
+    states = corpus.corpus_state(parts[0]).unionByName(corpus.corpus_state(parts[1]))
+    exact, got = corpus.corpus_stats(whole).first(), corpus.corpus_stats_of(states).first()
+    assert (got.n_articles, got.n_with_text) == (exact.n_articles, exact.n_with_text)
+    assert abs(got.n_sources - exact.n_sources) <= 0.05 * exact.n_sources
+    assert got.n_sources == corpus.corpus_stats_of(corpus.corpus_state(whole)).first().n_sources
+    truth = {r.href: r.n for r in corpus.top_sources(whole, 5).collect()}
+    top = {r.href: r.n for r in corpus.top_sources_of(states, 5).collect()}
+    assert set(top) == set(truth)
+    slack = 0 if n_sources < 7_000 else 3.5 / corpus.TRACKED * exact.n_articles
+    assert all(abs(top[href] - n) <= slack for href, n in truth.items())
+
+
+def test_states_of_nothing(spark):
+    none = sources_of(spark, 5, 0)
+    assert corpus.corpus_stats_of(corpus.corpus_state(none)).first() == (0, 0, 0)
+    assert corpus.top_sources_of(corpus.corpus_state(none)).count() == 0
+    bare = sources_of(spark, 5, 12).withColumn("source", F.struct(
+        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("href")))
+    assert corpus.corpus_stats_of(corpus.corpus_state(bare)).first().n_sources == 0
+    assert corpus.top_sources_of(corpus.corpus_state(bare)).count() == 0
+
+
+def test_stored_states_follow_saves_and_deliveries(spark, tmp_path):
+    root = str(tmp_path)
+    engine_of(spark, ("A", "B")).save(root)
+    later = articles_of(spark, ("B", "C"), days=8, text="y" * 300).withColumn(
+        "source", F.struct(F.lit("k").alias("title"), F.concat("symbol", "link").alias("href")))
+    refresh.merge_articles(spark, root, later)
+    dimension = px.symbol_dimension(spark, {"i": ["A", "B"], "j": ["C"]})
+    for symbols in (dimension, dimension.where("symbol <> 'C'")):
+        engine = NewsEngine.load(spark, root, symbols)
+        assert rows(engine.corpus_stats(approximate=True)) == rows(engine.corpus_stats())
+        assert rows(engine.top_sources(20, approximate=True)) == rows(engine.top_sources(20))
+        # nothing of the articles is read
+        files = engine.corpus_stats(approximate=True).inputFiles()
+        assert files and all("/corpus/" in name for name in files)

@@ -1,6 +1,6 @@
 """The timeline: one row per symbol and trading day with the day's news."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newstide.functions.signals import day_change, nan_to_null
 from newstide.functions.sentiment import CHANNELS
@@ -34,21 +34,23 @@ def link_order(articles: DataFrame) -> list[str]:
     return [column for name, column in wanted.items() if name in articles.columns]
 
 
-def drop_duplicate_links(articles: DataFrame) -> DataFrame:
+def drop_duplicate_links(articles: DataFrame, digest: Column | None = None) -> DataFrame:
     """Keep one article per (symbol, link): the earliest, then the smallest id, date, source and
     sentiments, then the smallest SHA-256 of the row as JSON. Rows without a symbol or a link have
     no key and stay.
 
     Keys are counted first, merged map-side; whole rows are looked at only where a key collides, and
-    their choice is merged map-side too, so a link with very many copies is no hot key.
+    their choice is merged map-side too, so a link with very many copies is no hot key. The other
+    rows are moved as they are: slim rows that stand for whole ones carry the ``digest`` of these.
     """
     row = F.struct(*articles.columns)
+    digest = F.sha2(F.to_json(row), 256) if digest is None else digest
     crowded = duplicate_keys(articles, "symbol", "link").select("symbol", "link")
     alone = articles.join(crowded, ["symbol", "link"], "left_anti").select(*articles.columns)
     copies = (articles.join(crowded, ["symbol", "link"], "left_semi").select(*articles.columns)
               .select("symbol", "link", row.alias("_row"), F.struct(
                   *map(F.expr, link_order(articles)),
-                  F.sha2(F.to_json(row), 256).alias("digest")).alias("_order")))
+                  digest.alias("digest")).alias("_order")))
     first = copies.groupBy("symbol", "link").agg(F.min("_order").alias("_first"))
     chosen = (copies.join(first, ["symbol", "link"])
               .where(F.col("_order").eqNullSafe(F.col("_first")))

@@ -11,17 +11,27 @@ from newstide.sources.versions import (DIGEST, Draft, Version, new_version, part
                                        version_of)
 
 
-def _compared(df: DataFrame, part) -> DataFrame:
+# Number of a row of the delivery.
+ROW = "_number"
+
+
+def _compared(df: DataFrame, part, *more: str) -> DataFrame:
     """Keys, part and what decides between copies, without texts."""
     order = F.struct(*map(F.expr, link_order(df)), F.col(DIGEST))
-    return df.select("symbol", "link", part.alias("part"), order.alias("order"))
+    return df.select("symbol", "link", part.alias("part"), order.alias("order"), *more)
+
+
+def _survivors(new: DataFrame) -> DataFrame:
+    """What ``drop_duplicate_links`` keeps of the delivery, without texts."""
+    slim = new.select(*[c for c in new.columns if c not in ("title", "text")])
+    return drop_duplicate_links(slim, F.col(DIGEST))
 
 
 def _changes(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Keys of new rows that no stored row has, or that win over the stored one."""
+    """New rows with a key that no stored row has, or that win over the stored one."""
     old = stored.select("symbol", "link", F.col("order").alias("old"))
-    return (new.join(old, ["symbol", "link"], "left")
-            .where("old IS NULL OR order < old").select("symbol", "link", "part"))
+    return (new.join(old, ["symbol", "link"], "left").where("old IS NULL OR order < old")
+            .select("symbol", "link", "part", ROW, F.col("old").isNotNull().alias("replaces")))
 
 
 def merge_articles(spark: SparkSession, root: str, articles: DataFrame) -> tuple[Version, list[str]]:
@@ -29,9 +39,10 @@ def merge_articles(spark: SparkSession, root: str, articles: DataFrame) -> tuple
 
     Of copies of a link the one stays that ``drop_duplicate_links`` keeps of all articles ever
     merged, in any order of merging: saving two overlapping deliveries in turn equals saving both at
-    once under the policy 'drop'. Keys of the delivery are compared with the keys and digests of
-    its own parts, which Spark joins by broadcasting the smaller side where it is small enough;
-    texts are read and written for changed parts alone. A part without news keeps its files, and
+    once under the policy 'drop'. Copies within the delivery, and keys of the delivery against those
+    of its own parts, are compared by keys and digests, which Spark joins by broadcasting the smaller
+    side where it is small enough; texts are read and written for changed parts alone, and shuffled
+    once, for the writing. A part without news keeps its files, and
     when there are none no version is written. Links of days and sums of days follow for the
     symbols of changed parts. Uniqueness holds by the choice itself and need not be proved over
     stored rows. Articles without a symbol or a link have no key to merge on and are refused.
@@ -46,13 +57,13 @@ def merge_articles(spark: SparkSession, root: str, articles: DataFrame) -> tuple
         keyless = F.col("symbol").isNull() | F.col("link").isNull()
         found = found.where(F.when(~keyless, F.lit(True)).otherwise(
             F.raise_error(F.lit("an article without a symbol or a link"))))
-        new = drop_duplicate_links(found)
-        new = written(new.withColumns({DIGEST: row_digest(new), "_part": part}), "delivery")
+        new = written(found.withColumns({DIGEST: row_digest(found), "_part": part,
+                                         ROW: F.monotonically_increasing_id()}), "delivery")
         with new_version(spark, root) as draft:
             delivered = [row["_part"] for row in new.select("_part").distinct().collect()]
             stored = draft.read("articles", parts=delivered, digest=True)
-            changes = written(_changes(_compared(new, F.col("_part")), _compared(stored, part)),
-                              "changes")
+            changes = written(_changes(_compared(_survivors(new), F.col("_part"), ROW),
+                                       _compared(stored, part)), "changes")
             parts = sorted(row["part"] for row in changes.select("part").distinct().collect())
             if parts:
                 _rewrite(draft, new, changes, parts)
@@ -60,10 +71,15 @@ def merge_articles(spark: SparkSession, root: str, articles: DataFrame) -> tuple
 
 
 def _rewrite(draft: Draft, new: DataFrame, changes: DataFrame, parts: list[str]) -> None:
-    """Changed parts anew, and what hangs on them."""
-    fresh = new.join(changes, ["symbol", "link"], "left_semi").drop("_part")
+    """Changed parts anew, and what hangs on them.
+
+    Rows of the delivery are found by their number. Stored ones go only where they are replaced;
+    a table of these keys alone lets Spark see how few they are, and leave texts in place.
+    """
+    fresh = new.join(changes.select(ROW), ROW, "left_semi").drop("_part", ROW)
+    replaced = written(changes.where("replaces").select("symbol", "link"), "replaced")
     kept = draft.read("articles", parts=parts, digest=True).join(
-        changes, ["symbol", "link"], "left_anti")
+        replaced, ["symbol", "link"], "left_anti")
     draft.replace_parts("articles", kept.unionByName(fresh))
     now = draft.read("articles", parts=parts)
     draft.replace_parts("links", day_links(now))

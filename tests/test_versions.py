@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from newstide import NewsEngine, schemas
 from newstide.operators import corpus
@@ -265,3 +265,40 @@ def test_stored_states_follow_saves_and_deliveries(spark, tmp_path):
         # nothing of the articles is read
         files = engine.corpus_stats(approximate=True).inputFiles()
         assert files and all("/corpus/" in name for name in files)
+
+
+def plans_of(monkeypatch, where, name):
+    """Plans of the tables that a function writes, by their names."""
+    plans, whole = {}, getattr(where, name)
+
+    def noting(*args, **more):
+        df, table = ([x for x in args if isinstance(x, kind)][0] for kind in (DataFrame, str))
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(*args, **more)
+
+    monkeypatch.setattr(where, name, noting)
+    return plans
+
+
+def test_a_merge_moves_no_texts_before_it_writes(spark, tmp_path, monkeypatch):
+    """Copies in a delivery are told apart by keys and digests, and only replaced rows are taken out."""
+    first = [(s, d, f"l{d}", "m", "x") for s in "ABC" for d in (1, 2, 3)]
+    second = [("A", 1, "l1", "m", "x"), ("A", 4, "l4", "m", "w"), ("A", 4, "l4", "m", "x"),
+              ("A", 5, "l5", "m", "z"), ("A", 5, "l5", "m", "z"), ("B", 1, "l3", "a", "better"),
+              ("B", 2, "l3", "a", "not so good")]
+    dimension, prices = px.symbol_dimension(spark, {"i": "ABC"}), prices_of(spark, "ABC")
+    once = NewsEngine(dimension, prices, delivery(spark, first + second), duplicates="drop")
+    once.save(str(tmp_path / "once"))
+    root = str(tmp_path / "turns")
+    NewsEngine(dimension, prices, delivery(spark, first)).save(root)
+    written = plans_of(monkeypatch, refresh, "written")
+    replaced = plans_of(monkeypatch, versions.Draft, "replace_parts")
+    assert refresh.merge_articles(spark, root, delivery(spark, second))[1] == ["symbol_A", "symbol_B"]
+    assert "Exchange" not in written["delivery"]
+    assert "text:string" not in written["changes"] and "text" not in written["replaced"]
+    # the one shuffle of whole rows is that of the writer
+    assert "Exchange" not in replaced["articles"].replace("BroadcastExchange", "")
+    a, b = (snapshots.load_all(spark, str(tmp_path / name)) for name in ("once", "turns"))
+    for name in ("articles", "links", "days", "corpus"):
+        assert rows(getattr(a, name).drop("sources", "top")) == rows(
+            getattr(b, name).drop("sources", "top")), name

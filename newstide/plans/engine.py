@@ -11,6 +11,7 @@ from newstide.operators.scoring import (DEFAULT_WINDOW, DEFAULT_WINDOWS, FILL_LI
 from newstide.operators.timeline import (build_timeline, count_timeline, day_links,
                                          scored_survivors, unique_links)
 from newstide.plans import reports
+from newstide.sources.layout import written
 from newstide.sources.prices import keep_symbols
 from newstide.sources.snapshots import CORPUS, load_all, write_csv
 from newstide.sources.versions import BUCKETS, new_version
@@ -45,6 +46,7 @@ class NewsEngine:
         self.days = None if days is None else keep_symbols(days, symbols)
         self._state = None if state is None else keep_symbols(state, symbols)
         self.unique = unique or duplicates != "keep"
+        self._given = articles
         self._found = keep_symbols(articles, symbols)
         self._copies = "keep" if unique else duplicates
         self.articles = unique_links(self._found, self._copies)
@@ -158,10 +160,13 @@ class NewsEngine:
         all. Prices and days are clustered by symbol into ``buckets`` files.
         """
         others = layout == "symbol"
+        # once stored, Spark sees how few symbols are, and texts need not be moved to meet them
+        symbols = written(self.symbols.select("symbol").distinct(), "symbols")
+        articles = unique_links(keep_symbols(self._given, symbols), self._copies)
         with new_version(self.symbols.sparkSession, root) as version:
-            version.write("articles", self.articles, layout, unique=self.unique)
+            version.write("articles", articles, layout, unique=self.unique)
             # sentiments are made and links are proved unique once: what follows reads what was written
-            articles = keep_symbols(version.read("articles"), self.symbols)
+            articles = version.read("articles", parts=version.written_parts("articles"))
             version.write("links", day_links(articles), layout)
             version.write(CORPUS, corpus.corpus_state(articles), layout)
             for name in ("instruments", "search_results"):

@@ -177,6 +177,11 @@ class Draft:
         new = self._write_parts(df, name, entry["layout"])
         self.tables[name] = entry | {"parts": entry["parts"] | new}
 
+    def written_parts(self, name: str) -> list[str]:
+        """Parts of a table that this version has written itself."""
+        return [part for part, path in self.tables[name]["parts"].items()
+                if path.startswith(f"{self.folder}/")]
+
     def write_clustered(self, name: str, df: DataFrame, order=("symbol", "date"),
                         buckets: int = BUCKETS, others: bool = False) -> None:
         """Write a slim table hashed by symbol into ``buckets`` sorted files. A symbol has a row per

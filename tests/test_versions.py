@@ -302,3 +302,26 @@ def test_a_merge_moves_no_texts_before_it_writes(spark, tmp_path, monkeypatch):
     for name in ("articles", "links", "days", "corpus"):
         assert rows(getattr(a, name).drop("sources", "top")) == rows(
             getattr(b, name).drop("sources", "top")), name
+
+
+def test_a_save_does_not_move_texts_to_its_symbols(spark, tmp_path, monkeypatch):
+    """Symbols that are computed from a large table are few, which Spark sees once they are stored."""
+    root, large = str(tmp_path), spark.range(200_000)
+    engines = []
+    for names in ("ABC", "AB"):
+        symbols = large.selectExpr(f"substring('{names}', 1 + CAST(id % {len(names)} AS INT), 1) AS symbol",
+                                   "'i' AS industry").distinct()
+        engines.append(NewsEngine(symbols, prices_of(spark, "ABC"), articles_of(
+            spark, "ABC", text=names), duplicates="keep"))
+    plans = plans_of(monkeypatch, versions.Draft, "write")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        for engine in engines:
+            engine.save(root)
+            assert "SortMergeJoin" not in plans["articles"] and "Join" not in plans["corpus"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    load = snapshots.load_all(spark, root)
+    assert {(r.symbol, r.text) for r in load.articles.collect()} == {("A", "AB"), ("B", "AB"), ("C", "ABC")}
+    assert {(r.symbol, r.n_articles) for r in load.corpus.collect()} == {(s, 5) for s in "ABC"}
+    assert load.links.count() == 15 and load.days.count() == 18
